@@ -22,10 +22,10 @@ def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("n", F.size("ids")).repartitionByRange(F.col("id").asc_nulls_last(), "own")
     rows = materialize(rows.withColumn("part", F.spark_partition_id()), "line-ids")
     before = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_last(), "own").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("part").agg(F.sum("n").alias("lines"))  # a row for each partition
+    # a place that no line has lies behind each document, so that no common prefix runs on into the next
+    totals = rows.groupBy("part").agg(F.sum(F.col("n") + 1).alias("lines"))  # a row for each partition
     ahead = totals.alias("x").join(F.broadcast(totals.alias("y")), F.col("y.part") < F.col("x.part"), "left").groupBy(F.col("x.part").alias("part")).agg(F.coalesce(F.sum("y.lines"), F.lit(0)).alias("ahead"))
-    placed = rows.select("part", "id", "own", "n").withColumn("row", F.monotonically_increasing_id())
-    return rows.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(ahead), "part").withColumn("first", F.col("ahead") + F.col("inside")).drop("part", "inside", "ahead")
+    return rows.withColumn("inside", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))).join(F.broadcast(ahead), "part").withColumn("first", F.col("ahead") + F.col("inside")).drop("part", "inside", "ahead")
 
 
 def _classes(rows: DataFrame, key: list[str]) -> DataFrame:
