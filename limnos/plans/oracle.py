@@ -1,3 +1,6 @@
 """SQL twins of the registered queries, by name."""
 
-SQL: dict = {}
+from . import registry  # noqa: F401
+from .tables import SQL
+
+__all__ = ["SQL"]

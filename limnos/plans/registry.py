@@ -1,4 +1,8 @@
-"""Queries by name: each runs one operator on the given tables."""
+"""Queries by name: each runs operators of the library on the given tables."""
+
+from . import q_joins, q_scalar, q_summary  # noqa: F401  they register themselves
+from .tables import QUERIES
+
+__all__ = ["FLAGSHIP", "QUERIES"]
 
-QUERIES: dict = {}
 FLAGSHIP = "jn4_asof_nearest"
