@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Words and chunks that a task remembers, at most; a full memory is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
