@@ -53,3 +53,32 @@ def knn_graph(points: DataFrame, key: str, radius: float, k: int = 8) -> DataFra
     top = met.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "dst")
     both = top.unionByName(top.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return both.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("src")))
+
+
+def nearest_line(points: DataFrame, segments: DataFrame, point: str, line: str, far: float, size: float) -> DataFrame:
+    """(point, line, dist): the nearest line at most `far` away, the smaller line on ties. segments: line, x1, y1, x2, y2; each covers the cells of its box grown by `far`."""
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - far) / size), F.floor((F.greatest(a, b) + far) / size)))
+    cover = segments.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
+    met = _cells(points.select(point, "x", "y"), "x", "y", size).join(cover, ["cx", "cy"])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.coalesce(((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    met = met.withColumn("dist", F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy)).where(F.col("dist") <= far)
+    return met.groupBy(point).agg(F.min_by(line, F.struct("dist", line)).alias(line), F.min("dist").alias("dist"))
+
+
+def polygon_or_line(points: DataFrame, edges: DataFrame, segments: DataFrame, point: str, polygon: str, line: str, far: float, size: float) -> DataFrame:
+    """Every point with `kind`: lake (inside a polygon, the smallest if several), river (else a line within `far`), none; and its polygon, line and dist."""
+    inside = points_in_polygons(points, edges, point, polygon, size).groupBy(point).agg(F.min(polygon).alias(polygon))
+    rest = points.join(inside.select(point), point, "left_anti")
+    out = points.select(point).join(inside, point, "left").join(nearest_line(rest, segments, point, line, far, size), point, "left")
+    return out.withColumn("kind", F.when(F.col(polygon).isNotNull(), "lake").when(F.col(line).isNotNull(), "river").otherwise("none"))
+
+
+def nearest_pixel(anchors: DataFrame, pixels: DataFrame, key: str, scene: str, reach: int = 18) -> DataFrame:
+    """For each anchor (key, r, c) and scene the valid pixel (scene, pr, pc, value) with the least squared index distance within `reach` rows and columns; ties by row, then column."""
+    met = _cells(anchors, "r", "c", reach, 1).join(_cells(pixels, "pr", "pc", reach), ["cx", "cy"])
+    dr, dc = F.col("pr") - F.col("r"), F.col("pc") - F.col("c")
+    met = met.where((F.abs(dr) <= reach) & (F.abs(dc) <= reach)).withColumn("dist2", dr * dr + dc * dc)
+    best = F.min_by(F.struct("pr", "pc", "value", "dist2"), F.struct("dist2", "pr", "pc")).alias("b")
+    return met.groupBy(key, scene).agg(best).select(key, scene, "b.pr", "b.pc", "b.value", "b.dist2")

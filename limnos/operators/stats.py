@@ -42,3 +42,50 @@ def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     sizes = sizes.withColumn("r_", r)
     at = F.col("r_") % folds
     return sizes.select(group, F.when(F.floor(F.col("r_") / folds) % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"), F.col("n_").alias("n_rows"))
+
+
+def running_counts(df: DataFrame, value: str, counts: dict[str, Column], buckets: int = 128) -> DataFrame:
+    """One row for each distinct value with the named aggregates and, as `{name}_to`, their running sums in the order of the value. Null values go.
+
+    Values are cut into `buckets` ranges of about as many distinct values each: sums run inside a range, and over the table of ranges, so that no task orders all values."""
+    c = df.where(F.col(value).isNotNull()).groupBy(value).agg(*[v.alias(k) for k, v in counts.items()])
+    cuts = sorted(set(c.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.002)))
+    c = c.withColumn("b_", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda k: k < F.col(value))) if cuts else F.lit(0))
+    before = Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    tot = c.groupBy("b_").agg(*[F.sum(k).alias(f"{k}_b") for k in counts])
+    base = tot.select("b_", *[F.coalesce(F.sum(f"{k}_b").over(before), F.lit(0)).alias(f"{k}_0") for k in counts])
+    inside = Window.partitionBy("b_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return c.join(F.broadcast(base), "b_").select(value, *counts, *[(F.col(f"{k}_0") + F.sum(k).over(inside)).alias(f"{k}_to") for k in counts])
+
+
+def mann_whitney(df: DataFrame, value: str, first: Column, least: int = 10) -> DataFrame:
+    """One row: n1, n2, u (of the first group), z (two-sided, ties and continuity corrected), significant at 5 %. z and significant are null unless both groups have more than `least` rows."""
+    c = running_counts(df, value, {"a": F.count(F.when(first, 1)), "b": F.count(F.when(~first, 1))})
+    t = F.col("a") + F.col("b")
+    mid = F.col("a_to") + F.col("b_to") - (t - 1) / 2
+    s = c.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * mid).alias("r1"), F.sum(F.pow(t.cast("double"), F.lit(3.0)) - t).alias("ties"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
+    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
+    z = F.when((n1 > least) & (n2 > least), (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / F.nullif(sd, F.lit(0.0)))
+    return s.select("n1", "n2", u.alias("u"), z.alias("z"), (z > 1.959963984540054).alias("significant"))
+
+
+def pooled_widths(scores: DataFrame, score: str, levels: list[float]) -> DataFrame:
+    """As `conformal_widths` over all rows together, from running counts of the distinct scores."""
+    c = running_counts(scores, score, {"n": F.count("*")})
+    n = c.agg(F.sum("n").alias("all_"))
+    at = n.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    q = F.least(F.lit(1.0), F.ceil((F.col("all_") + 1) * F.col("level")) / F.col("all_"))
+    want = at.withColumn("want_", F.ceil(q * (F.col("all_") - 1)) + 1)  # a row for each level
+    return c.join(F.broadcast(want), (F.col("n_to") >= F.col("want_")) & (F.col("n_to") - F.col("n") < F.col("want_"))).select("level", F.col(score).alias("q"))
+
+
+def pinball(y: Column, q: Column, alpha: Column | float) -> Column:
+    a = F.lit(alpha) if isinstance(alpha, float) else alpha
+    return F.when(y < q, (1 - a) * (q - y)).otherwise(a * (y - q))
+
+
+def crps_term(y: Column, q: Column, alpha: float) -> Column:
+    """A quantile's share of the score; its mean over rows and levels is the ranked probability score as the reports give it."""
+    return (2 * alpha - 1) * (y - q) + 2 * pinball(y, q, alpha)
