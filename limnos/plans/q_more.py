@@ -118,7 +118,7 @@ _NOMINAL = {0.5: (0.25, 0.75), 0.8: (0.1, 0.9), 0.9: (0.05, 0.95), 0.95: (0.025,
 _ALPHAS = [0.025, 0.05, 0.1, 0.25, 0.75, 0.9, 0.95, 0.975]
 
 
-@query("""WITH c AS (SELECT *, CAST(tp // 40 AS INT) AS cls FROM $samples), t AS (SELECT cls, unnest([CAST(0.025 AS DOUBLE), 0.05, 0.1, 0.25, 0.75, 0.9, 0.95, 0.975]) AS a, unnest(quantile_cont(v, [0.025, 0.05, 0.1, 0.25, 0.75, 0.9, 0.95, 0.975])) AS q FROM c WHERE station_id % 2 = 0 GROUP BY cls),
+@query("""WITH c AS (SELECT *, CAST(floor(tp / 40) AS INT) AS cls FROM $samples), t AS (SELECT cls, unnest([CAST(0.025 AS DOUBLE), 0.05, 0.1, 0.25, 0.75, 0.9, 0.95, 0.975]) AS a, unnest(quantile_cont(v, [0.025, 0.05, 0.1, 0.25, 0.75, 0.9, 0.95, 0.975])) AS q FROM c WHERE station_id % 2 = 0 GROUP BY cls),
 w AS (SELECT cls, quantile_cont(v, 0.975) - quantile_cont(v, 0.025) AS rng, count(*) AS n FROM c WHERE station_id % 2 = 1 GROUP BY 1),
 k AS (SELECT c.cls, avg((2 * a - 1) * (v - q) + 2 * CASE WHEN v < q THEN (1 - a) * (q - v) ELSE a * (v - q) END) AS crps FROM c JOIN t ON c.cls = t.cls WHERE station_id % 2 = 1 GROUP BY 1),
 i AS (SELECT c.cls, b.nominal, avg(CASE WHEN v >= lo.q AND v <= hi.q THEN 1.0 ELSE 0 END) AS picp, avg(hi.q - lo.q) AS sharp, avg(hi.q - lo.q + 2 / (1 - b.nominal) * (greatest(lo.q - v, 0) + greatest(v - hi.q, 0))) AS wink FROM c, (VALUES (CAST(0.5 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.75 AS DOUBLE)), (0.8, 0.1, 0.9), (0.9, 0.05, 0.95), (0.95, 0.025, 0.975)) b(nominal, la, ha), t lo, t hi WHERE lo.cls = c.cls AND hi.cls = c.cls AND lo.a = la AND hi.a = ha AND station_id % 2 = 1 GROUP BY 1, 2)
