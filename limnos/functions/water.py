@@ -148,3 +148,33 @@ def any_flag(*flags: Column) -> Column:
 def row_score(weather: Column, satellite: Column) -> Column:
     """3: both, 2: weather only, 1: satellite only, 0: none."""
     return F.when(weather & satellite, 3).when(weather, 2).when(satellite, 1).otherwise(0)
+
+
+def water_type(blue: Column, red: Column, nir: Column, chla: Column) -> Column:
+    """1 clear, 2 humic, 3 turbid (also by default), 4 eutrophic."""
+    r = blue / clip(red, 1e-9)
+    return F.when(chla > 20, 4).when(nir > 0.02, 3).when(r < 0.8, 2).when((r > 2) & (nir < 0.005), 1).otherwise(3)
+
+
+def wind_speed(u: Column, v: Column) -> Column:
+    return F.hypot(u, v)
+
+
+def expected_phosphorus(retention_years: Column) -> Column:
+    return 15 * F.pow(retention_years, F.lit(0.3))
+
+
+def column_slug(number: Column, title: Column) -> Column:
+    """p{number}_{title up to the first colon}, lower case, other signs as one underscore, 40 characters of it at most."""
+    s = F.regexp_replace(F.lower(F.trim(F.split_part(title, F.lit(":"), F.lit(1)))), "[^a-z0-9]+", "_")
+    return F.concat(F.lit("p"), number.cast("string"), F.lit("_"), F.substring(F.regexp_replace(s, "^_+|_+$", ""), 1, 40))
+
+
+def first_place(*cols: Column) -> Column:
+    """The first that is neither null nor 0."""
+    return F.coalesce(*[F.nullif(c, F.lit(0.0)) for c in cols])
+
+
+def scene_date(ts: Column, index: Column) -> Column:
+    """The day of a time stamp, else of a scene's index: yyyy_MM_dd in its first ten characters, or its last eight as yyyyMMdd."""
+    return F.coalesce(F.to_date(ts), F.to_date(F.try_to_timestamp(F.substring(index, 1, 10), F.lit("yyyy_MM_dd"))), F.to_date(F.try_to_timestamp(F.substring(index, -8, 8), F.lit("yyyyMMdd"))))

@@ -14,19 +14,26 @@ from pyspark.sql import functions as F
 from . import stats
 
 
-def regressor(kind: str, label: str, alpha: float = 1.0, n: int = 1, trees: int = 300, seed: int = 42):
-    """ridge (penalty alpha on n rows), forest or boosted."""
+def _penalty(train: DataFrame, label: str, alpha: float) -> float:
+    """Spark's parameter for a penalty alpha on the sum of squares: it averages over rows, and divides by the label's deviation."""
+    r = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    return alpha * (r.sd or 0.0) / max(r.n, 1)
+
+
+def regressor(kind: str, label: str, penalty: float = 0.0, trees: int = 300, seed: int = 42):
+    """ridge (see `_penalty`), forest or boosted."""
     if kind == "ridge":
-        return LinearRegression(labelCol=label, featuresCol="features_", regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False)
+        return LinearRegression(labelCol=label, featuresCol="features_", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
     if kind == "forest":
         return RandomForestRegressor(labelCol=label, featuresCol="features_", numTrees=trees, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
     return GBTRegressor(labelCol=label, featuresCol="features_", maxIter=trees, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=seed)
 
 
-def fit(train: DataFrame, features: list[str], label: str, kind: str, **opts):
+def fit(train: DataFrame, features: list[str], label: str, kind: str, alpha: float = 1.0, **opts):
     """A pipeline on rows with a label: medians for missing features, standardised for ridge."""
     train = train.where(F.col(label).isNotNull())
-    opts.setdefault("n", train.count() if kind == "ridge" else 1)
+    if kind == "ridge":
+        opts["penalty"] = _penalty(train, label, alpha)
     filled = [f"{c}_filled" for c in features]
     steps = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw_" if kind == "ridge" else "features_")]
     if kind == "ridge":
@@ -77,11 +84,11 @@ def fourier_features(df: DataFrame, features: list[str], dims: int = 2048, gamma
 
 
 def fourier_ridge(df: DataFrame, features: list[str], label: str, fold: str, alpha: float = 1.0, folds: int = 5, **opts) -> DataFrame:
-    """As `out_of_fold` with ridge on Fourier features."""
+    """As `out_of_fold` with ridge on Fourier features, 4096 at most (normal equations)."""
     d = fourier_features(df, features, **opts).withColumn("features_", array_to_vector("fourier")).where(F.col(label).isNotNull())
     out = None
     for k in range(folds):
         train = d.where(F.col(fold) != k)
-        p = regressor("ridge", label, alpha, train.count()).fit(train).transform(d.where(F.col(fold) == k)).select(*df.columns, "prediction")
+        p = regressor("ridge", label, _penalty(train, label, alpha)).fit(train).transform(d.where(F.col(fold) == k)).select(*df.columns, "prediction")
         out = p if out is None else out.unionByName(p)
     return out

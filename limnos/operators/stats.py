@@ -89,3 +89,26 @@ def pinball(y: Column, q: Column, alpha: Column | float) -> Column:
 def crps_term(y: Column, q: Column, alpha: float) -> Column:
     """A quantile's share of the score; its mean over rows and levels is the ranked probability score as the reports give it."""
     return (2 * alpha - 1) * (y - q) + 2 * pinball(y, q, alpha)
+
+
+def hashed(key: str, seed: int) -> Column:
+    """A number of 52 bits from a seed and a key, the same on every run."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("long")
+
+
+def group_split(df: DataFrame, group: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
+    """split of each group: the first int(n train) groups in hashed order train, the next int(n val) val, the rest test; a null group trains."""
+    g = df.select(group).distinct().where(F.col(group).isNotNull()).withColumn("h_", hashed(group, seed))
+    c = running_counts(g, "h_", {"n": F.count("*")})
+    n = c.agg(F.sum("n").alias("all_"))
+    at = c.join(F.broadcast(n), F.lit(True))  # one row
+    a, b = F.floor(F.col("all_") * train), F.floor(F.col("all_") * val)
+    at = at.withColumn("split", F.when(F.col("n_to") <= a, "train").when(F.col("n_to") <= a + b, "val").otherwise("test"))
+    out = g.join(at.select("h_", "split"), "h_").select(group, "split")
+    return df.join(out, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def cap_per_group(df: DataFrame, group: str, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most `most` rows a group in hashed order: a sampling operator."""
+    w = Window.partitionBy(group).orderBy(hashed(key, seed), key)
+    return df.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= most).drop("r_")
