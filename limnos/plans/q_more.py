@@ -215,7 +215,7 @@ def so1_dense_ids(spark, d):
 
 @query("""SELECT station_id, n FROM (SELECT station_id, count(*) AS n FROM $samples GROUP BY 1) ORDER BY n DESC, station_id LIMIT 10""")
 def so3_head_stations(spark, d):
-    """SO-2, SO-3: the head of an order, as the pilot report asks for."""
+    """SO-3: the head of an order, as the pilot report asks for."""
     return samples(spark, d).groupBy("station_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "station_id").limit(10)
 
 
@@ -258,7 +258,7 @@ def gr8_trend(spark, d):
 @query("""WITH s AS (SELECT station_id, sensor, count(*) AS n FROM $obs GROUP BY 1, 2), w AS (SELECT station_id, max(n) FILTER (sensor = 'A') AS a, max(n) FILTER (sensor = 'N') AS b FROM s WHERE NOT (sensor = 'A' AND station_id % 5 = 0) GROUP BY 1)
 SELECT station_id, coalesce(a, b, 0) AS n, CASE WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' ELSE 'constant' END AS origin FROM w""")
 def ev12_report_lookup(spark, d):
-    """EV-12, EV-13, EV-15: excluded results go (left anti), families are pivoted, the first family with a value wins, a constant last."""
+    """EV-12, EV-15: excluded results go (left anti), families are pivoted, the first family with a value wins, a constant last."""
     s = obs(spark, d).groupBy("station_id", "sensor").agg(F.count("*").alias("n"))
     out = s.select("station_id").distinct().where("station_id % 5 = 0").withColumn("sensor", F.lit("A"))
     w = s.join(out, ["station_id", "sensor"], "left_anti").groupBy("station_id").pivot("sensor", ["A", "N"]).agg(F.max("n"))

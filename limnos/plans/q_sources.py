@@ -52,7 +52,7 @@ def sp2_group_split(spark, d):
 
 @query("""SELECT * EXCLUDE r FROM (SELECT sample_id, year(date) AS yr, row_number() OVER (PARTITION BY year(date) ORDER BY CAST('0x' || substr(md5('42:' || sample_id), 1, 13) AS BIGINT), sample_id) AS r FROM $samples) WHERE r <= 100""")
 def so5_cap_rows(spark, d):
-    """SO-4, SO-5: a seeded sample of at most 100 rows a year; the sampling is the feature."""
+    """SO-5: a seeded sample of at most 100 rows a year; the sampling is the feature."""
     return stats.cap_per_group(samples(spark, d).select("sample_id", F.year("date").cast("long").alias("yr")), "yr", "sample_id", 100)
 
 
@@ -90,7 +90,7 @@ def fna3_cell_windows(spark, d):
 @query("""WITH k AS (SELECT DISTINCT station_id FROM $daily), days AS (SELECT station_id, CAST(g AS DATE) AS obs_date FROM k, generate_series(DATE '1996-01-01', DATE '1996-03-31', INTERVAL 1 DAY) t(g))
 SELECT days.station_id, days.obs_date, coalesce(q, 0) AS q, CAST(q IS NOT NULL AS INT) AS mask FROM days LEFT JOIN daily ON days.station_id = daily.station_id AND days.obs_date = daily.obs_date""")
 def fna4_calendar(spark, d):
-    """FN-A4, WN-7: series on a full calendar with a mask."""
+    """FN-A4: series on a full calendar with a mask."""
     return arrays.on_calendar(daily(spark, d), "station_id", "obs_date", "q", "1996-01-01", "1996-03-31")
 
 
