@@ -87,11 +87,12 @@ def fna3_cell_windows(spark, d):
     return w.select("station_id", F.when(F.col("valid") > 0, total).alias("total"), "valid", F.size("patch").alias("size"))
 
 
-@query("""WITH k AS (SELECT DISTINCT station_id FROM $daily), days AS (SELECT station_id, CAST(g AS DATE) AS obs_date FROM k, generate_series(DATE '1996-01-01', DATE '1996-03-31', INTERVAL 1 DAY) t(g))
-SELECT days.station_id, days.obs_date, coalesce(q, 0) AS q, CAST(q IS NOT NULL AS INT) AS mask FROM days LEFT JOIN daily ON days.station_id = daily.station_id AND days.obs_date = daily.obs_date""")
+@query("""WITH k AS (SELECT DISTINCT station_id FROM $daily), days AS (SELECT station_id, CAST(g AS DATE) AS obs_date FROM k, generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) t(g))
+SELECT days.station_id, CAST(date_trunc('month', days.obs_date) AS DATE) AS month, count(*) AS days, count(q) AS known, coalesce(sum(q), 0) AS q FROM days LEFT JOIN daily ON days.station_id = daily.station_id AND days.obs_date = daily.obs_date GROUP BY 1, 2""")
 def fna4_calendar(spark, d):
-    """FN-A4: series on a full calendar with a mask."""
-    return arrays.on_calendar(daily(spark, d), "station_id", "obs_date", "q", "1996-01-01", "1996-03-31")
+    """FN-A4: series on a full calendar with a mask, summed by month."""
+    c = arrays.on_calendar(daily(spark, d), "station_id", "obs_date", "q", "1995-01-01", "2001-12-31")
+    return c.groupBy("station_id", F.trunc("obs_date", "month").alias("month")).agg(F.count("*").alias("days"), F.sum("mask").alias("known"), F.sum("q").alias("q"))
 
 
 @query("""WITH p AS (SELECT sensor, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi, max(price) AS top FROM $obs GROUP BY 1)
