@@ -178,3 +178,38 @@ def first_place(*cols: Column) -> Column:
 def scene_date(ts: Column, index: Column) -> Column:
     """The day of a time stamp, else of a scene's index: yyyy_MM_dd in its first ten characters, or its last eight as yyyyMMdd."""
     return F.coalesce(F.to_date(ts), F.to_date(F.try_to_timestamp(F.substring(index, 1, 10), F.lit("yyyy_MM_dd"))), F.to_date(F.try_to_timestamp(F.substring(index, -8, 8), F.lit("yyyyMMdd"))))
+
+
+def known(x: Column) -> Column:
+    """NaN to null."""
+    return F.when(~F.isnan(x), x)
+
+
+def attenuation_secchi(kd490: Column) -> Column:
+    """Depth from attenuation at 490 nm, 0.1 to 40; null where it is not positive."""
+    return F.when(known(kd490) > 0, clip(1.7 / kd490, 0.1, 40.0))
+
+
+def matter_turbidity(tsm: Column) -> Column:
+    return known(tsm) * 0.8
+
+
+def product_chla(network: Column, ratio_based: Column) -> Column:
+    """The network's value, else the band ratio's."""
+    return F.coalesce(known(network), known(ratio_based))
+
+
+def product_cdom(rw443: Column, rw560: Column) -> Column:
+    return clip(-0.5 * F.ln(clip(known(rw443), 1e-9) / clip(known(rw560), 1e-9)), 0.0, 20.0)
+
+
+def fixed_decimals(x: Column, digits: int) -> Column:
+    """A number with fixed decimals, --- where it is null or not finite."""
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(bad, "---").otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def place_in(x: Column, order: list[str]) -> Column:
+    """Place of a category in a list, from 1; unknown ones come last."""
+    at = F.array_position(F.array(*[F.lit(v) for v in order]), x)
+    return F.when(at > 0, at).otherwise(len(order) + 1)

@@ -92,3 +92,14 @@ def fourier_ridge(df: DataFrame, features: list[str], label: str, fold: str, alp
         p = regressor("ridge", label, _penalty(train, label, alpha)).fit(train).transform(d.where(F.col(fold) == k)).select(*df.columns, "prediction")
         out = p if out is None else out.unionByName(p)
     return out
+
+
+def patch_boosted(df: DataFrame, patch: str, label: str, fold: str, folds: int = 5, **opts) -> DataFrame:
+    """As `out_of_fold` with boosted trees on the flattened patch, an array of numbers; null and NaN entries count as 0, rows with a null patch or label go."""
+    d = df.where(F.col(patch).isNotNull() & F.col(label).isNotNull())
+    d = d.withColumn("features_", array_to_vector(F.transform(patch, lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)))))
+    parts = [regressor("boosted", label, **opts).fit(d.where(F.col(fold) != k)).transform(d.where(F.col(fold) == k)).select(*df.columns, "prediction") for k in range(folds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

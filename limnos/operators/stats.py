@@ -112,3 +112,8 @@ def cap_per_group(df: DataFrame, group: str, key: str, most: int, seed: int = 42
     """At most `most` rows a group in hashed order: a sampling operator."""
     w = Window.partitionBy(group).orderBy(hashed(key, seed), key)
     return df.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= most).drop("r_")
+
+
+def seeded_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most `most` rows, the first in hashed order of a unique key: a sampling operator. Each task keeps its own first ones before the merge."""
+    return df.orderBy(hashed(key, seed), key).limit(most)

@@ -76,3 +76,40 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by an explicit order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+
+
+def last_days(samples: DataFrame, daily: DataFrame, key: str, sample: list[str], value: str, days: int) -> DataFrame:
+    """`days` entries for each sample, the oldest first: the values of its key on the days strictly before its date, null where there is none. (key, obs_date) is unique in daily.
+
+    Daily rows are gathered by blocks of `days` days, so that a sample meets at most two blocks, not `days` rows. Samples with a null date or key have only nulls."""
+    block = daily.where(F.col(key).isNotNull() & F.col("obs_date").isNotNull()).select(key, _day("obs_date").alias("n_"), F.col(value).alias("v_"))
+    block = block.groupBy(key, F.floor(F.col("n_") / days).alias("block_")).agg(F.collect_list(F.struct("n_", "v_")).alias("e_"))
+    s = samples.select(*sample, key, _day("date").alias("d_"))
+    first, last = F.floor((F.col("d_") - days) / days), F.floor((F.col("d_") - 1) / days)
+    met = s.withColumn("block_", F.explode_outer(F.array_distinct(F.array(first, last)))).join(block, [key, "block_"], "left")
+    got = met.groupBy(*sample, "d_").agg(F.map_from_entries(F.flatten(F.collect_list("e_"))).alias("m_"))
+    back = F.sequence(F.lit(-days), F.lit(-1))
+    return got.select(*sample, F.transform(back, lambda k: F.try_element_at("m_", F.col("d_") + k)).alias("last"))
+
+
+def neighbour_windows(samples: DataFrame, near: DataFrame, daily: DataFrame, key: str, sample: str, value: str, days: int, k: int) -> DataFrame:
+    """For each sample the antecedent windows of its own key and of its k neighbours: `seq`, an array of k + 1 arrays of `days` values, 0 where there is none or fewer neighbours; `has` is 1 if the own window has a value. near: key, other, rank from 1."""
+    own = samples.select(F.col(key).alias("own_"), sample, "date")
+    nodes = near.where(F.col("rank") <= k).select(F.col(key).alias("own_"), F.col("other").alias(key), "rank")
+    self_ = own.withColumn(key, F.col("own_")).withColumn("rank", F.lit(0))
+    rows = self_.select(sample, "date", key, "rank").unionByName(own.join(nodes, "own_").select(sample, "date", key, "rank"))
+    w = last_days(rows, daily, key, [sample, "rank"], value, days)
+    w = w.select(sample, "rank", F.transform("last", lambda x: F.coalesce(x, F.lit(0.0))).alias("s_"), F.exists("last", lambda x: x.isNotNull()).cast("int").alias("h_"))
+    g = w.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("rank", "s_"))).alias("m_"), F.max(F.when(F.col("rank") == 0, F.col("h_"))).alias("has"))
+    none = F.array_repeat(F.lit(0.0), days)
+    return g.select(sample, F.transform(F.sequence(F.lit(0), F.lit(k)), lambda r: F.coalesce(F.try_element_at("m_", r), none)).alias("seq"), "has")
+
+
+def patch_windows(samples: DataFrame, patches: DataFrame, key: str, sample: str, days: int, size: int, zero: list[int] | None = None, channels: int = 1) -> DataFrame:
+    """For each sample the patches of the `days` days before it as `seq`, the oldest first: masked and non-finite entries are 0, as are all entries of the channels `zero`; days without a patch are all 0. patches: key, obs_date, patch, mask (arrays of `size`, channels innermost; mask entries of 0 hide)."""
+    bad = lambda x, m: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | m.isNull() | (m == 0)
+    clean = F.zip_with("patch", "mask", lambda x, m: F.when(bad(x, m), F.lit(0.0)).otherwise(x.cast("double")))
+    if zero:
+        clean = F.transform(clean, lambda x, i: F.when((i % channels).isin(zero), F.lit(0.0)).otherwise(x))
+    w = last_days(samples, patches.withColumn("clean_", clean), key, [sample], "clean_", days)
+    return w.select(sample, F.transform("last", lambda p: F.coalesce(p, F.array_repeat(F.lit(0.0), size))).alias("seq"), F.size(F.filter("last", lambda p: p.isNotNull())).alias("n_patches"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +82,9 @@ def with_metadata(df: DataFrame, about: dict[str, dict]) -> DataFrame:
 def write_dictionary(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:
     """A small dictionary (channels, variables) as JSON lines."""
     spark.createDataFrame([tuple(r.values()) for r in rows], schema).coalesce(1).write.mode("overwrite").json(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
