@@ -6,12 +6,13 @@ lexicon (which cells lie in the band) is a bitmap of half a megabyte whatever th
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_batches, materialize, words_of
@@ -136,19 +137,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def in_order(docs: DataFrame, id_col: str, per_range: int = 8_000) -> tuple[DataFrame, int]:
-    """(range, own, id, text) in ranges of about `per_range` ids, each with a copy (own = false) of the row that follows it in the order of ids.
+def _range_of(id_: Column, cuts: list[int]) -> Column:
+    """The number of cuts (ascending) that are not above the id; nulls lie behind all. Two steps of about sqrt(cuts) comparisons each."""
+    if not cuts:
+        return F.lit(0)
+    w = max(1, int(len(cuts) ** 0.5))
+    groups = F.from_json(F.lit(json.dumps([cuts[i : i + w] for i in range(0, len(cuts), w)])), "array<array<bigint>>")
+    ahead = F.size(F.filter(groups, lambda g: F.get(g, F.lit(0)) <= id_))
+    inside = F.size(F.filter(F.get(groups, ahead - 1), lambda c: c <= id_))
+    return F.when(id_.isNull(), len(cuts)).when(ahead == 0, 0).otherwise((ahead - 1) * w + inside)
 
-    Ranges are bounded by quantiles of the ids. Only the ranges' first ids reach the driver. Null ids are in one order with the others, last; texts break ties."""
+
+def in_order(docs: DataFrame, id_col: str, per_range: int = 8_000, most_ranges: int = 16_384) -> tuple[DataFrame, int]:
+    """(range, own, id, text) in ranges of about `per_range` ids, larger ones where that took over `most_ranges`, each with a copy (own = false) of the row that follows it in the order of ids.
+
+    Ranges are bounded by quantiles of the ids; a range streams through its task in order, whatever its size. Only the ranges' first ids reach the driver. Null ids are in one order with the others, last; texts break ties."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
-    parts = max(1, -(-n // per_range))
+    parts = min(max(1, -(-n // per_range)), most_ranges)
     cuts = sorted(set(rows.stat.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    edges = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else None
-    # the number of cuts that are not above the id; nulls behind all
-    at = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("id"))) if cuts else F.lit(0)).cast("int")
-    rows = rows.withColumn("range", at)
+    rows = rows.withColumn("range", _range_of(F.col("id").cast("long"), [int(c) for c in cuts]).cast("int"))
     order = F.struct(F.col("id").isNull().alias("late"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
     firsts = sorted((r["range"], r["f"]) for r in rows.groupBy("range").agg(F.min(order).alias("f")).collect())  # a row for each range
     previous = spark.createDataFrame([(r, firsts[i - 1][0], f["late"], f["id"], f["tie"]) for i, (r, f) in enumerate(firsts)] or [], "range int, before int, late boolean, first long, tie long")
@@ -157,13 +166,13 @@ def in_order(docs: DataFrame, id_col: str, per_range: int = 8_000) -> tuple[Data
     return rows.select("range", F.lit(True).alias("own"), "id", "text").unionByName(border), parts
 
 
-def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
+def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: Lexicon | None = None, per_range: int = 8_000) -> DataFrame:
     """Fingerprints every whole text, its edited text (the last quarter replaced by the start of the next document's, after the last comes
     the first) and compares both with its own: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty ones. Of repeated ids the order is that of a hash of their texts; null ids come last. An only document follows itself."""
     lexicon = lexicon or fit_lexicon(docs, text_col)
-    rows, parts = in_order(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    rows, parts = in_order(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", per_range)
     rows = rows.repartitionById(parts, F.col("range")).sortWithinPartitions("range", F.desc("own"), F.col("id").asc_nulls_last(), F.xxhash64("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
