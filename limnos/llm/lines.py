@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 
 def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,22 +96,23 @@ def _kept(text: Column, spans: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i)))), "\n")
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """The rows of docs with their spans (null: none) as column lost_spans.
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, str]:
+    """The rows of docs with their spans (null: none) as one more column, and its name.
 
     Equal rows share a key. Where a key has several rows, they are numbered and each takes one of the key's lists; the rows left over lose nothing."""
+    lost_id, lost_own, lists, flag, spans, nth_ = free_names(docs, "lost_id", "lost_own", "lists", "several", "spans", "nth")
     got = materialize(deleted_lines(docs, id_col, text_col, least), "lines-lost")
     own = F.xxhash64(text_col)
     rows = docs.groupBy(F.col(id_col).alias("id"), own.alias("own")).agg(F.count("*").alias("rows"))
     several = rows.where("rows > 1")
     some = got.groupBy("id", "own").agg(F.sort_array(F.collect_list(F.struct("first", "spans"))).alias("lists"))
     twice = several.select(F.col("id").alias("i"), F.col("own").alias("o"), F.lit(True).alias("several"))
-    some = some.join(twice, F.col("id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o")), "left").select(F.col("id").alias("lost_id"), F.col("own").alias("lost_own"), "lists", "several")
-    met = docs.join(some.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("lost_id")) & (own == F.col("lost_own")), "left")
-    once = met.where(F.col("several").isNull()).withColumn("lost_spans", F.get("lists", F.lit(0))["spans"])
-    nth = F.row_number().over(Window.partitionBy(id_col, "lost_own").orderBy("lost_own")) - 1
-    more = met.where(F.col("several")).withColumn("nth", nth).withColumn("lost_spans", F.get("lists", F.col("nth"))["spans"]).drop("nth")
-    return once.unionByName(more).drop("lost_id", "lost_own", "lists", "several")
+    some = some.join(twice, F.col("id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o")), "left").select(F.col("id").alias(lost_id), F.col("own").alias(lost_own), F.col("lists").alias(lists), F.col("several").alias(flag))
+    met = docs.join(some.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(lost_id)) & (own == F.col(lost_own)), "left")
+    once = met.where(F.col(flag).isNull()).withColumn(spans, F.get(lists, F.lit(0))["spans"])
+    nth = F.row_number().over(Window.partitionBy(id_col, lost_own).orderBy(lost_own)) - 1
+    more = met.where(F.col(flag)).withColumn(nth_, nth).withColumn(spans, F.get(lists, F.col(nth_))["spans"]).drop(nth_)
+    return once.unionByName(more).drop(lost_id, lost_own, lists, flag), spans
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
@@ -119,13 +120,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what lies between line feeds; a null text has one empty line and stays null, as one line is no run of two (for least = 1 it may become empty). No document goes:
     one that is a copy as a whole keeps its row with an empty text. Of equal rows (same id, same text) the first keeps its lines. All columns stay."""
-    rows = _with_spans(docs, id_col, text_col, least)
-    return rows.withColumn(text_col, F.when(F.col("lost_spans").isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col("lost_spans")))).select(*docs.columns)
+    rows, spans = _with_spans(docs, id_col, text_col, least)
+    return rows.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col(spans)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the lines that stay, joined by line feeds) for every document."""
-    rows = _with_spans(docs.select("doc_id", "text"), "doc_id", "text", least)
+    rows, spans = _with_spans(docs.select("doc_id", "text"), "doc_id", "text", least)
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    kept = F.when(F.col("lost_spans").isNull(), F.coalesce("text", F.lit(""))).otherwise(_kept(F.col("text"), F.col("lost_spans")))
-    return rows.select("doc_id", n.alias("n_lines"), F.coalesce(_removed(F.col("lost_spans")), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    kept = F.when(F.col(spans).isNull(), F.coalesce("text", F.lit(""))).otherwise(_kept(F.col("text"), F.col(spans)))
+    return rows.select("doc_id", n.alias("n_lines"), F.coalesce(_removed(F.col(spans)), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, free_names, materialize
 
 #: Weights of sources by code point, null last, repeating (fixed by the contract).
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -144,21 +144,17 @@ def mix_report(docs: DataFrame) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them, all columns: none, one or two rows of each.
-
-    Documents with equal id, source and size are told apart by nothing that matters to the mix: their copies are dealt out in the order of their texts."""
-    got = mix_sources(docs, **options)
-    key = ["doc_id", "source", "size"]
-    per = got.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    rows = docs.withColumn("size", text_size(F.col("text"))).alias("d").join(per.alias("m"), (F.col("d.size") == F.col("m.size")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
-    rows = rows.select("d.*", "m.copies", "m.rows").drop("size")
-    each = F.floor(F.col("copies") / F.col("rows"))
-    same = rows.where(F.col("copies") % F.col("rows") == 0).withColumn("n", each)
-    from pyspark.sql import Window
-
-    odd = rows.where(F.col("copies") % F.col("rows") != 0)
-    w = Window.partitionBy("doc_id", "source", F.length("text")).orderBy(F.xxhash64("text"))
-    odd = odd.withColumn("n", each + (F.row_number().over(w) <= F.col("copies") % F.col("rows")).cast("long"))
-    out = same.unionByName(odd)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1))))).where(F.col("n") > 0).select(*docs.columns)
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents as the mix takes them, all columns and no others: none, one or two rows of each. Columns of any name may be there.
+
+    Documents with equal id, source and size are told apart by nothing that matters to the mix: their copies are dealt out in the order of a hash of their texts."""
+    size, copies, rows, n, i, s, z = free_names(docs, "size", "copies", "rows", "n", "mix_id", "mix_source", "mix_size")
+    got = mix_sources(docs, id_col, text_col, source_col, **options)
+    per = got.groupBy(F.col(id_col).alias(i), F.col(source_col).alias(s), F.col("size").alias(z)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    met = docs.withColumn(size, text_size(F.col(text_col))).join(per, (F.col(size) == F.col(z)) & F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)))
+    each, over = F.floor(F.col(copies) / F.col(rows)), F.col(copies) % F.col(rows)
+    same = met.where(over == 0).withColumn(n, each)
+    w = Window.partitionBy(id_col, source_col, size).orderBy(F.xxhash64(text_col))
+    odd = met.where(over != 0).withColumn(n, each + (F.row_number().over(w) <= over).cast("long"))
+    out = same.unionByName(odd).where(F.col(n) > 0)
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
