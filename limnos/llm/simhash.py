@@ -272,9 +272,16 @@ def near_report(docs: DataFrame) -> DataFrame:
     return near_classes(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def keep_firsts(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the least `first` (late, id, own) of their `root` in named; of equal rows, one."""
+    kept_id, kept_own = free_names(docs, "kept_id", "kept_own")
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias(kept_id), F.col("first.own").alias(kept_own))
+    met = docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.xxhash64(text_col) == F.col(kept_own)), "left_semi")
+    return met.withColumn(kept_own, F.xxhash64(text_col)).dropDuplicates([id_col, kept_own]).drop(kept_own)
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
     """One document of each group of near-duplicates, all columns: that with the smallest id (nulls last), then the least hash of its text; of equal rows, one. Documents that are alone stay."""
-    kept_id, kept_own = free_names(docs, "kept_id", "kept_own")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
 
@@ -283,6 +290,4 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     marks = materialize(map_batches(rows, step, f"id {kind}, own long, fp long"), "simhash")
     firsts = marks.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "own")).alias("first"))
-    kept = class_roots(marks, threshold).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias(kept_id), F.col("first.own").alias(kept_own))
-    met = docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.xxhash64(text_col) == F.col(kept_own)), "left_semi")
-    return met.withColumn(kept_own, F.xxhash64(text_col)).dropDuplicates([id_col, kept_own]).drop(kept_own)
+    return keep_firsts(docs, class_roots(marks, threshold).join(firsts, "fp"), id_col, text_col)
