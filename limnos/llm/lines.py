@@ -11,13 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize
+from .common import WORD_PATTERN, free_names, materialize
 
 
-def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, own (hash of the text), ids (two 64-bit hashes of each line, as one array of pairs), n, and first: the place of its first line in the order of (id, own), nulls last."""
+def line_ids(docs: DataFrame, id_col: str, text_col: str, words: int | None = None) -> DataFrame:
+    """One row per document: id, own (hash of the text), ids (two 64-bit hashes of each line, as one array of pairs), n, and first: the place of its first line in the order of (id, own), nulls last.
+
+    With `words` each pair has `alone` too: whether the line counts as a run by itself, as it has so many words or is the whole text and has one."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\\n", -1)
-    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit("line")).alias("g")))
+    found = lambda x: F.regexp_count(x, F.lit(WORD_PATTERN))
+    alone = lambda x: F.when(~F.contains(F.col(text_col), F.lit("\n")), found(x) > 0).when(F.length(x) >= 2 * words - 1, found(x) >= words).otherwise(False)
+    more = lambda x: [] if words is None else [alone(x).alias("alone")]
+    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit("line")).alias("g"), *more(x)))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), ids.alias("ids"))
     rows = rows.withColumn("n", F.size("ids")).repartitionByRange(F.col("id").asc_nulls_last(), "own")
     rows = materialize(rows.withColumn("part", F.spark_partition_id()), "line-ids")
@@ -40,16 +45,20 @@ def _step(level: DataFrame, on: int) -> DataFrame:
     return level.where(F.col("left") > on).withColumnRenamed("name", "now").join(later, "place")
 
 
-def repeated_runs(placed: DataFrame, least: int) -> DataFrame:
-    """(start, length, source): maximal runs of at least `least` lines, from place `start`, that occur from place `source` on, which is earlier; within documents."""
+def repeated_runs(placed: DataFrame, least: int, words: int | None = None) -> DataFrame:
+    """(start, length, source): maximal runs of at least `least` lines, from place `start`, that occur from place `source` on, which is earlier; within documents. With `words`, also single lines that count alone."""
     single = placed.select("first", "n", F.posexplode("ids").alias("at", "h")).select((F.col("first") + F.col("at")).alias("place"), "h", (F.col("n") - F.col("at")).alias("left"))
     levels = [materialize(_classes(single.select("place", F.col("h.h").alias("h"), F.col("h.g").alias("g"), "left"), ["h", "g"]), "lines-0")]
+    lone = placed.sparkSession.createDataFrame([], "start long, length long, source long")
+    if words is not None:
+        by_itself = placed.select("first", F.posexplode("ids").alias("at", "h")).where("h.alone").select((F.col("first") + F.col("at")).alias("place"))
+        lone = levels[0].where(F.col("name") < F.col("place")).join(by_itself, "place").select(F.col("place").alias("start"), F.lit(1).cast("long").alias("length"), F.col("name").alias("source"))
     while not levels[-1].isEmpty():
         levels.append(materialize(_classes(_step(levels[-1], 1 << len(levels) - 1), ["now", "then"]), f"lines-{len(levels)}"))
     levels.pop()
     k = least.bit_length() - 1
     if len(levels) <= k:
-        return placed.sparkSession.createDataFrame([], "start long, length long, source long")
+        return lone
     # classes of exactly `least` lines: two windows of 2^k, overlapping
     exact = levels[k] if least == 1 << k else _classes(_step(levels[k], least - (1 << k)), ["now", "then"])
     copies = exact.where(F.col("name") < F.col("place")).select("place", "name", "left")
@@ -63,13 +72,13 @@ def repeated_runs(placed: DataFrame, least: int) -> DataFrame:
         b = levels[j].select(F.col("place").alias("pb"), F.col("name").alias("nb"))
         met = runs.join(a, F.col("start") + F.col("length") == F.col("pa"), "left").join(b, F.col("source") + F.col("length") == F.col("pb"), "left")
         runs = met.select("start", "source", (F.col("length") + F.when(F.col("na") == F.col("nb"), 1 << j).otherwise(0)).alias("length"))
-    return runs
+    return runs if words is None else runs.unionByName(lone)
 
 
-def deleted_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+def deleted_lines(docs: DataFrame, id_col: str, text_col: str, least: int, words: int | None = None) -> DataFrame:
     """(id, own, first, spans): the documents that lose lines, with the sorted, disjoint spans (begin, end) of line numbers that repeats take from them."""
-    placed = materialize(line_ids(docs, id_col, text_col), "lines-placed")
-    runs = repeated_runs(placed, least)
+    placed = materialize(line_ids(docs, id_col, text_col, words), "lines-placed")
+    runs = repeated_runs(placed, least, words)
     # a run stays within a document: find it by its first place, in blocks of places
     width = 1 << 10
     per = placed.select("id", "own", "n", "first")
@@ -96,12 +105,12 @@ def _kept(text: Column, spans: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i)))), "\n")
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int, words: int | None = None) -> tuple[DataFrame, str]:
     """The rows of docs with their spans (null: none) as one more column, and its name.
 
     Equal rows share a key. Where a key has several rows, they are numbered and each takes one of the key's lists; the rows left over lose nothing."""
     lost_id, lost_own, lists, flag, spans, nth_ = free_names(docs, "lost_id", "lost_own", "lists", "several", "spans", "nth")
-    got = materialize(deleted_lines(docs, id_col, text_col, least), "lines-lost")
+    got = materialize(deleted_lines(docs, id_col, text_col, least, words), "lines-lost")
     own = F.xxhash64(text_col)
     rows = docs.groupBy(F.col(id_col).alias("id"), own.alias("own")).agg(F.count("*").alias("rows"))
     several = rows.where("rows > 1")
@@ -115,12 +124,13 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int) -> tupl
     return once.unionByName(more).drop(lost_id, lost_own, lists, flag), spans
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, words: int | None = None) -> DataFrame:
     """docs with `text_col` without the lines of later copies: those in a run of at least `least` lines that occurs at an earlier place (documents in the order of ids, nulls last; of repeated ids by a hash of the text; lines in order).
 
     Lines are what lies between line feeds; a null text has one empty line and stays null, as one line is no run of two (for least = 1 it may become empty). No document goes:
-    one that is a copy as a whole keeps its row with an empty text. Of equal rows (same id, same text) the first keeps its lines. All columns stay."""
-    rows, spans = _with_spans(docs, id_col, text_col, least)
+    one that is a copy as a whole keeps its row with an empty text. Of equal rows (same id, same text) the first keeps its lines. All columns stay.
+    With `words`, a single line that occurs earlier goes too if it has at least so many words, or if it is the whole text and not blank."""
+    rows, spans = _with_spans(docs, id_col, text_col, least, words)
     return rows.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col(spans)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
