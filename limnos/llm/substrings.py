@@ -1,17 +1,19 @@
 """Substring dedup by recompression.
 
-A document is a sequence of words, each named by a 64-bit hash. A recompression round names pairs: every word has a bit by its name, and a
-0-word before a 1-word is a pair with a name of its own; members of a run of one word have one bit and stay single. The rule looks at the two
-words only and names are hashes, so equal passages get equal symbols in every task, but for a symbol cut at either end. A second round names
-runs of three symbols. Of the second-round symbols inside a window of 13 words (at least four) the least name is the window's anchor:
-windows with equal words have equal anchors, and neighbouring windows mostly share one.
+A document is a sequence of words, named by a 64-bit hash. A round of recompression first names runs of one symbol (by symbol and length),
+then pairs: every symbol has a bit by its name, and a 0-symbol before a 1-symbol is a pair with a name of its own. Names are hashes of what
+they stand for, so they are the same in every task: equal passages get equal symbols in their interior. What a symbol looks at to be itself
+(its neighbours, to know where a run or a pair ends) are the words that settle it; a passage that holds these words has the symbol.
 
-Spark counts anchors over all documents. What holds an anchor that two documents share is compared exactly, window by window; the rest has no repeat."""
+Rounds are Spark jobs over all documents. Each finds the symbols of its level that two documents share, among those that a window still
+alive settles. A window of 13 words dies if it settles a symbol that only one document has. What is left after the last round is dealt
+out by a symbol that the window settles, and windows that meet are compared by 128 bits of hashes of their words."""
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,118 +21,138 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, materialize, words_of
+from .hashing import Powers, WordHasher, chunks, mix
 
 WINDOW = 13
-_PHRASE = 3
-#: Cells of the bitmap of shared anchors: 16 MB whatever the corpus. A full cell costs a comparison, never a result.
-_FILTER_BITS = 27
-#: An anchor with over this share of all anchor rows is dealt out over `_SALTS` groups first; there are at most 1 / share of them.
-_HOT_SHARE, _SALTS = 1 / 4096, 64
+#: Levels of recompression. Symbols of a third one reach over more words than a window settles, as a rule.
+LEVELS = 2
+#: Levels whose shared symbols are looked up, a Spark round each.
+ROUNDS = (1, 2)
 _LAST = (1 << 63) - 1
-#: Bytes of text that are worked on at once (a longer document on its own).
-_CHUNK = 2_000_000
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.full(n + 1, x, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
-                self.up[0] = self.down[0] = 1
-                np.cumprod(self.up, out=self.up)
-                np.cumprod(self.down, out=self.down)
-        return self.up[: n + 1], self.down[: n + 1]
-
-
-class Parser:
-    """Words, symbols and windows of a few documents at a time, in arrays."""
-
-    def __init__(self) -> None:
-        self.bytes_, self.words_ = Powers(_B1), Powers(_B2)
-        self.letter = mix(np.arange(1, 257, dtype=np.uint64))
-        self.space = np.zeros(256, bool)
-        self.space[[32, 9, 10, 11, 12, 13]] = True
-
-    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """By window of 13 words: index of its document, number of its first word there, its hash, its anchor (48 bits)."""
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        bounds = np.cumsum([len(t) + 1 for t in texts])
-        gap = self.space[data]
-        begin = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-        end = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        n = len(begin)
-        if n < WINDOW:
-            return none
-        doc = np.searchsorted(bounds, begin, side="right")
-        up, down = self.bytes_.of(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letter[data] * up[:-1], out=total[1:])
-        word = mix((total[end] - total[begin]) * down[begin])
-        del total
-        up, down = self.words_.of(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(word * up[:n], out=total[1:])
-        first = np.flatnonzero(doc[: n - WINDOW + 1] == doc[WINDOW - 1 :])
-        if not len(first):
-            return none
-        whole = mix((total[first + WINDOW] - total[first]) * down[first])
-        # pairs
-        bit = (mix(word ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(63)).astype(bool)
-        pair = np.zeros(n, bool)
-        pair[:-1] = ~bit[:-1] & bit[1:] & (doc[:-1] == doc[1:])
-        second = np.concatenate([[False], pair[:-1]])
-        at = np.flatnonzero(~second)
-        nxt = np.concatenate([word[1:], word[:1]])
-        name = np.where(pair, mix(word * np.uint64(3) + mix(nxt)), word)[at]
-        # second round: three symbols
-        phrase = np.full(len(at), 2**64 - 1, np.uint64)
-        k = len(at) - _PHRASE + 1
-        if k > 0:
-            phrase[:k] = mix(name[:k] * np.uint64(5) + mix(name[1 : k + 1] * np.uint64(7) + mix(name[2 : k + 2])))
-        # first and last symbol that a window settles by itself: pairs inside it, single words not at its ends
-        number = np.cumsum(~second) - 1
-        low = np.where(pair[first], number[first], number[first + 1] + second[first + 1])
-        tail = first + WINDOW - 1
-        high = np.where(second[tail], number[tail], number[tail - 1] - (pair[tail - 1] & ~second[tail - 1]))
-        # a single word before the last: its symbol is complete; a pair that starts there is the one that ends with the last
-        four = phrase.copy()
-        for s in (1, 2):
-            four[:-s] = np.minimum(four[:-s], four[s:])
-        eight = four.copy()
-        eight[:-4] = np.minimum(eight[:-4], four[4:])
-        count = high - _PHRASE + 2 - low
-        assert count.min() >= 4
-        anchor = np.where(count >= 8, np.minimum(eight[low], eight[np.maximum(low + count - 8, 0)]), np.minimum(four[low], four[low + count - 4]))
-        start = np.searchsorted(doc, np.arange(len(texts)))
-        return doc[first], first - start[doc[first]], whole, anchor >> np.uint64(16)
-
-
-def _pieces(keys: list, texts: list[str | None]):
-    """(keys, encoded texts) in chunks of bounded size."""
-    own, held, size = [], [], 0
-    for key, text in zip(keys, texts):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        if own and size + len(data) > _CHUNK:
-            yield own, held
-            own, held, size = [], [], 0
-        own.append(key)
-        held.append(data)
-        size += len(data)
-    if own:
-        yield own, held
+_FAR = 1 << 60
+#: Largest bitmap, in bits (a power of two). A full cell costs a comparison, never a result: beyond it more windows are compared.
+_MOST_BITS = 31
+#: An anchor with more rows than this is dealt out over groups of about so many, whose first windows meet in a second step.
+_GROUP = 20_000
+
+
+@dataclass
+class Symbols:
+    """The symbols of a level over some documents: name, number of words, the words [low, high) that settle it, its document."""
+
+    name: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    doc: np.ndarray
+
+    def settled(self) -> "Symbols":
+        """Those that some words of their document settle: not the ones at its ends."""
+        keep = (self.low >= 0) & (self.high < _FAR)
+        return Symbols(*(x[keep] for x in (self.name, self.size, self.low, self.high, self.doc)))
+
+
+def compress(s: Symbols) -> Symbols:
+    """The next level: runs, then pairs."""
+    n = len(s.name)
+    # runs; a run is settled by the symbols on both sides, which differ from it
+    head = np.flatnonzero(np.concatenate([[True], (s.doc[1:] != s.doc[:-1]) | (s.name[1:] != s.name[:-1])]))
+    tail = np.append(head[1:], n) - 1
+    length = (tail - head + 1).astype(np.uint64)
+    name, doc = np.where(length > 1, mix(s.name[head] + mix(length)), s.name[head]), s.doc[head]
+    size = np.add.reduceat(s.size, head)
+    edge = np.concatenate([[True], doc[1:] != doc[:-1], [True]])
+    low = np.where(edge[:-1], -_FAR, s.low[head - 1])
+    high = np.where(edge[1:], _FAR, s.high[np.minimum(tail + 1, n - 1)])
+    # pairs; a single symbol is settled by the neighbour that it does not pair with
+    bit = (mix(name ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(63)).astype(bool)
+    pair = np.zeros(len(name), bool)
+    pair[:-1] = ~bit[:-1] & bit[1:] & ~edge[1:-1]
+    second = np.concatenate([[False], pair[:-1]])
+    at = np.flatnonzero(~second)
+    after, before = np.minimum(at + 1, len(name) - 1), np.maximum(at - 1, 0)
+    two, one = pair[at], bit[at]
+    return Symbols(
+        np.where(two, mix(name[at] * np.uint64(3) + mix(name[after])), name[at]),
+        size[at] + np.where(two, size[after], 0),
+        np.where(one, np.minimum(low[at], low[before]), low[at]),
+        np.where(one, high[at], np.maximum(high[at], high[after])),
+        doc[at],
+    )
+
+
+class Bitmap:
+    """A set of names by their first bits; what is not in it was not put in."""
+
+    def __init__(self, bits: int, data: bytes) -> None:
+        self.bits, self.data = bits, np.frombuffer(data, np.uint8)
+
+    def holds(self, name: np.ndarray) -> np.ndarray:
+        cell = name >> np.uint64(64 - self.bits)
+        return (self.data[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+class Parsed:
+    """Words, symbols and windows of a few documents, in arrays. A window is known by its first word, counted over all of them."""
+
+    def __init__(self, hasher: WordHasher, texts: list[bytes]) -> None:
+        self.data, self.doc, self.begin, self.end = hasher.split(texts)
+        self.n, self.texts = len(self.doc), len(texts)
+        self.word = hasher.names(self.data, self.begin, self.end)
+        at = np.arange(self.n)
+        self.levels = [Symbols(self.word, np.ones(self.n, np.int64), at, at + 1, self.doc)]
+        self.start = np.searchsorted(self.doc, np.arange(len(texts)))
+
+    def level(self, k: int) -> Symbols:
+        while len(self.levels) <= k:
+            self.levels.append(compress(self.levels[-1]))
+        return self.levels[k]
+
+    def windows(self) -> np.ndarray:
+        return np.flatnonzero(self.doc[: self.n - WINDOW + 1] == self.doc[WINDOW - 1 :]) if self.n >= WINDOW else np.zeros(0, np.int64)
+
+    def ranges(self, s: Symbols, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The settled symbols [from, to) of s that each window settles. Both ends of what settles a symbol ascend with the symbols."""
+        below = np.concatenate([[0], np.cumsum(np.bincount(s.low, minlength=self.n + 1))])
+        upto = np.cumsum(np.bincount(s.high, minlength=self.n + 1))
+        begin = below[window]
+        return begin, np.maximum(upto[window + WINDOW], begin)
+
+    def alive(self, shared: dict[int, Bitmap]) -> np.ndarray:
+        """The windows that settle shared symbols only, on the levels given."""
+        window = self.windows()
+        for k, bitmap in shared.items():
+            if not len(window):
+                break
+            s = self.level(k).settled()
+            lone = np.concatenate([[0], np.cumsum(~bitmap.holds(s.name))])
+            begin, end = self.ranges(s, window)
+            window = window[lone[begin] == lone[end]]
+        return window
+
+    def anchors(self, window: np.ndarray) -> np.ndarray:
+        """The least symbol that a window settles on the highest level where it settles one: neighbouring windows mostly share it."""
+        out, open_ = np.zeros(len(window), np.uint64), np.ones(len(window), bool)
+        for k in range(LEVELS, -1, -1):
+            s = self.level(k).settled()
+            begin, end = self.ranges(s, window)
+            now = np.flatnonzero(open_ & (end > begin))
+            if len(now):
+                least = [s.name]
+                for step in (1, 2, 4):
+                    x = least[-1].copy()
+                    if len(x) > step:
+                        x[:-step] = np.minimum(x[:-step], x[step:])
+                    least.append(x)
+                size = end[now] - begin[now]
+                # at most 13 symbols lie in a window: two stretches of a power of two cover them
+                fold = np.minimum(np.searchsorted([2, 4, 8], size, side="right"), 3)
+                table = np.stack(least)
+                out[now] = np.minimum(table[fold, begin[now]], table[fold, end[now] - (1 << fold)])
+                open_[now] = False
+            if not open_.any():
+                break
+        return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -138,80 +160,137 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.hash(text_col).alias("own"), F.col(text_col).alias("text"))
 
 
-def anchor_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(anchor, low, high, n): smallest and largest id and number of documents by anchor, over all documents."""
+def _held(docs: DataFrame, found: dict[int, Bitmap]) -> dict:
+    """The bitmaps as broadcast variables, by level."""
+    return {k: docs.sparkSession.sparkContext.broadcast((b.bits, b.data.tobytes())) for k, b in found.items()}
+
+
+def shared_symbols(docs: DataFrame, level: int, known: dict[int, Bitmap], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One round: (name) of the symbols of a level that two documents share, of those that a window alive on the `known` levels settles. Tasks sum their documents first."""
+    held = _held(docs, known)
 
     def run(batches):
-        parser = Parser()
+        hasher, bitmaps = WordHasher(), {k: Bitmap(*v.value) for k, v in held.items()}
         with np.errstate(over="ignore"):
             for b in batches:
-                for keys, texts in _pieces(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                    doc, _, _, anchor = parser.windows(texts)
-                    if not len(doc):
+                for keys, texts in chunks(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                    p = Parsed(hasher, texts)
+                    window = p.alive(bitmaps)
+                    if not len(window):
+                        continue
+                    s = p.level(level).settled()
+                    living = np.concatenate([[0], np.cumsum(np.bincount(window, minlength=p.n + 1))])
+                    some = living[s.low + 1] > living[np.clip(s.high - WINDOW, 0, s.low + 1)]
+                    name, ids = s.name[some], np.array(keys, np.int64)[s.doc[some]]
+                    if not len(name):
                         continue
-                    order = np.lexsort((anchor, doc))
-                    doc, anchor = doc[order], anchor[order]
-                    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(np.array(keys, np.int64)[doc[new]])], names=["anchor", "id"])
+                    order = np.argsort(name)
+                    name, ids = name[order], ids[order]
+                    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(np.minimum.reduceat(ids, new)), pa.array(np.maximum.reduceat(ids, new))], names=["name", "low", "high"])
+
+    rows = _keyed(docs, id_col, text_col).select("id", "text").mapInArrow(run, "name long, low long, high long")
+    return rows.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("name")
+
 
-    rows = _keyed(docs, id_col, text_col).mapInArrow(run, "anchor long, id long")
-    return rows.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+def _bits_for(n: int) -> int:
+    """Sixteen cells or more to a name, up to the largest bitmap."""
+    return min(max(16, (16 * n).bit_length()), _MOST_BITS)
 
 
-def _shared(counts: DataFrame) -> tuple[bytes, np.ndarray]:
-    """The bitmap of anchors that different ids share, and the hot anchors (a number bounded by 1 / _HOT_SHARE)."""
-    some = materialize(counts.where(F.col("low") < F.col("high")).select("anchor", "n"), "substring-anchors")
-    width = 1 << 19
-    cell = F.shiftright(F.col("anchor"), 48 - _FILTER_BITS)
+def as_bitmap(names: DataFrame, bits: int) -> Bitmap:
+    """The names (64-bit, evenly spread) in a bitmap of 2^bits cells. It reaches the driver in rows of at most 64 KB."""
+    width = min(1 << 19, 1 << bits)
 
     def pack(table: pa.Table) -> pa.Table:
         at = table.column("cell").to_numpy()
-        bits = np.zeros(width, np.uint8)
-        bits[at % width] = 1
-        return pa.table({"row": pa.array([int(at[0]) // width], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)])})
-
-    out = np.zeros(1 << _FILTER_BITS >> 3, np.uint8)
-    step = width >> 3
-    # distinct cells: at most 2^19 to a group
-    packed = some.select(cell.alias("cell")).distinct().groupBy(F.shiftright("cell", 19)).applyInArrow(pack, "row int, bits binary")
-    for r in packed.toLocalIterator():
+        found = np.zeros(width, np.uint8)
+        found[at % width] = 1
+        return pa.table({"row": pa.array([int(at[0]) // width], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(found, bitorder="little").tobytes(), 1)])})
+
+    out, step = np.zeros(1 << bits >> 3, np.uint8), width >> 3
+    cells = names.select(F.shiftrightunsigned("name", 64 - bits).alias("cell")).distinct()
+    for r in cells.groupBy(F.expr(f"cell div {width}")).applyInArrow(pack, "row int, bits binary").toLocalIterator():
         out[r["row"] * step : (r["row"] + 1) * step] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    total = some.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = [r["anchor"] for r in some.where(F.col("n") > max(1000, total * _HOT_SHARE)).select("anchor").collect()]
-    return out.tobytes(), np.sort(np.array(hot, np.int64))
+    return Bitmap(bits, out.tobytes())
+
+
+def recompress(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, Bitmap]:
+    """The rounds: by level a bitmap of the shared symbols, sized by their number."""
+    known: dict[int, Bitmap] = {}
+    for level in ROUNDS:
+        names = materialize(shared_symbols(docs, level, known, id_col, text_col), f"substring-level-{level}")
+        known[level] = as_bitmap(names, _bits_for(names.count()))
+    return known
+
+
+def _crowded(docs: DataFrame, id_col: str, text_col: str, known: dict[int, Bitmap]) -> tuple[Bitmap | None, int]:
+    """The anchors with more than `_GROUP` stretches of living windows, by the hash of the anchor in a bitmap, and how many groups the most crowded one needs.
 
+    Anchors that share a cell with a crowded one are dealt out too: more groups, the same result."""
+    held = _held(docs, known)
+
+    def run(batches):
+        hasher, bitmaps = WordHasher(), {k: Bitmap(*v.value) for k, v in held.items()}
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for _, texts in chunks(b.column("text").to_pylist(), b.column("text").to_pylist()):
+                    p = Parsed(hasher, texts)
+                    window = p.alive(bitmaps)
+                    if len(window):
+                        anchor = p.anchors(window)
+                        name, n = np.unique(mix(anchor[_stretches(p, window, anchor)]), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["name", "n"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    found = materialize(counts.where(F.col("n") > _GROUP), "substring-crowded")
+    most = found.agg(F.max("n").alias("n"), F.count("*").alias("anchors")).first()
+    return (as_bitmap(found.select("name"), _bits_for(most["anchors"])), -(-most["n"] // _GROUP)) if most["anchors"] else (None, 0)
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, bitmap: bytes, hot: np.ndarray) -> DataFrame:
-    """(key, anchor, salt, id, own, start, prints): stretches of windows with one anchor that may be shared; prints has 5 bytes of each window's hash."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^(_FILTER_BITS - 3) bytes
+
+def _stretches(p: Parsed, window: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Where stretches of consecutive windows with one anchor begin."""
+    doc = p.doc[window]
+    return np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)]))
+
+
+def _candidates(docs: DataFrame, id_col: str, text_col: str, known: dict[int, Bitmap], crowded: Bitmap | None, groups: int) -> DataFrame:
+    """(anchor, salt, id, own, start, prints): stretches of living windows with one anchor; prints has the 16 bytes of each window's two hashes. salt is the document's group for crowded anchors, -1 for others."""
+    held = _held(docs, known | ({-1: crowded} if crowded else {}))
 
     def run(batches):
-        parser, bits = Parser(), np.frombuffer(held.value, np.uint8)
+        hashers = (WordHasher(0), WordHasher(1))
+        powers = (Powers(0xD1342543DE82EF95), Powers(0xA0761D6478BD642F))
+        bitmaps = {k: Bitmap(*v.value) for k, v in held.items()}
+        crowd = bitmaps.pop(-1, None)
         with np.errstate(over="ignore"):
             for b in batches:
-                for keys, texts in _pieces(list(zip(b.column("id").to_pylist(), b.column("own").to_pylist())), b.column("text").to_pylist()):
-                    doc, start, whole, anchor = parser.windows(texts)
-                    cell = (anchor >> np.uint64(48 - _FILTER_BITS)).astype(np.int64)
-                    hit = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
-                    if not len(hit):
+                for keys, texts in chunks(list(zip(b.column("id").to_pylist(), b.column("own").to_pylist())), b.column("text").to_pylist()):
+                    p = Parsed(hashers[0], texts)
+                    window = p.alive(bitmaps)
+                    if not len(window):
                         continue
-                    doc, start, whole, anchor = doc[hit], start[hit], whole[hit], anchor[hit].view(np.int64)
-                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]))
-                    prints = np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-                    ends = np.append(new[1:], len(doc))
+                    anchor, doc = p.anchors(window), p.doc[window]
+                    other = hashers[1].names(p.data, p.begin, p.end)
+                    prints = np.stack([x.ranges(w, window, window + WINDOW) for x, w in zip(powers, (p.word, other))], axis=1)
+                    new = _stretches(p, window, anchor)
                     ids, own = np.array([k[0] for k in keys], np.int64)[doc[new]], np.array([k[1] for k in keys], np.int32)[doc[new]]
-                    salt = np.where(np.isin(anchor[new], hot), mix(ids.view(np.uint64) ^ own.astype(np.uint64)) % np.uint64(_SALTS), 0).astype(np.int32) if len(hot) else np.zeros(len(new), np.int32)
-                    packed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.append(new * 5, ends[-1] * 5).astype(np.int32).tobytes()), pa.py_buffer(prints)])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(salt), pa.array(ids), pa.array(own), pa.array(start[new].astype(np.int32)), packed], names=["anchor", "salt", "id", "own", "start", "prints"])
+                    salt = np.full(len(new), -1, np.int32)
+                    if crowd is not None:
+                        own_group = (mix(ids.view(np.uint64) ^ own.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+                        salt = np.where(crowd.holds(mix(anchor[new])), own_group, salt)
+                    packed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((np.append(new, len(doc)) * 16).astype(np.int32).tobytes()), pa.py_buffer(prints.tobytes())])
+                    start = (window - p.start[doc])[new].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(salt), pa.array(ids), pa.array(own), pa.array(start), packed], names=["anchor", "salt", "id", "own", "start", "prints"])
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, "anchor long, salt int, id long, own int, start int, prints binary")
 
 
-def _compare(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(id, own, start, mask, anchor, print): mask has the windows, from start on, whose words start in a smaller id of the same group; of hot anchors the
-    windows first in their group come back by themselves (anchor and print set, mask 0).
+def _compare(rows: DataFrame) -> DataFrame:
+    """(id, own, start, mask, anchor, lo, hi, starts) from rows (anchor, salt, id, own, start, prints): mask has the windows, from start on, whose words start in a smaller id of
+    the same group. Of salted anchors the windows first in their group come back by themselves, once for a document, with their starts (mask 0).
 
-    Rows stream in the order of anchor, salt and id: only the first id of each window of the anchor at hand is held."""
+    Rows stream in the order of anchor, salt and id: the first id of each window of the group at hand is held, and groups are bounded by the salt."""
 
     def run(batches):
         last, firsts = None, {}
@@ -219,65 +298,67 @@ def _compare(rows: DataFrame, hot: np.ndarray) -> DataFrame:
             n = b.num_rows
             if not n:
                 continue
-            anchor, salt, ids, start = (b.column(c).to_numpy() for c in ("anchor", "salt", "id", "start"))
+            anchor, salt, ids, own, start = (b.column(c).to_numpy() for c in ("anchor", "salt", "id", "own", "start"))
             buffers = b.column("prints").buffers()
             ends = np.frombuffer(buffers[1], np.int32)[b.column("prints").offset :][: n + 1].astype(np.int64)
-            raw = np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 5)
-            sizes = np.diff(ends) // 5
-            prints = np.zeros((len(raw), 8), np.uint8)
-            prints[:, :5] = raw
-            prints = prints.view(np.int64).ravel()
+            lo, hi = np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]].view(np.int64).reshape(-1, 2).T
+            sizes = np.diff(ends) // 16
             row = np.repeat(np.arange(n), sizes)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             group = np.cumsum(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]))
-            order = np.lexsort((prints, group[row]))  # stable: ids ascend within a group
-            g, p, r = group[row][order], prints[order], row[order]
-            head = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
-            least = ids[r][head]
+            order = np.lexsort((hi, lo, group[row]))  # stable: ids ascend within a group
+            g, r, l, h = group[row][order], row[order], lo[order], hi[order]
+            head = np.concatenate([[True], (g[1:] != g[:-1]) | (l[1:] != l[:-1]) | (h[1:] != h[:-1])])
             heads = np.flatnonzero(head)
+            least = ids[r][heads]
             if last == (anchor[0], salt[0]):
                 for k in np.flatnonzero(g[heads] == 1):
-                    least[k] = min(firsts.get(p[heads[k]], _LAST), least[k])
+                    least[k] = min(firsts.get((l[heads[k]], h[heads[k]]), _LAST), least[k])
             else:
                 firsts = {}
             if group[-1] != 1:
                 firsts = {}
             for k in np.flatnonzero(g[heads] == group[-1]):
-                firsts[p[heads[k]]] = least[k]
+                firsts[l[heads[k]], h[heads[k]]] = least[k]
             last = (anchor[-1], salt[-1])
-            gone = ids[r] > least[np.cumsum(head) - 1]
-            at = np.empty(len(order), np.int64)
-            at[order] = np.arange(len(order))
-            gone = gone[at]  # in the order of rows
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            late = ids[r] > least[np.cumsum(head) - 1]
+            gone = np.empty(len(order), bool)
+            gone[order] = late  # in the order of rows
             # a stretch of one anchor has at most 13 windows, but where words repeat: cut it into masks of 32
             part = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] % 32 == 0)])) - 1
             mask = np.bincount(part, gone * 2.0 ** (offset % 32)).astype(np.int64)
             lead = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             keep = np.flatnonzero(mask)
-            own = b.column("own").to_numpy()
-            out = [ids[row[lead]][keep], own[row[lead]][keep], (start[row[lead]] + offset[lead])[keep].astype(np.int32), mask[keep], np.zeros(len(keep), np.int64), np.zeros(len(keep), np.int64)]
-            if len(hot):
-                still = np.flatnonzero(~gone & np.isin(anchor, hot)[row])
-                more = [ids[row[still]], own[row[still]], (start[row[still]] + offset[still]).astype(np.int32), np.zeros(len(still), np.int64), anchor[row[still]], prints[still]]
+            none = np.zeros(len(keep), np.int64)
+            out = [ids[row[lead]][keep], own[row[lead]][keep], (start[row[lead]] + offset[lead])[keep].astype(np.int32), mask[keep], none, none, none]
+            starts = [None] * len(keep)
+            still = np.flatnonzero(~late & (salt[r] >= 0))
+            if len(still):
+                i, d, w, at = ids[r][still], own[r][still], (l[still], h[still]), (start[r] + offset[order])[still].astype(np.int32)
+                new = np.flatnonzero(np.concatenate([[True], (g[still][1:] != g[still][:-1]) | (w[0][1:] != w[0][:-1]) | (w[1][1:] != w[1][:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])]))
+                none = np.zeros(len(new), np.int64)
+                more = [i[new], d[new], none.astype(np.int32), none, anchor[r][still][new], w[0][new], w[1][new]]
                 out = [np.concatenate(x) for x in zip(out, more)]
+                starts += np.split(at, new[1:])
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "own", "start", "mask", "anchor", "print"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), pa.array(starts, pa.list_(pa.int32()))], names=["id", "own", "start", "mask", "anchor", "lo", "hi", "starts"])
 
     dealt = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id")
-    return dealt.mapInArrow(run, "id long, own int, start int, mask long, anchor long, print long")
+    return dealt.mapInArrow(run, "id long, own int, start int, mask long, anchor long, lo long, hi long, starts array<int>")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, own, windows): for each document (id, and a hash of its text) with such windows, an array of (start, mask): bit i of mask says that the 13 words from start + i on also start in a document with a smaller id.
 
     Null ids count as the largest; repeated ids are one document in comparisons. Null and short texts have no window."""
-    bitmap, hot = _shared(anchor_counts(docs, id_col, text_col))
-    found = _compare(_candidates(docs, id_col, text_col, bitmap, hot), hot)
-    if len(hot):
+    known = recompress(docs, id_col, text_col)
+    crowded, groups = _crowded(docs, id_col, text_col, known)
+    found = _compare(_candidates(docs, id_col, text_col, known, crowded, groups))
+    if crowded:
         found = materialize(found, "substring-found")
         still = found.where("mask = 0")
-        least = still.groupBy("anchor", "print").agg(F.min("id").alias("least"))
-        late = still.join(least, ["anchor", "print"]).where(F.col("id") > F.col("least")).select("id", "own", "start", F.lit(1).cast("long").alias("mask"))
+        least = still.groupBy("anchor", "lo", "hi").agg(F.min("id").alias("least"))
+        late = still.join(least, ["anchor", "lo", "hi"]).where(F.col("id") > F.col("least")).select("id", "own", F.explode("starts").alias("start"), F.lit(1).cast("long").alias("mask"))
         found = found.where("mask <> 0").select("id", "own", "start", "mask").unionByName(late)
     return found.groupBy("id", "own").agg(F.collect_list(F.struct("start", "mask")).alias("windows"))
 
