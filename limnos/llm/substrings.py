@@ -32,8 +32,10 @@ _LAST = (1 << 63) - 1
 _FAR = 1 << 60
 #: Largest bitmap, in bits (a power of two). A full cell costs a comparison, never a result: beyond it more windows are compared.
 _MOST_BITS = 31
-#: An anchor with more rows than this is dealt out over groups of about so many, whose first windows meet in a second step.
-_GROUP = 20_000
+#: An anchor with more than this share of all stretches, or this many of them, is crowded: it is dealt out over groups of about so many, whose first windows meet in a second step.
+_CROWD, _MOST_ROWS = 1 / 256, 500_000
+#: Names that a task sums before it passes them on.
+_FLUSH = 1_000_000
 
 
 @dataclass
@@ -165,12 +167,46 @@ def _held(docs: DataFrame, found: dict[int, Bitmap]) -> dict:
     return {k: docs.sparkSession.sparkContext.broadcast((b.bits, b.data.tobytes())) for k, b in found.items()}
 
 
-def shared_symbols(docs: DataFrame, level: int, known: dict[int, Bitmap], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One round: (name) of the symbols of a level that two documents share, of those that a window alive on the `known` levels settles. Tasks sum their documents first."""
+class _Sums:
+    """Names with the least and the largest id that has them and a count, summed within a task."""
+
+    def __init__(self, kind: int) -> None:
+        self.kind, self.parts, self.n = kind, [], 0
+
+    def add(self, name: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> None:
+        self.parts.append(self._merged(name, low, high, count))
+        self.n += len(self.parts[-1][0])
+
+    @staticmethod
+    def _merged(name: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(name)
+        name = name[order]
+        new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))[: len(name)]
+        if not len(name):
+            return name, low, high, count
+        return name[new], np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new), np.add.reduceat(count[order], new)
+
+    def full(self) -> bool:
+        """Whether there is something to pass on: sums what is held first, which may make room."""
+        if self.n > _FLUSH:
+            self.parts = [self._merged(*(np.concatenate(x) for x in zip(*self.parts)))]
+            self.n = len(self.parts[0][0])
+        return self.n > _FLUSH // 2
+
+    def batch(self) -> pa.RecordBatch:
+        name, low, high, count = self._merged(*(np.concatenate(x) for x in zip(*self.parts)))
+        self.parts, self.n = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(name), self.kind, np.int8)), pa.array(name.view(np.int64)), pa.array(low), pa.array(high), pa.array(count)], names=["kind", "name", "low", "high", "n"])
+
+
+def round_counts(docs: DataFrame, level: int, known: dict[int, Bitmap], id_col: str = "doc_id", text_col: str = "text", anchors: bool = False) -> DataFrame:
+    """One round over all documents: (kind, name, low, high, n). Kind 0: the symbols of a level that a window alive on the `known` levels settles, with the smallest and the largest id that has them.
+    With `anchors` also kind 1: hashes of the anchors of those windows, with the number of their stretches. Tasks sum their documents first."""
     held = _held(docs, known)
 
     def run(batches):
         hasher, bitmaps = WordHasher(), {k: Bitmap(*v.value) for k, v in held.items()}
+        sums = [_Sums(0), _Sums(1)]
         with np.errstate(over="ignore"):
             for b in batches:
                 for keys, texts in chunks(b.column("id").to_pylist(), b.column("text").to_pylist()):
@@ -181,16 +217,21 @@ def shared_symbols(docs: DataFrame, level: int, known: dict[int, Bitmap], id_col
                     s = p.level(level).settled()
                     living = np.concatenate([[0], np.cumsum(np.bincount(window, minlength=p.n + 1))])
                     some = living[s.low + 1] > living[np.clip(s.high - WINDOW, 0, s.low + 1)]
-                    name, ids = s.name[some], np.array(keys, np.int64)[s.doc[some]]
-                    if not len(name):
-                        continue
-                    order = np.argsort(name)
-                    name, ids = name[order], ids[order]
-                    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(np.minimum.reduceat(ids, new)), pa.array(np.maximum.reduceat(ids, new))], names=["name", "low", "high"])
+                    ids = np.array(keys, np.int64)[s.doc[some]]
+                    sums[0].add(s.name[some], ids, ids, np.ones(len(ids), np.int64))
+                    if anchors:
+                        anchor = p.anchors(window)
+                        name, n = np.unique(mix(anchor[_stretches(p, window, anchor)]), return_counts=True)
+                        sums[1].add(name, np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), n)
+                    for x in sums:
+                        if x.full():
+                            yield x.batch()
+        for x in sums:
+            if x.n:
+                yield x.batch()
 
-    rows = _keyed(docs, id_col, text_col).select("id", "text").mapInArrow(run, "name long, low long, high long")
-    return rows.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("name")
+    rows = _keyed(docs, id_col, text_col).select("id", "text").mapInArrow(run, "kind byte, name long, low long, high long, n long")
+    return rows.groupBy("kind", "name").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
 def _bits_for(n: int) -> int:
@@ -215,37 +256,26 @@ def as_bitmap(names: DataFrame, bits: int) -> Bitmap:
     return Bitmap(bits, out.tobytes())
 
 
-def recompress(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, Bitmap]:
-    """The rounds: by level a bitmap of the shared symbols, sized by their number."""
+def recompress(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, Bitmap], Bitmap | None, int]:
+    """The rounds: by level a bitmap of the symbols that two documents share, sized by their number; the crowded anchors, by their hashes, and how many groups the most crowded one needs.
+
+    Anchors are counted in the last round, before its own symbols are known. What shares a cell with a crowded anchor is dealt out too: more groups, the same result."""
     known: dict[int, Bitmap] = {}
     for level in ROUNDS:
-        names = materialize(shared_symbols(docs, level, known, id_col, text_col), f"substring-level-{level}")
+        counts = round_counts(docs, level, known, id_col, text_col, level == ROUNDS[-1])
+        if level != ROUNDS[-1]:
+            kept = materialize(counts.where("low < high").select("name"), f"substring-level-{level}")
+            known[level] = as_bitmap(kept, _bits_for(kept.count()))
+            continue
+        kept = materialize(counts.where("kind = 1 OR low < high").select("kind", "name", "n"), f"substring-level-{level}")
+        names = kept.where("kind = 0").select("name")
         known[level] = as_bitmap(names, _bits_for(names.count()))
-    return known
-
-
-def _crowded(docs: DataFrame, id_col: str, text_col: str, known: dict[int, Bitmap]) -> tuple[Bitmap | None, int]:
-    """The anchors with more than `_GROUP` stretches of living windows, by the hash of the anchor in a bitmap, and how many groups the most crowded one needs.
-
-    Anchors that share a cell with a crowded one are dealt out too: more groups, the same result."""
-    held = _held(docs, known)
-
-    def run(batches):
-        hasher, bitmaps = WordHasher(), {k: Bitmap(*v.value) for k, v in held.items()}
-        with np.errstate(over="ignore"):
-            for b in batches:
-                for _, texts in chunks(b.column("text").to_pylist(), b.column("text").to_pylist()):
-                    p = Parsed(hasher, texts)
-                    window = p.alive(bitmaps)
-                    if len(window):
-                        anchor = p.anchors(window)
-                        name, n = np.unique(mix(anchor[_stretches(p, window, anchor)]), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["name", "n"])
-
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    found = materialize(counts.where(F.col("n") > _GROUP), "substring-crowded")
-    most = found.agg(F.max("n").alias("n"), F.count("*").alias("anchors")).first()
-    return (as_bitmap(found.select("name"), _bits_for(most["anchors"])), -(-most["n"] // _GROUP)) if most["anchors"] else (None, 0)
+        most = kept.where("kind = 1").agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        group = max(1, min(_MOST_ROWS, int((most["all"] or 0) * _CROWD)))
+        crowded = kept.where((F.col("kind") == 1) & (F.col("n") > group))
+        n = crowded.count()
+        return known, as_bitmap(crowded.select("name"), _bits_for(n)) if n else None, -(-(most["most"] or 0) // group)
+    return known, None, 0
 
 
 def _stretches(p: Parsed, window: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -292,8 +322,15 @@ def _compare(rows: DataFrame) -> DataFrame:
 
     Rows stream in the order of anchor, salt and id: the first id of each window of the group at hand is held, and groups are bounded by the salt."""
 
+    both = np.dtype([("l", np.int64), ("h", np.int64)])
+
+    def pairs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out = np.empty(len(lo), both)
+        out["l"], out["h"] = lo, hi
+        return out
+
     def run(batches):
-        last, firsts = None, {}
+        last, held, first = None, np.empty(0, both), np.zeros(0, np.int64)
         for b in batches:
             n = b.num_rows
             if not n:
@@ -311,15 +348,21 @@ def _compare(rows: DataFrame) -> DataFrame:
             head = np.concatenate([[True], (g[1:] != g[:-1]) | (l[1:] != l[:-1]) | (h[1:] != h[:-1])])
             heads = np.flatnonzero(head)
             least = ids[r][heads]
-            if last == (anchor[0], salt[0]):
-                for k in np.flatnonzero(g[heads] == 1):
-                    least[k] = min(firsts.get((l[heads[k]], h[heads[k]]), _LAST), least[k])
-            else:
-                firsts = {}
-            if group[-1] != 1:
-                firsts = {}
-            for k in np.flatnonzero(g[heads] == group[-1]):
-                firsts[l[heads[k]], h[heads[k]]] = least[k]
+            begin = np.flatnonzero(g[heads] == 1) if last == (anchor[0], salt[0]) else heads[:0]
+            if len(begin) and len(held):
+                key = pairs(l[heads[begin]], h[heads[begin]])
+                at = np.minimum(np.searchsorted(held, key), len(held) - 1)
+                met = held[at] == key
+                least[begin[met]] = np.minimum(least[begin[met]], first[at[met]])
+            # what the next batch may meet: the windows of the last group, with those held if it is still the same
+            end = np.flatnonzero(g[heads] == group[-1])
+            key, low = pairs(l[heads[end]], h[heads[end]]), least[end]
+            if last == (anchor[0], salt[0]) and group[-1] == 1:
+                key, low = np.concatenate([held, key]), np.concatenate([first, low])
+            order_ = np.lexsort((low, key["h"], key["l"]))
+            key, low = key[order_], low[order_]
+            new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            held, first = key[new], low[new]
             last = (anchor[-1], salt[-1])
             late = ids[r] > least[np.cumsum(head) - 1]
             gone = np.empty(len(order), bool)
@@ -351,8 +394,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, own, windows): for each document (id, and a hash of its text) with such windows, an array of (start, mask): bit i of mask says that the 13 words from start + i on also start in a document with a smaller id.
 
     Null ids count as the largest; repeated ids are one document in comparisons. Null and short texts have no window."""
-    known = recompress(docs, id_col, text_col)
-    crowded, groups = _crowded(docs, id_col, text_col, known)
+    known, crowded, groups = recompress(docs, id_col, text_col)
     found = _compare(_candidates(docs, id_col, text_col, known, crowded, groups))
     if crowded:
         found = materialize(found, "substring-found")

@@ -46,10 +46,12 @@ def corpus(seed, documents=80):
 
 @pytest.mark.parametrize(("seed", "group"), [(1, 20_000), (2, 20_000), (3, 5), (4, 1)])
 def test_against_brute_force(spark, monkeypatch, seed, group):
-    monkeypatch.setattr(substrings, "_GROUP", group)
+    monkeypatch.setattr(substrings, "_MOST_ROWS", group)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if seed % 2 else 10_000)  # groups go on over batches
     rows = corpus(seed)
     got = substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute(rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_windows_with_different_ends_stay(spark):
@@ -92,7 +94,7 @@ def test_a_smaller_bitmap_changes_nothing(spark, monkeypatch):
 def test_prints_hold_128_bits(spark):
     """No window is judged by fewer than two independent 64-bit hashes."""
     docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20))), (2, " ".join(f"w{k}" for k in range(20)))], "doc_id long, text string")
-    known = substrings.recompress(docs)
+    known = substrings.recompress(docs)[0]
     rows = substrings._candidates(docs, "doc_id", "text", known, None, 0).collect()
     assert sum(len(r["prints"]) for r in rows) == 16 * 8 * 2
     halves = {bytes(r["prints"][k : k + 8]) for r in rows for k in range(0, len(r["prints"]), 8)}
