@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -110,8 +112,13 @@ def isotonic(hits: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(labels: DataFrame, label: str, id_col: str, most: int, rest: int = 2, mod: int = 4) -> DataFrame:
-    """At most `most` labelled training rows (crc32 of the id modulo `mod` is not `rest`), the first by a hash of the id: (id, y).
-    The bound is a parameter; the result may be broadcast. Repeated ids: y is 1 if at least half of their labels are. Null labels or ids: left out."""
+    """About `most` labelled training rows at most (crc32 of the id modulo `mod` is not `rest`): (id, y), written as a table.
+
+    Where there are more, those stay whose hash lies under a share of its range that keeps fewer than `most` by three standard deviations; no
+    task sorts or gathers them. The bound is a parameter; the result may be broadcast. Repeated ids: y is 1 if at least half of their labels are. Null labels or ids: left out."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & (crc_mod(F.col("id"), mod) != rest))
-    rows = rows.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    return rows.orderBy(F.xxhash64("id"), "id").limit(most)
+    n = rows.count()
+    if n > most:
+        share = max(0.0, most - 3 * most**0.5) / n
+        rows = rows.where(F.xxhash64("id", F.lit(rest)) < int(-(2**63) + share * 2**64))
+    return materialize(rows.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")), "labelled")

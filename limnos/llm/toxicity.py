@@ -1,25 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer maps words to symbols: insults and threats (weights learned from labels), and fixed lists of targets, negations and
-speech verbs. Modifier transducers (target, negation, reported speech) read the symbols of a clause and multiply what an insult or threat
-emits; their composition is one deterministic machine. A clause's weight is the sum of what it emits, a document's score the calibrated
-sum over its clauses."""
+A lexical transducer maps words to symbols: insults and threats (with weights, learned from labels where these hold the word), targets,
+negations and speech verbs. Five machines read the symbols of a clause. Two accept patterns: an insult, by itself or with a target behind
+it, and a threat that a target stands before or behind. Three weigh what those take: a target before an insult, a negation before either,
+reported speech before either. Their composition is one machine; a clause's weight is the sum over its accepted paths, each the product of
+its arcs and of the weights of the words it takes. A document's score is the calibrated sum over its clauses."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, isotonic, labelled_sample, map_batches
+from .common import crc_mod, isotonic, labelled_sample, map_batches, materialize
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = SYMBOLS = range(6)
 
 # Fixed word lists in English, German, French and Spanish.
+INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns dumm dummkopf trottel abschaum widerlich wertlos idioten imbécile imbéciles connard crétin abruti minable ordure débile idiota idiotas estúpido estúpida imbécil imbéciles basura asqueroso patético inútil".split()
 TARGETS = "you your yourself u he she they them people everyone du dich dir ihr euch sie er leute tu toi vous ton votre il elle ils gens tú usted ustedes él ella ellos gente".split()
 NEGATIONS = "not no never isn't aren't don't wasn't without nicht kein keine nie niemals ohne ne pas jamais sans aucun nunca jamás sin ningún".split()
 REPORTS = "said says say told called calls reported quoted claimed wrote sagte sagt nannte berichtete schrieb dit disait appelé écrit rapporté dijo dice llamó escribió citó".split()
@@ -29,36 +33,115 @@ _BINS = 400
 
 
 @dataclass(frozen=True)
-class Modifier:
-    """A transducer over clause symbols: `start` sets its counter to `reach` when seen, other symbols lower it; while the counter runs, what is emitted is multiplied by `factor`."""
+class Machine:
+    """A weighted automaton over clause symbols: step(state, symbol) gives the arcs (next state, weight, whether the path takes the word) that read it."""
+
+    start: object
+    step: Callable
+    accepts: Callable
+
+    def __or__(self, other: "Machine") -> "Machine":
+        """The union: a path is one of either. The first symbol decides."""
+
+        def step(state, symbol):
+            if state is None:
+                return [((k, to), w, takes) for k, m in enumerate((self, other)) for to, w, takes in m.step(m.start, symbol)]
+            k, own = state
+            return [((k, to), w, takes) for to, w, takes in (self, other)[k].step(own, symbol)]
+
+        return Machine(None, step, lambda s: s is not None and (self, other)[s[0]].accepts(s[1]))
+
+    def __matmul__(self, other: "Weigher") -> "Machine":
+        """The composition: the other reads the symbols and what the paths take of them, weights multiply."""
+
+        def step(state, symbol):
+            out = []
+            for to, w, takes in self.step(state[0], symbol):
+                then, more = other.step(state[1], symbol, takes)
+                out.append(((to, then), w * more, takes))
+            return out
+
+        return Machine((self.start, 0), step, lambda s: self.accepts(s[0]))
+
+
+@dataclass(frozen=True)
+class Weigher:
+    """A transducer that multiplies words of the symbols `over`, where a path takes them, by `factor` if `start` is among the `reach` words before them (None: anywhere before them in the clause)."""
 
     start: int
-    reach: int
+    reach: int | None
     factor: float
+    over: tuple[int, ...]
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        factor = self.factor if state > 0 else 1.0
-        return (self.reach if symbol == self.start else max(state - 1, 0)), factor
+    def step(self, left: int, symbol: int, takes: bool) -> tuple[int, float]:
+        to = (self.reach or 1) if symbol == self.start else left if self.reach is None else max(left - 1, 0)
+        return to, self.factor if takes and left and symbol in self.over else 1.0
 
 
-def compose(parts: list[Modifier]) -> tuple[np.ndarray, np.ndarray]:
-    """The product machine: next state and factor by (state, symbol). State 0 is a clause's start."""
-    index, todo, rows = {(0,) * len(parts): 0}, [(0,) * len(parts)], []
-    for s in todo:
-        row = []
-        for symbol in range(6):
-            moved = [p.step(x, symbol) for p, x in zip(parts, s)]
-            to = tuple(m[0] for m in moved)
-            if to not in index:
-                index[to] = len(index)
-                todo.append(to)
-            row.append((index[to], float(np.prod([m[1] for m in moved]))))
-        rows.append(row)
-    return np.array([[x[0] for x in r] for r in rows]), np.array([[x[1] for x in r] for r in rows])
+def insults(reach: int = 3, behind: float = 0.5) -> Machine:
+    """Accepts an insult by itself (weight 1) and, besides, an insult whose next target is among the `reach` words behind it (`behind`)."""
+
+    def step(state, symbol):
+        if state == "end":
+            return [("end", 1.0, False)]
+        if state == "before":
+            return [("before", 1.0, False)] + ([("end", 1.0, True), (reach, 1.0, True)] if symbol == INSULT else [])
+        return [("end", behind, False)] if symbol == TARGET else [(state - 1, 1.0, False)] if state > 1 else []
+
+    return Machine("before", step, lambda s: s == "end")
+
+
+def threats(reach: int = 4, before: float = 0.8) -> Machine:
+    """Accepts a threat whose next target is among the `reach` words behind it (weight 1), and one with a target among the `reach` words before it (`before`). A threat without a target is none."""
+
+    def step(state, symbol):
+        if state == "end":
+            return [("end", 1.0, False)]
+        kind, left = state
+        if kind == "before":
+            out = [(("before", reach if symbol == TARGET else max(left - 1, 0)), 1.0, False)]
+            if symbol == THREAT:
+                out += [(("open", reach), 1.0, True)] + ([("end", before, True)] if left else [])
+            return out
+        return [("end", 1.0, False)] if symbol == TARGET else [(("open", left - 1), 1.0, False)] if left > 1 else []
 
+    return Machine(("before", 0), step, lambda s: s == "end")
 
-#: Target before the word: worse. Negated: much weaker. Reported speech, to the clause's end: weaker.
-GRAMMAR = [Modifier(TARGET, 4, 1.5), Modifier(NEGATION, 3, 0.3), Modifier(REPORT, 1_000, 0.5)]
+
+#: Patterns, and what weighs them. A target before an insult: worse. Negated: much weaker. Reported speech, to the clause's end: weaker.
+PATTERNS = [insults(), threats()]
+WEIGHERS = [Weigher(TARGET, 4, 1.5, (INSULT,)), Weigher(NEGATION, 3, 0.3, (INSULT, THREAT)), Weigher(REPORT, None, 0.5, (INSULT, THREAT))]
+
+
+def compile_grammar(patterns: list[Machine] = PATTERNS, weighers: list[Weigher] = WEIGHERS) -> tuple[list, list[bool]]:
+    """The composed machine with its states numbered from the start, 0: arcs[state][symbol] is a list of (next, weight, takes); and which states accept."""
+    whole = reduce(lambda a, b: a @ b, weighers, reduce(lambda a, b: a | b, patterns))
+    index, todo, arcs = {whole.start: 0}, [whole.start], []
+    for s in todo:
+        row = []
+        for symbol in SYMBOLS:
+            out = []
+            for to, w, takes in whole.step(s, symbol):
+                if to not in index:
+                    index[to] = len(index)
+                    todo.append(to)
+                out.append((index[to], w, takes))
+            row.append(out)
+        arcs.append(row)
+    return arcs, [whole.accepts(s) for s in todo]
+
+
+def clause_weight(grammar: tuple[list, list[bool]], clause: list[tuple[int, float]]) -> float:
+    """The sum over accepted paths (forward algorithm) for (symbol, weight of the word) in order; a word's weight counts where a path takes it."""
+    arcs, accepts = grammar
+    at = {0: 1.0}
+    for symbol, word in clause:
+        now: dict[int, float] = {}
+        for state, weight in at.items():
+            for to, w, takes in arcs[state][symbol]:
+                now[to] = now.get(to, 0.0) + weight * w * (word if takes else 1.0)
+        at = now
+    return sum(w for s, w in at.items() if accepts[s])
 
 
 def _forms(word: str) -> list[str]:
@@ -74,44 +157,43 @@ def _bare(text: str | None) -> list[str]:
 class ToxicModel:
     weight: dict[str, float]
     rates: np.ndarray
-    machine: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: compose([Modifier(m.start, min(m.reach, 24), m.factor) for m in GRAMMAR]))
+    grammar: tuple[list, list[bool]] = field(default_factory=compile_grammar)
 
     def lexicon(self) -> dict[str, tuple[int, float]]:
         """Whole words and stems to (symbol, weight); fixed lists give way to what labels taught."""
-        out = {w: (s, 1.0) for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
+        out = {w: (s, 1.0) for s, ws in ((INSULT, INSULTS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
         return out | {w: (THREAT if w in THREATS else INSULT, x) for w, x in self.weight.items()}
 
     def scorer(self):
         """A function of a text: the sum of its clauses' weights. It remembers words, a bounded number of them."""
-        known, lexicon = {}, self.lexicon()
-        to, factor = self.machine[0].tolist(), self.machine[1].tolist()
-        none = (OTHER, 0.0)
-        threat_alone = 0.5  # a threat word without a target says little
+        known, lexicon, none = {}, self.lexicon(), (OTHER, 0.0)
 
-        def lookup(token: str) -> tuple[int, float, bool]:
+        def lookup(token: str) -> tuple[tuple[int, float], bool]:
             word = token.strip(_EDGE)
             found = lexicon.get(word)
             if found is None or found[0] in (TARGET, NEGATION, REPORT):
                 found = next((lexicon[f] for f in reversed(_forms(word)[1:]) if f in lexicon), found or none)
             if len(known) > 400_000:
                 known.clear()
-            known[token] = found = (*found, token[-1] in ".!?;:")
+            known[token] = found = (found, token[-1] in ".!?;:")
             return found
 
-        def clauses(text: str | None) -> float:
-            tokens = _bare(text)
-            symbols = [known.get(t) or lookup(t) for t in tokens]
-            if not any(s[0] <= THREAT for s in symbols):
-                return 0.0
-            state, total = 0, 0.0
-            for symbol, w, ends in symbols:
-                if symbol <= THREAT:
-                    f = factor[state][symbol]
-                    total += w * f * (threat_alone if symbol == THREAT and f == 1.0 else 1.0)
-                state = 0 if ends else to[state][symbol]
-            return total
-
-        return clauses
+        def total(text: str | None) -> float:
+            symbols = [known.get(t) or lookup(t) for t in _bare(text)]
+            hits = [i for i, (s, _) in enumerate(symbols) if s[0] <= THREAT]
+            out, done = 0.0, -1
+            for i in hits:
+                if i > done:  # the clause around the hit
+                    begin = end = i
+                    while begin > done + 1 and not symbols[begin - 1][1]:
+                        begin -= 1
+                    while end < len(symbols) - 1 and not symbols[end][1]:
+                        end += 1
+                    out += clause_weight(self.grammar, [s for s, _ in symbols[begin : end + 1]])
+                    done = end
+            return out
+
+        return total
 
     @staticmethod
     def bins(total: np.ndarray) -> np.ndarray:
@@ -140,19 +222,20 @@ def _term_counts(rows: DataFrame, flush: int = 200_000) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 60_000, terms: int = 5_000, least: int = 3, odds: float = 3.0) -> ToxicModel:
-    """Learns the weighted lexicon and the calibration from at most `most` labelled documents (crc32(id) mod 4 = 2 left out).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 60_000, least: int = 3, odds: float = 3.0) -> ToxicModel:
+    """Learns the weighted lexicon and the calibration from about `most` labelled documents at most (crc32(id) mod 4 = 2 left out).
 
-    A term or stem enters if at least `least` toxic documents hold it and its smoothed log odds reach `odds`; the `terms` strongest stay.
-    Without labelled rows the lexicon holds the fixed lists only and every score is 0.5."""
+    A term or stem enters if at least `least` toxic documents of the sample hold it and its smoothed log odds reach `odds`; the sample bounds
+    their number. Without labelled rows the lexicon holds the fixed lists only and every score is 0.5. Null texts hold no term."""
     sample = labelled_sample(labels, label, id_col, most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = materialize(rows.select("text", "y"), "toxic-rows")
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     found = _term_counts(rows).where(F.col("toxic") >= least).withColumn("w", F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0)))
-    found = found.where(F.col("w") >= odds).orderBy(F.desc("w"), F.desc("toxic"), "term").limit(terms).collect()  # at most `terms` rows
+    found = found.where(F.col("w") >= odds).select("term", "w").collect()
     model = ToxicModel({r["term"]: min(r["w"], 8.0) / 4 for r in found}, np.full(_BINS, 0.5))
-    totals = map_batches(rows.select("text", "y"), lambda b, f: {"bin": model.bins(np.array([f(t) for t in b["text"]])), "y": b["y"]}, "bin int, y int", model.scorer)
+    totals = map_batches(rows, lambda b, f: {"bin": model.bins(np.array([f(t) for t in b["text"]])), "y": b["y"]}, "bin int, y int", model.scorer)
     hits, all_ = np.zeros(_BINS), np.zeros(_BINS)
     for r in totals.groupBy("bin").agg(F.sum("y").alias("h"), F.count("*").alias("n")).collect():
         hits[r["bin"]], all_[r["bin"]] = r["h"], r["n"]
