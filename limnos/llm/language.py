@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,19 +13,21 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, map_batches
 
-#: Words longer than this are summed over in consecutive blocks of so many letters.
-BLOCK = 32
+#: Longer words are summed over in logarithms: products of so many probabilities could vanish.
+_PLAIN = 24
+#: Cells (letters x piece lengths x languages) of words that are worked on at once; a longer word on its own.
+_CELLS = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20
 
 
-def read_pieces(path: str, longest: int = 10) -> list[str]:
-    """Lower-cased distinct pieces of letters (and the word mark) of a sentencepiece model, at most `longest` code points."""
+def read_pieces(path: str) -> list[str]:
+    """Lower-cased distinct pieces of letters (and the word mark) of a sentencepiece model."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in found if 0 < len(p) <= longest and all(c.isalpha() or c == "▁" for c in p))
+    return sorted(p for p in found if p and all(c.isalpha() or c == "▁" for c in p))
 
 
 class Pieces:
@@ -68,67 +71,93 @@ class Pieces:
             np.copyto(out, got, where=(got >= 0) & (self.keys[got] == keys))
         return out
 
-    def lattice(self, words: list[str]) -> tuple[list[np.ndarray], int]:
-        """For words of one length n: by piece length l (from 1) the piece ids that start at each position, -1 for none."""
+    def lattice(self, words: list[str]) -> list[np.ndarray]:
+        """For words of one length n: by piece length l (from 1) the piece ids that start at each position (positions, words), -1 for none."""
         n = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(np.uint64)
+        codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).T).astype(np.uint64)
         out, h = [], np.zeros_like(codes)
         with np.errstate(over="ignore"):
             for size in range(1, min(n, self.longest) + 1):
-                h = h[:, : n - size + 1] * np.uint64(1_000_003) + codes[:, size - 1 :]
+                h = h[: n - size + 1] * np.uint64(1_000_003) + codes[size - 1 :]
                 out.append(self.find(h + np.uint64(size)))
-        return out, n
+        return out
 
 
-def _by_length(words: list[str]) -> dict[int, list[int]]:
+def _groups(words: list[str], longest: int, columns: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, which words have this length), in groups of bounded size."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
-    return groups
+    for n, at in groups.items():
+        step = max(1, _CELLS // (n * min(n, longest) * columns))
+        for i in range(0, len(at), step):
+            yield n, np.array(at[i : i + step])
+
+
+def _chances(grid: list[np.ndarray], prob: np.ndarray, unknown: float) -> list[np.ndarray]:
+    """By piece length (positions, words, columns): the piece probabilities. A letter that is no piece counts `unknown`, no other piece nothing."""
+    out = []
+    for k, g in enumerate(grid):
+        more = np.full((1, prob.shape[1]), unknown if k == 0 else 0.0)
+        out.append(np.concatenate([prob, more])[g])  # -1 is the last row
+    return out
 
 
-def _forward(grid: list[np.ndarray], n: int, prob: np.ndarray, unknown: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """alpha (n + 1, words, languages), and the piece probabilities by length. A letter that is no piece counts `unknown`."""
-    p = [np.where((g >= 0)[:, :, None], prob[g], unknown if k == 0 else 0.0) for k, g in enumerate(grid)]
-    alpha = np.zeros((n + 1, len(grid[0]), prob.shape[1]))
+def forward(p: list[np.ndarray]) -> np.ndarray:
+    """The logarithm of the summed probability of all segmentations of every prefix (n + 1, words, columns)."""
+    n = len(p[0])
+    if n > _PLAIN:
+        return _forward_log(p)
+    alpha = np.zeros((n + 1, *p[0].shape[1:]))
     alpha[0] = 1
     for j in range(1, n + 1):
         for k in range(min(j, len(p))):
-            alpha[j] += alpha[j - k - 1] * p[k][:, j - k - 1]
-    return alpha, p
+            alpha[j] += alpha[j - k - 1] * p[k][j - k - 1]
+    with np.errstate(divide="ignore"):
+        return np.log(alpha)
+
+
+def _forward_log(p: list[np.ndarray]) -> np.ndarray:
+    n = len(p[0])
+    with np.errstate(divide="ignore"):
+        p = [np.log(x) for x in p]
+    alpha = np.full((n + 1, *p[0].shape[1:]), -np.inf)
+    alpha[0] = 0
+    for j in range(1, n + 1):
+        for k in range(min(j, len(p))):
+            alpha[j] = np.logaddexp(alpha[j], alpha[j - k - 1] + p[k][j - k - 1])
+    return alpha
+
+
+def backward(p: list[np.ndarray]) -> np.ndarray:
+    """As `forward`, of every suffix: the pieces read from the other end."""
+    n = len(p[0])
+    return forward([x[::-1] for x in p])[::-1] if n else forward(p)
 
 
-def blocks_of(token: str) -> list[str]:
-    """The letters of a token, lower case, with the word mark, in blocks."""
+def letters_of(token: str) -> str:
+    """The letters of a token, lower case, behind the word mark; empty if it has none."""
     word = token.lower()
     if not word.isalpha():
         word = "".join(c for c in word if c.isalpha())
-    if not word:
-        return []
-    word = "▁" + word
-    return [word[i : i + BLOCK] for i in range(0, len(word), BLOCK)]
+    return word and "▁" + word
 
 
 def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, prob: np.ndarray, unknown: float) -> np.ndarray:
     """Expected uses of each piece by language over all segmentations; weights: (words, languages) counts. prob has one column for each language, or one for all."""
     out = np.zeros((len(pieces.pieces), weights.shape[1]))
-    for at in _by_length(words).values():
-        for i in range(0, len(at), 20_000):
-            own = at[i : i + 20_000]
-            grid, n = pieces.lattice([words[x] for x in own])
-            alpha, p = _forward(grid, n, prob, unknown)
-            beta = np.zeros_like(alpha)
-            beta[n] = 1
-            for j in range(n - 1, -1, -1):
-                for k in range(min(n - j, len(p))):
-                    beta[j] += p[k][:, j] * beta[j + k + 1]
-            for k, g in enumerate(grid):
-                for j in range(n - k):
-                    hit = np.flatnonzero(g[:, j] >= 0)
-                    if len(hit):
-                        use = alpha[j, hit] * p[k][hit, j] * beta[j + k + 1, hit] / alpha[n, hit] * weights[np.array(own)[hit]]
-                        for lang in range(weights.shape[1]):
-                            out[:, lang] += np.bincount(g[hit, j], use[:, lang], len(out))
+    for n, own in _groups(words, pieces.longest, weights.shape[1]):
+        grid = pieces.lattice([words[x] for x in own])
+        p = _chances(grid, prob, unknown)
+        alpha, beta = forward(p), backward(p)
+        whole = alpha[n]
+        for k, g in enumerate(grid):
+            at, word = np.nonzero(g >= 0)
+            if len(at):
+                use = np.exp(alpha[at, word] + beta[at + k + 1, word] - whole[word]) * p[k][at, word] * weights[own[word]]
+                piece = g[at, word]
+                for lang in range(weights.shape[1]):
+                    out[:, lang] += np.bincount(piece, use[:, lang], len(out))
     return out
 
 
@@ -142,11 +171,8 @@ class LanguageModel:
 
     def word_scores(self, pieces: Pieces, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
-        for at in _by_length(words).values():
-            for i in range(0, len(at), 20_000):
-                own = at[i : i + 20_000]
-                grid, n = pieces.lattice([words[x] for x in own])
-                out[own] = np.log(_forward(grid, n, self.prob, self.unknown)[0][n])
+        for n, own in _groups(words, pieces.longest, len(self.languages)):
+            out[own] = forward(_chances(pieces.lattice([words[x] for x in own]), self.prob, self.unknown))[n]
         return out
 
     def predictor(self):
@@ -159,11 +185,11 @@ class LanguageModel:
             if len(rows) + len(tokens) > 400_000:
                 rows.clear()
                 held[0] = held[0][:0]
-            parts = [(i, b) for i, t in enumerate(tokens) for b in blocks_of(t)]
-            got = np.zeros((len(tokens), len(self.languages) + 1))
-            if parts:
-                at = np.array([i for i, _ in parts])
-                np.add.at(got, at, np.hstack([self.word_scores(pieces, [b for _, b in parts]), np.ones((len(parts), 1))]))
+            words = [letters_of(t) for t in tokens]
+            got, at = np.zeros((len(tokens), len(self.languages) + 1)), np.flatnonzero([w != "" for w in words])
+            if len(at):
+                got[at, :-1] = self.word_scores(pieces, [words[i] for i in at])
+                got[at, -1] = 1
             rows.update(zip(tokens, range(len(held[0]), len(held[0]) + len(tokens))))
             held[0] = np.vstack([held[0], got])
 
@@ -210,14 +236,15 @@ def fit_language(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_
         pieces, total, bags, first = Pieces(words), np.zeros((v, k)), [Counter() for _ in langs], np.full((v, 1), 1.0 / v)
 
         def add() -> None:
-            blocks: dict[str, np.ndarray] = {}
+            words: dict[str, np.ndarray] = {}
             for i, bag in enumerate(bags):
                 for token, n in bag.items():
-                    for b in blocks_of(token):
-                        blocks.setdefault(b, np.zeros(k))[i] += n
+                    word = letters_of(token)
+                    if word:
+                        words.setdefault(word, np.zeros(k))[i] += n
                 bag.clear()
-            if blocks:
-                total.__iadd__(expected_counts(pieces, list(blocks), np.array(list(blocks.values())), first, 1e-7))
+            if words:
+                total.__iadd__(expected_counts(pieces, list(words), np.array(list(words.values())), first, 1e-7))
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
