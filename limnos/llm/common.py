@@ -44,6 +44,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of a job that end with it: `with Scratch(spark, name) as tables: tables.write(df, "step")`. They are deleted at the end of the block, so what outlives it is written elsewhere first."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes to be no column of df."""
     taken, out = {c.lower() for c in df.columns}, []

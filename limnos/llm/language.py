@@ -89,7 +89,7 @@ def _groups(words: list[str], longest: int, columns: int) -> Iterator[tuple[int,
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for n, at in groups.items():
-        step = max(1, _CELLS // (n * min(n, longest) * columns))
+        step = max(1, _CELLS // (n * min(n, longest) * max(columns, 1)))
         for i in range(0, len(at), step):
             yield n, np.array(at[i : i + step])
 

@@ -1,20 +1,35 @@
 """Line dedup by a suffix array over line ids, built by distributed prefix doubling; DataFrame operations only.
 
-Lines lie one behind another in the order of documents. A class of level k holds the places whose next 2^k lines (within their document)
-are equal; it is named by its first place. Level k + 1 pairs the classes of a place and of the place 2^k on, so names are ranks that double
-their prefix each round; places alone in their class are settled and leave. Nested classes are the longest-common-prefix intervals of the
-suffix array, in the order of first places. For a place that starts a repeat, its common prefix with its class's first place is found by
-stepping down the levels; these maximal repeated runs are deleted, but for their first copy."""
+Lines lie one behind another in the order of documents; each document ends in a sign of its own. The rank of a place at level k is the number
+of suffixes whose first 2^k lines are smaller, so places with equal lines share a rank, and the places of a class take up the positions
+[rank, rank + copies) of the suffix array: the interval of a longest common prefix of 2^k lines or more. Level k + 1 orders the places of
+each interval by the rank of the place 2^k on; places alone in their interval have their final rank and leave. An interval's first copy is its
+smallest place. For a place that starts a repeat, its common prefix with the interval's first copy is found by stepping down the
+levels; these maximal repeated runs are deleted, but for their first copy."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_names, materialize
+from .common import WORD_PATTERN, Scratch, free_names, materialize
+
+#: A class with more than this share of a level's places (and this many) is met by a broadcast table of such classes, at most 1 / share of them.
+_HEAVY, _HEAVY_COPIES = 1 / 4096, 1000
+#: Ends of documents sort before all lines, by place.
+_END = 1 << 62
+
 
+def _ahead(rows: DataFrame, part: str, sums: dict[str, Column]) -> DataFrame:
+    """(part, named sums over all smaller parts): a row for each partition of rows."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(part).agg(*[v.alias(k) for k, v in sums.items()])
+    return totals.select(part, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
 
-def line_ids(docs: DataFrame, id_col: str, text_col: str, words: int | None = None) -> DataFrame:
+
+def line_ids(docs: DataFrame, id_col: str, text_col: str, tables: Scratch, words: int | None = None) -> DataFrame:
     """One row per document: id, own (hash of the text), ids (two 64-bit hashes of each line, as one array of pairs), n, and first: the place of its first line in the order of (id, own), nulls last.
 
     With `words` each pair has `alone` too: whether the line counts as a run by itself, as it has so many words or is the whole text and has one."""
@@ -25,60 +40,130 @@ def line_ids(docs: DataFrame, id_col: str, text_col: str, words: int | None = No
     ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit("line")).alias("g"), *more(x)))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), ids.alias("ids"))
     rows = rows.withColumn("n", F.size("ids")).repartitionByRange(F.col("id").asc_nulls_last(), "own")
-    rows = materialize(rows.withColumn("part", F.spark_partition_id()), "line-ids")
+    rows = tables.write(rows.withColumn("part", F.spark_partition_id()), "ids")
     before = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_last(), "own").rowsBetween(Window.unboundedPreceding, -1)
-    # a place that no line has lies behind each document, so that no common prefix runs on into the next
-    totals = rows.groupBy("part").agg(F.sum(F.col("n") + 1).alias("lines"))  # a row for each partition
-    ahead = totals.alias("x").join(F.broadcast(totals.alias("y")), F.col("y.part") < F.col("x.part"), "left").groupBy(F.col("x.part").alias("part")).agg(F.coalesce(F.sum("y.lines"), F.lit(0)).alias("ahead"))
-    return rows.withColumn("inside", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))).join(F.broadcast(ahead), "part").withColumn("first", F.col("ahead") + F.col("inside")).drop("part", "inside", "ahead")
-
-
-def _classes(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(place, name, left) of the rows that share their key with another; counted before the join, so that a frequent key is summed within tasks."""
-    shared = rows.groupBy(*key).agg(F.min("place").alias("name"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return rows.join(shared.hint("merge"), key).select("place", "name", "left")
-
-
-def _step(level: DataFrame, on: int) -> DataFrame:
-    """The places of a level that are `on` lines before another of the same document, with both names."""
-    later = level.select((F.col("place") - on).alias("place"), F.col("name").alias("then"))
-    return level.where(F.col("left") > on).withColumnRenamed("name", "now").join(later, "place")
-
-
-def repeated_runs(placed: DataFrame, least: int, words: int | None = None) -> DataFrame:
+    # a place that no line has lies behind each document: its end
+    size = F.col("n") + 1
+    ahead = _ahead(rows, "part", {"ahead": F.sum(size)})
+    return rows.withColumn("inside", F.coalesce(F.sum(size).over(before), F.lit(0))).join(F.broadcast(ahead), "part").withColumn("first", F.col("ahead") + F.col("inside")).drop("part", "inside", "ahead")
+
+
+@dataclass
+class Levels:
+    """shared[k]: (place, rank, least, left) of the places in an interval of two suffixes or more at level k, with its rank and its smallest place; settled: (place, rank) of all others, final."""
+
+    shared: list[DataFrame]
+    settled: list[DataFrame]
+
+
+def _level(rows: DataFrame, key: list[str], base: Column, tables: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The next level's (shared, settled) from rows (place, left, key columns): classes in the order of the key; `base` is what a class's running count of smaller rows is moved by, an expression of the key.
+
+    A class is counted before it meets its rows. The few classes that hold a large share of all rows meet them by broadcast, so that no task reads a frequent line's places."""
+    classes = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min("place").alias("least"))
+    classes = tables.write(classes.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), f"{name}-classes")
+    many = F.when(F.col("copies") > 1, F.col("copies")).otherwise(0)
+    inside = Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = _ahead(classes, "part", {"all_": F.sum("copies"), "many_": F.sum(many)})
+    run = lambda c, to: (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(to)).cast("long")
+    ranked = classes.join(F.broadcast(ahead), "part").select(*key, "copies", "least", (run("copies", "all_") + base).alias("rank"), run(many, "many_").alias("smaller"))
+    ranked = tables.write(ranked, f"{name}-ranks")
+    total = ranked.agg(F.sum("copies")).first()[0] or 0
+    heavy = F.col("copies") > max(_HEAVY_COPIES, int(total * _HEAVY))
+    if ranked.where(heavy).isEmpty():
+        both = tables.write(rows.join(ranked.hint("merge"), key).select("place", "left", "copies", "least", "rank", "smaller"), name)
+        return both.where("copies > 1").select("place", "rank", "least", "left", "smaller"), both.where("copies = 1").select("place", "rank")
+    few = ranked.where(heavy).select(*[F.col(c).alias(f"{c}_") for c in key], F.col("copies").alias("c_"), F.col("least").alias("l_"), F.col("rank").alias("r_"), F.col("smaller").alias("s_"))
+    on = [F.col(c) == F.col(f"{c}_") for c in key]
+    met = rows.join(F.broadcast(few), on, "left")
+    hot = met.where("r_ IS NOT NULL").select("place", "left", F.col("c_").alias("copies"), F.col("l_").alias("least"), F.col("r_").alias("rank"), F.col("s_").alias("smaller"))
+    cold = met.where("r_ IS NULL").select("place", "left", *key).join(ranked.where(~heavy).hint("merge"), key).select("place", "left", "copies", "least", "rank", "smaller")
+    both = tables.write(hot.unionByName(cold), name)
+    return both.where("copies > 1").select("place", "rank", "least", "left", "smaller"), both.where("copies = 1").select("place", "rank")
+
+
+def suffix_levels(placed: DataFrame, tables: Scratch) -> Levels:
+    """Prefix doubling until every suffix has a place of its own in the order; each level orders only what the one before left in intervals of two or more."""
+    single = placed.select("first", "n", F.posexplode("ids").alias("at", "h")).select((F.col("first") + F.col("at")).alias("place"), F.col("h.h").alias("h"), F.col("h.g").alias("g"), (F.col("n") - F.col("at")).alias("left"))
+    shared, settled = _level(single, ["h", "g"], F.lit(0), tables, "level-0")
+    out = Levels([shared], [settled])
+    while not out.shared[-1].isEmpty():
+        on = 1 << len(out.shared) - 1
+        now = out.shared[-1]
+        known = now.select("place", "rank")
+        for s in out.settled:
+            known = known.unionByName(s)
+        known = known.select((F.col("place") - on).alias("place"), F.col("rank").alias("then_"))
+        then = F.when(F.col("left") <= on, F.col("place") - _END).otherwise(F.col("then_")).alias("then")
+        rows = now.join(known, "place", "left").select("place", "left", F.col("rank").alias("now"), F.col("smaller").alias("lower"), then)
+        # `lower` rows lie before the interval's in this order; its own move to [now, now + copies)
+        shared, settled = _level(rows, ["now", "lower", "then"], F.col("now") - F.col("lower"), tables, f"level-{len(out.shared)}")
+        out.shared.append(shared)
+        out.settled.append(settled)
+    out.shared.pop()
+    return out
+
+
+def common_prefixes(pairs: DataFrame, levels: Levels, known: str | None = None) -> DataFrame:
+    """pairs (start, source) with `length`: how many lines both suffixes share, stepping down from the highest level. `known` names a column with lines that are known to be shared."""
+    out = pairs.withColumn("length", (F.lit(0) if known is None else F.col(known)).cast("long"))
+    for j in range(len(levels.shared) - 1, -1, -1):
+        a = levels.shared[j].select(F.col("place").alias("pa"), F.col("rank").alias("na"))
+        b = levels.shared[j].select(F.col("place").alias("pb"), F.col("rank").alias("nb"))
+        met = out.join(a, F.col("start") + F.col("length") == F.col("pa"), "left").join(b, F.col("source") + F.col("length") == F.col("pb"), "left")
+        out = met.select(*pairs.columns, (F.col("length") + F.when(F.col("na") == F.col("nb"), 1 << j).otherwise(0)).alias("length"))
+    return out
+
+
+def suffix_array(placed: DataFrame, tables: Scratch) -> DataFrame:
+    """(place, rank, lcp): every place in the order of suffixes, from 0, and how many lines it shares with the suffix before it. Lines are ordered by their hashes, equal suffixes by place."""
+    levels = suffix_levels(placed, tables)
+    order = levels.settled[0]
+    for s in levels.settled[1:]:
+        order = order.unionByName(s)
+    before = order.select((F.col("rank") + 1).alias("rank"), F.col("place").alias("source"))
+    pairs = order.join(before, "rank", "left").select("rank", F.col("place").alias("start"), "source")
+    return common_prefixes(pairs, levels).select(F.col("start").alias("place"), "rank", "length").withColumnRenamed("length", "lcp")
+
+
+def _exact(levels: Levels, least: int, tables: Scratch) -> DataFrame | None:
+    """(place, least, left) of the places whose next `least` lines occur at another place, with the first of those; None if none does."""
+    k = least.bit_length() - 1
+    if len(levels.shared) <= k:
+        return None
+    now = levels.shared[k]
+    if least == 1 << k:
+        return now
+    # two windows of 2^k, overlapping
+    on = least - (1 << k)
+    later = now.select((F.col("place") - on).alias("place"), F.col("rank").alias("then"))
+    rows = now.where(F.col("left") > on).select("place", "left", F.col("rank").alias("now")).join(later, "place")
+    return _level(rows, ["now", "then"], F.lit(0), tables, "exact")[0]
+
+
+def repeated_runs(placed: DataFrame, least: int, tables: Scratch, words: int | None = None) -> DataFrame:
     """(start, length, source): maximal runs of at least `least` lines, from place `start`, that occur from place `source` on, which is earlier; within documents. With `words`, also single lines that count alone."""
-    single = placed.select("first", "n", F.posexplode("ids").alias("at", "h")).select((F.col("first") + F.col("at")).alias("place"), "h", (F.col("n") - F.col("at")).alias("left"))
-    levels = [materialize(_classes(single.select("place", F.col("h.h").alias("h"), F.col("h.g").alias("g"), "left"), ["h", "g"]), "lines-0")]
+    levels = suffix_levels(placed, tables)
     lone = placed.sparkSession.createDataFrame([], "start long, length long, source long")
-    if words is not None:
+    if words is not None and levels.shared:
         by_itself = placed.select("first", F.posexplode("ids").alias("at", "h")).where("h.alone").select((F.col("first") + F.col("at")).alias("place"))
-        lone = levels[0].where(F.col("name") < F.col("place")).join(by_itself, "place").select(F.col("place").alias("start"), F.lit(1).cast("long").alias("length"), F.col("name").alias("source"))
-    while not levels[-1].isEmpty():
-        levels.append(materialize(_classes(_step(levels[-1], 1 << len(levels) - 1), ["now", "then"]), f"lines-{len(levels)}"))
-    levels.pop()
-    k = least.bit_length() - 1
-    if len(levels) <= k:
+        lone = levels.shared[0].where(F.col("least") < F.col("place")).join(by_itself, "place").select(F.col("place").alias("start"), F.lit(1).cast("long").alias("length"), F.col("least").alias("source"))
+    exact = _exact(levels, least, tables)
+    if exact is None:
         return lone
-    # classes of exactly `least` lines: two windows of 2^k, overlapping
-    exact = levels[k] if least == 1 << k else _classes(_step(levels[k], least - (1 << k)), ["now", "then"])
-    copies = exact.where(F.col("name") < F.col("place")).select("place", "name", "left")
+    copies = exact.where(F.col("least") < F.col("place")).select("place", F.col("least").alias("name"), "left")
     # a run starts where the line before is no part of the same repeat
     before = copies.select((F.col("place") + 1).alias("place"), (F.col("name") + 1).alias("was"), (F.col("left") - 1).alias("rest"))
     starts = copies.join(before, "place", "left").where(F.col("was").isNull() | (F.col("was") != F.col("name")) | (F.col("rest") != F.col("left")))
-    runs = materialize(starts.select(F.col("place").alias("start"), F.col("name").alias("source"), F.lit(least).cast("long").alias("length")), "lines-starts")
-    # longest common prefix with the source, stepping down from the highest level
-    for j in range(len(levels) - 1, -1, -1):
-        a = levels[j].select(F.col("place").alias("pa"), F.col("name").alias("na"))
-        b = levels[j].select(F.col("place").alias("pb"), F.col("name").alias("nb"))
-        met = runs.join(a, F.col("start") + F.col("length") == F.col("pa"), "left").join(b, F.col("source") + F.col("length") == F.col("pb"), "left")
-        runs = met.select("start", "source", (F.col("length") + F.when(F.col("na") == F.col("nb"), 1 << j).otherwise(0)).alias("length"))
-    return runs if words is None else runs.unionByName(lone)
+    starts = tables.write(starts.select(F.col("place").alias("start"), F.col("name").alias("source"), F.lit(least).cast("long").alias("held")), "starts")
+    runs = common_prefixes(starts, levels, "held").select("start", "length", "source")
+    return runs if words is None else runs.unionByName(lone.select("start", "length", "source"))
 
 
-def deleted_lines(docs: DataFrame, id_col: str, text_col: str, least: int, words: int | None = None) -> DataFrame:
+def deleted_lines(docs: DataFrame, id_col: str, text_col: str, least: int, tables: Scratch, words: int | None = None) -> DataFrame:
     """(id, own, first, spans): the documents that lose lines, with the sorted, disjoint spans (begin, end) of line numbers that repeats take from them."""
-    placed = materialize(line_ids(docs, id_col, text_col, words), "lines-placed")
-    runs = repeated_runs(placed, least, words)
+    placed = tables.write(line_ids(docs, id_col, text_col, tables, words), "placed")
+    runs = repeated_runs(placed, least, tables, words)
     # a run stays within a document: find it by its first place, in blocks of places
     width = 1 << 10
     per = placed.select("id", "own", "n", "first")
@@ -110,7 +195,8 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int, words:
 
     Equal rows share a key. Where a key has several rows, they are numbered and each takes one of the key's lists; the rows left over lose nothing."""
     lost_id, lost_own, lists, flag, spans, nth_ = free_names(docs, "lost_id", "lost_own", "lists", "several", "spans", "nth")
-    got = materialize(deleted_lines(docs, id_col, text_col, least, words), "lines-lost")
+    with Scratch(docs.sparkSession, "lines") as tables:
+        got = materialize(deleted_lines(docs, id_col, text_col, least, tables, words), "lines-lost")
     own = F.xxhash64(text_col)
     rows = docs.groupBy(F.col(id_col).alias("id"), own.alias("own")).agg(F.count("*").alias("rows"))
     several = rows.where("rows > 1")

@@ -58,16 +58,29 @@ def encode_pgm(pixels: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (w, h) + np.ascontiguousarray(pixels, np.uint8).tobytes()
 
 
+def _channel(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask as 0 to 255; 0 for an empty mask."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return (((values & np.uint32(mask)) >> np.uint32(low)).astype(np.uint64) * 255 // most).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits. Palettes that are all grey give (h, w), colours (h, w, 3) as RGB."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits, with or without channel masks. Palettes that are all grey give (h, w), colours (h, w, 3) as RGB; transparency is left out."""
     if data[:2] != b"BM":
         raise ValueError("no BMP")
     start, size, w, h, _, bits, packed = *struct.unpack_from("<I", data, 10), *struct.unpack_from("<IiiHHI", data, 14)
-    if packed not in (0, 3):
+    if packed not in (0, 3, 6) or bits not in (1, 4, 8, 16, 24, 32) or (packed and bits not in (16, 32)):
         raise ValueError("compressed BMP")
     tall, line = abs(h), (w * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, tall * line, start).reshape(tall, line)
     rows = rows[::-1] if h > 0 else rows
+    if bits == 16 or packed:
+        masks = struct.unpack_from("<III", data, 54) if packed else (0x7C00, 0x03E0, 0x001F)
+        values = np.ascontiguousarray(rows[:, : w * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.uint32)
+        return np.stack([_channel(values, m) for m in masks], axis=2)
     if bits in (24, 32):
         return rows[:, : w * bits // 8].reshape(tall, w, bits // 8)[:, :, 2::-1].copy()
     if bits == 8:

@@ -19,42 +19,52 @@ def vocabulary(name: str) -> str:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as stored image bytes, read back, with their features. Null and empty texts: 64 zero bytes."""
     return media.text_media(_table(spark, sf_dir, "documents"), tiles=False)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from documents whose crc32(doc_id) mod 3 is not 1. Null texts and texts without a letter: und, 0."""
     return language.language_report(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and its edited text, and their likenesses. Null texts are empty ones."""
     return imatch.edit_report(_table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and the components over those within four bits. Texts without words: fingerprint zero, linked like others."""
     return simhash.near_report(_table(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole text, and how many of them lie in runs of two or more that occur earlier. A null text has one empty line."""
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labels whose crc32(doc_id) mod 4 is not 2. Null and empty texts hold no clause."""
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from labels whose crc32(doc_id) mod 4 is not 2. Null and empty texts count as texts without words."""
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and their decoding. Null texts are empty ones."""
     return bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text, and those that windows of 13 words of smaller ids take away. A null text has no words."""
     return substrings.cut_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources takes of every document. A null source is a source; null texts have size 0."""
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, map_batches, materialize, words_of
+from .common import Scratch, free_names, map_batches, materialize, words_of
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Bits of a part that its frequency table is kept for: a table has 2^16 cells whatever the corpus.
@@ -223,26 +223,29 @@ def links(prints: DataFrame, threshold: int = 4, plan: Plan | None = None) -> Da
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node (by the order of longs) that can be reached, for every node of an edge (a, b).
 
-    Alternates large-star and small-star steps over written tables; a round's hubs are summed by partial aggregation, never gathered."""
-    e = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    was = None
-    for _ in range(most_rounds):
-        # large star: neighbours above a node link to its smallest neighbour
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        e = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        # small star: a node and those below it link to the smallest of them
-        least = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        j = e.join(least, F.col("a") == F.col("k"))
-        e = materialize(j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if now == was:
-            return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        was = now
-    raise RuntimeError("components did not settle")
+    Alternates large-star and small-star steps over written tables until nothing changes, in a number of rounds that grows with the logarithm of the longest path;
+    a round's hubs are summed by partial aggregation, never gathered. The result is a table; those of the rounds are deleted."""
+    with Scratch(edges.sparkSession, "edges") as tables:
+        e = tables.write(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "given")
+        was = None
+        while True:
+            # large star: neighbours above a node link to its smallest neighbour
+            both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+            e = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+            # small star: a node and those below it link to the smallest of them
+            least = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+            j = e.join(least, F.col("a") == F.col("k"))
+            e = tables.write(j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "round")
+            now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+            if now == was:
+                break
+            was = now
+        roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        return materialize(roots, "components")
 
 
 def hex16(fp: Column) -> Column:
