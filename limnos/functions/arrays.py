@@ -24,12 +24,38 @@ def resize_bilinear(patch: Column, h: int, w: int, n: int = 32) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), entry)
 
 
+def normalise_channels(patch: Column, offsets: list[float], scales: list[float], corrupted: list[int]) -> Column:
+    """As `normalise` with an offset and a scale for each channel (channels innermost); entries of corrupted channels are 0."""
+    n = len(offsets)
+    offset, scale = F.array(*map(F.lit, offsets)), F.array(*map(F.lit, scales))
+    bad = lambda x, c: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | c.isin(corrupted)
+    return F.transform(patch, lambda x, i: F.when(bad(x, i % n), F.lit(0.0)).otherwise((x - F.get(offset, i % n)) / F.get(scale, i % n)))
+
+
 def normalise(patch: Column, offset: float, scale: float) -> Column:
     """(x - offset) / scale; null, NaN and infinite entries become 0."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return F.transform(patch, lambda x: F.when(bad(x), F.lit(0.0)).otherwise((x - offset) / scale))
 
 
+def crop_pad(patch: Column, h: int, w: int, n: int, fill: float = 0.0) -> Column:
+    """The n x n entries around the centre of an h x w patch; what lies beyond its edge is `fill`. Offsets round down, as integer halves do."""
+    dy, dx = (h - n) // 2 if h >= n else -((n - h) // 2), (w - n) // 2 if w >= n else -((n - w) // 2)
+
+    def entry(k: Column) -> Column:
+        y, x = F.floor(k / n) + dy, k % n + dx
+        inside = y.between(0, h - 1) & x.between(0, w - 1)
+        return F.when(inside, F.get(patch, (y * w + x).cast("int")).cast("double")).otherwise(F.lit(fill))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), entry)
+
+
+def valid_patch(patch: Column, low: float, high: float) -> tuple[Column, Column]:
+    """(patch or null, mask 1 or 0): a patch counts if all its entries are numbers in [low, high]."""
+    ok = F.coalesce(F.forall(patch, lambda x: x.isNotNull() & ~F.isnan(x) & x.between(low, high)), F.lit(False))
+    return F.when(ok, patch), ok.cast("int")
+
+
 def cell_windows(anchors: DataFrame, cells: DataFrame, key: str, value: str, half: int) -> DataFrame:
     """For each anchor (key, gy, gx) the (2 half + 1)^2 cell values around it, row by row: `patch` (null beyond the edge) and `mask`. Cells: gy, gx, value."""
     step = F.sequence(F.lit(-half), F.lit(half))
@@ -38,8 +64,9 @@ def cell_windows(anchors: DataFrame, cells: DataFrame, key: str, value: str, hal
     return got.select(key, F.transform("a", lambda x: x["v"]).alias("patch"), F.transform("a", lambda x: x["v"].isNotNull().cast("int")).alias("mask"))
 
 
-def on_calendar(daily: DataFrame, key: str, date: str, value: str, first: str, last: str) -> DataFrame:
-    """Every key on every day from first to last with `value` (0 if missing) and `mask`."""
-    days = daily.select(key).distinct().withColumn(date, F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))))
+def on_calendar(daily: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """Every key on every day of the years that the table spans, with `value` (0 if missing) and `mask`. Null dates take no part."""
+    span = daily.agg(F.trunc(F.min(date), "year").alias("a_"), F.date_sub(F.add_months(F.trunc(F.max(date), "year"), 12), 1).alias("z_"))  # one row
+    days = daily.select(key).distinct().join(F.broadcast(span)).where("a_ IS NOT NULL").select(key, F.explode(F.sequence("a_", "z_")).alias(date))
     out = days.join(daily.select(key, date, value), [key, date], "left")
     return out.select(key, date, F.coalesce(value, F.lit(0.0)).alias(value), F.col(value).isNotNull().cast("int").alias("mask"))

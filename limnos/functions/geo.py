@@ -41,13 +41,56 @@ def transverse_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return _K0 * scale * east + _E0, _K0 * scale * north + _N0
 
 
+def inverse_transverse_mercator(easting: Column, northing: Column) -> tuple[Column, Column]:
+    """(lat, lon) in degrees from EPSG:3006, by the inverse series."""
+    e2 = _F * (2 - _F)
+    n = _F / (2 - _F)
+    scale = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    xi, eta = (northing - _N0) / (_K0 * scale), (easting - _E0) / (_K0 * scale)
+    delta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    x, y = xi, eta
+    for i, k in enumerate(delta, 1):
+        x = x - k * F.sin(2 * i * xi) * F.cosh(2 * i * eta)
+        y = y - k * F.cos(2 * i * xi) * F.sinh(2 * i * eta)
+    conf = F.asin(F.sin(x) / F.cosh(y))
+    a, b = e2 + e2**2 + e2**3 + e2**4, -(7 * e2**2 + 17 * e2**3 + 30 * e2**4) / 6
+    c, d = (224 * e2**3 + 889 * e2**4) / 120, -(4279 * e2**4) / 1260
+    s2 = F.pow(F.sin(conf), 2)
+    lat = conf + F.sin(conf) * F.cos(conf) * (a + b * s2 + c * F.pow(s2, 2) + d * F.pow(s2, 3))
+    return F.degrees(lat), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + _LON0
+
+
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """The point of the unit sphere."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)
+
+
 def rotate_pole(lat: Column, lon: Column, pole_lat: float, pole_lon: float) -> tuple[Column, Column]:
     """Coordinates on a grid whose south pole lies at (pole_lat, pole_lon): (rotated lat, rotated lon) in degrees."""
-    t, p = F.lit(math.radians(90 + pole_lat)), math.radians(pole_lon)
-    la, lo = F.radians(lat), F.radians(lon) - p
+    return _turned(lat, lon, math.radians(90 + pole_lat), math.radians(pole_lon), 0.0)
+
+
+def unrotate_pole(rlat: Column, rlon: Column, pole_lat: float, pole_lon: float) -> tuple[Column, Column]:
+    """The inverse of `rotate_pole`: (lat, lon) in degrees."""
+    return _turned(rlat, rlon, -math.radians(90 + pole_lat), 0.0, math.radians(pole_lon))
+
+
+def _turned(lat: Column, lon: Column, t: float, before: float, after: float) -> tuple[Column, Column]:
+    """Turned by `t` about the axis through the equator at 90 degrees east, longitudes shifted before and after."""
+    la, lo = F.radians(lat), F.radians(lon) - before
     x, y, z = F.cos(lo) * F.cos(la), F.sin(lo) * F.cos(la), F.sin(la)
-    xr, zr = F.cos(t) * x + F.sin(t) * z, -F.sin(t) * x + F.cos(t) * z
-    return F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), zr)))), F.degrees(F.atan2(y, xr))
+    xr, zr = F.lit(math.cos(t)) * x + F.lit(math.sin(t)) * z, F.lit(-math.sin(t)) * x + F.lit(math.cos(t)) * z
+    return F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), zr)))), F.degrees(F.atan2(y, xr) + after)
+
+
+def rotated_cell(lat: Column, lon: Column, pole_lat: float, pole_lon: float, first: tuple[float, float], step: float, shape: tuple[int, int]) -> dict[str, Column]:
+    """The nearest cell of a rotated-pole grid: its row and column from the cell at `first` (rotated lat, lon), clipped to the grid; the cell's own lat and lon; metres from the point to it."""
+    rlat, rlon = rotate_pole(lat, lon, pole_lat, pole_lon)
+    index = lambda x, at, n: F.least(F.greatest(F.round((x - at) / step), F.lit(0)), F.lit(n - 1)).cast("int")
+    row, col = index(rlat, first[0], shape[0]), index(rlon, first[1], shape[1])
+    cell_lat, cell_lon = unrotate_pole(first[0] + row * step, first[1] + col * step, pole_lat, pole_lon)
+    return {"row": row, "col": col, "cell_lat": cell_lat, "cell_lon": cell_lon, "dist": haversine(lat, lon, cell_lat, cell_lon)}
 
 
 def laea(lat: Column, lon: Column) -> tuple[Column, Column]:
@@ -67,5 +110,11 @@ def laea(lat: Column, lon: Column) -> tuple[Column, Column]:
     return 4321000 + d * k * F.cos(b) * F.sin(dl), 3210000 + k / d * (math.cos(b0) * F.sin(b) - math.sin(b0) * F.cos(b) * F.cos(dl))
 
 
+def year_span(year: Column, years: int) -> Column:
+    """Label of the period of so many years that a year lies in: first-last."""
+    first = F.floor(year / years) * years
+    return F.concat_ws("-", first.cast("string"), (first + years - 1).cast("string"))
+
+
 def season(month: Column) -> Column:
     return F.when(month.between(3, 5), "MAM").when(month.between(6, 8), "JJA").when(month.between(9, 11), "SON").when(month.isNotNull(), "DJF")

@@ -96,16 +96,28 @@ def trophic_class(tp: Column) -> Column:
 
 
 def band_turbidity(nir: Column) -> Column:
-    return clip(610 * nir / clip(1 - nir / 0.194, 0.05), 0.0, 500.0)
+    """Near-infrared below 0 counts as 0."""
+    x = clip(nir, 0.0)
+    return clip(610 * x / clip(1 - x / 0.194, 0.05), 0.0, 500.0)
+
+
+def blue_green(blue: Column, green: Column) -> Column:
+    """The ratio of reflectances, each 1e-6 at least."""
+    return clip(blue, 1e-6) / clip(green, 1e-6)
+
+
+def negative_blue(blue: Column) -> Column:
+    """1 where the correction went too far: blue reflectance below 0."""
+    return F.coalesce(blue < 0, F.lit(False)).cast("int")
 
 
 def band_chla(blue: Column, green: Column) -> Column:
-    r = F.log10(F.when((blue > 0) & (green > 0), blue / green))
+    r = F.log10(blue_green(blue, green))
     return clip(F.pow(F.lit(10.0), 0.366 - 3.067 * r + 1.930 * r * r + 0.649 * r * r * r), 0.01, 500.0)
 
 
 def band_cdom(blue: Column, green: Column) -> Column:
-    return clip(-0.5 * F.ln(F.when((blue > 0) & (green > 0), blue / green)), 0.0, 20.0)
+    return clip(-0.5 * F.ln(blue_green(blue, green)), 0.0, 20.0)
 
 
 def band_secchi(turbidity: Column) -> Column:
@@ -130,7 +142,15 @@ def cross_ratio(vh_db: Column, vv_db: Column) -> Column:
 
 
 def ice_flag(mean_db: Column, std_db: Column) -> Column:
-    return F.coalesce((mean_db > -10) & (std_db < 2), F.lit(False))
+    """Bright and even: ice. Without a deviation (null or NaN) brightness decides; a null mean is none."""
+    return F.coalesce(mean_db > -10, F.lit(False)) & (std_db.isNull() | F.isnan(std_db) | (std_db < 2))
+
+
+def colour_class(colour: Column, left_closed: bool = False) -> Column:
+    """clear, coloured, humic with edges at 30 and 100: right-closed, or left-closed."""
+    if left_closed:
+        return F.when(colour < 30, "clear").when(colour < 100, "coloured").when(colour.isNotNull(), "humic")
+    return F.when((colour > 0) & (colour <= 30), "clear").when((colour > 30) & (colour <= 100), "coloured").when(colour > 100, "humic")
 
 
 def snow_water(depth_m: Column) -> Column:
@@ -146,8 +166,9 @@ def any_flag(*flags: Column) -> Column:
 
 
 def row_score(weather: Column, satellite: Column) -> Column:
-    """3: both, 2: weather only, 1: satellite only, 0: none."""
-    return F.when(weather & satellite, 3).when(weather, 2).when(satellite, 1).otherwise(0)
+    """0: both (complete), 1: weather only, 2: satellite only, 3: neither. Null counts as not there."""
+    w, s = F.coalesce(weather, F.lit(False)), F.coalesce(satellite, F.lit(False))
+    return F.when(w & s, 0).when(w, 1).when(s, 2).otherwise(3)
 
 
 def water_type(blue: Column, red: Column, nir: Column, chla: Column) -> Column:

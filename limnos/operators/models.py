@@ -53,6 +53,53 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, kind:
     return out
 
 
+def station_floor(df: DataFrame, key: str, fold: str, order: str, label: str, folds: int = 5) -> DataFrame:
+    """df with `prediction`: the last label of the row's key in the training order (a unique number) among the other folds, else the mean of the other folds. Rows with a null label teach nothing."""
+    known = df.where(F.col(label).isNotNull())
+    last = known.groupBy(key, fold).agg(F.max(F.struct(order, label)).alias("last_"))
+    others = last.withColumn("to_", F.explode(F.array(*map(F.lit, range(folds))))).where(F.col("to_") != F.col(fold))
+    best = others.groupBy(key, F.col("to_").alias(fold)).agg(F.max("last_")[label].alias("own_"))
+    sums = known.groupBy(fold).agg(F.sum(label).alias("s_"), F.count("*").alias("c_"))  # a row for each fold
+    to = sums.withColumn("to_", F.explode(F.array(*map(F.lit, range(folds))))).where(F.col("to_") != F.col(fold))
+    means = to.groupBy(F.col("to_").alias(fold)).agg((F.sum("s_") / F.sum("c_")).alias("mean_"))
+    out = df.join(best, [key, fold], "left").join(F.broadcast(means), fold, "left")
+    return out.withColumn("prediction", F.coalesce("own_", "mean_")).drop("own_", "mean_")
+
+
+def rolling_roles(df: DataFrame, year: str, windows: list[tuple[str, int, int, int, int]], least: tuple[int, int] = (50, 10)) -> DataFrame:
+    """df's rows once for each window (name, first and last year to train on, first and last to test on) that they take part in, with `win` and `role`; windows with fewer rows than `least` in a role go."""
+    spark = df.sparkSession
+    w = spark.createDataFrame(windows, "win string, a_ int, b_ int, c_ int, d_ int")
+    y = F.col(year)
+    role = F.when(y.between(F.col("a_"), F.col("b_")), "train").when(y.between(F.col("c_"), F.col("d_")), "test")
+    rows = df.join(F.broadcast(w), y.between(F.col("a_"), F.col("b_")) | y.between(F.col("c_"), F.col("d_"))).withColumn("role", role).drop("a_", "b_", "c_", "d_")
+    n = rows.groupBy("win").agg(F.count(F.when(F.col("role") == "train", 1)).alias("t_"), F.count(F.when(F.col("role") == "test", 1)).alias("v_"))
+    return rows.join(F.broadcast(n.where((F.col("t_") >= least[0]) & (F.col("v_") >= least[1])).select("win")), "win")
+
+
+def rolling_floor(rows: DataFrame, key: str, order: str, label: str) -> DataFrame:
+    """The test rows of `rolling_roles` with `prediction`: the last label of the key in the window's training order, else the training mean."""
+    train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
+    own = train.groupBy("win", key).agg(F.max_by(label, order).alias("own_"))
+    mean = train.groupBy("win").agg(F.avg(label).alias("mean_"))
+    out = test.join(own, ["win", key], "left").join(F.broadcast(mean), "win")
+    return out.withColumn("prediction", F.coalesce("own_", "mean_")).drop("own_", "mean_")
+
+
+def rolling_origin(df: DataFrame, features: list[str], label: str, year: str, kinds: list[str], windows: list[tuple[str, int, int, int, int]], least: tuple[int, int] = (50, 10), **opts) -> DataFrame:
+    """rmse, r2, mae, n on the original scale (labels are log1p) for each model and window: fitted on the window's training years, scored on its test years. A Spark job for each fit."""
+    rows = rolling_roles(df.where(F.col(label).isNotNull()), year, windows, least)
+    names = [r["win"] for r in rows.select("win").distinct().collect()]  # a row for each window
+    out = None
+    for name in sorted(names):
+        own = rows.where(F.col("win") == name)
+        for kind in kinds:
+            p = fit(own.where("role = 'train'"), features, label, kind, **opts).transform(own.where("role = 'test'"))
+            p = p.select(F.expm1(label).alias("y_"), F.expm1("prediction").alias("p_")).agg(*stats.metrics("y_", "p_")).select(F.lit(name).alias("win"), F.lit(kind).alias("model"), "*")
+            out = p if out is None else out.unionByName(p)
+    return out if out is not None else df.sparkSession.createDataFrame([], "win string, model string, rmse double, r2 double, mae double, n long")
+
+
 def ablation(df: DataFrame, tiers: dict[str, list[str]], kinds: list[str], label: str, fold: str, **opts) -> DataFrame:
     """rmse, r2, mae, n of out-of-fold predictions for each tier of features and kind of model."""
     rows = [out_of_fold(df, fs, label, fold, k, **opts).agg(*stats.metrics(label, "prediction")).select(F.lit(t).alias("tier"), F.lit(k).alias("model"), "*") for t, fs in tiers.items() for k in kinds]
@@ -83,9 +130,11 @@ def fourier_features(df: DataFrame, features: list[str], dims: int = 2048, gamma
     return df.withColumn("fourier", project(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])))
 
 
-def fourier_ridge(df: DataFrame, features: list[str], label: str, fold: str, alpha: float = 1.0, folds: int = 5, **opts) -> DataFrame:
-    """As `out_of_fold` with ridge on Fourier features, 4096 at most (normal equations)."""
-    d = fourier_features(df, features, **opts).withColumn("features_", array_to_vector("fourier")).where(F.col(label).isNotNull())
+def fourier_ridge(df: DataFrame, features: list[str], label: str, fold: str, alpha: float = 1.0, folds: int = 5, tabular: list[str] | None = None, **opts) -> DataFrame:
+    """As `out_of_fold` with ridge on Fourier features and, beside them, the `tabular` columns (missing ones count as 0), 4096 in all at most (normal equations)."""
+    d = fourier_features(df, features, **opts).where(F.col(label).isNotNull())
+    beside = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in tabular or []]).cast("array<double>")
+    d = d.withColumn("features_", array_to_vector(F.concat("fourier", beside)))
     out = None
     for k in range(folds):
         train = d.where(F.col(fold) != k)

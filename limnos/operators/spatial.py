@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine, unit_vector
+from ..sources.sinks import scratch
+
 
 def _cells(df: DataFrame, x: str, y: str, size: float, ring: int = 0) -> DataFrame:
     """cx, cy of the point's cell, and with ring of the cells around it."""
@@ -36,6 +41,16 @@ def idw(cells: DataFrame, stations: DataFrame, cell: str, station: str, value: s
     return cells.select(cell).join(agg, cell, "left").select(cell, "idw", F.coalesce("n_stations", F.lit(0)).alias("n_stations"))
 
 
+def idw_layers(cells: DataFrame, stations: DataFrame, values: DataFrame, cell: str, station: str, layer: list[str], value: str, radius: float = 50_000.0, k: int = 12, power: float = 2.0) -> DataFrame:
+    """As `idw` for every layer of values (station, layer columns, value), which share one search: (cell, layer columns, idw, n_stations); cells without a station in a layer have no row there."""
+    met = pairs_within(cells, stations, radius).select(cell, station, "dist").join(values.where(F.col(value).isNotNull()), station)
+    w = Window.partitionBy(cell, *layer).orderBy("dist", station)
+    got = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 20))
+    hit = F.when(F.col("dist") == 0, F.col(value))
+    wt = F.when((F.col("rank") <= k) & (F.col("dist") > 0), F.pow("dist", F.lit(-power)))
+    return got.groupBy(cell, *layer).agg(F.coalesce(F.avg(hit), F.sum(wt * F.col(value)) / F.sum(wt)).alias("idw"), F.count("*").alias("n_stations"))
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float) -> DataFrame:
     """(point, polygon) with the point inside, by the parity of edges crossed to the right. edges: polygon, x1, y1, x2, y2. Polygons cover the cells of their bounding boxes."""
     box = edges.groupBy(polygon).agg(F.min(F.least("x1", "x2")).alias("x0_"), F.max(F.greatest("x1", "x2")).alias("x9_"), F.min(F.least("y1", "y2")).alias("y0_"), F.max(F.greatest("y1", "y2")).alias("y9_"))
@@ -55,6 +70,59 @@ def knn_graph(points: DataFrame, key: str, radius: float, k: int = 8) -> DataFra
     return both.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("src")))
 
 
+def nearest_on_sphere(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1) -> DataFrame:
+    """(key, other, dist, rank): for every key (key, lat, lon) the k nearest of right (other, rlat, rlon), in metres, however far; all of right if it has fewer than k. Ranked by millimetres, then by `other`. Keys are unique; rows with a null coordinate take no part.
+
+    Rings grow: points share cells of a grid in space with the 26 around; what lies within a cell's width is then complete. Keys whose k-th
+    neighbour is farther meet again in cells four times as wide. Of points in one place only the k first ids can be neighbours. A round is written as a table."""
+    spark = left.sparkSession
+    place = Window.partitionBy("rlat", "rlon").orderBy(other)
+    points = right.select(other, "rlat", "rlon").where("rlat IS NOT NULL AND rlon IS NOT NULL").withColumn("n_", F.row_number().over(place)).where(F.col("n_") <= k).drop("n_")
+    n = points.count()
+    k = min(k, n)
+    xyz = lambda lat, lon: dict(zip(("x_", "y_", "z_"), unit_vector(F.col(lat), F.col(lon))))
+    open_ = left.select(key, "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(xyz("lat", "lon"))
+    points = points.withColumns(xyz("rlat", "rlon"))
+    done = None
+    width = min(2.0, max(1e-5, 2 * math.sqrt(k / max(n, 1))))
+    while True:
+        cell = {c: F.floor(F.col(c[0] + "_") / width) for c in ("xc", "yc", "zc")}
+        near = open_.withColumns(cell)
+        for c in ("xc", "yc", "zc"):
+            near = near.withColumn("d_", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("d_")).drop("d_")
+        met = near.drop("x_", "y_", "z_").join(points.withColumns(cell).drop("x_", "y_", "z_"), ["xc", "yc", "zc"])
+        met = met.select(key, other, haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")).alias("dist"))
+        top = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.round("dist", 3), other))).where(F.col("rank") <= k)
+        # a chord of `width` is an arc of at least as many earth radii; a millimetre stands back for rounding
+        reach = width * 6_371_000.0 - 0.001 if width < 2 else float("inf")
+        top = top.withColumn("full_", F.max(F.when(F.col("rank") == k, F.col("dist"))).over(Window.partitionBy(key)) <= reach)
+        path = scratch(spark, "nearest")
+        top.where("full_").drop("full_").write.parquet(path)
+        got = spark.read.parquet(path)
+        done = got if done is None else done.unionByName(got)
+        if width >= 2 or not k:
+            return done
+        open_ = open_.join(got.select(key).distinct(), key, "left_anti")
+        if open_.isEmpty():
+            return done
+        width = min(2.0, width * 4)
+
+
+def neighbour_graph(points: DataFrame, key: str, k: int = 8) -> DataFrame:
+    """Symmetric edges (src, dst, weight) to the k nearest other points (key, lat, lon) on the sphere, however far; weights are 1 over a node's degree."""
+    other = points.select(F.col(key).alias("dst"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    near = nearest_on_sphere(points.select(F.col(key).alias("src"), "lat", "lon"), other, "src", "dst", k + 1).where("src <> dst")
+    # a point is one of its own k + 1 nearest, but where more than k others share its place
+    top = near.withColumn("r_", F.row_number().over(Window.partitionBy("src").orderBy("rank"))).where(F.col("r_") <= k).select("src", "dst")
+    both = top.unionByName(top.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return both.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("src")))
+
+
+def polygons_with_points(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float) -> DataFrame:
+    """(polygon) of those that hold a point at least."""
+    return points_in_polygons(points, edges, point, polygon, size).select(polygon).distinct()
+
+
 def nearest_line(points: DataFrame, segments: DataFrame, point: str, line: str, far: float, size: float) -> DataFrame:
     """(point, line, dist): the nearest line at most `far` away, the smaller line on ties. segments: line, x1, y1, x2, y2; each covers the cells of its box grown by `far`."""
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - far) / size), F.floor((F.greatest(a, b) + far) / size)))

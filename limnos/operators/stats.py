@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,40 +27,112 @@ def metrics(y: str, yhat: str, least: int = 5) -> list[Column]:
     return [ok(F.sqrt(F.avg(e * e))).alias("rmse"), ok(1 - F.sum(e * e) / F.nullif(F.var_pop(F.when(e.isNotNull(), F.col(y))) * n, F.lit(0.0))).alias("r2"), ok(F.avg(F.abs(e))).alias("mae"), n.alias("n")]
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Column, levels: list[float]) -> DataFrame:
+    """(keys, level, q): the value whose place in ascending order, from 1, is `wanted`, an expression of n_ (the key's rows) and level. From running counts: no task orders a whole key."""
+    c = running_counts(df, value, {"n": F.count("*")}, keys=keys)
+    total = c.groupBy(*keys).agg(F.sum("n").alias("n_"))
+    at = total.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("want_", wanted)  # a row for each key and level
+    got = c.join(F.broadcast(at), keys) if keys else c.join(F.broadcast(at), F.lit(True))
+    return got.where((F.col("n_to") >= F.col("want_")) & (F.col("n_to") - F.col("n") < F.col("want_"))).select(*keys, "level", F.col(value).alias("q"))
+
+
 def conformal_widths(scores: DataFrame, keys: list[str], score: str, levels: list[float]) -> DataFrame:
-    """The order statistic of each level by key: of n scores, 'higher' at ceil((n + 1) level) / n."""
-    w = Window.partitionBy(*keys)
-    ranked = scores.withColumn("n_", F.count("*").over(w)).withColumn("r_", F.row_number().over(w.orderBy(score)))
-    at = ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    """The order statistic of each level by key: of n scores, 'higher' at ceil((n + 1) level) / n. Keys are few: a row for each is broadcast."""
     q = F.least(F.lit(1.0), F.ceil((F.col("n_") + 1) * F.col("level")) / F.col("n_"))
-    return at.where(F.col("r_") == F.ceil(q * (F.col("n_") - 1)) + 1).select(*keys, "level", F.col(score).alias("q"))
+    return order_statistics(scores, keys, score, F.ceil(q * (F.col("n_") - 1)) + 1, levels)
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column for each named share): exact percentiles, linear between places, by key, from running counts: no task holds a key's values. Nulls take no part; keys are few, and those without a value go."""
+    c = running_counts(df, value, {"n": F.count("*")}, keys=keys)
+    n = c.groupBy(*keys).agg(F.sum("n").alias("n_"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares.values())])
+    at = n.withColumn("s_", F.explode(places)).select(*keys, F.col("s_.i").alias("i_"), (F.col("s_.p") * (F.col("n_") - 1)).alias("at_"))  # a row for each key and share
+    low, high = F.floor("at_") + 1, F.ceil("at_") + 1
+    covers = lambda x: (F.col("n_to") >= x) & (F.col("n_to") - F.col("n") < x)
+    met = (c.join(F.broadcast(at), keys) if keys else c.join(F.broadcast(at), F.lit(True))).where(covers(low) | covers(high))
+    v = F.col(value).cast("double")
+    ends = met.groupBy(*keys, "i_", "at_").agg(F.max(F.when(covers(low), v)).alias("a_"), F.max(F.when(covers(high), v)).alias("b_"))
+    q = F.col("a_") + (F.col("b_") - F.col("a_")) * (F.col("at_") - F.floor("at_"))
+    pick = [F.max(F.when(F.col("i_") == i, q)).alias(name) for i, name in enumerate(shares)]
+    return ends.groupBy(*keys).agg(*pick)
+
+
+def t_probability(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t, for rows of statistics: the incomplete beta integral by its continued fraction."""
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.nan if pd.isna(a) or pd.isna(b) or b <= 0 else _beta_share(b / 2, 0.5, b / (b + a * a)) for a, b in zip(t, n)])
+
+    return F.nanvl(p(t.cast("double"), df.cast("double")), F.lit(None).cast("double"))
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta integral."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # Lentz's evaluation
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    out = d
+    for m in range(1, 400):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + k * d or 1e-300), 1 + k / c or 1e-300
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return front * out
 
 
 def winkler(y: Column, low: Column, high: Column, alpha: Column) -> Column:
     return high - low + 2 / alpha * (F.greatest(low - y, F.lit(0.0)) + F.greatest(y - high, F.lit(0.0)))
 
 
+def global_rank(df: DataFrame, order: str, tie: str) -> DataFrame:
+    """df with `rank_`: its place from 1 in the order of a number, ties by another; (order, tie) is unique. From running counts: no task orders all rows. Rows with a null order go."""
+    a = running_counts(df, order, {"a": F.count("*")}).select(order, (F.col("a_to") - F.col("a")).alias("ahead_"))
+    b = running_counts(df.where(F.col(order).isNotNull()), tie, {"b": F.count("*")}, keys=[order]).select(order, tie, F.col("b_to").alias("inside_"))
+    return df.join(b, [order, tie]).join(a, order).withColumn("rank_", F.col("ahead_") + F.col("inside_")).drop("ahead_", "inside_")
+
+
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """fold of each group: groups in the order of size (then name) dealt back and forth over the folds; a group never straddles. The order is ranked over the table of groups."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n_"))
-    r = F.row_number().over(Window.orderBy(F.desc("n_"), group)) - 1
-    sizes = sizes.withColumn("r_", r)
-    at = F.col("r_") % folds
-    return sizes.select(group, F.when(F.floor(F.col("r_") / folds) % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"), F.col("n_").alias("n_rows"))
+    """fold of each group: groups in the order of size (then name, a number) dealt back and forth over the folds; a group never straddles."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n_rows")).withColumn("less_", -F.col("n_rows"))
+    r = F.col("rank_") - 1
+    at = r % folds
+    return global_rank(sizes, "less_", group).select(group, F.when(F.floor(r / folds) % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"), "n_rows")
 
 
-def running_counts(df: DataFrame, value: str, counts: dict[str, Column], buckets: int = 128) -> DataFrame:
-    """One row for each distinct value with the named aggregates and, as `{name}_to`, their running sums in the order of the value. Null values go.
+def rolling_median(df: DataFrame, order: str, tie: str, value: str, rows: int = 200, least: int = 20, block: int = 4096) -> DataFrame:
+    """df with `median`, of the value over a row and the `rows` - 1 before it in one order over all rows; null where there are fewer than `least`.
+
+    Rows are ranked by running counts and cut into blocks; a block takes the last rows of the one before it along."""
+    at = global_rank(df, order, tie).withColumn("block_", F.floor((F.col("rank_") - 1) / block))
+    after = at.where((F.col("rank_") - 1) % block > block - rows).withColumn("block_", F.col("block_") + 1)
+    both = at.withColumn("own_", F.lit(True)).unionByName(after.withColumn("own_", F.lit(False)))
+    w = Window.partitionBy("block_").orderBy("rank_").rowsBetween(1 - rows, 0)
+    median = F.when(F.count(value).over(w) >= least, F.percentile(value, 0.5).over(w))
+    return both.withColumn("median", median).where("own_").drop("own_", "block_", "rank_")
+
+
+def running_counts(df: DataFrame, value: str, counts: dict[str, Column], buckets: int = 128, keys: list[str] | None = None) -> DataFrame:
+    """One row for each distinct value (a number) with the named aggregates and, as `{name}_to`, their running sums in the order of the value; with `keys` within each key. Null values go.
 
     Values are cut into `buckets` ranges of about as many distinct values each: sums run inside a range, and over the table of ranges, so that no task orders all values."""
-    c = df.where(F.col(value).isNotNull()).groupBy(value).agg(*[v.alias(k) for k, v in counts.items()])
-    cuts = sorted(set(c.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.002)))
-    c = c.withColumn("b_", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda k: k < F.col(value))) if cuts else F.lit(0))
-    before = Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
-    tot = c.groupBy("b_").agg(*[F.sum(k).alias(f"{k}_b") for k in counts])
-    base = tot.select("b_", *[F.coalesce(F.sum(f"{k}_b").over(before), F.lit(0)).alias(f"{k}_0") for k in counts])
-    inside = Window.partitionBy("b_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return c.join(F.broadcast(base), "b_").select(value, *counts, *[(F.col(f"{k}_0") + F.sum(k).over(inside)).alias(f"{k}_to") for k in counts])
+    keys = keys or []
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[v.alias(k) for k, v in counts.items()])
+    c = c.withColumn("v_", F.col(value).cast("double"))
+    cuts = sorted(set(c.approxQuantile("v_", [i / buckets for i in range(1, buckets)], 0.002)))
+    c = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="v_", outputCol="b_", handleInvalid="keep").transform(c).drop("v_")
+    before = Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    tot = c.groupBy(*keys, "b_").agg(*[F.sum(k).alias(f"{k}_b") for k in counts])  # at most `buckets` rows a key
+    base = tot.select(*keys, "b_", *[F.coalesce(F.sum(f"{k}_b").over(before), F.lit(0)).alias(f"{k}_0") for k in counts])
+    inside = Window.partitionBy(*keys, "b_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    base = base if keys else F.broadcast(base)
+    return c.join(base, [*keys, "b_"]).select(*keys, value, *counts, *[(F.col(f"{k}_0") + F.sum(k).over(inside)).alias(f"{k}_to") for k in counts])
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column, least: int = 10) -> DataFrame:
@@ -72,13 +149,18 @@ def mann_whitney(df: DataFrame, value: str, first: Column, least: int = 10) -> D
 
 
 def pooled_widths(scores: DataFrame, score: str, levels: list[float]) -> DataFrame:
-    """As `conformal_widths` over all rows together, from running counts of the distinct scores."""
-    c = running_counts(scores, score, {"n": F.count("*")})
-    n = c.agg(F.sum("n").alias("all_"))
-    at = n.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    q = F.least(F.lit(1.0), F.ceil((F.col("all_") + 1) * F.col("level")) / F.col("all_"))
-    want = at.withColumn("want_", F.ceil(q * (F.col("all_") - 1)) + 1)  # a row for each level
-    return c.join(F.broadcast(want), (F.col("n_to") >= F.col("want_")) & (F.col("n_to") - F.col("n") < F.col("want_"))).select("level", F.col(score).alias("q"))
+    """As `conformal_widths` over all rows together."""
+    return conformal_widths(scores, [], score, levels)
+
+
+def calibration_cut(df: DataFrame, fold: str, order: str, folds: int = 5, share: float = 0.2, least: int = 10) -> DataFrame:
+    """(fold, cut): of the rows outside each fold, in the order of a unique number, those from `cut` on are the last `share` of them, `least` at least: the calibration rows. Null orders take no part."""
+    counts = {f"k{f}": F.count(F.when(F.col(fold) != f, 1)) for f in range(folds)}
+    c = running_counts(df, order, counts)
+    long = c.select(order, F.explode(F.array(*[F.struct(F.lit(f).alias(fold), F.col(f"k{f}").alias("k"), F.col(f"k{f}_to").alias("to")) for f in range(folds)])).alias("x")).select(order, "x.*")
+    n = long.groupBy(fold).agg(F.sum("k").alias("n_"))  # a row for each fold
+    held = F.greatest(F.lit(least), F.floor(F.col("n_") * share))
+    return long.join(F.broadcast(n), fold).where((F.col("k") > 0) & (F.col("to") > F.col("n_") - held)).groupBy(fold).agg(F.min(order).alias("cut"))
 
 
 def pinball(y: Column, q: Column, alpha: Column | float) -> Column:

@@ -27,12 +27,9 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], sample: s
 
 
 def antecedent_window(samples: DataFrame, daily: DataFrame, key: str, sample: str, value: str, days: int) -> DataFrame:
-    """For each sample the `days` daily values strictly before it, right-aligned: `seq` (0 where none) and `has` (1 where there was one)."""
-    day = samples.select(sample, key, "date").withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn("obs_date", F.date_sub("date", F.col("pos")))
-    met = day.join(daily.select(key, "obs_date", value), [key, "obs_date"], "left")
-    arr = F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("p"), F.col(value).alias("v"))))
-    got = met.groupBy(sample).agg(arr.alias("a"))
-    return got.select(sample, F.transform("a", lambda x: F.coalesce(x["v"], F.lit(0.0))).alias("seq"), F.transform("a", lambda x: x["v"].isNotNull().cast("int")).alias("has"))
+    """For each sample the `days` daily values strictly before it, right-aligned: `seq` (0 where none) and `has` (1 where there was one). (key, obs_date) is unique in daily."""
+    w = last_days(samples, daily, key, [sample], value, days)
+    return w.select(sample, F.transform("last", lambda x: F.coalesce(x, F.lit(0.0))).alias("seq"), F.transform("last", lambda x: x.isNotNull().cast("int")).alias("has"))
 
 
 def antecedent_months(samples: DataFrame, daily: DataFrame, key: str, sample: str, value: str, months: int = 12) -> DataFrame:
@@ -67,6 +64,22 @@ def increments(df: DataFrame, keys: list[str], order: list[str], value: str) ->
     return df.withColumn("increment", F.when(F.lag(value).over(w).isNotNull(), F.greatest(F.lit(0.0), F.col(value) - F.lag(value).over(w))))
 
 
+def at_hour(df: DataFrame, keys: list[str], date: str, ts: str, value: str, hour: int) -> DataFrame:
+    """(keys, date, value): the mean of a day's values at an hour; for a series (keys) that has none at that hour on any day, the mean of the day. Days without a value at the hour, in a series that has some, give no row."""
+    at = F.when(F.hour(ts) == hour, F.col(value))
+    by = df.groupBy(*keys, date).agg(F.avg(at).alias("at_"), F.avg(value).alias("all_"))
+    has = F.max(F.col("at_").isNotNull()).over(Window.partitionBy(*keys))
+    return by.withColumn("has_", has).select(*keys, date, F.when(F.col("has_"), F.col("at_")).otherwise(F.col("all_")).alias(value)).where(F.col(value).isNotNull())
+
+
+def daily_series(df: DataFrame, keys: list[str], date: str, ts: str, value: str, most: int = 2) -> DataFrame:
+    """(keys, date, value, is_daily): series (keys) with at most `most` distinct hours keep their rows, others become means by day."""
+    hours = df.groupBy(*keys).agg((F.countDistinct(F.hour(ts)) <= most).alias("is_daily"))
+    met = df.join(hours, keys)
+    kept = met.where("is_daily").select(*keys, date, value, "is_daily")
+    return kept.unionByName(met.where("NOT is_daily").groupBy(*keys, date, "is_daily").agg(F.avg(value).alias(value)).select(*keys, date, value, "is_daily"))
+
+
 def worst_flag(flag: str) -> Column:
     """R over Y over G; null flags count as G."""
     return F.element_at(F.array(F.lit("G"), F.lit("Y"), F.lit("R")), F.max(F.when(F.col(flag) == "R", 3).when(F.col(flag) == "Y", 2).otherwise(1)))

@@ -18,7 +18,7 @@ SELECT s.sample_id, s.station_id, m.price, m.disc, coalesce(CAST(m.off AS INT),
   CASE WHEN m.n IS NULL THEN 0 WHEN off <= 1 THEN 3 WHEN off <= 3 THEN 2 ELSE 1 END AS score
 FROM $samples s LEFT JOIN m ON s.sample_id = m.sample_id AND m.r = 1""")
 def jn4_asof_nearest(spark, d):
-    """JN-4, JN-5, JN-6 and FN-W26: nearest observation within seven days, its offset, flags by window, the count, a score."""
+    """JN-4, JN-5, JN-6: nearest observation within seven days, its offset, flags by window, the count, a score."""
     s = samples(spark, d).select("sample_id", "station_id", "date")
     out = temporal.nearest_within(s, obs(spark, d), ["station_id"], "sample_id", ["price", "disc"], ["ok", "ln"])
     score = F.when(F.col("n_obs") == 0, 0).when(F.col("offset_days") <= 1, 3).when(F.col("offset_days") <= 3, 2).otherwise(1)
@@ -87,7 +87,7 @@ def jn22_semi_anti(spark, d):
  (VALUES (-80000.5, -60000.5, 90000.5, -40000.5), (90000.5, -40000.5, 40000.5, 95000.5), (40000.5, 95000.5, -80000.5, -60000.5)) v(dx1, dy1, dx2, dy2))
 SELECT station_id, pid FROM $stations s, e GROUP BY station_id, pid HAVING sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1""")
 def jn12_point_in_polygon(spark, d):
-    """JN-12, JN-13: stations inside triangles around each nation's centre, by edge parity."""
+    """JN-12: stations inside triangles around each nation's centre, by edge parity."""
     s = stations(spark, d)
     tri = [(-80000.5, -60000.5, 90000.5, -40000.5), (90000.5, -40000.5, 40000.5, 95000.5), (40000.5, 95000.5, -80000.5, -60000.5)]
     p = s.groupBy(F.col("nation").alias("pid")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
@@ -100,7 +100,7 @@ def jn12_point_in_polygon(spark, d):
 r AS (SELECT station_id, sup, sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) AS dist FROM $stations, s)
 SELECT station_id, sup, round(dist, 3) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY dist, sup) AS k FROM r WHERE dist <= 150000) WHERE k = 1""")
 def jn18_nearest_point(spark, d):
-    """JN-18, JN-19, GR-6: nearest of free coordinates within a cutoff."""
+    """JN-19: nearest of free coordinates within a cutoff."""
     k = F.col("s_suppkey")
     s = read(spark, d, "supplier").select(k.alias("sup"), ((k * 6151 % 100000).cast("double") * 10).alias("rx"), ((k * 3571 % 100000).cast("double") * 10).alias("ry"))
     return spatial.nearest(stations(spark, d).select("station_id", "x", "y"), s, "station_id", "sup", 150_000.0).select("station_id", "sup", F.round("dist", 3).alias("dist"))
@@ -143,8 +143,8 @@ def jn17_rotated_pole(spark, d):
     return stations(spark, d).select("station_id", F.round(la, 6).alias("rlat"), F.round(lo, 6).alias("rlon"))
 
 
-@query("""WITH w AS (SELECT s.sample_id, p.pos, dd.q FROM (SELECT * FROM $samples WHERE sample_id % 5 = 0) s, (SELECT unnest(range(1, 31)) AS pos) p LEFT JOIN $daily dd ON dd.station_id = s.station_id AND dd.obs_date = s.date - CAST(p.pos AS INT))
-SELECT sample_id, round(sum(coalesce(q, 0)), 4) AS total, count(q) AS n_has, round(sum(coalesce(q, 0) * (31 - pos)), 4) AS weighted FROM w GROUP BY sample_id""".replace("(SELECT * FROM $samples WHERE sample_id % 5 = 0)", "$samples"))
+@query("""WITH w AS (SELECT s.sample_id, p.pos, dd.q FROM $samples s CROSS JOIN (SELECT unnest(range(1, 31)) AS pos) p LEFT JOIN $daily dd ON dd.station_id = s.station_id AND dd.obs_date = s.date - CAST(p.pos AS INT))
+SELECT sample_id, round(sum(coalesce(q, 0)), 4) AS total, count(q) AS n_has, round(sum(coalesce(q, 0) * (31 - pos)), 4) AS weighted FROM w GROUP BY sample_id""")
 def wn4_antecedent(spark, d):
     """WN-4: the thirty days before each sample, right-aligned and padded; checked by sums over positions."""
     a = temporal.antecedent_window(samples(spark, d), daily(spark, d), "station_id", "sample_id", "q", 30)
@@ -182,7 +182,7 @@ def ag11_increments(spark, d):
 @query("""SELECT user_id, CAST(date AS VARCHAR) AS date, round(avg(value), 4) AS mean, CASE max(CASE flag WHEN 'R' THEN 3 WHEN 'Y' THEN 2 ELSE 1 END) WHEN 3 THEN 'R' WHEN 2 THEN 'Y' ELSE 'G' END AS worst,
  count(DISTINCT hour(ts)) <= 2 AS is_daily, round(coalesce(avg(CASE WHEN hour(ts) = 6 THEN value END), avg(value)), 4) AS at_six FROM $readings GROUP BY user_id, date""")
 def ag13_daily_flags(spark, d):
-    """AG-10, AG-12, AG-13, AG-14: daily means with the worst flag, detection of daily series, the value at six o'clock or the mean."""
+    """AG-13: daily means with the worst flag; by day also whether it has two hours at most, and the value at six o'clock or the mean."""
     hour = F.hour("ts")
     return readings(spark, d).groupBy("user_id", F.col("date").cast("string").alias("date")).agg(F.round(F.avg("value"), 4).alias("mean"), temporal.worst_flag("flag").alias("worst"), (F.countDistinct(hour) <= 2).alias("is_daily"), F.round(F.coalesce(F.avg(F.when(hour == 6, F.col("value"))), F.avg("value")), 4).alias("at_six"))
 
@@ -202,9 +202,9 @@ def flt8_largest_per_key(spark, d):
     return temporal.dedupe(o, ["station_id", "sensor"], [F.desc("price"), F.col("ok"), F.col("ln")]).select("station_id", "sensor", "ok", "ln", "price")
 
 
-@query("""SELECT part, q, round(quantile_cont(price, 0.5) OVER (PARTITION BY part ORDER BY price, ok, ln ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 4) AS med, ok, ln FROM (SELECT *, CAST(ok % 8 AS INT) AS part FROM $obs) WHERE ok % 10 < 20""".replace(" WHERE ok % 10 < 20", ""))
+@query("""SELECT part, q, round(quantile_cont(price, 0.5) OVER (PARTITION BY part ORDER BY price, ok, ln ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 4) AS med, ok, ln FROM (SELECT *, CAST(ok % 8 AS INT) AS part FROM $obs)""")
 def wn2_rolling_median(spark, d):
-    """WN-2: rolling median of 200 rows in the order of a value, within groups."""
+    """A rolling median of 200 rows in the order of a value, within eight groups (WN-2 over all rows: `wn2_trend`)."""
     w = Window.partitionBy("part").orderBy("price", "ok", "ln").rowsBetween(-199, 0)
     o = obs(spark, d).withColumn("part", (F.col("ok") % 8).cast("int"))
     return o.select("part", "q", F.round(F.percentile("price", 0.5).over(w), 4).alias("med"), "ok", "ln")

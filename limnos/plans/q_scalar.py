@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import water as wq
+from ..operators import stats
 from .tables import obs, query, read, readings, samples, stations
 
 
@@ -13,11 +14,10 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
-@query("""SELECT o_orderkey AS id, o_orderkey % 30 AS t FROM orders""".replace("SELECT o_orderkey AS id, o_orderkey % 30 AS t FROM orders", """
-WITH b AS (SELECT o_orderkey AS id, CAST(o_orderkey % 31 AS DOUBLE) AS t, CAST(o_orderkey % 17 AS DOUBLE) AS dissolved, CAST(o_orderkey % 160 AS DOUBLE) AS colour, CAST(o_orderkey % 13 AS DOUBLE) AS a420, CAST(o_orderkey % 7 AS DOUBLE) AS a436 FROM orders),
+@query("""WITH b AS (SELECT o_orderkey AS id, CAST(o_orderkey % 31 AS DOUBLE) AS t, CAST(o_orderkey % 17 AS DOUBLE) AS dissolved, CAST(o_orderkey % 160 AS DOUBLE) AS colour, CAST(o_orderkey % 13 AS DOUBLE) AS a420, CAST(o_orderkey % 7 AS DOUBLE) AS a436 FROM orders),
 s AS (SELECT *, 14.62 - 0.3898 * t + 0.006969 * t * t - 5.596e-5 * t * t * t AS sat FROM b)
 SELECT id, round(sat, 6) AS sat, round(least(greatest(dissolved / nullif(sat, 0) * 100, 0), 200), 6) AS pct, round(greatest(sat - dissolved, 0), 6) AS deficit, round(0.174 * pow(greatest(colour, 0.1), 0.724), 6) AS cdom,
- round(CASE WHEN a436 <> 0 THEN least(greatest(a420 / a436, 0.5), 20) END, 6) AS ratio, round(CASE WHEN a436 <> 0 THEN least(greatest(ln(greatest(a420 / a436, 1e-6)) / 16, -0.05), 0.05) END, 6) AS slope FROM s"""))
+ round(CASE WHEN a436 <> 0 THEN least(greatest(a420 / a436, 0.5), 20) END, 6) AS ratio, round(CASE WHEN a436 <> 0 THEN least(greatest(ln(greatest(a420 / a436, 1e-6)) / 16, -0.05), 0.05) END, 6) AS slope FROM s""")
 def fnw_oxygen_colour(spark, d):
     """FN-W1 to FN-W6."""
     k = F.col("o_orderkey")
@@ -42,16 +42,21 @@ def fnw_nutrients_tsi(spark, d):
     return s.select("sample_id", _r(np_).alias("np"), wq.nutrient_regime(np_).alias("regime"), _r(wq.chla_tp_ratio(chla, tp)).alias("chla_tp"), wq.tp_status(tp).alias("status"), _r(parts[0]).alias("t_chla"), _r(parts[1]).alias("t_tp"), _r(parts[2]).alias("t_secchi"), _r(wq.mean_of(*parts)).alias("tsi"), wq.trophic_class(tp).alias("trophic"), _r(F.log1p(v)).alias("log_v"), _r(F.expm1(F.log1p(tp))).alias("back"))
 
 
-@query("""WITH b AS (SELECT ok, ln AS line, disc AS blue, tax AS green, q / 100 AS red, (q + 3) / 110 AS re, q / 300 AS nir FROM $obs),
-t AS (SELECT *, least(greatest(610 * nir / greatest(1 - nir / 0.194, 0.05), 0), 500) AS turb, CASE WHEN blue > 0 AND green > 0 THEN log10(blue / green) END AS r, (re - red) / greatest(re + red, 1e-9) AS n FROM b)
-SELECT ok, line, round(turb, 6) AS turb, round(CASE WHEN r IS NOT NULL THEN least(greatest(pow(10, 0.366 - 3.067 * r + 1.93 * r * r + 0.649 * r * r * r), 0.01), 500) END, 5) AS oc4, round(CASE WHEN r IS NOT NULL THEN abs(least(greatest(-0.5 * ln(blue / green), 0), 20)) END, 6) AS cdom,
- round(least(greatest(1.7 / greatest(turb * 0.015 + 0.04, 0.1), 0.1), 40), 6) AS secchi, round(n, 6) AS ndci, round(14.039 + 86.115 * n + 194.325 * n * n, 5) AS n_chla, round(1.7 / (greatest(turb, 0) * 0.015 + 0.04), 6) AS secchi_t FROM t""".replace("round(1.7 / (greatest(turb, 0) * 0.015 + 0.04), 6)", "round(least(1.7 / (greatest(turb, 0) * 0.015 + 0.04), 40), 6)"))
+@query("""WITH b AS (SELECT ok, ln AS line, disc - 0.03 AS blue, tax - 0.01 AS green, q / 100 AS red, (q + 3) / 110 AS re, (q - 4) / 300 AS nir FROM $obs),
+t AS (SELECT *, least(greatest(610 * greatest(nir, 0) / greatest(1 - greatest(nir, 0) / 0.194, 0.05), 0), 500) AS turb, log10(greatest(blue, 1e-6) / greatest(green, 1e-6)) AS r, (re - red) / greatest(re + red, 1e-9) AS n FROM b),
+c AS (SELECT *, least(greatest(pow(10, 0.366 - 3.067 * r + 1.93 * r * r + 0.649 * r * r * r), 0.01), 500) AS oc4, 14.039 + 86.115 * n + 194.325 * n * n AS n_chla FROM t)
+SELECT ok, line, round(turb, 6) AS turb, round(oc4, 5) AS oc4, round(abs(least(greatest(-0.5 * ln(greatest(blue, 1e-6) / greatest(green, 1e-6)), 0), 20)), 6) AS cdom,
+ round(least(greatest(1.7 / greatest(turb * 0.015 + 0.04, 0.1), 0.1), 40), 6) AS secchi, round(n, 6) AS ndci, round(n_chla, 5) AS n_chla, round(CASE WHEN n > -0.05 THEN n_chla ELSE oc4 END, 5) AS chla,
+ round(least(1.7 / (greatest(turb, 0) * 0.015 + 0.04), 40), 6) AS secchi_t, CAST(blue < 0 AS INT) AS negative_blue FROM c""")
 def fnw_bands(spark, d):
-    """FN-W13, FN-W16 to FN-W18, FN-W20, PRJ-4."""
+    """FN-W13, FN-W16 to FN-W18, FN-W20: band formulas with reflectances below zero among them, the flag of those, the index where it applies."""
     q = F.col("q")
-    b = obs(spark, d).select("ok", F.col("ln").alias("line"), F.col("disc").alias("blue"), F.col("tax").alias("green"), (q / 100).alias("red"), ((q + 3) / 110).alias("re"), (q / 300).alias("nir"))
-    turb, n = wq.band_turbidity(F.col("nir")), wq.ndci(F.col("re"), F.col("red"))
-    return b.select("ok", "line", _r(turb).alias("turb"), _r(wq.band_chla(F.col("blue"), F.col("green")), 5).alias("oc4"), _r(F.abs(wq.band_cdom(F.col("blue"), F.col("green")))).alias("cdom"), _r(wq.band_secchi(turb)).alias("secchi"), _r(n).alias("ndci"), _r(wq.ndci_chla(n), 5).alias("n_chla"), _r(wq.secchi_from_turbidity(turb)).alias("secchi_t"))
+    b = obs(spark, d).select("ok", F.col("ln").alias("line"), (F.col("disc") - 0.03).alias("blue"), (F.col("tax") - 0.01).alias("green"), (q / 100).alias("red"), ((q + 3) / 110).alias("re"), ((q - 4) / 300).alias("nir"))
+    blue, green = F.col("blue"), F.col("green")
+    turb, n, oc4 = wq.band_turbidity(F.col("nir")), wq.ndci(F.col("re"), F.col("red")), wq.band_chla(blue, green)
+    out = {"turb": _r(turb), "oc4": _r(oc4, 5), "cdom": _r(F.abs(wq.band_cdom(blue, green))), "secchi": _r(wq.band_secchi(turb)), "ndci": _r(n), "n_chla": _r(wq.ndci_chla(n), 5)}
+    out |= {"chla": _r(wq.chla_choice(n, oc4), 5), "secchi_t": _r(wq.secchi_from_turbidity(turb)), "negative_blue": wq.negative_blue(blue)}
+    return b.select("ok", "line", *[c.alias(k) for k, c in out.items()])
 
 
 @query("""SELECT ok, ln AS line, (ok & 56) = 0 AS clear_scene, (ok & 30) = 0 AS clear_patch, ok % 12 NOT IN (0, 1, 3, 7, 8, 9, 10, 11) AS scene_ok, (ok & 1) <> 0 AND (ok & 2) = 0 AND (ok & 12) = 0 AS water_ok,
@@ -62,9 +67,8 @@ def flt11_bit_masks(spark, d):
     return obs(spark, d).select("ok", F.col("ln").alias("line"), (bit(56) == 0).alias("clear_scene"), (bit(30) == 0).alias("clear_patch"), (~(F.col("ok") % 12).isin(0, 1, 3, 7, 8, 9, 10, 11)).alias("scene_ok"), ((bit(1) != 0) & (bit(2) == 0) & (bit(12) == 0)).alias("water_ok"), _r(wq.cross_ratio(F.col("disc"), F.col("tax"))).alias("cross_db"), wq.ice_flag(-F.col("q"), F.col("disc")).alias("ice"), _r(wq.snow_water(F.col("q")), 4).alias("swe"), wq.sensor_count(F.col("sensor") == "A", F.col("q") > 25).alias("n_sensors"), wq.any_flag(F.col("sensor") == "A", F.col("disc") > 0.05).alias("any_fail"))
 
 
-@query("""WITH s AS (SELECT station_id, lat, lon, lag(lat) OVER (ORDER BY station_id) AS la, lag(lon) OVER (ORDER BY station_id) AS lo FROM (SELECT station_id, lat, lon FROM $stations))
-SELECT a.station_id, round(2 * 6371000 * asin(sqrt(pow(sin(radians(58 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(58)) * pow(sin(radians(15 - lon) / 2), 2))), 3) AS metres,
- 'grid_' || CAST(round_even(lat, 0) AS INT) || '_' || CAST(round_even(lon, 0) AS INT) AS cell FROM s a""".replace(", lag(lat) OVER (ORDER BY station_id) AS la, lag(lon) OVER (ORDER BY station_id) AS lo", ""))
+@query("""SELECT a.station_id, round(2 * 6371000 * asin(sqrt(pow(sin(radians(58 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(58)) * pow(sin(radians(15 - lon) / 2), 2))), 3) AS metres,
+ 'grid_' || CAST(round_even(lat, 0) AS INT) || '_' || CAST(round_even(lon, 0) AS INT) AS cell FROM $stations a""")
 def fng_distance_cell(spark, d):
     """FN-G1, FN-G5."""
     la, lo = F.col("lat"), F.col("lon")
@@ -136,12 +140,12 @@ def src2_schema_drift(spark, d):
     return a.unionByName(b, allowMissingColumns=True).groupBy("code").agg(F.count("*").alias("n"), F.count("price").alias("n_price"), F.round(F.sum("p1"), 2).alias("first_lines"))
 
 
-@query("""WITH m AS (SELECT median(tp) AS a, median(secchi) AS b FROM $samples) SELECT sample_id, coalesce(tp, a) AS tp, round(coalesce(secchi, b, 0), 6) AS secchi FROM $samples, m""")
+@query("""WITH m AS (SELECT median(tp) AS a, median(secchi) AS b FROM $samples) SELECT sample_id, coalesce(tp, a, 0) AS tp, round(coalesce(secchi, b, 0), 6) AS secchi FROM $samples, m""")
 def imp3_median(spark, d):
     """IMP-3: column medians for what is missing, 0 if all is."""
     s = samples(spark, d)
-    m = s.agg(F.percentile("tp", 0.5).alias("a"), F.percentile("secchi", 0.5).alias("b"))
-    return s.crossJoin(F.broadcast(m)).select("sample_id", F.coalesce("tp", "a").alias("tp"), F.round(F.coalesce("secchi", "b", F.lit(0.0)), 6).alias("secchi"))
+    m = stats.percentiles(s, [], "tp", {"a": 0.5}).join(stats.percentiles(s, [], "secchi", {"b": 0.5}), F.lit(True), "full")  # one row
+    return s.join(F.broadcast(m), F.lit(True), "left").select("sample_id", F.coalesce("tp", "a", F.lit(0.0)).alias("tp"), F.round(F.coalesce("secchi", "b", F.lit(0.0)), 6).alias("secchi"))
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)

@@ -70,13 +70,14 @@ def ag22_amplitude(spark, d):
     return a.join(stations(spark, d).select("station_id", "seg"), "station_id").groupBy("seg").agg(F.count("amp").alias("n"), _r(F.avg("amp")).alias("amp"), _r(F.percentile("amp", 0.5)).alias("med"))
 
 
-@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS h, avg(value) AS m FROM $readings GROUP BY 1, 2), e AS (SELECT user_id, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM h GROUP BY user_id)
-SELECT e.user_id, count(*) AS bins, count(h.m) AS filled, round(avg(h.m), 4) AS mean FROM e LEFT JOIN h ON e.user_id = h.user_id AND e.h = h.h GROUP BY 1""")
+@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS h, CAST(CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(value) AS DECIMAL(18, 8)) AS m FROM $readings GROUP BY 1, 2), e AS (SELECT user_id, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM h GROUP BY user_id)
+SELECT e.user_id, count(*) AS bins, count(h.m) AS filled, round(CAST(sum(h.m) AS DOUBLE) / count(h.m), 4) AS mean FROM e LEFT JOIN h ON e.user_id = h.user_id AND e.h = h.h GROUP BY 1""")
 def ag9_resample(spark, d):
-    """AG-9, FN-D2: hourly bins, the empty ones restored from a full sequence."""
-    h = readings(spark, d).groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("m"))
-    e = h.groupBy("user_id").agg(F.explode(F.sequence(F.min("h"), F.max("h"), F.expr("interval 1 hour"))).alias("h")) if False else h.groupBy("user_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).select("user_id", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("h"))
-    return e.join(h, ["user_id", "h"], "left").groupBy("user_id").agg(F.count("*").alias("bins"), F.count("m").alias("filled"), _r(F.avg("m")).alias("mean"))
+    """AG-9, FN-D2: hourly bins, the empty ones restored from a full sequence. Sums are of decimals, so that their order does not matter."""
+    total = F.sum(F.col("value").cast("decimal(18,6)")).cast("double")
+    h = readings(spark, d).groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg((total / F.count("value")).cast("decimal(18,8)").alias("m"))
+    e = h.groupBy("user_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).select("user_id", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("h"))
+    return e.join(h, ["user_id", "h"], "left").groupBy("user_id").agg(F.count("*").alias("bins"), F.count("m").alias("filled"), _r(F.sum("m").cast("double") / F.count("m")).alias("mean"))
 
 
 @query("""WITH s AS (SELECT station_id, count(DISTINCT year(date)) AS y FROM $samples GROUP BY 1) SELECT CAST(y AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1""")
@@ -88,7 +89,7 @@ def ag18_record_length(spark, d):
 
 @query("""SELECT CAST(floor(lat / 0.15) AS BIGINT) AS cy, CAST(floor(lon / 0.15) AS BIGINT) AS cx, count(*) AS n, round(min(lat) - 0.02, 6) AS lat0, round(max(lat) + 0.02, 6) AS lat9, round(min(lon) - 0.02, 6) AS lon0, round(max(lon) + 0.02, 6) AS lon9 FROM $stations GROUP BY 1, 2""")
 def ag30_station_boxes(spark, d):
-    """AG-30, FLT-9."""
+    """AG-30."""
     b = 0.02
     return stations(spark, d).groupBy(F.floor(F.col("lat") / 0.15).alias("cy"), F.floor(F.col("lon") / 0.15).alias("cx")).agg(F.count("*").alias("n"), _r(F.min("lat") - b, 6).alias("lat0"), _r(F.max("lat") + b, 6).alias("lat9"), _r(F.min("lon") - b, 6).alias("lon0"), _r(F.max("lon") + b, 6).alias("lon9"))
 
@@ -162,7 +163,7 @@ def ev1_metrics(spark, d):
 q AS (SELECT fold, level, s AS q FROM c, (VALUES (0.8), (0.9), (0.95)) v(level) WHERE r = ceil(least(1.0, ceil((n + 1) * CAST(level AS DOUBLE)) / CAST(n AS DOUBLE)) * (n - 1)) + 1)
 SELECT p.fold, CAST(level AS DOUBLE) AS level, round(min(q), 6) AS q, round(avg(CASE WHEN abs(y - yhat) <= q THEN 1.0 ELSE 0 END), 6) AS picp, round(avg(2 * q + 2 / (1 - CAST(level AS DOUBLE)) * (greatest(yhat - q - y, 0) + greatest(y - yhat - q, 0))), 5) AS winkler FROM p JOIN q ON p.fold = q.fold WHERE station_id % 2 = 1 GROUP BY 1, 2""")
 def ev5_conformal(spark, d):
-    """EV-5, EV-6, EV-8, EV-11, SP-8: split conformal by fold: order statistic, coverage, interval score."""
+    """EV-8, EV-11: split conformal by fold, calibrated on half of the stations: order statistic, coverage, interval score."""
     p = predictions(spark, d)
     cal = p.where("station_id % 2 = 0").withColumn("s", F.abs(F.col("y") - F.col("yhat")))
     q = stats.conformal_widths(cal, ["fold"], "s", [0.8, 0.9, 0.95])
@@ -180,15 +181,15 @@ def sp5_group_folds(spark, d):
     return f.groupBy("fold").agg(F.count("*").alias("n_groups"), F.sum("n_rows").alias("n_rows"))
 
 
-@query("""WITH k AS (SELECT station_id, coalesce(CASE WHEN station_id % 3 = 0 THEN 'lake_' || nation END, CASE WHEN station_id % 3 = 1 THEN 'basin_' || seg END, 'grid_' || CAST(round_even(lat, 0) AS INT) || '_' || CAST(round_even(lon, 0) AS INT)) AS fold_key, CASE WHEN lat >= 61 THEN 'north' ELSE 'south' END AS lat_split, CAST(lat AS INT) AS lat_round FROM $stations)
+@query("""WITH k AS (SELECT station_id, coalesce(CASE WHEN station_id % 3 = 0 THEN 'lake_' || nation END, CASE WHEN station_id % 3 = 1 THEN 'basin_' || seg END, 'grid_' || CAST(round_even(lat, 0) AS INT) || '_' || CAST(round_even(lon, 0) AS INT)) AS fold_key, CASE WHEN lat < 61 THEN 'south' ELSE 'north' END AS lat_split FROM $stations)
 SELECT fold_key, count(*) AS n, count(*) FILTER (lat_split = 'north') AS north, count(*) FILTER (year(s.date) <= 1998) AS train FROM k JOIN $samples s ON k.station_id = s.station_id GROUP BY 1""")
 def sp1_fold_keys(spark, d):
-    """SP-1, SP-3, SP-4, SP-9: fold keys by the first that applies, temporal and latitudinal splits."""
+    """SP-1, SP-3, SP-4: fold keys by the first that applies, temporal and latitudinal splits; a null latitude is north."""
     from ..functions.geo import cell_key
 
     k = F.col("station_id")
     key = F.coalesce(F.when(k % 3 == 0, F.concat(F.lit("lake_"), F.col("nation").cast("string"))), F.when(k % 3 == 1, F.concat(F.lit("basin_"), F.col("seg"))), cell_key(F.col("lat"), F.col("lon")))
-    s = stations(spark, d).select("station_id", key.alias("fold_key"), (F.col("lat") >= 61).alias("north"))
+    s = stations(spark, d).select("station_id", key.alias("fold_key"), F.coalesce(F.col("lat") >= 61, F.lit(True)).alias("north"))
     j = samples(spark, d).join(s, "station_id")
     return j.groupBy("fold_key").agg(F.count("*").alias("n"), F.count(F.when(F.col("north"), 1)).alias("north"), F.count(F.when(F.year("date") <= 1998, 1)).alias("train"))
 
@@ -196,7 +197,7 @@ def sp1_fold_keys(spark, d):
 @query("""WITH w AS (SELECT * FROM (VALUES ('a', 1996, 1998), ('b', 1997, 1999), ('c', 1998, 2001)) v(win, train_to, val_to)), j AS (SELECT win, CASE WHEN year(date) <= train_to THEN 'train' ELSE 'val' END AS role, tp FROM $samples, w WHERE year(date) <= val_to)
 SELECT win, role, count(*) AS n, round(avg(tp), 4) AS tp FROM j GROUP BY 1, 2""")
 def sp7_rolling_origin(spark, d):
-    """SP-7, ML-7: rolling-origin windows and roles."""
+    """SP-7: rolling-origin windows and roles."""
     w = F.explode(F.array(*[F.struct(F.lit(a).alias("win"), F.lit(t).alias("train_to"), F.lit(v).alias("val_to")) for a, t, v in (("a", 1996, 1998), ("b", 1997, 1999), ("c", 1998, 2001))]))
     s = samples(spark, d).select(F.year("date").alias("y"), "tp", w.alias("w")).where(F.col("y") <= F.col("w.val_to"))
     return s.groupBy(F.col("w.win").alias("win"), F.when(F.col("y") <= F.col("w.train_to"), "train").otherwise("val").alias("role")).agg(F.count("*").alias("n"), _r(F.avg("tp")).alias("tp"))

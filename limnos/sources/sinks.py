@@ -15,13 +15,14 @@ FAMILIES = ["sentinel1", "sentinel2", "sentinel3", "modis", "landsat"]
 LEVELS = {"L2A": "sen2cor", "L1C": "toa"}
 
 
-def write_parts(df: DataFrame, path: str, by: str = "year", force: bool = False) -> None:
-    """Partitions by `by`. Those that exist stay, or with `force` are replaced; the rest of the table is untouched either way."""
+def write_parts(df: DataFrame, path: str, by: str = "year", force: bool = False, files: int = 8) -> None:
+    """Partitions by `by`, each of up to `files` files, so that a large one is not written by one task. Those that exist stay, or with `force` are replaced; the rest of the table is untouched either way."""
     spark = df.sparkSession
     if not force and first_existing(spark, [f"{path}/{by}=*"]):
         there = spark.read.parquet(path).select(by).distinct()
         df = df.join(F.broadcast(there), by, "left_anti")  # a row for each partition
-    df.repartition(by).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    rest = [c for c in df.columns if c != by]
+    df.repartition(F.col(by), F.pmod(F.xxhash64(*rest), F.lit(files))).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def merge_results(old: DataFrame, new: DataFrame, keys: list[str], keep: str = "last") -> DataFrame:
@@ -43,6 +44,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str, needed: list[str]) -> DataFrame:
+    """The columns of `schema` of a CSV with a header, in any order; rows that lack one of `needed` go."""
+    head = spark.read.option("header", True).csv(path)
+    want = [c.strip().split(" ", 1) for c in schema.split(",")]
+    return head.select(*[F.col(n).try_cast(t).alias(n) for n, t in want]).dropna(subset=needed)
+
+
 def family(name: Column) -> Column:
     """Sensor family in a file's name, unknown if none."""
     out = F.when(F.contains(name, F.lit(FAMILIES[0])), FAMILIES[0])
@@ -85,6 +93,11 @@ def write_dictionary(spark: SparkSession, rows: list[dict], schema: str, path: s
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a local one is set on a local master; a cluster needs the setting."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
