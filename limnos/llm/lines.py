@@ -18,12 +18,14 @@ from .common import WORD_PATTERN, Scratch, free_names, materialize
 
 #: A class with more than this share of a level's places (and this many) is met by a broadcast table of such classes, at most 1 / share of them.
 _HEAVY, _HEAVY_COPIES = 1 / 4096, 1000
+#: Classes of about so many rows are ordered in one part, in so many parts at most.
+_PER_PART, _MOST_PARTS = 1_000_000, 65_536
 #: Ends of documents sort before all lines, by place.
 _END = 1 << 62
 
 
 def _ahead(rows: DataFrame, part: str, sums: dict[str, Column]) -> DataFrame:
-    """(part, named sums over all smaller parts): a row for each partition of rows."""
+    """(part, named sums over all smaller parts): a row for each part of rows."""
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(part).agg(*[v.alias(k) for k, v in sums.items()])
     return totals.select(part, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
@@ -50,57 +52,68 @@ def line_ids(docs: DataFrame, id_col: str, text_col: str, tables: Scratch, words
 
 @dataclass
 class Levels:
-    """shared[k]: (place, rank, least, left) of the places in an interval of two suffixes or more at level k, with its rank and its smallest place; settled: (place, rank) of all others, final."""
+    """shared[k]: (place, rank, copies, least, left, smaller) of the places in an interval of two suffixes or more at level k: its rank, its size and its smallest place; settled: (place, rank) of all others, final."""
 
     shared: list[DataFrame]
     settled: list[DataFrame]
 
 
-def _level(rows: DataFrame, key: list[str], base: Column, tables: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """The next level's (shared, settled) from rows (place, left, key columns): classes in the order of the key; `base` is what a class's running count of smaller rows is moved by, an expression of the key.
+def _counted(rows: DataFrame, key: list[str], tables: Scratch, name: str) -> tuple[DataFrame, int, int]:
+    """The classes of rows by key: (key, copies, least), how many rows there are, and how many the largest class has. Counted within tasks first."""
+    classes = tables.write(rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min("place").alias("least")), f"{name}-classes")
+    n = classes.agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).first()
+    return classes, n["n"] or 0, n["most"] or 0
 
-    A class is counted before it meets its rows. The few classes that hold a large share of all rows meet them by broadcast, so that no task reads a frequent line's places."""
-    classes = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min("place").alias("least"))
-    classes = tables.write(classes.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), f"{name}-classes")
+
+def _met(rows: DataFrame, classes: DataFrame, key: list[str], total: int, most: int) -> DataFrame:
+    """rows with their class's columns. The few classes that hold a large share of all rows meet them by broadcast, so that no task reads a frequent line's places."""
+    bound = max(_HEAVY_COPIES, int(total * _HEAVY))
+    if most <= bound:
+        return rows.join(classes.hint("merge"), key)
+    heavy = F.col("copies") > bound
+    few = classes.where(heavy).withColumnsRenamed({c: f"{c}_" for c in classes.columns})
+    met = rows.join(F.broadcast(few), [F.col(c) == F.col(f"{c}_") for c in key], "left")
+    rest = [c for c in classes.columns if c not in key]
+    hot = met.where("copies_ IS NOT NULL").select(*rows.columns, *[F.col(f"{c}_").alias(c) for c in rest])
+    cold = met.where("copies_ IS NULL").select(*rows.columns).join(classes.where(~heavy).hint("merge"), key).select(*rows.columns, *rest)
+    return hot.unionByName(cold)
+
+
+def _level(rows: DataFrame, key: list[str], place: Column, base: Column, tables: Scratch, name: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """The next level's (shared, settled, places) from rows (place, left, key columns) with classes in the order of the key; shared is None if every class has one place.
+
+    `place`, 0 to 1, ascends with the key and cuts classes into parts of even size, inside which they are ordered; `base` is what a class's running count of smaller rows is moved by."""
+    classes, total, most = _counted(rows, key, tables, name)
+    parts = min(_MOST_PARTS, max(8, -(-total // _PER_PART)))
+    part = F.least(F.floor(place * parts), F.lit(parts - 1)).cast("int")
+    classes = classes.withColumn("part", part)
     many = F.when(F.col("copies") > 1, F.col("copies")).otherwise(0)
     inside = Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     ahead = _ahead(classes, "part", {"all_": F.sum("copies"), "many_": F.sum(many)})
     run = lambda c, to: (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(to)).cast("long")
     ranked = classes.join(F.broadcast(ahead), "part").select(*key, "copies", "least", (run("copies", "all_") + base).alias("rank"), run(many, "many_").alias("smaller"))
-    ranked = tables.write(ranked, f"{name}-ranks")
-    total = ranked.agg(F.sum("copies")).first()[0] or 0
-    heavy = F.col("copies") > max(_HEAVY_COPIES, int(total * _HEAVY))
-    if ranked.where(heavy).isEmpty():
-        both = tables.write(rows.join(ranked.hint("merge"), key).select("place", "left", "copies", "least", "rank", "smaller"), name)
-        return both.where("copies > 1").select("place", "rank", "least", "left", "smaller"), both.where("copies = 1").select("place", "rank")
-    few = ranked.where(heavy).select(*[F.col(c).alias(f"{c}_") for c in key], F.col("copies").alias("c_"), F.col("least").alias("l_"), F.col("rank").alias("r_"), F.col("smaller").alias("s_"))
-    on = [F.col(c) == F.col(f"{c}_") for c in key]
-    met = rows.join(F.broadcast(few), on, "left")
-    hot = met.where("r_ IS NOT NULL").select("place", "left", F.col("c_").alias("copies"), F.col("l_").alias("least"), F.col("r_").alias("rank"), F.col("s_").alias("smaller"))
-    cold = met.where("r_ IS NULL").select("place", "left", *key).join(ranked.where(~heavy).hint("merge"), key).select("place", "left", "copies", "least", "rank", "smaller")
-    both = tables.write(hot.unionByName(cold), name)
-    return both.where("copies > 1").select("place", "rank", "least", "left", "smaller"), both.where("copies = 1").select("place", "rank")
+    both = tables.write(_met(rows, ranked, key, total, most).select("place", "left", "copies", "least", "rank", "smaller"), name)
+    return both.where("copies > 1") if most > 1 else None, both.where("copies = 1").select("place", "rank"), total
 
 
 def suffix_levels(placed: DataFrame, tables: Scratch) -> Levels:
     """Prefix doubling until every suffix has a place of its own in the order; each level orders only what the one before left in intervals of two or more."""
     single = placed.select("first", "n", F.posexplode("ids").alias("at", "h")).select((F.col("first") + F.col("at")).alias("place"), F.col("h.h").alias("h"), F.col("h.g").alias("g"), (F.col("n") - F.col("at")).alias("left"))
-    shared, settled = _level(single, ["h", "g"], F.lit(0), tables, "level-0")
-    out = Levels([shared], [settled])
-    while not out.shared[-1].isEmpty():
+    shared, settled, total = _level(single, ["h", "g"], F.col("h") / 2.0**64 + 0.5, F.lit(0), tables, "level-0")
+    out = Levels([], [settled])
+    while shared is not None:
+        out.shared.append(shared)
         on = 1 << len(out.shared) - 1
-        now = out.shared[-1]
-        known = now.select("place", "rank")
+        known = shared.select("place", "rank")
         for s in out.settled:
             known = known.unionByName(s)
         known = known.select((F.col("place") - on).alias("place"), F.col("rank").alias("then_"))
         then = F.when(F.col("left") <= on, F.col("place") - _END).otherwise(F.col("then_")).alias("then")
-        rows = now.join(known, "place", "left").select("place", "left", F.col("rank").alias("now"), F.col("smaller").alias("lower"), then)
-        # `lower` rows lie before the interval's in this order; its own move to [now, now + copies)
-        shared, settled = _level(rows, ["now", "lower", "then"], F.col("now") - F.col("lower"), tables, f"level-{len(out.shared)}")
-        out.shared.append(shared)
+        rows = shared.join(known, "place", "left").select("place", "left", F.col("rank").alias("now"), F.col("smaller").alias("lower"), F.col("copies").alias("size"), then)
+        # `lower` rows lie before the interval's in this order; its own move to [now, now + size)
+        about = (F.col("now") + F.greatest("then", F.lit(0)) / total * F.col("size")) / total
+        shared, settled, _ = _level(rows, ["now", "lower", "size", "then"], about, F.col("now") - F.col("lower"), tables, f"level-{len(out.shared)}")
         out.settled.append(settled)
-    out.shared.pop()
     return out
 
 
@@ -138,7 +151,8 @@ def _exact(levels: Levels, least: int, tables: Scratch) -> DataFrame | None:
     on = least - (1 << k)
     later = now.select((F.col("place") - on).alias("place"), F.col("rank").alias("then"))
     rows = now.where(F.col("left") > on).select("place", "left", F.col("rank").alias("now")).join(later, "place")
-    return _level(rows, ["now", "then"], F.lit(0), tables, "exact")[0]
+    classes, total, most = _counted(rows, ["now", "then"], tables, "exact")
+    return tables.write(_met(rows, classes, ["now", "then"], total, most).where("copies > 1").select("place", "least", "left"), "exact")
 
 
 def repeated_runs(placed: DataFrame, least: int, tables: Scratch, words: int | None = None) -> DataFrame:
