@@ -188,7 +188,8 @@ class LanguageModel:
             words = [letters_of(t) for t in tokens]
             got, at = np.zeros((len(tokens), len(self.languages) + 1)), np.flatnonzero([w != "" for w in words])
             if len(at):
-                got[at, :-1] = self.word_scores(pieces, [words[i] for i in at])
+                number = {w: i for i, w in enumerate(dict.fromkeys(w for w in words if w))}  # tokens of the same letters are summed once
+                got[at, :-1] = self.word_scores(pieces, list(number))[[number[words[i]] for i in at]]
                 got[at, -1] = 1
             rows.update(zip(tokens, range(len(held[0]), len(held[0]) + len(tokens))))
             held[0] = np.vstack([held[0], got])

@@ -15,6 +15,8 @@ from .common import WORD_PATTERN, free_names, materialize
 
 #: Weights of sources by code point, null last, repeating (fixed by the contract).
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Rows of a table of sources that is broadcast.
+_MOST_BROADCAST = 200_000
 
 
 def text_size(text: Column) -> Column:
@@ -111,7 +113,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = [(i, s, n, t, count[s]) for i, (s, n, t) in enumerate(source_targets([(r["source"], r["n"]) for r in totals], share, cap, weights))]
     table = spark.createDataFrame(plan, f"source_no int, source {base.schema['source'].dataType.simpleString()}, source_size long, target double, docs long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = base.withColumnRenamed("source", "own").join(F.broadcast(table), F.col("own").eqNullSafe(F.col("source"))).drop("own")
+    narrow = F.broadcast if len(plan) <= _MOST_BROADCAST else lambda df: df  # beyond it the tables of sources are joined by a shuffle
+    rows = base.withColumnRenamed("source", "own").join(narrow(table), F.col("own").eqNullSafe(F.col("source"))).drop("own")
     rows = rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole")).drop("rate")
 
     def blocked(df: DataFrame, n: Column) -> DataFrame:
@@ -132,7 +135,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_count = {r["source_no"]: r["n"] for r in left.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
         most = max(open_count.values(), default=0)
         counts = spark.createDataFrame(list(open_count.items()), "source_no int, open long")
-        rows = blocked(left.join(F.broadcast(counts), "source_no"), F.col("open")).drop("open")
+        rows = blocked(left.join(narrow(counts), "source_no"), F.col("open")).drop("open")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

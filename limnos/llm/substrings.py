@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialize, words_of
+from .common import Scratch, arrow_schema, materialize, words_of
 from .hashing import Powers, WordHasher, chunks, mix
 
 WINDOW = 13
@@ -261,21 +261,22 @@ def recompress(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Anchors are counted in the last round, before its own symbols are known. What shares a cell with a crowded anchor is dealt out too: more groups, the same result."""
     known: dict[int, Bitmap] = {}
-    for level in ROUNDS:
-        counts = round_counts(docs, level, known, id_col, text_col, level == ROUNDS[-1])
-        if level != ROUNDS[-1]:
-            kept = materialize(counts.where("low < high").select("name"), f"substring-level-{level}")
-            known[level] = as_bitmap(kept, _bits_for(kept.count()))
-            continue
-        kept = materialize(counts.where("kind = 1 OR low < high").select("kind", "name", "n"), f"substring-level-{level}")
-        names = kept.where("kind = 0").select("name")
-        known[level] = as_bitmap(names, _bits_for(names.count()))
-        most = kept.where("kind = 1").agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-        group = max(1, min(_MOST_ROWS, int((most["all"] or 0) * _CROWD)))
-        crowded = kept.where((F.col("kind") == 1) & (F.col("n") > group))
-        n = crowded.count()
-        return known, as_bitmap(crowded.select("name"), _bits_for(n)) if n else None, -(-(most["most"] or 0) // group)
-    return known, None, 0
+    crowded, groups = None, 0
+    with Scratch(docs.sparkSession, "substrings") as tables:
+        for level in ROUNDS:
+            last = level == ROUNDS[-1]
+            counts = round_counts(docs, level, known, id_col, text_col, last)
+            kept = tables.write(counts.where("kind = 1 OR low < high").select("kind", "name", "n"), f"level-{level}")
+            names = kept.where("kind = 0").select("name")
+            known[level] = as_bitmap(names, _bits_for(names.count()))
+            if last:
+                sums = kept.where("kind = 1").agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+                group = max(1, min(_MOST_ROWS, int((sums["all"] or 0) * _CROWD)))
+                many = kept.where((F.col("kind") == 1) & (F.col("n") > group))
+                n = many.count()
+                if n:
+                    crowded, groups = as_bitmap(many.select("name"), _bits_for(n)), -(-sums["most"] // group)
+    return known, crowded, groups
 
 
 def _stretches(p: Parsed, window: np.ndarray, anchor: np.ndarray) -> np.ndarray:
