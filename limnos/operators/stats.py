@@ -126,7 +126,11 @@ def running_counts(df: DataFrame, value: str, counts: dict[str, Column], buckets
     c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[v.alias(k) for k, v in counts.items()])
     c = c.withColumn("v_", F.col(value).cast("double"))
     cuts = sorted(set(c.approxQuantile("v_", [i / buckets for i in range(1, buckets)], 0.002)))
-    c = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="v_", outputCol="b_", handleInvalid="keep").transform(c).drop("v_")
+    if cuts:  # the splitter wants one cut at least
+        c = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="v_", outputCol="b_", handleInvalid="keep").transform(c)
+    else:
+        c = c.withColumn("b_", F.lit(0.0))
+    c = c.drop("v_")
     before = Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
     tot = c.groupBy(*keys, "b_").agg(*[F.sum(k).alias(f"{k}_b") for k in counts])  # at most `buckets` rows a key
     base = tot.select(*keys, "b_", *[F.coalesce(F.sum(f"{k}_b").over(before), F.lit(0)).alias(f"{k}_0") for k in counts])

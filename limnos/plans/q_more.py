@@ -48,7 +48,8 @@ def st11_log_ratio(spark, d):
     """ST-11: box statistics of a log ratio by class."""
     o = obs(spark, d).where("q > 0 AND price > 0").withColumn("r", F.log10(F.col("price") / F.col("q") / 1000))
     qs = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return o.groupBy("sensor").agg(F.count("*").alias("n"), *[_r(F.percentile("r", q), 6).alias(k) for k, q in qs.items()])
+    n = o.groupBy("sensor").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(stats.percentiles(o, ["sensor"], "r", qs)), "sensor").select("sensor", "n", *[_r(F.col(k), 6).alias(k) for k in qs])
 
 
 @query("""SELECT year(date) AS yr, count(*) AS n, round(corr(tp, ln(1 + v)), 6) AS r FROM $samples GROUP BY 1""")
@@ -126,15 +127,17 @@ SELECT i.cls, nominal, n, round(picp, 4) AS picp, round(sharp, 2) AS sharpness,
 def ev7_interval_scores(spark, d):
     """EV-7, EV-9: coverage, width, interval score, ranked probability score and calibration error of quantile forecasts (class quantiles of the other stations)."""
     s = samples(spark, d).select("station_id", F.floor(F.col("tp") / 40).cast("int").alias("cls"), "v")
-    t = s.where("station_id % 2 = 0").groupBy("cls").agg(F.percentile("v", F.array(*map(F.lit, _ALPHAS))).alias("q"))
-    p = s.where("station_id % 2 = 1").join(F.broadcast(t), "cls")  # a row for each class
-    v, q = F.col("v"), {a: F.col("q")[i] for i, a in enumerate(_ALPHAS)}
+    t = stats.percentiles(s.where("station_id % 2 = 0"), ["cls"], "v", {f"q{i}": a for i, a in enumerate(_ALPHAS)})
+    own = s.where("station_id % 2 = 1")
+    span = stats.percentiles(own, ["cls"], "v", {"r0": 0.025, "r1": 0.975})
+    p = own.join(F.broadcast(t), "cls").join(F.broadcast(span), "cls")  # a row for each class
+    v, q = F.col("v"), {a: F.col(f"q{i}") for i, a in enumerate(_ALPHAS)}
     crps = sum((stats.crps_term(v, q[a], a) for a in _ALPHAS[1:]), stats.crps_term(v, q[_ALPHAS[0]], _ALPHAS[0])) / len(_ALPHAS)
     each = []
     for i, (nom, (a, b)) in enumerate(_NOMINAL.items()):
         lo, hi = q[a], q[b]
         each += [F.avg(F.when(v.between(lo, hi), 1.0).otherwise(0.0)).alias(f"p{i}"), F.avg(hi - lo).alias(f"s{i}"), F.avg(stats.winkler(v, lo, hi, F.lit(1 - nom))).alias(f"w{i}")]
-    g = p.groupBy("cls").agg(F.count("*").alias("n"), F.avg(crps).alias("crps"), (F.percentile("v", 0.975) - F.percentile("v", 0.025)).alias("rng"), *each)
+    g = p.groupBy("cls").agg(F.count("*").alias("n"), F.avg(crps).alias("crps"), F.max(F.col("r1") - F.col("r0")).alias("rng"), *each)
     rows = F.array(*[F.struct(F.lit(nom).alias("nominal"), F.col(f"p{i}").alias("picp"), F.col(f"s{i}").alias("sharp"), F.col(f"w{i}").alias("wink")) for i, nom in enumerate(_NOMINAL)])
     ece = sum((F.abs(F.col(f"p{i}") - nom) for i, nom in enumerate(_NOMINAL)), F.lit(0.0)) / len(_NOMINAL)
     o = g.select("cls", "n", "crps", "rng", ece.alias("ece"), F.inline(rows))

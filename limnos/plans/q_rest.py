@@ -30,16 +30,16 @@ def st13_sensor_agreement(spark, d):
     return g.where("n >= 10").select("pair", "n", _r(F.col("r2"), 6).alias("r2"), _r(F.col("rmse"), 6).alias("rmse"))
 
 
-@query("""WITH r AS (SELECT a.station_id, b.station_id AS other, row_number() OVER (PARTITION BY a.station_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.station_id) AS rank FROM $stations a JOIN stations b ON a.station_id <> b.station_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 60000),
+@query("""WITH r AS (SELECT a.station_id, b.station_id AS other, row_number() OVER (PARTITION BY a.station_id ORDER BY round(2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 3), b.station_id) AS rank FROM $stations a JOIN stations b ON a.station_id <> b.station_id),
 n AS (SELECT station_id, other, rank FROM r WHERE rank <= 8 UNION ALL SELECT station_id, station_id, 0 FROM stations),
 w AS (SELECT s.sample_id, n.rank, s.date - dd.obs_date AS pos, dd.q FROM $samples s JOIN n ON n.station_id = s.station_id JOIN $daily dd ON dd.station_id = n.other AND dd.obs_date BETWEEN s.date - 30 AND s.date - 1)
 SELECT s.sample_id, 9 AS nodes, round(coalesce(sum(q), 0), 4) AS total, round(coalesce(sum(q * (rank + 1) * (31 - pos)), 0), 4) AS weighted, coalesce(max(CASE WHEN rank = 0 THEN 1 ELSE 0 END), 0) AS has FROM samples s LEFT JOIN w ON s.sample_id = w.sample_id GROUP BY 1""")
 def wn6_neighbour_windows(spark, d):
-    """WN-6: thirty antecedent days of a station and its eight nearest, checked by sums over nodes and positions."""
+    """WN-6: thirty antecedent days of a station and its eight nearest on the sphere, checked by sums over nodes and positions."""
     st = stations(spark, d)
-    other = st.select(F.col("station_id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    pairs = spatial.pairs_within(st.select("station_id", "x", "y"), other, 60_000.0).where("station_id <> other")
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("station_id").orderBy("dist", "other")))
+    other = st.select(F.col("station_id").alias("other"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    pairs = spatial.nearest_on_sphere(st.select("station_id", "lat", "lon"), other, "station_id", "other", 9).where("station_id <> other")
+    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("station_id").orderBy("rank")))
     w = temporal.neighbour_windows(samples(spark, d), near, daily(spark, d), "station_id", "sample_id", "q", 30, 8)
     add = lambda a, x: a + x
     node = lambda f: F.aggregate(F.transform("seq", f), F.lit(0.0), add)

@@ -29,10 +29,11 @@ def ag2_annual_series(spark, d):
 @query("""WITH l AS (SELECT 'tp' AS param, tp AS x FROM $samples UNION ALL SELECT 'chla', chla FROM $samples UNION ALL SELECT 'secchi', secchi FROM $samples)
 SELECT param, count(x) AS n, round(100.0 * count(x) / count(*), 4) AS coverage, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS sd, round(quantile_cont(x, 0.1), 4) AS p10, round(median(x), 4) AS med, round(quantile_cont(x, 0.9), 4) AS p90 FROM l GROUP BY param""")
 def ag3_summary(spark, d):
-    """AG-3, AG-17, PV-2: wide to long, then one grouped pass."""
+    """AG-3, PV-2: wide to long, then one grouped pass and the percentiles from running counts."""
     long = samples(spark, d).select("sample_id", "tp", "chla", "secchi").unpivot("sample_id", ["tp", "chla", "secchi"], "param", "x")
-    p = lambda q: F.round(F.percentile("x", q), 4)
-    return long.groupBy("param").agg(F.count("x").alias("n"), _r(100.0 * F.count("x") / F.count("*")).alias("coverage"), _r(F.avg("x")).alias("mean"), _r(F.stddev_samp("x")).alias("sd"), p(0.1).alias("p10"), p(0.5).alias("med"), p(0.9).alias("p90"))
+    p = stats.percentiles(long, ["param"], "x", {"p10": 0.1, "med": 0.5, "p90": 0.9})
+    out = long.groupBy("param").agg(F.count("x").alias("n"), _r(100.0 * F.count("x") / F.count("*")).alias("coverage"), _r(F.avg("x")).alias("mean"), _r(F.stddev_samp("x")).alias("sd"))
+    return out.join(F.broadcast(p), "param", "left").select(*out.columns, *[_r(F.col(c)).alias(c) for c in ("p10", "med", "p90")])
 
 
 @query("""WITH p AS (SELECT CASE WHEN year(date) <= 1997 THEN 'pre' ELSE 'post' END AS period, tp FROM $samples),
