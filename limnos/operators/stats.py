@@ -53,7 +53,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     met = (c.join(F.broadcast(at), keys) if keys else c.join(F.broadcast(at), F.lit(True))).where(covers(low) | covers(high))
     v = F.col(value).cast("double")
     ends = met.groupBy(*keys, "i_", "at_").agg(F.max(F.when(covers(low), v)).alias("a_"), F.max(F.when(covers(high), v)).alias("b_"))
-    q = F.col("a_") + (F.col("b_") - F.col("a_")) * (F.col("at_") - F.floor("at_"))
+    q = F.when(F.col("at_") == F.floor("at_"), F.col("a_")).otherwise((F.ceil("at_") - F.col("at_")) * F.col("a_") + (F.col("at_") - F.floor("at_")) * F.col("b_"))
     pick = [F.max(F.when(F.col("i_") == i, q)).alias(name) for i, name in enumerate(shares)]
     return ends.groupBy(*keys).agg(*pick)
 

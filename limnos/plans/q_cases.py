@@ -173,6 +173,15 @@ def jn18_nearest_any(spark, d):
     return spatial.nearest_on_sphere(stations(spark, d).select("station_id", "lat", "lon"), _suppliers(spark, d), "station_id", "sup").select("station_id", "sup", _r(F.col("dist"), 1).alias("dist"))
 
 
+@query(f"WITH {_SUP}, r AS (SELECT station_id, sup, sqrt(pow(lat - rlat, 2) + pow(lon - rlon, 2)) AS deg FROM $stations, u) SELECT station_id, sup, round(deg, 6) AS deg FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY round(deg, 9), sup) AS k FROM r WHERE deg < 0.25) WHERE k = 1")
+def jn19_within_a_quarter_degree(spark, d):
+    """JN-19: the nearest station by degrees, if it is less than a quarter of one away."""
+    s = stations(spark, d).select("station_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    met = spatial.pairs_within(s, _suppliers(spark, d), 0.25, "x", "y", "rlon", "rlat").where("dist < 0.25")
+    best = F.min_by(F.struct("sup", "dist"), F.struct(F.round("dist", 9), "sup")).alias("b")
+    return met.groupBy("station_id").agg(best).select("station_id", "b.sup", _r(F.col("b.dist"), 6).alias("deg"))
+
+
 @query(f"""WITH c AS (SELECT gy * 50 + gx AS cell, 50 + gy * 0.4 + 0.013 AS lat, 4 + gx * 0.4 + 0.017 AS lon FROM (SELECT unnest(range(50)) AS gy) a, (SELECT unnest(range(50)) AS gx) b), s AS (SELECT station_id, lat AS rlat, lon AS rlon, bal FROM $stations),
 r AS (SELECT cell, station_id, bal, {_DIST.format('lat', 'rlat', 'lon', 'rlon')} AS dist FROM c, s) SELECT CAST(cell AS BIGINT) AS cell, station_id, bal FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(dist, 3), station_id) AS k FROM r) WHERE k = 1""")
 def gr6_cell_covariates(spark, d):

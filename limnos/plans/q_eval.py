@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import models, stats
+from .q_cases import _PAIRS, _pairs
 from .q_models import TIERS, _table
 from .tables import obs, query, samples, stations
 
@@ -195,6 +196,41 @@ def wn9_peak_elsewhere(spark, d):
     return peaks.join(F.broadcast(shown), ["model", "tier"]).select("target", "model", "tier", _r(-behind, 6).alias("off"), (behind <= tol).alias("marked"), elsewhere.alias("peak_tier"))
 
 
+@query("""WITH m AS (SELECT sensor AS target, CAST(ok % 3 AS INT) AS model, avg(q) AS r2, stddev_samp(q) AS rmse, avg(disc) AS mae FROM $obs GROUP BY 1, 2)
+SELECT target, round(max(r2), 6) AS r2, round(min(rmse), 6) AS rmse, round(min(mae), 8) AS mae FROM m GROUP BY target""")
+def ag35_best_metrics(spark, d):
+    """AG-35: of each target the largest R2 and the least errors over its models."""
+    m = obs(spark, d).groupBy(F.col("sensor").alias("target"), F.col("ok") % 3).agg(F.avg("q").alias("r2"), F.stddev_samp("q").alias("rmse"), F.avg("disc").alias("mae"))
+    return m.groupBy("target").agg(_r(F.max("r2"), 6).alias("r2"), _r(F.min("rmse"), 6).alias("rmse"), _r(F.min("mae"), 8).alias("mae"))
+
+
+_WANTED = [("A", "price", "true"), ("A", "price", "false"), ("N", "price", "true"), ("N", "q", "none"), ("R", "q", "all"), ("R", "q", "false")]
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT sensor, variable, coalesce(CAST(flag AS VARCHAR), 'all') AS flag, count(*) AS n, sqrt(avg((z - x) * (z - x))) AS rmse, avg(z - x) AS mbe FROM p GROUP BY GROUPING SETS ((sensor, variable), (sensor, variable, flag))),
+w AS (SELECT * FROM (VALUES (1, 'A', 'price', 'true'), (2, 'A', 'price', 'false'), (3, 'N', 'price', 'true'), (4, 'N', 'q', 'none'), (5, 'R', 'q', 'all'), (6, 'R', 'q', 'false')) v(place, sensor, variable, flag))
+SELECT w.place, w.sensor, w.variable, w.flag, CASE WHEN w.variable = 'q' THEN printf('%.2f', rmse) ELSE printf('%.1f', rmse) END AS rmse, CASE WHEN w.variable = 'q' THEN printf('%+.2f', mbe) ELSE printf('%+.1f', mbe) END AS mbe, replace(format('{{:,}}', n), ',', '{{,}}') AS n FROM w JOIN s ON s.sensor = w.sensor AND s.variable = w.variable AND s.flag = w.flag""")
+def ev13_matchup_rows(spark, d):
+    """EV-13: the wanted rows of the matchup report in their order, formatted by variable; rows without a result are left out."""
+    e = F.col("z") - F.col("x")
+    p = _pairs(spark, d).withColumn("flag", F.explode(F.array(F.lit("all"), F.col("flag").cast("string"))))
+    g = p.groupBy("sensor", "variable", "flag").agg(F.count("*").alias("n_"), F.sqrt(F.avg(e * e)).alias("rmse_"), F.avg(e).alias("mbe_"))
+    wanted = spark.createDataFrame([(i + 1, *w) for i, w in enumerate(_WANTED)], "place int, sensor string, variable string, flag string")
+    fine = F.col("variable") == "q"
+    text = lambda c, sign: F.when(fine, F.format_string(f"%{sign}.2f", c)).otherwise(F.format_string(f"%{sign}.1f", c))
+    met = F.broadcast(wanted).join(g, ["sensor", "variable", "flag"])
+    return met.select("place", "sensor", "variable", "flag", text("rmse_", "").alias("rmse"), text("mbe_", "+").alias("mbe"), F.regexp_replace(F.format_number("n_", 0), ",", "{,}").alias("n"))
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT variable, flag, corr(x, z) AS r, sqrt(avg((z - x) * (z - x))) AS rmse FROM p GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY variable, flag) AS place, variable, CASE WHEN flag THEN 'failure' ELSE 'ok' END AS condition, round(r * r, 3) AS r2, round(rmse, 1) AS rmse FROM s""")
+def ev13_correction_rows(spark, d):
+    """EV-13: the rows of the correction report, in the order of tier and condition."""
+    e = F.col("z") - F.col("x")
+    g = _pairs(spark, d).groupBy("variable", "flag").agg(F.corr("x", "z").alias("r"), F.sqrt(F.avg(e * e)).alias("rmse"))  # a row for each tier and condition
+    place = F.row_number().over(Window.orderBy("variable", "flag")).cast("long")
+    return g.select(place.alias("place"), "variable", F.when(F.col("flag"), "failure").otherwise("ok").alias("condition"), _r(F.col("r") * F.col("r"), 3).alias("r2"), _r(F.col("rmse"), 1).alias("rmse"))
+
+
 @query(_TIERED + " SELECT target, round(max(r2), 6) AS most, round(min(r2), 6) AS least FROM m GROUP BY target")
 def ag35_best_and_worst(spark, d):
     """AG-35: the best and the worst score of each target."""

@@ -136,7 +136,7 @@ def ev7_interval_scores(spark, d):
     each = []
     for i, (nom, (a, b)) in enumerate(_NOMINAL.items()):
         lo, hi = q[a], q[b]
-        each += [F.avg(F.when(v.between(lo, hi), 1.0).otherwise(0.0)).alias(f"p{i}"), F.avg(hi - lo).alias(f"s{i}"), F.avg(stats.winkler(v, lo, hi, F.lit(1 - nom))).alias(f"w{i}")]
+        each += [F.avg(F.when(v.between(lo, hi), 1.0).otherwise(0.0)).alias(f"p{i}"), F.max(hi - lo).alias(f"s{i}"), F.avg(stats.winkler(v, lo, hi, F.lit(1 - nom))).alias(f"w{i}")]
     g = p.groupBy("cls").agg(F.count("*").alias("n"), F.avg(crps).alias("crps"), F.max(F.col("r1") - F.col("r0")).alias("rng"), *each)
     rows = F.array(*[F.struct(F.lit(nom).alias("nominal"), F.col(f"p{i}").alias("picp"), F.col(f"s{i}").alias("sharp"), F.col(f"w{i}").alias("wink")) for i, nom in enumerate(_NOMINAL)])
     ece = sum((F.abs(F.col(f"p{i}") - nom) for i, nom in enumerate(_NOMINAL)), F.lit(0.0)) / len(_NOMINAL)
