@@ -110,6 +110,7 @@ def suffix_levels(placed: DataFrame, tables: Scratch) -> Levels:
         known = known.select((F.col("place") - on).alias("place"), F.col("rank").alias("then_"))
         then = F.when(F.col("left") <= on, F.col("place") - _END).otherwise(F.col("then_")).alias("then")
         rows = shared.join(known, "place", "left").select("place", "left", F.col("rank").alias("now"), F.col("smaller").alias("lower"), F.col("copies").alias("size"), then)
+        rows = tables.write(rows, f"rows-{len(out.shared)}")  # counted and met below: the join is not done twice
         # `lower` rows lie before the interval's in this order; its own move to [now, now + size)
         about = (F.col("now") + F.greatest("then", F.lit(0)) / total * F.col("size")) / total
         shared, settled, _ = _level(rows, ["now", "lower", "size", "then"], about, F.col("now") - F.col("lower"), tables, f"level-{len(out.shared)}")
