@@ -1,10 +1,12 @@
-"""64-bit hashes of words, for many texts at a time: a polynomial over the bytes of a word, taken from prefix sums over a chunk of texts."""
+"""Hashes of words, for many texts at a time: 64-bit polynomials over the bytes of a word, from prefix sums over a chunk of texts; or 128 bits of BLAKE2b, for words that are deleted if they are equal."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text on its own).
 CHUNK = 2_000_000
@@ -72,6 +74,29 @@ class WordHasher:
         return text, self.names(data, begin, end)
 
 
+class WordDigests(WordHasher):
+    """Words by 128 bits of BLAKE2b: no two words are known that share them. A distinct word is hashed once in a chunk."""
+
+    def names(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(words, 2): the first and the second 64 bits of each."""
+        if not len(begin):
+            return np.zeros((0, 2), np.uint64)
+        letters, ends = data[~self.space[data]], np.concatenate([[0], np.cumsum(end - begin)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
+        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist())
+        return np.frombuffer(digests, np.uint64).reshape(-1, 2)[words.indices.to_numpy()]
+
+
+def folded(names: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """One 64-bit value for names[s : s + size] of each start s: the names are taken in one by one, each mixed with all before it."""
+    out = np.full(len(start), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = (out ^ names[start + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return mix(out)
+
+
 def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

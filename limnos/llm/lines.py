@@ -32,14 +32,15 @@ def _ahead(rows: DataFrame, part: str, sums: dict[str, Column]) -> DataFrame:
 
 
 def line_ids(docs: DataFrame, id_col: str, text_col: str, tables: Scratch, words: int | None = None) -> DataFrame:
-    """One row per document: id, own (hash of the text), ids (two 64-bit hashes of each line, as one array of pairs), n, and first: the place of its first line in the order of (id, own), nulls last.
+    """One row per document: id, own (hash of the text), ids (128 bits of SHA-256 of each line, as one array of pairs), n, and first: the place of its first line in the order of (id, own), nulls last.
 
     With `words` each pair has `alone` too: whether the line counts as a run by itself, as it has so many words or is the whole text and has one."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\\n", -1)
     found = lambda x: F.regexp_count(x, F.lit(WORD_PATTERN))
     alone = lambda x: F.when(~F.contains(F.col(text_col), F.lit("\n")), found(x) > 0).when(F.length(x) >= 2 * words - 1, found(x) >= words).otherwise(False)
     more = lambda x: [] if words is None else [alone(x).alias("alone")]
-    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit("line")).alias("g"), *more(x)))
+    bits = lambda digest, at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    ids = F.transform(F.transform(lines, lambda x: F.struct(F.sha2(x, 256).alias("digest"), x.alias("line"))), lambda x: F.struct(bits(x["digest"], 1).alias("h"), bits(x["digest"], 17).alias("g"), *more(x["line"])))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), ids.alias("ids"))
     rows = rows.withColumn("n", F.size("ids")).repartitionByRange(F.col("id").asc_nulls_last(), "own")
     rows = tables.write(rows.withColumn("part", F.spark_partition_id()), "ids")

@@ -1,13 +1,13 @@
 """Substring dedup by recompression.
 
-A document is a sequence of words, named by a 64-bit hash. A round of recompression first names runs of one symbol (by symbol and length),
+A document is a sequence of words, named by 64 bits of BLAKE2b. A round of recompression first names runs of one symbol (by symbol and length),
 then pairs: every symbol has a bit by its name, and a 0-symbol before a 1-symbol is a pair with a name of its own. Names are hashes of what
 they stand for, so they are the same in every task: equal passages get equal symbols in their interior. What a symbol looks at to be itself
 (its neighbours, to know where a run or a pair ends) are the words that settle it; a passage that holds these words has the symbol.
 
 Rounds are Spark jobs over all documents. Each finds the symbols of its level that two documents share, among those that a window still
 alive settles. A window of 13 words dies if it settles a symbol that only one document has. What is left after the last round is dealt
-out by a symbol that the window settles, and windows that meet are compared by 128 bits of hashes of their words."""
+out by a symbol that the window settles, and windows that meet are compared by two 64-bit folds of their 13 words' digests (128 bits a word)."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, materialize, words_of
-from .hashing import Powers, WordHasher, chunks, mix
+from .hashing import WordDigests, chunks, folded, mix
 
 WINDOW = 13
 #: Levels of recompression. Symbols of a third one reach over more words than a window settles, as a rule.
@@ -97,10 +97,11 @@ class Bitmap:
 class Parsed:
     """Words, symbols and windows of a few documents, in arrays. A window is known by its first word, counted over all of them."""
 
-    def __init__(self, hasher: WordHasher, texts: list[bytes]) -> None:
+    def __init__(self, hasher: WordDigests, texts: list[bytes]) -> None:
         self.data, self.doc, self.begin, self.end = hasher.split(texts)
         self.n, self.texts = len(self.doc), len(texts)
-        self.word = hasher.names(self.data, self.begin, self.end)
+        self.names = hasher.names(self.data, self.begin, self.end)
+        self.word = np.ascontiguousarray(self.names[:, 0])
         at = np.arange(self.n)
         self.levels = [Symbols(self.word, np.ones(self.n, np.int64), at, at + 1, self.doc)]
         self.start = np.searchsorted(self.doc, np.arange(len(texts)))
@@ -205,7 +206,7 @@ def round_counts(docs: DataFrame, level: int, known: dict[int, Bitmap], id_col:
     held = _held(docs, known)
 
     def run(batches):
-        hasher, bitmaps = WordHasher(), {k: Bitmap(*v.value) for k, v in held.items()}
+        hasher, bitmaps = WordDigests(), {k: Bitmap(*v.value) for k, v in held.items()}
         sums = [_Sums(0), _Sums(1)]
         with np.errstate(over="ignore"):
             for b in batches:
@@ -290,20 +291,18 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, known: dict[int, Bi
     held = _held(docs, known | ({-1: crowded} if crowded else {}))
 
     def run(batches):
-        hashers = (WordHasher(0), WordHasher(1))
-        powers = (Powers(0xD1342543DE82EF95), Powers(0xA0761D6478BD642F))
+        hasher = WordDigests()
         bitmaps = {k: Bitmap(*v.value) for k, v in held.items()}
         crowd = bitmaps.pop(-1, None)
         with np.errstate(over="ignore"):
             for b in batches:
                 for keys, texts in chunks(list(zip(b.column("id").to_pylist(), b.column("own").to_pylist())), b.column("text").to_pylist()):
-                    p = Parsed(hashers[0], texts)
+                    p = Parsed(hasher, texts)
                     window = p.alive(bitmaps)
                     if not len(window):
                         continue
                     anchor, doc = p.anchors(window), p.doc[window]
-                    other = hashers[1].names(p.data, p.begin, p.end)
-                    prints = np.stack([x.ranges(w, window, window + WINDOW) for x, w in zip(powers, (p.word, other))], axis=1)
+                    prints = np.stack([folded(p.names[:, k], window, WINDOW) for k in (0, 1)], axis=1)
                     new = _stretches(p, window, anchor)
                     ids, own = np.array([k[0] for k in keys], np.int64)[doc[new]], np.array([k[1] for k in keys], np.int32)[doc[new]]
                     salt = np.full(len(new), -1, np.int32)

@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from limnos.llm import lines
 from limnos.llm.common import Scratch, shared_dir
@@ -59,3 +60,11 @@ def test_tables_end_with_their_job(spark):
     before = set(os.listdir(top))
     lines.line_report(spark.createDataFrame(corpus(6, 10), "doc_id long, text string")).collect()
     assert [x.split("-")[1] for x in set(os.listdir(top)) - before] == ["lost"]
+
+
+def test_lines_that_share_chained_hashes(spark):
+    """Both lines have the same xxhash64, and so the same xxhash64 with more columns behind them."""
+    pair = ["qxejicphfxhibyrtcwtfhpiuamhzmxkxwcmjzonszatomrdwevoosnocmfnlxxaq", "plxiwpnafxhibyrtcwtfhpiuamhzmxkxB>@X$,=2zatomrdwevoosnocmfnlxxaq"]
+    docs = spark.createDataFrame([(k, f"{x}\nsecond line") for k, x in enumerate(pair)], "doc_id long, text string")
+    assert docs.select(F.xxhash64(F.split("text", "\n")[0])).distinct().count() == 1
+    assert sorted((r["n_lines"], r["n_removed"]) for r in lines.line_report(docs).collect()) == [(2, 0), (2, 0)]
