@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, language, lines, media, mixing, quality, simhash, substrings, toxicity
+from . import bpe, imatch, language, lines, media, mixing, quality, simhash, spelling, substrings, suffix_index, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_imatch, op4_simhash_near, op5_line_dedup, op6_toxicity, op7_quality, op8_bpe, op9_substring_dedup, op10_mixing)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all whole texts with their near words, the form that each is a variant of, and the root of its forms. Null texts have no words."""
+    return spelling.spelling_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text, and those in 200 bytes that also start anywhere else. A null text is an empty one."""
+    return suffix_index.remove_repeats(_table(spark, sf_dir, "documents"), keep=False)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector without null or non-finite components, their errors, and the sums of errors by label."""
+    return vectors.code_report(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_imatch, op4_simhash_near, op5_line_dedup, op6_toxicity, op7_quality, op8_bpe, op9_substring_dedup, op10_mixing, op11_spelling_variants, op12_suffix_dedup, op13_vector_codes)}
 
 _LINES = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
@@ -94,4 +109,40 @@ SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, coalesce(s.n_removed, 0) A
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """
 
-ORACLES = {"op5_line_dedup": _LINES, "op9_substring_dedup": _SUBSTRINGS}
+_SUFFIXES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+k AS (SELECT doc_id, h, n, row_number() OVER () AS k FROM d),
+p AS (SELECT k, h, n, unnest(range(n)) AS i FROM k),
+w AS (SELECT k, i, n, h[2 * i + 1 : 2 * i + 2] AS byte, CASE WHEN i + 200 <= n THEN md5(h[2 * i + 1 : 2 * i + 400]) END AS win FROM p),
+c AS (SELECT k, i, byte, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS starts FROM w),
+g AS (SELECT k, i, byte, coalesce(max(CASE WHEN starts THEN i END) OVER (PARTITION BY k ORDER BY i) > i - 200, false) AS gone FROM c),
+b AS (SELECT k, i, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY i), false) AS head FROM g),
+s AS (SELECT k, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM b GROUP BY k)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM k LEFT JOIN s USING (k)
+"""
+
+
+def _vector_sql(parts: int = vectors.PARTS, entries: int = vectors.ENTRIES, rounds: int = vectors.ROUNDS, scale: int = vectors.SCALE) -> str:
+    """Every round is two steps: assign parts to entries, average by entry."""
+    steps = [f"""
+WITH kept AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, label, p, list_transform(range(w), lambda d: cast(floor(cast(v[p * w + d + 1] AS double) * {scale}) AS bigint)) AS c
+      FROM (SELECT vec_id, label, v, len(v) // {parts} AS w, unnest(range({parts})) AS p FROM kept)),
+b0 AS (SELECT p, e, c FROM (SELECT p, c, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM x) WHERE e < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (SELECT vec_id, label, p, c, min(struct_pack(d := d, e := e)) AS m
+      FROM (SELECT x.vec_id, x.label, x.p, x.c, b.e, list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS d FROM x JOIN b{k} b ON x.p = b.p) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT p, e, list(floor(s / n)::bigint ORDER BY i) AS c FROM (SELECT p, m.e AS e, i, sum(c[i]) AS s, count(*) AS n FROM (SELECT p, m, c, unnest(range(1, len(c) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.p = m.p AND b.e = m.e)""")
+    return ",".join(steps) + f""",
+r AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::bigint AS error FROM a{rounds} GROUP BY ALL),
+l AS (SELECT label, sum(error)::bigint AS label_error FROM r GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM r JOIN l ON r.label IS NOT DISTINCT FROM l.label, h
+"""
+
+
+ORACLES = {"op12_suffix_dedup": _SUFFIXES, "op13_vector_codes": _vector_sql(), "op5_line_dedup": _LINES, "op9_substring_dedup": _SUBSTRINGS}

@@ -109,3 +109,16 @@ def test_words_that_share_every_polynomial_hash(spark, letters):
     rows = [(k, " ".join([*(f"w{i}" for i in range(6)), w, *(f"z{i}" for i in range(6))])) for k, w in enumerate((word, other, word), 1)]
     got = substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == brute(rows)
+
+
+def test_names_of_words():
+    """Names tell words apart that differ in zero bytes, length or one letter, and are the same wherever a word stands."""
+    words = [b"a", b"a\0", b"a\0\0", b"abcdefgh", b"abcdefg", b"abcdefghi", b"abcdefghj", b"x" * 300, b"x" * 301, "é".encode()]
+    h = WordDigests()
+
+    def names(texts):
+        data, _, begin, end = h.split(texts)
+        return [tuple(x) for x in h.names(data, begin, end).tolist()]
+
+    one = names([b" ".join(words)])
+    assert len(set(one)) == len(words) and names([b"", b"  ", b"\t".join(words[::-1]), b"\n"]) == one[::-1] and names([b"", b" "]) == []
