@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,35 +27,47 @@ def metrics(y: str, yhat: str, least: int = 5) -> list[Column]:
     return [ok(F.sqrt(F.avg(e * e))).alias("rmse"), ok(1 - F.sum(e * e) / F.nullif(F.var_pop(F.when(e.isNotNull(), F.col(y))) * n, F.lit(0.0))).alias("r2"), ok(F.avg(F.abs(e))).alias("mae"), n.alias("n")]
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Column, levels: list[float]) -> DataFrame:
-    """(keys, level, q): the value whose place in ascending order, from 1, is `wanted`, an expression of n_ (the key's rows) and level. From running counts: no task orders a whole key."""
-    c = running_counts(df, value, {"n": F.count("*")}, keys=keys)
-    total = c.groupBy(*keys).agg(F.sum("n").alias("n_"))
-    at = total.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("want_", wanted)  # a row for each key and level
-    got = c.join(F.broadcast(at), keys) if keys else c.join(F.broadcast(at), F.lit(True))
-    return got.where((F.col("n_to") >= F.col("want_")) & (F.col("n_to") - F.col("n") < F.col("want_"))).select(*keys, "level", F.col(value).alias("q"))
+def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Callable[[Column, float], Column], levels: list[float]) -> DataFrame:
+    """(keys, level, q): the value whose place in ascending order, from 1, is wanted(rows of the key, level). From running counts, in one pass: no task orders a whole key. Keys without a value have no row."""
+    c = running_counts(df, value, {"n": F.count("*")}, keys)
+    at = [wanted(F.col("n_all"), level) for level in levels]
+    g = c.groupBy(*keys).agg(*[F.max(F.when((F.col("n_to") >= x) & (F.col("n_to") - F.col("n") < x), F.col(value))).alias(f"q{i}") for i, x in enumerate(at)])
+    return g.select(*keys, F.inline(F.array(*[F.struct(F.lit(level).alias("level"), F.col(f"q{i}").alias("q")) for i, level in enumerate(levels)]))).where("q IS NOT NULL")
 
 
 def conformal_widths(scores: DataFrame, keys: list[str], score: str, levels: list[float]) -> DataFrame:
-    """The order statistic of each level by key: of n scores, 'higher' at ceil((n + 1) level) / n. Keys are few: a row for each is broadcast."""
-    q = F.least(F.lit(1.0), F.ceil((F.col("n_") + 1) * F.col("level")) / F.col("n_"))
-    return order_statistics(scores, keys, score, F.ceil(q * (F.col("n_") - 1)) + 1, levels)
+    """The order statistic of each level by key: of n scores, 'higher' at ceil((n + 1) level) / n."""
+
+    def place(n: Column, level: float) -> Column:
+        return F.ceil(F.least(F.lit(1.0), F.ceil((n + 1) * level) / n) * (n - 1)) + 1
+
+    return order_statistics(scores, keys, score, place, levels)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """(keys, one column for each named share): exact percentiles, linear between places, by key, from running counts: no task holds a key's values. Nulls take no part; keys are few, and those without a value go."""
-    c = running_counts(df, value, {"n": F.count("*")}, keys=keys)
-    n = c.groupBy(*keys).agg(F.sum("n").alias("n_"))
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares.values())])
-    at = n.withColumn("s_", F.explode(places)).select(*keys, F.col("s_.i").alias("i_"), (F.col("s_.p") * (F.col("n_") - 1)).alias("at_"))  # a row for each key and share
-    low, high = F.floor("at_") + 1, F.ceil("at_") + 1
+    """(keys, one column for each named share): exact percentiles, linear between places, for any number of keys, from running counts in one pass: no task holds a key's values. Nulls take no part; keys without a value have no row."""
+    c = running_counts(df, value, {"n": F.count("*")}, keys)
     covers = lambda x: (F.col("n_to") >= x) & (F.col("n_to") - F.col("n") < x)
-    met = (c.join(F.broadcast(at), keys) if keys else c.join(F.broadcast(at), F.lit(True))).where(covers(low) | covers(high))
-    v = F.col(value).cast("double")
-    ends = met.groupBy(*keys, "i_", "at_").agg(F.max(F.when(covers(low), v)).alias("a_"), F.max(F.when(covers(high), v)).alias("b_"))
-    q = F.when(F.col("at_") == F.floor("at_"), F.col("a_")).otherwise((F.ceil("at_") - F.col("at_")) * F.col("a_") + (F.col("at_") - F.floor("at_")) * F.col("b_"))
-    pick = [F.max(F.when(F.col("i_") == i, q)).alias(name) for i, name in enumerate(shares)]
-    return ends.groupBy(*keys).agg(*pick)
+    v, ends = F.col(value).cast("double"), []
+    for i, p in enumerate(shares.values()):
+        at = p * (F.col("n_all") - 1)
+        ends += [F.max(F.when(covers(F.floor(at) + 1), v)).alias(f"a{i}_"), F.max(F.when(covers(F.ceil(at) + 1), v)).alias(f"b{i}_")]
+    g = c.groupBy(*keys).agg(F.max("n_all").alias("n_"), *ends)
+
+    def between(i: int, p: float) -> Column:
+        at = p * (F.col("n_") - 1)
+        return F.when(at == F.floor(at), F.col(f"a{i}_")).otherwise((F.ceil(at) - at) * F.col(f"a{i}_") + (at - F.floor(at)) * F.col(f"b{i}_"))
+
+    return g.select(*keys, *[between(i, p).alias(name) for i, (name, p) in enumerate(shares.items())])
+
+
+def clip_scale(df: DataFrame, channel: str, value: str, over: float = 10.0, least: float = 1e-8) -> DataFrame:
+    """df with `scaled`: values of channels whose largest is over `over` between their 1st and 99th percentile, as -1 to 1; 0 in such channels whose percentiles differ by less than `least`; other channels as they are."""
+    p = percentiles(df, [channel], value, {"low_": 0.01, "high_": 0.99, "top_": 1.0})
+    spread = F.col("high_") - F.col("low_")
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(value) - F.col("low_"), spread))) * 2 - 1
+    out = F.when(F.col("top_") <= over, F.col(value)).when(spread < least, F.lit(0.0)).otherwise(x)
+    return df.join(p, channel, "left").withColumn("scaled", out).drop("low_", "high_", "top_")
 
 
 def t_probability(t: Column, df: Column) -> Column:
@@ -118,25 +130,27 @@ def rolling_median(df: DataFrame, order: str, tie: str, value: str, rows: int =
     return both.withColumn("median", median).where("own_").drop("own_", "block_", "rank_")
 
 
-def running_counts(df: DataFrame, value: str, counts: dict[str, Column], buckets: int = 128, keys: list[str] | None = None) -> DataFrame:
-    """One row for each distinct value (a number) with the named aggregates and, as `{name}_to`, their running sums in the order of the value; with `keys` within each key. Null values go.
+def _cell(value: str) -> Column:
+    """A whole number that never falls as the value rises: cells of a 256th of the value's size, of a 2^-28th near 0. NaN comes last."""
+    x = F.col(value).cast("double")
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x) * 2.0**20) * 256))
+
+
+def running_counts(df: DataFrame, value: str, counts: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """One row for each distinct value (a number) with the named aggregates and, as `{name}_to`, their running sums in the order of the value, as `{name}_all` their totals; with `keys` within each key. Null values and keys go.
 
-    Values are cut into `buckets` ranges of about as many distinct values each: sums run inside a range, and over the table of ranges, so that no task orders all values."""
+    Values lie in cells in their order, some thousand for a key whose values differ. Sums run inside a cell, and over a key's table of cells, so no task orders all values. Nothing is sampled or counted
+    ahead: the plan is one pass. Only values that lie within a 256th of each other share a cell however many they are."""
     keys = keys or []
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[v.alias(k) for k, v in counts.items()])
-    c = c.withColumn("v_", F.col(value).cast("double"))
-    cuts = sorted(set(c.approxQuantile("v_", [i / buckets for i in range(1, buckets)], 0.002)))
-    if cuts:  # the splitter wants one cut at least
-        c = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="v_", outputCol="b_", handleInvalid="keep").transform(c)
-    else:
-        c = c.withColumn("b_", F.lit(0.0))
-    c = c.drop("v_")
-    before = Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
-    tot = c.groupBy(*keys, "b_").agg(*[F.sum(k).alias(f"{k}_b") for k in counts])  # at most `buckets` rows a key
-    base = tot.select(*keys, "b_", *[F.coalesce(F.sum(f"{k}_b").over(before), F.lit(0)).alias(f"{k}_0") for k in counts])
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[v.alias(k) for k, v in counts.items()]).withColumn("b_", _cell(value))
+    tot = c.groupBy(*keys, "b_").agg(*[F.sum(k).alias(f"{k}_b") for k in counts])
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    base = tot.select(*[F.col(k).alias(f"{k}_k") for k in keys], F.col("b_").alias("b_k"), *[F.coalesce(F.sum(f"{k}_b").over(before), F.lit(0)).alias(f"{k}_0") for k in counts], *[F.sum(f"{k}_b").over(whole).alias(f"{k}_all") for k in counts])
     inside = Window.partitionBy(*keys, "b_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    base = base if keys else F.broadcast(base)
-    return c.join(base, [*keys, "b_"]).select(*keys, value, *counts, *[(F.col(f"{k}_0") + F.sum(k).over(inside)).alias(f"{k}_to") for k in counts])
+    run = c.select("*", *[F.sum(k).over(inside).alias(f"{k}_in") for k in counts])
+    met = run.join(base, [F.col(k) == F.col(f"{k}_k") for k in keys] + [F.col("b_") == F.col("b_k")])
+    return met.select(*keys, value, *counts, *[(F.col(f"{k}_0") + F.col(f"{k}_in")).alias(f"{k}_to") for k in counts], *[f"{k}_all" for k in counts])
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column, least: int = 10) -> DataFrame:
@@ -161,10 +175,9 @@ def calibration_cut(df: DataFrame, fold: str, order: str, folds: int = 5, share:
     """(fold, cut): of the rows outside each fold, in the order of a unique number, those from `cut` on are the last `share` of them, `least` at least: the calibration rows. Null orders take no part."""
     counts = {f"k{f}": F.count(F.when(F.col(fold) != f, 1)) for f in range(folds)}
     c = running_counts(df, order, counts)
-    long = c.select(order, F.explode(F.array(*[F.struct(F.lit(f).alias(fold), F.col(f"k{f}").alias("k"), F.col(f"k{f}_to").alias("to")) for f in range(folds)])).alias("x")).select(order, "x.*")
-    n = long.groupBy(fold).agg(F.sum("k").alias("n_"))  # a row for each fold
+    long = c.select(order, F.inline(F.array(*[F.struct(F.lit(f).alias(fold), F.col(f"k{f}").alias("k"), F.col(f"k{f}_to").alias("to"), F.col(f"k{f}_all").alias("n_")) for f in range(folds)])))
     held = F.greatest(F.lit(least), F.floor(F.col("n_") * share))
-    return long.join(F.broadcast(n), fold).where((F.col("k") > 0) & (F.col("to") > F.col("n_") - held)).groupBy(fold).agg(F.min(order).alias("cut"))
+    return long.where((F.col("k") > 0) & (F.col("to") > F.col("n_") - held)).groupBy(fold).agg(F.min(order).alias("cut"))
 
 
 def pinball(y: Column, q: Column, alpha: Column | float) -> Column:
@@ -186,10 +199,8 @@ def group_split(df: DataFrame, group: str, train: float = 0.8, val: float = 0.1,
     """split of each group: the first int(n train) groups in hashed order train, the next int(n val) val, the rest test; a null group trains."""
     g = df.select(group).distinct().where(F.col(group).isNotNull()).withColumn("h_", hashed(group, seed))
     c = running_counts(g, "h_", {"n": F.count("*")})
-    n = c.agg(F.sum("n").alias("all_"))
-    at = c.join(F.broadcast(n), F.lit(True))  # one row
-    a, b = F.floor(F.col("all_") * train), F.floor(F.col("all_") * val)
-    at = at.withColumn("split", F.when(F.col("n_to") <= a, "train").when(F.col("n_to") <= a + b, "val").otherwise("test"))
+    a, b = F.floor(F.col("n_all") * train), F.floor(F.col("n_all") * val)
+    at = c.withColumn("split", F.when(F.col("n_to") <= a, "train").when(F.col("n_to") <= a + b, "val").otherwise("test"))
     out = g.join(at.select("h_", "split"), "h_").select(group, "split")
     return df.join(out, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 

@@ -27,9 +27,11 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], sample: s
 
 
 def antecedent_window(samples: DataFrame, daily: DataFrame, key: str, sample: str, value: str, days: int) -> DataFrame:
-    """For each sample the `days` daily values strictly before it, right-aligned: `seq` (0 where none) and `has` (1 where there was one). (key, obs_date) is unique in daily."""
-    w = last_days(samples, daily, key, [sample], value, days)
-    return w.select(sample, F.transform("last", lambda x: F.coalesce(x, F.lit(0.0))).alias("seq"), F.transform("last", lambda x: x.isNotNull().cast("int")).alias("has"))
+    """For each sample the values of its key that exist on the `days` days strictly before it, packed against the right end, the latest last: `seq` has `days` entries, 0 on the left; `has` is 1 if there is a day.
+
+    Days that are missing leave no gap; a day with a null value keeps its place and counts as 0. (key, obs_date) is unique in daily. Samples with a null date or key have only zeros."""
+    got = _gathered(samples.select(sample, key, _day("date").alias("at_")), daily.select(key, _day("obs_date").alias("n_"), F.col(value).alias("v_")), key, [sample], days)
+    return got.select(sample, _packed("e_", days).alias("seq"), (F.size("e_") > 0).cast("int").alias("has"))
 
 
 def antecedent_months(samples: DataFrame, daily: DataFrame, key: str, sample: str, value: str, months: int = 12) -> DataFrame:
@@ -91,38 +93,70 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
 
 
-def last_days(samples: DataFrame, daily: DataFrame, key: str, sample: list[str], value: str, days: int) -> DataFrame:
-    """`days` entries for each sample, the oldest first: the values of its key on the days strictly before its date, null where there is none. (key, obs_date) is unique in daily.
+def _gathered(samples: DataFrame, rows: DataFrame, key: str, sample: list[str], days: int) -> DataFrame:
+    """(sample, at_, e_): for each of samples (sample, key, at_) the rows (key, n_, v_) of its key with n_ from at_ - `days` to at_ - 1, in order, as structs (n_, v_). (key, n_) is unique.
+
+    Rows are gathered by blocks of `days` numbers, so that a sample meets at most two blocks, not `days` rows."""
+    block = rows.where(F.col(key).isNotNull() & F.col("n_").isNotNull()).groupBy(key, F.floor(F.col("n_") / days).alias("block_")).agg(F.collect_list(F.struct("n_", "v_")).alias("b_"))
+    first, last = F.floor((F.col("at_") - days) / days), F.floor((F.col("at_") - 1) / days)
+    met = samples.select(*sample, key, "at_").withColumn("block_", F.explode_outer(F.array_distinct(F.array(first, last)))).join(block, [key, "block_"], "left")
+    got = met.groupBy(*sample, "at_").agg(F.flatten(F.collect_list("b_")).alias("b_"))
+    return got.select(*sample, "at_", F.array_sort(F.filter("b_", lambda x: (x["n_"] < F.col("at_")) & (x["n_"] >= F.col("at_") - days))).alias("e_"))
+
+
+def _packed(entries: str, days: int) -> Column:
+    """The values of the entries, 0 for null, behind as many zeros as make `days`."""
+    values = F.transform(entries, lambda x: F.coalesce(x["v_"].cast("double"), F.lit(0.0)))
+    return F.concat(F.array_repeat(F.lit(0.0), F.lit(days) - F.size(entries)), values)
+
 
-    Daily rows are gathered by blocks of `days` days, so that a sample meets at most two blocks, not `days` rows. Samples with a null date or key have only nulls."""
-    block = daily.where(F.col(key).isNotNull() & F.col("obs_date").isNotNull()).select(key, _day("obs_date").alias("n_"), F.col(value).alias("v_"))
-    block = block.groupBy(key, F.floor(F.col("n_") / days).alias("block_")).agg(F.collect_list(F.struct("n_", "v_")).alias("e_"))
-    s = samples.select(*sample, key, _day("date").alias("d_"))
-    first, last = F.floor((F.col("d_") - days) / days), F.floor((F.col("d_") - 1) / days)
-    met = s.withColumn("block_", F.explode_outer(F.array_distinct(F.array(first, last)))).join(block, [key, "block_"], "left")
-    got = met.groupBy(*sample, "d_").agg(F.map_from_entries(F.flatten(F.collect_list("e_"))).alias("m_"))
-    back = F.sequence(F.lit(-days), F.lit(-1))
-    return got.select(*sample, F.transform(back, lambda k: F.try_element_at("m_", F.col("d_") + k)).alias("last"))
+def local_nodes(graph: DataFrame, order: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, other, rank): for each node of a graph (src, dst) its first k neighbours in the order of nodes, from rank 1. order: key and `place`, a unique number."""
+    at = graph.join(order.select(F.col(key).alias("dst"), "place"), "dst")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("place"))
+    return at.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("src").alias(key), F.col("dst").alias("other"), "rank")
 
 
 def neighbour_windows(samples: DataFrame, near: DataFrame, daily: DataFrame, key: str, sample: str, value: str, days: int, k: int) -> DataFrame:
-    """For each sample the antecedent windows of its own key and of its k neighbours: `seq`, an array of k + 1 arrays of `days` values, 0 where there is none or fewer neighbours; `has` is 1 if the own window has a value. near: key, other, rank from 1."""
-    own = samples.select(F.col(key).alias("own_"), sample, "date")
+    """For each sample the antecedent windows of its own key and of its k neighbours, packed as in `antecedent_window`: `seq`, an array of k + 1 arrays, the own one first, zeros where a node has no day or there are fewer neighbours.
+
+    `has` is 1 if the sample's key has a series at all, in the window or not; without one all windows are zeros. near: key, other, rank from 1."""
+    series = daily.select(key).distinct()
+    own = samples.select(F.col(key).alias("own_"), sample, "date").join(series.select(F.col(key).alias("own_"), F.lit(1).alias("has")), "own_", "left")
     nodes = near.where(F.col("rank") <= k).select(F.col(key).alias("own_"), F.col("other").alias(key), "rank")
     self_ = own.withColumn(key, F.col("own_")).withColumn("rank", F.lit(0))
-    rows = self_.select(sample, "date", key, "rank").unionByName(own.join(nodes, "own_").select(sample, "date", key, "rank"))
-    w = last_days(rows, daily, key, [sample, "rank"], value, days)
-    w = w.select(sample, "rank", F.transform("last", lambda x: F.coalesce(x, F.lit(0.0))).alias("s_"), F.exists("last", lambda x: x.isNotNull()).cast("int").alias("h_"))
-    g = w.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("rank", "s_"))).alias("m_"), F.max(F.when(F.col("rank") == 0, F.col("h_"))).alias("has"))
+    with_series = own.where("has = 1").join(nodes, "own_")
+    rows = self_.select(sample, "date", key, "rank").unionByName(with_series.select(sample, "date", key, "rank"))
+    w = _gathered(rows.select(sample, "rank", key, _day("date").alias("at_")), daily.select(key, _day("obs_date").alias("n_"), F.col(value).alias("v_")), key, [sample, "rank"], days)
+    g = w.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("rank", _packed("e_", days).alias("s_")))).alias("m_"))
     none = F.array_repeat(F.lit(0.0), days)
-    return g.select(sample, F.transform(F.sequence(F.lit(0), F.lit(k)), lambda r: F.coalesce(F.try_element_at("m_", r), none)).alias("seq"), "has")
+    seq = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda r: F.coalesce(F.try_element_at("m_", r), none))
+    return g.join(own.select(sample, "has"), sample).select(sample, seq.alias("seq"), F.coalesce("has", F.lit(0)).alias("has"))
+
+
+def archive_ends(samples: DataFrame, archive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((date, end_), (obs_date, n_)): how many days of an archive lie before each date of samples, and each archive day's number from 0. Both run over distinct days only, so a calendar bounds what is ordered."""
+    days = archive.where("obs_date IS NOT NULL").select(F.col("obs_date").alias("day_")).distinct().withColumn("one_", F.lit(1))
+    asked = samples.where("date IS NOT NULL").select(F.col("date").alias("day_")).distinct().withColumn("one_", F.lit(0))
+    both = days.unionByName(asked).groupBy("day_").agg(F.max("one_").alias("one_"), F.min("one_").alias("asked_"))
+    before = Window.orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    at = both.withColumn("n_", F.coalesce(F.sum("one_").over(before), F.lit(0)).cast("int"))
+    return at.select(F.col("day_").alias("date"), F.col("n_").alias("end_")), at.where("one_ = 1").select(F.col("day_").alias("obs_date"), "n_")
 
 
 def patch_windows(samples: DataFrame, patches: DataFrame, key: str, sample: str, days: int, size: int, zero: list[int] | None = None, channels: int = 1) -> DataFrame:
-    """For each sample the patches of the `days` days before it as `seq`, the oldest first: masked and non-finite entries are 0, as are all entries of the channels `zero`; days without a patch are all 0. patches: key, obs_date, patch, mask (arrays of `size`, channels innermost; mask entries of 0 hide)."""
+    """For each sample the patches of its key on the last `days` days of the archive before it as `seq`, the oldest first, against the right end: the archive's days are those on which any key has a patch, so days that all lack do not count.
+
+    Masked and non-finite entries are 0, as are all entries of the channels `zero`; days without a patch of the key are all 0, as are places before the archive begins. n_patches: how many there are.
+    patches: key, obs_date, patch, mask (arrays of `size`, channels innermost; mask entries of 0 hide)."""
     bad = lambda x, m: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | m.isNull() | (m == 0)
     clean = F.zip_with("patch", "mask", lambda x, m: F.when(bad(x, m), F.lit(0.0)).otherwise(x.cast("double")))
     if zero:
         clean = F.transform(clean, lambda x, i: F.when((i % channels).isin(zero), F.lit(0.0)).otherwise(x))
-    w = last_days(samples, patches.withColumn("clean_", clean), key, [sample], "clean_", days)
-    return w.select(sample, F.transform("last", lambda p: F.coalesce(p, F.array_repeat(F.lit(0.0), size))).alias("seq"), F.size(F.filter("last", lambda p: p.isNotNull())).alias("n_patches"))
+    ends, numbers = archive_ends(samples, patches)
+    s = samples.select(sample, key, "date").join(ends, "date", "left").select(sample, key, F.col("end_").alias("at_"))
+    rows = patches.join(numbers, "obs_date").select(key, "n_", clean.alias("v_"))
+    w = _gathered(s, rows, key, [sample], days).withColumn("m_", F.map_from_entries("e_"))
+    place = F.sequence(F.lit(-days), F.lit(-1))
+    seq = F.transform(place, lambda i: F.coalesce(F.try_element_at("m_", F.col("at_") + i), F.array_repeat(F.lit(0.0), size)))
+    return w.select(sample, seq.alias("seq"), F.size("e_").alias("n_patches"))

@@ -153,10 +153,10 @@ def _strata(spark, d):
     return e.join(F.broadcast(iqr), F.lit(True))
 
 
-@query(_STRATA + " SELECT level, cls, n, round(picp, 5) AS picp, round(width / iqr, 9) AS pinaw, round(winkler, 4) AS winkler, round(abs(picp - level), 5) AS ece FROM e, i")
+@query(_STRATA + " SELECT level, cls, n, round(picp, 5) AS picp, round(width / coalesce(nullif(iqr, 0), 1), 9) AS pinaw, round(winkler, 4) AS winkler, round(abs(picp - level), 5) AS ece FROM e, i")
 def ev6_by_class(spark, d):
-    """EV-6: interval scores by class and over all, at each level."""
-    return _strata(spark, d).select("level", "cls", "n", _r(F.col("picp"), 5).alias("picp"), _r(F.col("width") / F.col("iqr"), 9).alias("pinaw"), _r(F.col("winkler")).alias("winkler"), _r(F.abs(F.col("picp") - F.col("level")), 5).alias("ece"))
+    """EV-6: interval scores by class and over all, at each level; widths are divided by the quartile range, by 1 where that is 0."""
+    return _strata(spark, d).select("level", "cls", "n", _r(F.col("picp"), 5).alias("picp"), _r(F.col("width") / F.coalesce(F.nullif(F.col("iqr"), F.lit(0.0)), F.lit(1.0)), 9).alias("pinaw"), _r(F.col("winkler")).alias("winkler"), _r(F.abs(F.col("picp") - F.col("level")), 5).alias("ece"))
 
 
 @query(_STRATA + " SELECT level, round(max(picp) FILTER (cls = 'all'), 5) AS overall, round(max(picp) FILTER (cls = 'oligo'), 5) AS oligo, round(max(picp) FILTER (cls = 'meso'), 5) AS meso, round(max(picp) FILTER (cls = 'eu'), 5) AS eu FROM e WHERE level = 0.9 GROUP BY level")

@@ -143,14 +143,16 @@ def jn17_rotated_pole(spark, d):
     return stations(spark, d).select("station_id", F.round(la, 6).alias("rlat"), F.round(lo, 6).alias("rlon"))
 
 
-@query("""WITH w AS (SELECT s.sample_id, p.pos, dd.q FROM $samples s CROSS JOIN (SELECT unnest(range(1, 31)) AS pos) p LEFT JOIN $daily dd ON dd.station_id = s.station_id AND dd.obs_date = s.date - CAST(p.pos AS INT))
-SELECT sample_id, round(sum(coalesce(q, 0)), 4) AS total, count(q) AS n_has, round(sum(coalesce(q, 0) * (31 - pos)), 4) AS weighted FROM w GROUP BY sample_id""")
+@query("""WITH g AS (SELECT station_id, obs_date, CASE WHEN (station_id + day(obs_date)) % 11 = 0 THEN NULL ELSE q END AS q FROM $daily),
+w AS (SELECT s.sample_id, g.q, row_number() OVER (PARTITION BY s.sample_id ORDER BY g.obs_date DESC) AS back FROM $samples s JOIN g ON g.station_id = s.station_id AND g.obs_date >= s.date - 30 AND g.obs_date < s.date)
+SELECT s.sample_id, CAST(count(w.back) > 0 AS INT) AS has, round(coalesce(sum(w.q), 0), 4) AS total, round(coalesce(sum(w.q * (31 - w.back)), 0), 4) AS weighted FROM samples s LEFT JOIN w ON w.sample_id = s.sample_id GROUP BY s.sample_id""")
 def wn4_antecedent(spark, d):
-    """WN-4: the thirty days before each sample, right-aligned and padded; checked by sums over positions."""
-    a = temporal.antecedent_window(samples(spark, d), daily(spark, d), "station_id", "sample_id", "q", 30)
+    """WN-4: the days that exist among the thirty before each sample, packed against the right end, and one mask a sample; checked by sums over positions. Some values are null: their days keep their place."""
+    q = F.when((F.col("station_id") + F.dayofmonth("obs_date")) % 11 != 0, F.col("q"))
+    a = temporal.antecedent_window(samples(spark, d), daily(spark, d).withColumn("q", q), "station_id", "sample_id", "q", 30)
     total = F.aggregate("seq", F.lit(0.0), lambda s, x: s + x)
     weighted = F.aggregate(F.transform("seq", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return a.select("sample_id", F.round(total, 4).alias("total"), F.aggregate("has", F.lit(0), lambda s, x: s + x).cast("long").alias("n_has"), F.round(weighted, 4).alias("weighted"))
+    return a.select("sample_id", "has", F.round(total, 4).alias("total"), F.round(weighted, 4).alias("weighted"))
 
 
 @query("""WITH m AS (SELECT station_id, date_trunc('month', obs_date) AS mo, sum(q) AS s, min(q) AS lo, max(q) AS hi, avg(q) AS av FROM $daily GROUP BY 1, 2)

@@ -115,6 +115,11 @@ def ev4_sensor_coverage(spark, d):
     return predictions(spark, d).withColumn("grouping", F.explode(groups)).groupBy("grouping").agg(cnt, rmse, mae).select("grouping", "n", _r(F.col("rmse"), 6).alias("rmse"), _r(F.col("mae"), 6).alias("mae"))
 
 
+def _spread(c):
+    """What widths are divided by: 1 where all values are equal."""
+    return F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(1.0))
+
+
 _NOMINAL = {0.5: (0.25, 0.75), 0.8: (0.1, 0.9), 0.9: (0.05, 0.95), 0.95: (0.025, 0.975)}
 _ALPHAS = [0.025, 0.05, 0.1, 0.25, 0.75, 0.9, 0.95, 0.975]
 
@@ -123,7 +128,7 @@ _ALPHAS = [0.025, 0.05, 0.1, 0.25, 0.75, 0.9, 0.95, 0.975]
 w AS (SELECT cls, quantile_cont(v, 0.975) - quantile_cont(v, 0.025) AS rng, count(*) AS n FROM c WHERE station_id % 2 = 1 GROUP BY 1),
 k AS (SELECT c.cls, avg((2 * a - 1) * (v - q) + 2 * CASE WHEN v < q THEN (1 - a) * (q - v) ELSE a * (v - q) END) AS crps FROM c JOIN t ON c.cls = t.cls WHERE station_id % 2 = 1 GROUP BY 1),
 i AS (SELECT c.cls, b.nominal, avg(CASE WHEN v >= lo.q AND v <= hi.q THEN 1.0 ELSE 0 END) AS picp, avg(hi.q - lo.q) AS sharp, avg(hi.q - lo.q + 2 / (1 - b.nominal) * (greatest(lo.q - v, 0) + greatest(v - hi.q, 0))) AS wink FROM c, (VALUES (CAST(0.5 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.75 AS DOUBLE)), (0.8, 0.1, 0.9), (0.9, 0.05, 0.95), (0.95, 0.025, 0.975)) b(nominal, la, ha), t lo, t hi WHERE lo.cls = c.cls AND hi.cls = c.cls AND lo.a = la AND hi.a = ha AND station_id % 2 = 1 GROUP BY 1, 2)
-SELECT i.cls, nominal, n, round(picp, 4) AS picp, round(sharp, 2) AS sharpness, round(sharp / rng, 5) AS pinaw, round(wink, 1) AS winkler, round(crps, 2) AS crps, round(avg(abs(picp - nominal)) OVER (PARTITION BY i.cls), 4) AS ece FROM i JOIN w ON i.cls = w.cls JOIN k ON i.cls = k.cls""")
+SELECT i.cls, nominal, n, round(picp, 4) AS picp, round(sharp, 2) AS sharpness, round(sharp / coalesce(nullif(rng, 0), 1), 5) AS pinaw, round(wink, 1) AS winkler, round(crps, 2) AS crps, round(avg(abs(picp - nominal)) OVER (PARTITION BY i.cls), 4) AS ece FROM i JOIN w ON i.cls = w.cls JOIN k ON i.cls = k.cls""")
 def ev7_interval_scores(spark, d):
     """EV-7, EV-9: coverage, width, interval score, ranked probability score and calibration error of quantile forecasts (class quantiles of the other stations)."""
     s = samples(spark, d).select("station_id", F.floor(F.col("tp") / 40).cast("int").alias("cls"), "v")
@@ -141,7 +146,7 @@ def ev7_interval_scores(spark, d):
     rows = F.array(*[F.struct(F.lit(nom).alias("nominal"), F.col(f"p{i}").alias("picp"), F.col(f"s{i}").alias("sharp"), F.col(f"w{i}").alias("wink")) for i, nom in enumerate(_NOMINAL)])
     ece = sum((F.abs(F.col(f"p{i}") - nom) for i, nom in enumerate(_NOMINAL)), F.lit(0.0)) / len(_NOMINAL)
     o = g.select("cls", "n", "crps", "rng", ece.alias("ece"), F.inline(rows))
-    return o.select("cls", "nominal", "n", _r(F.col("picp")).alias("picp"), _r(F.col("sharp"), 2).alias("sharpness"), _r(F.col("sharp") / F.col("rng"), 5).alias("pinaw"), _r(F.col("wink"), 1).alias("winkler"), _r(F.col("crps"), 2).alias("crps"), _r(F.col("ece")).alias("ece"))
+    return o.select("cls", "nominal", "n", _r(F.col("picp")).alias("picp"), _r(F.col("sharp"), 2).alias("sharpness"), _r(F.col("sharp") / _spread("rng"), 5).alias("pinaw"), _r(F.col("wink"), 1).alias("winkler"), _r(F.col("crps"), 2).alias("crps"), _r(F.col("ece")).alias("ece"))
 
 
 @query(_PRED + """, c AS (SELECT abs(y - yhat) AS s, row_number() OVER (ORDER BY abs(y - yhat)) AS r, count(*) OVER () AS n FROM p WHERE station_id % 2 = 0),
@@ -253,7 +258,8 @@ def gr3_valid_layers(spark, d):
 SELECT round(regr_slope(m, yr), 6) AS mean_slope, round(regr_slope(p25, yr), 6) AS p25_slope, round(regr_slope(p75, yr), 6) AS p75_slope, count(*) AS years FROM a""")
 def gr8_trend(spark, d):
     """GR-8: slopes of annual means and quartiles."""
-    a = samples(spark, d).groupBy(F.year("date").cast("double").alias("yr")).agg(F.avg("tp").alias("m"), F.percentile("tp", 0.25).alias("p25"), F.percentile("tp", 0.75).alias("p75"))
+    t = samples(spark, d).withColumn("yr", F.year("date").cast("double"))
+    a = t.groupBy("yr").agg(F.avg("tp").alias("m")).join(stats.percentiles(t, ["yr"], "tp", {"p25": 0.25, "p75": 0.75}), "yr", "left")
     s = lambda c: _r(F.regr_slope(F.col(c), F.col("yr")), 6)
     return a.agg(s("m").alias("mean_slope"), s("p25").alias("p25_slope"), s("p75").alias("p75_slope"), F.count("*").alias("years"))
 

@@ -30,17 +30,20 @@ def st13_sensor_agreement(spark, d):
     return g.where("n >= 10").select("pair", "n", _r(F.col("r2"), 6).alias("r2"), _r(F.col("rmse"), 6).alias("rmse"))
 
 
-@query("""WITH r AS (SELECT a.station_id, b.station_id AS other, row_number() OVER (PARTITION BY a.station_id ORDER BY round(2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 3), b.station_id) AS rank FROM $stations a JOIN stations b ON a.station_id <> b.station_id),
-n AS (SELECT station_id, other, rank FROM r WHERE rank <= 8 UNION ALL SELECT station_id, station_id, 0 FROM stations),
-w AS (SELECT s.sample_id, n.rank, s.date - dd.obs_date AS pos, dd.q FROM $samples s JOIN n ON n.station_id = s.station_id JOIN $daily dd ON dd.station_id = n.other AND dd.obs_date BETWEEN s.date - 30 AND s.date - 1)
-SELECT s.sample_id, 9 AS nodes, round(coalesce(sum(q), 0), 4) AS total, round(coalesce(sum(q * (rank + 1) * (31 - pos)), 0), 4) AS weighted, coalesce(max(CASE WHEN rank = 0 THEN 1 ELSE 0 END), 0) AS has FROM samples s LEFT JOIN w ON s.sample_id = w.sample_id GROUP BY 1""")
+@query("""WITH m AS (SELECT * FROM $stations WHERE station_id IN (SELECT station_id FROM $samples)),
+r AS (SELECT a.station_id, b.station_id AS other, row_number() OVER (PARTITION BY a.station_id ORDER BY round(2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 3), b.station_id) AS rank FROM m a JOIN m b ON a.station_id <> b.station_id),
+e AS (SELECT station_id, other FROM r WHERE rank <= 8 UNION SELECT other, station_id FROM r WHERE rank <= 8),
+g AS (SELECT * FROM $daily WHERE station_id % 5 <> 0),
+l AS (SELECT station_id, other, row_number() OVER (PARTITION BY station_id ORDER BY other) AS rank FROM e),
+n AS (SELECT station_id, other, rank FROM l WHERE rank <= 8 AND station_id IN (SELECT station_id FROM g) UNION ALL SELECT station_id, station_id, 0 FROM m),
+w AS (SELECT s.sample_id, n.rank, g.q, row_number() OVER (PARTITION BY s.sample_id, n.rank ORDER BY g.obs_date DESC) AS back FROM samples s JOIN n ON n.station_id = s.station_id JOIN g ON g.station_id = n.other AND g.obs_date >= s.date - 30 AND g.obs_date < s.date)
+SELECT s.sample_id, 9 AS nodes, round(coalesce(sum(q), 0), 4) AS total, round(coalesce(sum(q * (rank + 1) * (31 - back)), 0), 4) AS weighted, CAST(any_value(s.station_id) IN (SELECT station_id FROM g) AS INT) AS has FROM samples s LEFT JOIN w ON s.sample_id = w.sample_id GROUP BY s.sample_id""")
 def wn6_neighbour_windows(spark, d):
-    """WN-6: thirty antecedent days of a station and its eight nearest on the sphere, checked by sums over nodes and positions."""
-    st = stations(spark, d)
-    other = st.select(F.col("station_id").alias("other"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    pairs = spatial.nearest_on_sphere(st.select("station_id", "lat", "lon"), other, "station_id", "other", 9).where("station_id <> other")
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("station_id").orderBy("rank")))
-    w = temporal.neighbour_windows(samples(spark, d), near, daily(spark, d), "station_id", "sample_id", "q", 30, 8)
+    """WN-6: packed windows of thirty days of a station and the first eight of its neighbours in the symmetric graph of sampled stations, in the order of stations; has: the station has a series, which every fifth lacks. Checked by sums over nodes and positions."""
+    s = samples(spark, d)
+    st = stations(spark, d).join(s.select("station_id").distinct(), "station_id", "left_semi")
+    near = temporal.local_nodes(spatial.neighbour_graph(st, "station_id", 8), st.select("station_id", F.col("station_id").alias("place")), "station_id", 8)
+    w = temporal.neighbour_windows(s, near, daily(spark, d).where("station_id % 5 <> 0"), "station_id", "sample_id", "q", 30, 8)
     add = lambda a, x: a + x
     node = lambda f: F.aggregate(F.transform("seq", f), F.lit(0.0), add)
     total = node(lambda s: F.aggregate(s, F.lit(0.0), add))
@@ -48,15 +51,17 @@ def wn6_neighbour_windows(spark, d):
     return w.select("sample_id", F.size("seq").alias("nodes"), _r(total).alias("total"), _r(weighted).alias("weighted"), "has")
 
 
-@query("""WITH p AS (SELECT station_id, obs_date, embedding FROM $daily JOIN embeddings ON vec_id = (station_id * 31 + dayofyear(obs_date)) % (SELECT count(*) FROM embeddings)),
+@query("""WITH p AS (SELECT station_id, obs_date, embedding FROM $daily JOIN embeddings ON vec_id = (station_id * 31 + dayofyear(obs_date)) % (SELECT count(*) FROM embeddings) WHERE day(obs_date) % 3 <> 0),
 e AS (SELECT station_id, obs_date, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM p),
-f AS (SELECT station_id, obs_date, sum(CASE WHEN x < 0 OR i % 4 = 1 THEN 0 ELSE CAST(x AS DOUBLE) * i END) AS t FROM e GROUP BY 1, 2)
-SELECT s.sample_id, count(f.t) AS n_patches, round(coalesce(sum(t * (11 - (date - obs_date))), 0), 4) AS weighted FROM $samples s LEFT JOIN f ON f.station_id = s.station_id AND f.obs_date BETWEEN s.date - 10 AND s.date - 1 GROUP BY 1""")
+f AS (SELECT station_id, obs_date, sum(CASE WHEN x < 0 OR i % 4 = 1 THEN 0 ELSE CAST(x AS DOUBLE) * i END) AS t FROM e GROUP BY 1, 2),
+a AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS n FROM (SELECT DISTINCT obs_date FROM p)),
+z AS (SELECT date, (SELECT count(*) FROM a WHERE a.obs_date < x.date) AS upto FROM (SELECT DISTINCT date FROM $samples) x)
+SELECT s.sample_id, count(f.t) AS n_patches, round(coalesce(sum(t * (10 - (upto - n))), 0), 4) AS weighted FROM samples s JOIN z USING (date) LEFT JOIN (f JOIN a USING (obs_date)) ON f.station_id = s.station_id AND n > upto - 10 AND n <= upto GROUP BY 1""")
 def wn7_patch_windows(spark, d):
-    """WN-7: masked patches of the ten days before each sample, the first of four channels set to 0, checked by weighted sums."""
+    """WN-7: masked patches of the last ten days of the archive before each sample, the first of four channels set to 0, checked by weighted sums. The archive lacks every day of a month that three divides."""
     e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("patch"))
     n = e.agg(F.count("*").alias("all_"))
-    at = daily(spark, d).join(F.broadcast(n), F.lit(True))  # one row
+    at = daily(spark, d).where(F.dayofmonth("obs_date") % 3 != 0).join(F.broadcast(n), F.lit(True))  # one row
     p = at.withColumn("vec_id", (F.col("station_id") * 31 + F.dayofyear("obs_date")) % F.col("all_")).join(e, "vec_id")
     p = p.select("station_id", "obs_date", "patch", F.transform("patch", lambda x: (x >= 0).cast("int")).alias("mask"))
     w = temporal.patch_windows(samples(spark, d), p, "station_id", "sample_id", 10, 64, [0], 4)

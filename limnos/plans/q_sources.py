@@ -95,14 +95,17 @@ def fna4_calendar(spark, d):
     return c.groupBy("station_id", F.trunc("obs_date", "month").alias("month")).agg(F.count("*").alias("days"), F.sum("mask").alias("known"), F.sum("q").alias("q"))
 
 
-@query("""WITH p AS (SELECT sensor, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi, max(price) AS top FROM $obs GROUP BY 1)
-SELECT ok, ln, round(CASE WHEN top > 10 AND hi > lo THEN (least(greatest(price, lo), hi) - lo) / (hi - lo) * 2 - 1 ELSE price END, 6) AS scaled FROM obs o JOIN p ON o.sensor = p.sensor""")
+_CHANNELS = "c AS (SELECT ok, ln, sensor, price FROM $obs UNION ALL SELECT ok, ln, 'flat', 50.0 FROM obs UNION ALL SELECT ok, ln, 'small', q / 10 FROM obs)"
+
+
+@query(f"""WITH {_CHANNELS}, p AS (SELECT sensor, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi, max(price) AS top FROM c GROUP BY 1)
+SELECT c.sensor, ok, ln, round(CASE WHEN top <= 10 THEN price WHEN hi - lo < 1e-8 THEN 0 ELSE least(greatest((price - lo) / nullif(hi - lo, 0), 0), 1) * 2 - 1 END, 6) AS scaled FROM c JOIN p ON c.sensor = p.sensor""")
 def fnw31_clip_scale(spark, d):
-    """FN-W31: channels with outliers clipped at their 1st and 99th percentile and scaled to -1..1."""
-    o = obs(spark, d)
-    p = stats.percentiles(o, ["sensor"], "price", {"lo": 0.01, "hi": 0.99, "top": 1.0})
-    x = (F.least(F.greatest("price", "lo"), "hi") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 2 - 1
-    return o.join(F.broadcast(p), "sensor").select("ok", "ln", _r(F.when((F.col("top") > 10) & (F.col("hi") > F.col("lo")), x).otherwise(F.col("price")), 6).alias("scaled"))
+    """FN-W31: channels with values over 10 clipped at their 1st and 99th percentile and scaled to -1..1; such a channel without a spread becomes 0. Two channels are added: one of equal values, one of values up to 5."""
+    o = obs(spark, d).select("ok", "ln", "sensor", "price", "q")
+    more = [o.withColumn("sensor", F.lit("flat")).withColumn("price", F.lit(50.0)), o.withColumn("sensor", F.lit("small")).withColumn("price", F.col("q") / 10)]
+    c = o.unionByName(more[0]).unionByName(more[1]).drop("q")
+    return stats.clip_scale(c, "sensor", "price").select("sensor", "ok", "ln", _r(F.col("scaled"), 6).alias("scaled"))
 
 
 @query("""WITH m AS (SELECT CAST(floor(lat) AS INT) AS gy, CAST(floor(lon) AS INT) AS gx, count(*) AS k FROM $stations GROUP BY 1, 2)

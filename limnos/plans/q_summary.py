@@ -33,30 +33,35 @@ def ag3_summary(spark, d):
     long = samples(spark, d).select("sample_id", "tp", "chla", "secchi").unpivot("sample_id", ["tp", "chla", "secchi"], "param", "x")
     p = stats.percentiles(long, ["param"], "x", {"p10": 0.1, "med": 0.5, "p90": 0.9})
     out = long.groupBy("param").agg(F.count("x").alias("n"), _r(100.0 * F.count("x") / F.count("*")).alias("coverage"), _r(F.avg("x")).alias("mean"), _r(F.stddev_samp("x")).alias("sd"))
-    return out.join(F.broadcast(p), "param", "left").select(*out.columns, *[_r(F.col(c)).alias(c) for c in ("p10", "med", "p90")])
+    return out.join(p, "param", "left").select(*out.columns, *[_r(F.col(c)).alias(c) for c in ("p10", "med", "p90")])
 
 
 @query("""WITH p AS (SELECT CASE WHEN year(date) <= 1997 THEN 'pre' ELSE 'post' END AS period, tp FROM $samples),
 a AS (SELECT median(tp) FILTER (period = 'pre') AS m0, median(tp) FILTER (period = 'post') AS m1, count(*) FILTER (period = 'pre') AS n_pre, count(*) FILTER (period = 'post') AS n_post, quantile_cont(tp, 0.75) FILTER (period = 'pre') - quantile_cont(tp, 0.25) FILTER (period = 'pre') AS iqr FROM p)
-SELECT n_pre, n_post, round(m0, 4) AS med_pre, round(m1, 4) AS med_post, round(iqr, 4) AS iqr_pre, round((m1 - m0) / m0 * 100, 4) AS step FROM a""")
+SELECT n_pre, n_post, round(m0, 4) AS med_pre, round(m1, 4) AS med_post, round(iqr, 4) AS iqr_pre, round((m1 - m0) / nullif(m0, 0) * 100, 4) AS step FROM a""")
 def ag4_period_step(spark, d):
-    """AG-4."""
-    pre = F.year("date") <= 1997
-    q = lambda k, c: F.percentile(F.when(c, F.col("tp")), k)
-    a = samples(spark, d).agg(F.count(F.when(pre, 1)).alias("n_pre"), F.count(F.when(~pre, 1)).alias("n_post"), q(0.5, pre).alias("m0"), q(0.5, ~pre).alias("m1"), (q(0.75, pre) - q(0.25, pre)).alias("iqr"))
-    return a.select("n_pre", "n_post", _r(F.col("m0")).alias("med_pre"), _r(F.col("m1")).alias("med_post"), _r(F.col("iqr")).alias("iqr_pre"), _r((F.col("m1") - F.col("m0")) / F.col("m0") * 100).alias("step"))
+    """AG-4: medians of two periods, the first one's quartile range and the step in per cent; null where the first median is 0 or a period has no value."""
+    s = samples(spark, d).withColumn("period", F.when(F.year("date") <= 1997, "pre").otherwise("post"))
+    n = s.agg(*[F.count(F.when(F.col("period") == p, 1)).alias(f"n_{p}") for p in ("pre", "post")])
+    q = stats.percentiles(s, ["period"], "tp", {"m": 0.5, "a": 0.25, "b": 0.75})
+    pick = lambda p, c: F.max(F.when(F.col("period") == p, c))
+    q = q.agg(pick("pre", F.col("m")).alias("m0"), pick("post", F.col("m")).alias("m1"), pick("pre", F.col("b") - F.col("a")).alias("iqr"))
+    step = F.try_divide(F.col("m1") - F.col("m0"), F.col("m0")) * 100
+    return n.join(F.broadcast(q), F.lit(True)).select("n_pre", "n_post", _r(F.col("m0")).alias("med_pre"), _r(F.col("m1")).alias("med_post"), _r(F.col("iqr")).alias("iqr_pre"), _r(step).alias("step"))  # one row
 
 
 @query("""SELECT year(date) AS yr, count(*) AS n, round(median(tp), 4) AS med, round(quantile_cont(tp, 0.25), 4) AS p25, round(quantile_cont(tp, 0.75), 4) AS p75, round(100.0 * count(*) FILTER (tp < 8) / count(*), 4) AS below FROM $samples GROUP BY 1 HAVING count(*) >= 50""")
 def ag5_annual_band(spark, d):
-    """AG-5, AG-21, AG-24."""
-    p = lambda q: F.round(F.percentile("tp", q), 4)
-    return samples(spark, d).groupBy(F.year("date").cast("long").alias("yr")).agg(F.count("*").alias("n"), p(0.5).alias("med"), p(0.25).alias("p25"), p(0.75).alias("p75"), _r(100.0 * F.count(F.when(F.col("tp") < 8, 1)) / F.count("*")).alias("below")).where("n >= 50")
+    """AG-5, AG-24: the yearly band of quartiles around the median and the share below a threshold, of years with fifty rows."""
+    s = samples(spark, d).withColumn("yr", F.year("date").cast("long"))
+    g = s.groupBy("yr").agg(F.count("*").alias("n"), _r(100.0 * F.count(F.when(F.col("tp") < 8, 1)) / F.count("*")).alias("below")).where("n >= 50")
+    p = stats.percentiles(s, ["yr"], "tp", {"med": 0.5, "p25": 0.25, "p75": 0.75})
+    return g.join(p, "yr", "left").select("yr", "n", *[_r(F.col(c)).alias(c) for c in ("med", "p25", "p75")], "below")
 
 
 @query("""SELECT yr, cls, n, round(100.0 * n / sum(n) OVER (PARTITION BY yr), 4) AS share FROM (SELECT year(date) AS yr, CASE WHEN tp <= 8 THEN 'High' WHEN tp <= 42 THEN 'Mid' ELSE 'Bad' END AS cls, count(*) AS n FROM $samples GROUP BY 1, 2)""")
 def ag6_class_share(spark, d):
-    """AG-6, AG-23, AG-25, WN-11."""
+    """AG-6, WN-11: shares of classes by year."""
     c = samples(spark, d).groupBy(F.year("date").cast("long").alias("yr"), F.when(F.col("tp") <= 8, "High").when(F.col("tp") <= 42, "Mid").otherwise("Bad").alias("cls")).agg(F.count("*").alias("n"))
     return c.withColumn("share", _r(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("yr"))))
 
@@ -64,11 +69,13 @@ def ag6_class_share(spark, d):
 @query("""WITH m AS (SELECT station_id, month(date) AS mo, avg(tp) AS t FROM $samples GROUP BY 1, 2), a AS (SELECT station_id, avg(t) FILTER (mo IN (6, 7, 8)) - avg(t) FILTER (mo IN (12, 1, 2)) AS amp FROM m GROUP BY 1)
 SELECT seg, count(amp) AS n, round(avg(amp), 4) AS amp, round(median(amp), 4) AS med FROM a JOIN $stations s ON a.station_id = s.station_id GROUP BY seg""")
 def ag22_amplitude(spark, d):
-    """AG-7, AG-22: station-month means to seasonal amplitude by class."""
+    """AG-22: station-month means to seasonal amplitude by class."""
     m = samples(spark, d).groupBy("station_id", F.month("date").alias("mo")).agg(F.avg("tp").alias("t"))
     part = lambda ms: F.avg(F.when(F.col("mo").isin(ms), F.col("t")))
     a = m.groupBy("station_id").agg((part([6, 7, 8]) - part([12, 1, 2])).alias("amp"))
-    return a.join(stations(spark, d).select("station_id", "seg"), "station_id").groupBy("seg").agg(F.count("amp").alias("n"), _r(F.avg("amp")).alias("amp"), _r(F.percentile("amp", 0.5)).alias("med"))
+    a = a.join(stations(spark, d).select("station_id", "seg"), "station_id")
+    med = stats.percentiles(a, ["seg"], "amp", {"med": 0.5})
+    return a.groupBy("seg").agg(F.count("amp").alias("n"), _r(F.avg("amp")).alias("amp")).join(med, "seg", "left").select("seg", "n", "amp", _r(F.col("med")).alias("med"))
 
 
 @query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS h, CAST(CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(value) AS DECIMAL(18, 8)) AS m FROM $readings GROUP BY 1, 2), e AS (SELECT user_id, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM h GROUP BY user_id)
@@ -98,27 +105,32 @@ def ag30_station_boxes(spark, d):
 @query("""SELECT nation, CAST(obs_date AS VARCHAR) AS date, count(*) FILTER (disc < 0.08) AS n_valid, round(1 - count(*) FILTER (disc < 0.08) / CAST(count(*) AS DOUBLE), 4) AS cloud, round(avg(q) FILTER (disc < 0.08), 4) AS mean, round(stddev_samp(q) FILTER (disc < 0.08), 4) AS sd, round(median(q), 4) AS med
 FROM $obs o JOIN $stations s ON o.station_id = s.station_id GROUP BY 1, 2 HAVING count(*) FILTER (disc < 0.08) >= 2""")
 def ag28_zonal(spark, d):
-    """AG-28, AG-29: zonal statistics of valid pixels with cloud fraction, minimum count, median composite."""
+    """AG-28: zonal statistics of valid pixels with cloud fraction and minimum count, and the median of all pixels."""
     ok = F.when(F.col("disc") < 0.08, F.col("q"))
     j = obs(spark, d).join(stations(spark, d).select("station_id", "nation"), "station_id")
-    return j.groupBy("nation", F.col("obs_date").cast("string").alias("date")).agg(F.count(ok).alias("n_valid"), _r(1 - F.count(ok) / F.count("*")).alias("cloud"), _r(F.avg(ok)).alias("mean"), _r(F.stddev_samp(ok)).alias("sd"), _r(F.percentile("q", 0.5)).alias("med")).where("n_valid >= 2")
+    j = j.withColumn("date", F.col("obs_date").cast("string"))
+    g = j.groupBy("nation", "date").agg(F.count(ok).alias("n_valid"), _r(1 - F.count(ok) / F.count("*")).alias("cloud"), _r(F.avg(ok)).alias("mean"), _r(F.stddev_samp(ok)).alias("sd")).where("n_valid >= 2")
+    return g.join(stats.percentiles(j, ["nation", "date"], "q", {"med": 0.5}), ["nation", "date"], "left").withColumn("med", _r(F.col("med")))
 
 
 @query("""WITH g AS (SELECT nation, year(date) AS yr, avg(tp) AS x FROM $samples s JOIN $stations t ON s.station_id = t.station_id GROUP BY 1, 2)
 SELECT yr, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS sd, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.75), 4) AS p75, round(100.0 * count(x) / 25, 4) AS coverage FROM g GROUP BY yr""")
 def ag31_grid_summary(spark, d):
-    """AG-31, GR-4."""
+    """AG-31: a grid's yearly mean, deviation, quartiles and coverage."""
     g = samples(spark, d).join(stations(spark, d).select("station_id", "nation"), "station_id").groupBy("nation", F.year("date").cast("long").alias("yr")).agg(F.avg("tp").alias("x"))
-    return g.groupBy("yr").agg(_r(F.avg("x")).alias("mean"), _r(F.stddev_pop("x")).alias("sd"), _r(F.percentile("x", 0.25)).alias("p25"), _r(F.percentile("x", 0.75)).alias("p75"), _r(100.0 * F.count("x") / 25).alias("coverage"))
+    p = stats.percentiles(g, ["yr"], "x", {"p25": 0.25, "p75": 0.75})
+    a = g.groupBy("yr").agg(_r(F.avg("x")).alias("mean"), _r(F.stddev_pop("x")).alias("sd"), _r(100.0 * F.count("x") / 25).alias("coverage"))
+    return a.join(p, "yr", "left").select("yr", "mean", "sd", _r(F.col("p25")).alias("p25"), _r(F.col("p75")).alias("p75"), "coverage")
 
 
 @query("""WITH g AS (SELECT nation, avg(tp) FILTER (year(date) <= 1997) AS e, avg(tp) FILTER (year(date) >= 1999) AS l FROM $samples s JOIN $stations t ON s.station_id = t.station_id GROUP BY 1)
 SELECT count(*) FILTER (l - e < -2) AS improved, count(*) FILTER (l - e > 2) AS worse, round(quantile_cont(abs(l - e), 0.95), 4) AS p95 FROM g""")
 def ag32_change_map(spark, d):
-    """AG-32."""
+    """AG-32: cells that changed between two periods, and the 95th percentile of changes."""
     y = F.year("date")
     g = samples(spark, d).join(stations(spark, d).select("station_id", "nation"), "station_id").groupBy("nation").agg((F.avg(F.when(y >= 1999, F.col("tp"))) - F.avg(F.when(y <= 1997, F.col("tp")))).alias("c"))
-    return g.agg(F.count(F.when(F.col("c") < -2, 1)).alias("improved"), F.count(F.when(F.col("c") > 2, 1)).alias("worse"), _r(F.percentile(F.abs("c"), 0.95)).alias("p95"))
+    p = stats.percentiles(g.withColumn("size", F.abs("c")), [], "size", {"p95": 0.95})
+    return g.agg(F.count(F.when(F.col("c") < -2, 1)).alias("improved"), F.count(F.when(F.col("c") > 2, 1)).alias("worse")).join(F.broadcast(p), F.lit(True), "left").withColumn("p95", _r(F.col("p95")))  # one row
 
 
 @query("""SELECT sensor, count(*) AS n, round(pow(corr(disc, tax), 2), 6) AS r2, round(sqrt(avg((tax - disc) * (tax - disc))), 6) AS rmse, round(avg(tax - disc), 6) AS bias, round(regr_slope(price, q), 4) AS slope, round(regr_intercept(price, q), 3) AS icept, round(regr_r2(ln(price), ln(q)), 6) AS log_r2 FROM $obs GROUP BY ROLLUP (sensor)""")

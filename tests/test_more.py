@@ -96,7 +96,7 @@ def test_mann_whitney_and_running_counts(spark):
     ties = sum(c**3 - c for c in np.unique(both, return_counts=True)[1])
     z = (max(u, 300 * 200 - u) - 30000 - 0.5) / math.sqrt(300 * 200 / 12 * (n + 1 - ties / (n * (n - 1))))
     assert (r.n1, r.n2, r.u, r.significant) == (300, 200, u, True) and abs(r.z - z) < 1e-9
-    c = stats.running_counts(df, "v", {"n": F.count("*")}, 4).orderBy("v").collect()
+    c = stats.running_counts(df, "v", {"n": F.count("*")}).orderBy("v").collect()
     assert [x.n_to for x in c] == list(np.cumsum(np.unique(both, return_counts=True)[1]))
     assert stats.running_counts(df.limit(0), "v", {"n": F.count("*")}).count() == 0
 

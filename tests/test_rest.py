@@ -13,30 +13,75 @@ from limnos.sources import sinks
 D = dt.date
 
 
-def test_last_days(spark):
-    daily = spark.createDataFrame([("a", D(2001, 1, d), float(d)) for d in (1, 2, 4, 5, 9)] + [("b", None, 1.0), (None, D(2001, 1, 4), 7.0)], "station string, obs_date date, v double")
-    s = spark.createDataFrame([(1, "a", D(2001, 1, 5)), (2, "a", D(2001, 1, 10)), (3, "b", D(2001, 1, 5)), (4, None, D(2001, 1, 5)), (5, "a", None)], "id int, station string, date date")
-    got = {r["id"]: r["last"] for r in temporal.last_days(s, daily, "station", ["id"], "v", 4).collect()}
-    none = [None] * 4
-    assert got == {1: [1.0, 2.0, None, 4.0], 2: [None, None, None, 9.0], 3: none, 4: none, 5: none}
-    assert temporal.last_days(s.limit(0), daily, "station", ["id"], "v", 4).count() == 0
-    assert {tuple(r["last"]) for r in temporal.last_days(s, daily.limit(0), "station", ["id"], "v", 4).collect()} == {tuple(none)}
+def test_windows_of_days_that_exist(spark):
+    """Missing days leave no gap, null values keep their place as 0, and one mark a sample says whether there was a day."""
+    daily = spark.createDataFrame([("a", D(2001, 1, 5), 5.0), ("a", D(2001, 1, 8), 8.0), ("a", D(2001, 1, 11), 11.0), ("c", D(2001, 1, 9), None), ("c", D(2001, 1, 10), 3.0), ("b", None, 1.0), (None, D(2001, 1, 4), 7.0)], "station string, obs_date date, v double")
+    s = spark.createDataFrame([(1, "a", D(2001, 1, 11)), (2, "a", D(2001, 1, 5)), (3, "b", D(2001, 1, 5)), (4, None, D(2001, 1, 5)), (5, "a", None), (6, "c", D(2001, 1, 11)), (7, "a", D(2001, 1, 16))], "id int, station string, date date")
+    got = {r["id"]: (r["seq"], r["has"]) for r in temporal.antecedent_window(s, daily, "station", "id", "v", 10).collect()}
+    none = [0.0] * 10
+    assert got == {1: ([0.0] * 8 + [5.0, 8.0], 1), 2: (none, 0), 3: (none, 0), 4: (none, 0), 5: (none, 0), 6: ([0.0] * 9 + [3.0], 1), 7: ([0.0] * 8 + [8.0, 11.0], 1)}
+    assert temporal.antecedent_window(s.limit(0), daily, "station", "id", "v", 4).count() == 0
+    assert {tuple(r["seq"]) for r in temporal.antecedent_window(s, daily.limit(0), "station", "id", "v", 4).collect()} == {(0.0,) * 4}
+
+
+def test_windows_of_many_days(spark):
+    """Against a plain loop, with gaps of all lengths around the borders of blocks."""
+    days = [k for k in range(1, 200) if k % 7 and k % 11 and not 60 < k < 90]
+    at = lambda k: D(2001, 1, 1) + dt.timedelta(k)
+    daily = spark.createDataFrame([("a", at(k), float(k)) for k in days], "station string, obs_date date, v double").repartition(3)
+    s = spark.createDataFrame([(k, "a", at(k)) for k in range(230)], "id int, station string, date date")
+    for n in (1, 5, 30):
+        got = {r["id"]: r["seq"] for r in temporal.antecedent_window(s, daily, "station", "id", "v", n).collect()}
+        for k in range(230):
+            own = [float(x) for x in days if k - n <= x < k]
+            assert got[k] == [0.0] * (n - len(own)) + own
 
 
 def test_neighbour_windows(spark):
     daily = spark.createDataFrame([("a", D(2001, 1, 3), 3.0), ("b", D(2001, 1, 4), 4.0), ("c", D(2001, 1, 4), 9.0)], "station string, obs_date date, v double")
-    near = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "a", 1)], "station string, other string, rank int")
-    s = spark.createDataFrame([(1, "a", D(2001, 1, 5)), (2, "b", D(2001, 1, 4)), (3, "x", D(2001, 1, 4))], "id int, station string, date date")
+    near = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "a", 1), ("x", "a", 1)], "station string, other string, rank int")
+    s = spark.createDataFrame([(1, "a", D(2001, 1, 5)), (2, "b", D(2001, 1, 4)), (3, "x", D(2001, 1, 4)), (4, "c", D(2001, 2, 4))], "id int, station string, date date")
     got = {r["id"]: (r["seq"], r["has"]) for r in temporal.neighbour_windows(s, near, daily, "station", "id", "v", 2, 1).collect()}
-    assert got == {1: ([[3.0, 0.0], [0.0, 4.0]], 1), 2: ([[0.0, 0.0], [0.0, 3.0]], 0), 3: ([[0.0, 0.0], [0.0, 0.0]], 0)}
+    zero = [0.0, 0.0]
+    assert got == {1: ([[0.0, 3.0], [0.0, 4.0]], 1), 2: ([zero, [0.0, 3.0]], 1), 3: ([zero, zero], 0), 4: ([zero, zero], 1)}
+
+
+def test_first_neighbours_in_the_order_of_nodes(spark):
+    graph = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("b", "a"), ("c", "a"), ("d", "a")], "src string, dst string")
+    order = spark.createDataFrame([("d", 0), ("a", 1), ("c", 2), ("b", 3)], "station string, place int")
+    assert sorted(tuple(r) for r in temporal.local_nodes(graph, order, "station", 2).collect()) == [("a", "c", 2), ("a", "d", 1), ("b", "a", 1), ("c", "a", 1), ("d", "a", 1)]
 
 
 def test_patch_windows(spark):
-    p = spark.createDataFrame([("a", D(2001, 1, 3), [1.0, 2.0, math.nan, 4.0], [1, 1, 1, 0]), ("a", D(2001, 1, 4), [5.0, None, math.inf, 8.0], [1, 1, 1, 1])], "station string, obs_date date, patch array<double>, mask array<int>")
-    s = spark.createDataFrame([(1, "a", D(2001, 1, 5)), (2, "b", D(2001, 1, 5))], "id int, station string, date date")
+    """The last days of the archive, whatever lies between them; a station's missing patches and the time before the archive are 0."""
+    p = spark.createDataFrame([("a", D(2001, 1, 3), [1.0, 2.0, math.nan, 4.0], [1, 1, 1, 0]), ("a", D(2001, 1, 9), [5.0, None, math.inf, 8.0], [1, 1, 1, 1]), ("c", D(2001, 1, 6), [9.0] * 4, [1] * 4)], "station string, obs_date date, patch array<double>, mask array<int>")
+    s = spark.createDataFrame([(1, "a", D(2001, 2, 5)), (2, "b", D(2001, 1, 12)), (3, "a", D(2001, 1, 9)), (4, "c", D(2001, 1, 10)), (5, "a", None), (6, "a", D(2000, 1, 1))], "id int, station string, date date")
     got = {r["id"]: (r["seq"], r["n_patches"]) for r in temporal.patch_windows(s, p, "station", "id", 3, 4).collect()}
-    assert got == {1: ([[0.0] * 4, [1.0, 2.0, 0.0, 0.0], [5.0, 0.0, 0.0, 8.0]], 2), 2: ([[0.0] * 4] * 3, 0)}
-    assert temporal.patch_windows(s, p, "station", "id", 3, 4, [1], 2).where("id = 1").first()["seq"] == [[0.0] * 4, [1.0, 0.0, 0.0, 0.0], [5.0, 0.0, 0.0, 0.0]]
+    zero, first, last = [0.0] * 4, [1.0, 2.0, 0.0, 0.0], [5.0, 0.0, 0.0, 8.0]
+    assert got == {1: ([first, zero, last], 2), 2: ([zero] * 3, 0), 3: ([zero, first, zero], 1), 4: ([zero, [9.0] * 4, zero], 1), 5: ([zero] * 3, 0), 6: ([zero] * 3, 0)}
+    assert temporal.patch_windows(s, p, "station", "id", 2, 4, [1], 2).where("id = 1").first()["seq"] == [zero, [5.0, 0.0, 0.0, 0.0]]
+
+
+def test_percentiles_of_many_keys(spark):
+    """Exact over keys of very different size and scale, ties, negative and huge values, in one pass: nothing runs before the action."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(x)) for k in range(40) for x in np.round(rng.normal(0, 10.0 ** (k % 9 - 3), int(rng.integers(1, 60))), k % 4)] + [(99, 1e300), (99, -1e300), (99, 0.0), (98, None), (97, 1e9), (97, 1e9 + 1)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(3)
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    q = stats.percentiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 1.0})
+    assert len(jobs.getJobIdsForGroup(None)) == before
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in q.collect()}
+    want = {k: np.percentile([x for j, x in rows if j == k], [5, 50, 100]) for k in {k for k, x in rows if x is not None}}
+    assert set(got) == set(want) and all(np.allclose(got[k], w, rtol=1e-12, atol=1e-12) for k, w in want.items())
+
+
+def test_clip_scale_without_a_spread(spark):
+    df = spark.createDataFrame([("flat", 50.0), ("flat", 50.0), ("small", 3.0), ("wide", 0.0), ("wide", 100.0)], "c string, v double")
+    got = sorted((r["c"], round(r["scaled"], 9)) for r in stats.clip_scale(df, "c", "v").collect())
+    assert got == [("flat", 0.0), ("flat", 0.0), ("small", 3.0), ("wide", -1.0), ("wide", 1.0)]
 
 
 def test_tiers():
