@@ -112,8 +112,9 @@ FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 _SUFFIXES = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 k AS (SELECT doc_id, h, n, row_number() OVER () AS k FROM d),
-p AS (SELECT k, h, n, unnest(range(n)) AS i FROM k),
-w AS (SELECT k, i, n, h[2 * i + 1 : 2 * i + 2] AS byte, CASE WHEN i + 200 <= n THEN md5(h[2 * i + 1 : 2 * i + 400]) END AS win FROM p),
+q AS (SELECT k, n, f, h[2 * f + 1 : 2 * f + 1422] AS h FROM (SELECT k, h, n, unnest(range(0, n, 512)) AS f FROM k)),
+p AS (SELECT k, n, f, h, unnest(range(least(512, n - f))) AS o FROM q),
+w AS (SELECT k, f + o AS i, n, h[2 * o + 1 : 2 * o + 2] AS byte, CASE WHEN f + o + 200 <= n THEN md5(h[2 * o + 1 : 2 * o + 400]) END AS win FROM p),
 c AS (SELECT k, i, byte, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS starts FROM w),
 g AS (SELECT k, i, byte, coalesce(max(CASE WHEN starts THEN i END) OVER (PARTITION BY k ORDER BY i) > i - 200, false) AS gone FROM c),
 b AS (SELECT k, i, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY i), false) AS head FROM g),
