@@ -137,8 +137,23 @@ def chla_choice(n: Column, other: Column) -> Column:
     return F.when(n > -0.05, ndci_chla(n)).otherwise(other)
 
 
-def cross_ratio(vh_db: Column, vv_db: Column) -> Column:
-    return vh_db - vv_db
+def cross_ratio(vv_db: Column, vh_db: Column) -> Column:
+    """In decibels, so a difference."""
+    return vv_db - vh_db
+
+
+#: Scene classes that hide the surface, for stations and lakes, and for patches; bits of the older product's quality band. Fixed values.
+SCENE_HIDDEN, PATCH_HIDDEN, QUALITY_BITS = (0, 1, 3, 7, 8, 9, 10, 11), (3, 8, 9, 10), (1 << 10, 1 << 11)
+
+
+def scene_clear(scene: Column, patch: bool = False) -> Column:
+    """Whether a scene class leaves the surface in sight; null for a null class."""
+    return ~scene.isin(*(PATCH_HIDDEN if patch else SCENE_HIDDEN))
+
+
+def quality_clear(bits: Column) -> Column:
+    """Whether neither opaque cloud nor cirrus is marked in the older product's quality band."""
+    return bits.bitwiseAND(QUALITY_BITS[0] | QUALITY_BITS[1]) == 0
 
 
 def ice_flag(mean_db: Column, std_db: Column) -> Column:

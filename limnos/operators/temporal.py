@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def _day(c: str) -> Column:
     return F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
@@ -160,3 +162,32 @@ def patch_windows(samples: DataFrame, patches: DataFrame, key: str, sample: str,
     place = F.sequence(F.lit(-days), F.lit(-1))
     seq = F.transform(place, lambda i: F.coalesce(F.try_element_at("m_", F.col("at_") + i), F.array_repeat(F.lit(0.0), size)))
     return w.select(sample, seq.alias("seq"), F.size("e_").alias("n_patches"))
+
+
+#: Aggregates of a rollup by name; sums and counts of nothing are 0, all others null.
+AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
+
+
+def rollup(df: DataFrame, keys: list[str], value: str, aggregates: list[str]) -> DataFrame:
+    """(keys, one column for each aggregate of `value`): mean, sum, min, max, std, count or median, which is exact and comes from running counts. Null values take no part; a key with nothing else keeps its row."""
+    plain = [a for a in aggregates if a != "median"]
+    g = df.groupBy(*keys).agg(F.count(value).alias("n_"), *[AGGREGATES[a](value).alias(a) for a in plain])
+    if "median" in aggregates:
+        m = stats.percentiles(df, keys, value, {"median": 0.5})
+        g = g.join(m, keys, "left") if keys else g.join(F.broadcast(m), F.lit(True), "left")  # one row
+    none = lambda a: F.coalesce(F.col(a), F.lit(0).cast(g.schema[a].dataType)) if a in ("sum", "count") else F.col(a)
+    return g.select(*keys, *[none(a).alias(a) for a in aggregates])
+
+
+def resample(df: DataFrame, keys: list[str], ts: str, value: str, step: str, aggregates: list[str]) -> DataFrame:
+    """(keys, bin, aggregates): a series by hour, day, month or year, with every bin from a key's first to its last, empty ones too.
+
+    A bin is known by its start, a month or year by its last day, at midnight. Rows without a time go. In an empty bin sums and counts are 0, other aggregates null. The number of bins is bounded by the calendar."""
+    rows = df.where(F.col(ts).isNotNull()).withColumn("bin_", F.date_trunc(step, ts))
+    got = rollup(rows, [*keys, "bin_"], value, aggregates)
+    span = got.groupBy(*keys).agg(F.min("bin_").alias("a_"), F.max("bin_").alias("b_"))
+    whole = span.select(*keys, F.explode(F.sequence("a_", "b_", F.expr(f"interval 1 {step}"))).alias("bin_"))
+    met = whole.join(got, [*keys, "bin_"], "left")
+    none = lambda a: F.coalesce(F.col(a), F.lit(0).cast(got.schema[a].dataType)) if a in ("sum", "count") else F.col(a)
+    end = {"month": F.last_day("bin_").cast("timestamp"), "year": F.make_date(F.year("bin_"), F.lit(12), F.lit(31)).cast("timestamp")}
+    return met.select(*keys, end.get(step, F.col("bin_")).alias("bin"), *[none(a).alias(a) for a in aggregates])

@@ -58,7 +58,7 @@ def jn9_shifted_key(spark, d):
 @query("""WITH a AS (SELECT station_id, year(date) * 12 + month(date) AS p, avg(v) AS av FROM $samples GROUP BY 1, 2), b AS (SELECT station_id, year(obs_date) * 12 + month(obs_date) AS p, avg(q) AS bv FROM $daily GROUP BY 1, 2)
 SELECT CAST(l.lag AS INT) AS lag, count(*) AS n, round(corr(av, bv), 6) AS r FROM (SELECT unnest(range(7)) AS lag) l, a JOIN b ON a.station_id = b.station_id WHERE a.p = b.p + l.lag GROUP BY l.lag HAVING count(*) > 20""")
 def jn11_lag_correlogram(spark, d):
-    """JN-11, ST-9, AG-8: monthly rollups joined at lags of 0 to 6 months, Pearson r by lag."""
+    """JN-11, ST-9: monthly rollups joined at lags of 0 to 6 months, Pearson r by lag."""
     p = lambda c: F.year(c) * 12 + F.month(c)
     a = samples(spark, d).groupBy("station_id", p("date").alias("p")).agg(F.avg("v").alias("av"))
     b = daily(spark, d).groupBy("station_id", p("obs_date").alias("p")).agg(F.avg("q").alias("bv")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("p", F.col("p") + F.col("lag"))

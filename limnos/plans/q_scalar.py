@@ -62,9 +62,17 @@ def fnw_bands(spark, d):
 @query("""SELECT ok, ln AS line, (ok & 56) = 0 AS clear_scene, (ok & 30) = 0 AS clear_patch, ok % 12 NOT IN (0, 1, 3, 7, 8, 9, 10, 11) AS scene_ok, (ok & 1) <> 0 AND (ok & 2) = 0 AND (ok & 12) = 0 AS water_ok,
  round(disc - tax, 6) AS cross_db, coalesce(-q > -10 AND disc < 2, false) AS ice, round(q * 200, 4) AS swe, CAST((sensor = 'A') AS INT) + CAST((q > 25) AS INT) AS n_sensors, (sensor = 'A' OR disc > 0.05) AS any_fail FROM $obs""")
 def flt11_bit_masks(spark, d):
-    """FLT-11, FLT-12, FLT-13, FN-W21, FN-W23, FN-W27, FN-W28."""
+    """FLT-11, FLT-13, FN-W23, FN-W27, FN-W28."""
     bit = lambda m: F.col("ok").bitwiseAND(m)
-    return obs(spark, d).select("ok", F.col("ln").alias("line"), (bit(56) == 0).alias("clear_scene"), (bit(30) == 0).alias("clear_patch"), (~(F.col("ok") % 12).isin(0, 1, 3, 7, 8, 9, 10, 11)).alias("scene_ok"), ((bit(1) != 0) & (bit(2) == 0) & (bit(12) == 0)).alias("water_ok"), _r(wq.cross_ratio(F.col("disc"), F.col("tax"))).alias("cross_db"), wq.ice_flag(-F.col("q"), F.col("disc")).alias("ice"), _r(wq.snow_water(F.col("q")), 4).alias("swe"), wq.sensor_count(F.col("sensor") == "A", F.col("q") > 25).alias("n_sensors"), wq.any_flag(F.col("sensor") == "A", F.col("disc") > 0.05).alias("any_fail"))
+    return obs(spark, d).select("ok", F.col("ln").alias("line"), (bit(56) == 0).alias("clear_scene"), (bit(30) == 0).alias("clear_patch"), wq.scene_clear(F.col("ok") % 12).alias("scene_ok"), ((bit(1) != 0) & (bit(2) == 0) & (bit(12) == 0)).alias("water_ok"), _r(wq.cross_ratio(F.col("disc"), F.col("tax"))).alias("cross_db"), wq.ice_flag(-F.col("q"), F.col("disc")).alias("ice"), _r(wq.snow_water(F.col("q")), 4).alias("swe"), wq.sensor_count(F.col("sensor") == "A", F.col("q") > 25).alias("n_sensors"), wq.any_flag(F.col("sensor") == "A", F.col("disc") > 0.05).alias("any_fail"))
+
+
+@query("""WITH x AS (SELECT ok, ln, CASE WHEN ok % 29 = 0 THEN NULL ELSE ok % 12 END AS scene, ok * 173 % 8192 AS qa FROM $obs)
+SELECT ok, ln AS line, scene NOT IN (0, 1, 3, 7, 8, 9, 10, 11) AS station_clear, scene NOT IN (3, 8, 9, 10) AS patch_clear, (qa & 1024) = 0 AND (qa & 2048) = 0 AS quality_clear FROM x""")
+def flt12_scene_classes(spark, d):
+    """FLT-12: scene classes that leave the surface in sight, for stations and for patches, and the older product's bits for clouds and cirrus."""
+    scene, qa = F.when(F.col("ok") % 29 != 0, F.col("ok") % 12), F.col("ok") * 173 % 8192
+    return obs(spark, d).select("ok", F.col("ln").alias("line"), wq.scene_clear(scene).alias("station_clear"), wq.scene_clear(scene, patch=True).alias("patch_clear"), wq.quality_clear(qa).alias("quality_clear"))
 
 
 @query("""SELECT a.station_id, round(2 * 6371000 * asin(sqrt(pow(sin(radians(58 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(58)) * pow(sin(radians(15 - lon) / 2), 2))), 3) AS metres,
@@ -127,7 +135,7 @@ def src5_station_union(spark, d):
 
 @query("""SELECT year(date) AS yr, count(*) AS n, round(sum(v), 2) AS total FROM $samples WHERE year(date) BETWEEN 1996 AND 1999 GROUP BY 1""")
 def src1_yearly_scan(spark, d):
-    """SRC-1, SRC-3, AG-8: projected scan with the year tag and a pushed-down range of years."""
+    """SRC-3: projected scan with the year tag and a pushed-down range of years."""
     o = read(spark, d, "orders").select("o_orderdate", "o_totalprice").where((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp")))
     return o.groupBy(F.year("o_orderdate").cast("long").alias("yr")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 

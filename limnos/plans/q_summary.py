@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import stats, temporal
 from .tables import daily, obs, query, readings, samples, stations
 
 
@@ -88,6 +88,35 @@ def ag9_resample(spark, d):
     return e.join(h, ["user_id", "h"], "left").groupBy("user_id").agg(F.count("*").alias("bins"), F.count("m").alias("filled"), _r(F.sum("m").cast("double") / F.count("m")).alias("mean"))
 
 
+_BINS = " UNION ALL ".join(
+    f"""SELECT '{step}' AS step, e.user_id, CAST({end} AS VARCHAR) AS bin, coalesce(n, 0) AS n, mean, med, coalesce(total, 0) AS total, hi FROM
+(SELECT user_id, unnest(generate_series(min(date_trunc('{step}', ts)), max(date_trunc('{step}', ts)), INTERVAL 1 {step})) AS b FROM r GROUP BY 1) e
+LEFT JOIN (SELECT user_id, date_trunc('{step}', ts) AS b, count(x) AS n, round(avg(x), 4) AS mean, round(median(x), 4) AS med, round(sum(x), 3) AS total, max(x) AS hi FROM r GROUP BY 1, 2) g ON g.user_id = e.user_id AND g.b = e.b"""
+    for step, end in (("hour", "strftime(e.b, '%Y-%m-%d %H:%M:%S')"), ("day", "strftime(e.b, '%Y-%m-%d %H:%M:%S')"), ("month", "strftime(last_day(e.b), '%Y-%m-%d 00:00:00')"))
+)
+
+
+@query(f"WITH r AS (SELECT user_id, ts, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS x FROM $readings) {_BINS}")
+def ag9_steps(spark, d):
+    """AG-9: series by hour, day and month, with empty bins: count, mean, median, sum and largest."""
+    r = readings(spark, d).select("user_id", "ts", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("x"))
+    out = None
+    for step in ("hour", "day", "month"):
+        b = temporal.resample(r, ["user_id"], "ts", "x", step, ["count", "mean", "median", "sum", "max"])
+        b = b.select(F.lit(step).alias("step"), "user_id", F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), F.col("count").alias("n"), _r(F.col("mean")).alias("mean"), _r(F.col("median")).alias("med"), _r(F.col("sum"), 3).alias("total"), F.col("max").alias("hi"))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@query("""SELECT 'year' AS unit, station_id, year(date) AS yr, 0 AS mo, count(secchi) AS n, round(avg(secchi), 4) AS mean, round(coalesce(sum(secchi), 0), 4) AS total, round(median(secchi), 4) AS med FROM $samples GROUP BY 2, 3
+UNION ALL SELECT 'month', station_id, year(date), month(date), count(secchi), round(avg(secchi), 4), round(coalesce(sum(secchi), 0), 4), round(median(secchi), 4) FROM samples GROUP BY 2, 3, 4""")
+def ag8_rollups(spark, d):
+    """AG-8: mean, sum and median by station and year, and by station and month."""
+    s = samples(spark, d).select("station_id", F.year("date").cast("long").alias("yr"), F.month("date").cast("long").alias("mo"), "secchi")
+    of = lambda unit, rows: temporal.rollup(rows, ["station_id", "yr", "mo"], "secchi", ["count", "mean", "sum", "median"]).select(F.lit(unit).alias("unit"), "station_id", "yr", "mo", F.col("count").alias("n"), _r(F.col("mean")).alias("mean"), _r(F.col("sum")).alias("total"), _r(F.col("median")).alias("med"))
+    return of("year", s.withColumn("mo", F.lit(0).cast("long"))).unionByName(of("month", s))
+
+
 @query("""WITH s AS (SELECT station_id, count(DISTINCT year(date)) AS y FROM $samples GROUP BY 1) SELECT CAST(y AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1""")
 def ag18_record_length(spark, d):
     """AG-18: histogram of years with a record."""
@@ -167,7 +196,7 @@ def predictions(spark, d):
 
 @query(_PRED + """ SELECT cls, count(*) AS n, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(y - yhat)), 6) AS mae FROM p GROUP BY ROLLUP (cls)""")
 def ev1_metrics(spark, d):
-    """EV-1, EV-2, EV-3: error metrics by class and over all in one pass."""
+    """EV-1, EV-2: error metrics by class and over all in one pass."""
     rmse, r2, mae, n = stats.metrics("y", "yhat")
     return predictions(spark, d).rollup("cls").agg(n, rmse, r2, mae).select("cls", "n", *[_r(F.col(c), 6).alias(c) for c in ("rmse", "r2", "mae")])
 
@@ -218,7 +247,7 @@ def sp7_rolling_origin(spark, d):
 
 @query("""WITH m AS (SELECT sensor, ok % 3 AS model, avg(q) AS score FROM $obs GROUP BY 1, 2) SELECT sensor, model, round(score, 6) AS score, round(score - max(score) OVER (PARTITION BY sensor), 6) AS off, score = max(score) OVER (PARTITION BY sensor) AS best FROM m""")
 def wn9_best_per_target(spark, d):
-    """WN-8, WN-9, AG-35, EV-14: deviation from the best of a group, and the mark."""
+    """WN-9: deviation from the best of a group, and the mark."""
     m = obs(spark, d).groupBy("sensor", (F.col("ok") % 3).alias("model")).agg(F.avg("q").alias("score"))
     top = F.max("score").over(Window.partitionBy("sensor"))
     return m.select("sensor", "model", _r(F.col("score"), 6).alias("score"), _r(F.col("score") - top, 6).alias("off"), (F.col("score") == top).alias("best"))
