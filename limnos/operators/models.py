@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -11,7 +14,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from ..sources.sinks import scratch
+from . import spatial, stats
 
 
 def _penalty(train: DataFrame, label: str, alpha: float) -> float:
@@ -152,3 +156,176 @@ def patch_boosted(df: DataFrame, patch: str, label: str, fold: str, folds: int =
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _matrix(b: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1) if columns else np.zeros((b.num_rows, 0))
+
+
+def _gram_sums(rows: DataFrame, features: list[str], targets: list[str], fold: str, centre: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """By target and fold the sums of products of (1, features - centre, label) over rows with that label: tasks sum their rows, one task a target and fold sums tasks; targets x folds matrices come back."""
+    size = len(features) + 2
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            x, fold_ = _matrix(b, features), b.column(fold).to_numpy(zero_copy_only=False)
+            for t, name in enumerate(targets):
+                y = b.column(name).to_numpy(zero_copy_only=False).astype(float)
+                z = np.column_stack([np.ones(len(y)), np.where(np.isnan(x), 0.0, x - centre[t]), y])
+                for f in np.unique(fold_[~np.isnan(y)]):
+                    some = z[(fold_ == f) & ~np.isnan(y)]
+                    sums[t, int(f)] = sums.get((t, int(f)), 0.0) + some.T @ some
+        yield _as_rows(sums)
+
+    def of_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for t, f, g in zip(*(b.column(c).to_pylist() for c in ("target_", "fold_", "gram_"))):
+                sums[t, f] = sums.get((t, f), 0.0) + np.array(g)
+        yield _as_rows(sums)
+
+    def _as_rows(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in sums], pa.int32()), pa.array([f for _, f in sums], pa.int32()), pa.array([np.ravel(g).tolist() for g in sums.values()], pa.list_(pa.float64()))], names=["target_", "fold_", "gram_"])
+
+    schema = "target_ int, fold_ int, gram_ array<double>"
+    met = rows.mapInArrow(of_rows, schema).repartition("target_", "fold_").mapInArrow(of_tasks, schema)
+    return {(r["target_"], r["fold_"]): np.array(r["gram_"]).reshape(size, size) for r in met.collect()}
+
+
+def ridge_weights(gram: np.ndarray, some: list[int], alpha: float) -> np.ndarray:
+    """Intercept and weights of all features (0 where not in `some`) from sums of products of (1, features, label): features are standardised by population deviations (1 where they do not vary), the penalty is alpha on the sum of squares."""
+    n, size = gram[0, 0], len(gram) - 2
+    out = np.zeros(size + 1)
+    if n == 0:
+        return np.full(size + 1, np.nan)
+    mean = gram[0] / n
+    cov = gram - n * np.outer(mean, mean)
+    at = [i + 1 for i in some]
+    sd = np.sqrt(np.maximum(np.diag(cov)[at] / n, 0.0))
+    sd = np.where(sd > 1e-12 * np.maximum(np.abs(mean[at]), 1.0), sd, 1.0)
+    a = cov[np.ix_(at, at)] / np.outer(sd, sd)
+    w = np.linalg.solve(a + alpha * np.eye(len(at)), cov[at, -1] / sd) / sd if at else np.zeros(0)
+    out[at] = w
+    out[0] = mean[-1] - w @ mean[at]
+    return out
+
+
+def ridge_tiers(df: DataFrame, keys: list[str], tiers: dict[str, list[str]], targets: list[str], fold: str, alpha: float = 1.0) -> DataFrame:
+    """(keys, fold, target, tier, y, prediction): out-of-fold ridge predictions for every target that a row has and every tier of features, from sums of products by fold.
+
+    The sums without a fold are all sums less the fold's, and a tier's are a part of them: three passes over the rows in all (medians, sums, predictions), however many tiers, targets and folds.
+    Missing features (null or NaN) count as their median over the rows with the target, 0 if there is none. Rows with a null fold go; with one fold there is nothing to learn from and predictions are null."""
+    features = list(dict.fromkeys(c for fs in tiers.values() for c in fs))
+    num = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = df.where(F.col(fold).isNotNull()).select(*keys, F.col(fold).cast("int").alias(fold), *[num(c).alias(f"x{i}_") for i, c in enumerate(features)], *[num(t).alias(f"y{i}_") for i, t in enumerate(targets)])
+    xs, ys = [f"x{i}_" for i in range(len(features))], [f"y{i}_" for i in range(len(targets))]
+    long = rows.select(F.explode(F.array(*[F.when(F.col(y).isNotNull(), F.lit(t)) for t, y in enumerate(ys)])).alias("t_"), *xs).where("t_ IS NOT NULL")
+    long = long.select("t_", F.inline(F.array(*[F.struct(F.lit(i).alias("i_"), F.col(x).alias("v_")) for i, x in enumerate(xs)])))
+    centre = np.zeros((len(ys), len(xs)))
+    for r in stats.percentiles(long, ["t_", "i_"], "v_", {"m": 0.5}).collect():  # targets x features rows
+        centre[r["t_"], r["i_"]] = r["m"]
+    sums = _gram_sums(rows.select(fold, *xs, *ys), xs, ys, fold, centre)
+    weights: dict[tuple[int, int], np.ndarray] = {}
+    for t in range(len(ys)):
+        own = {f: g for (s, f), g in sums.items() if s == t}
+        for f, g in own.items():
+            rest = sum(own.values()) - g if len(own) > 1 else np.zeros_like(g)
+            weights[t, f] = np.stack([ridge_weights(rest, [features.index(c) for c in fs], alpha) for fs in tiers.values()])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, fold_ = _matrix(b, xs), b.column(fold).to_numpy(zero_copy_only=False)
+            columns = []
+            for t, name in enumerate(ys):
+                y = b.column(name).to_numpy(zero_copy_only=False).astype(float)
+                z = np.column_stack([np.ones(len(y)), np.where(np.isnan(x), 0.0, x - centre[t])])
+                p = np.full((len(y), len(tiers)), np.nan)
+                for f in np.unique(fold_[~np.isnan(y)]):
+                    own = (fold_ == f) & ~np.isnan(y)
+                    p[own] = z[own] @ weights[t, int(f)].T
+                columns.append(p)
+            flat = np.concatenate(columns, axis=1)
+            ends = np.arange(0, flat.size + 1, max(1, flat.shape[1]), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))], names=[*b.schema.names, "p_"])
+
+    scored = rows.mapInArrow(score, rows.select("*", F.array().cast("array<double>").alias("p_")).schema)
+    each = [F.struct(F.lit(name).alias("target"), F.lit(tier).alias("tier"), F.col(ys[t]).alias("y"), F.nanvl(F.get("p_", F.lit(t * len(tiers) + j)), F.lit(None).cast("double")).alias("prediction")) for t, name in enumerate(targets) for j, tier in enumerate(tiers)]
+    return scored.select(*keys, fold, F.inline(F.array(*each))).where("y IS NOT NULL")
+
+
+def ridge_ablation(df: DataFrame, tiers: dict[str, list[str]], targets: list[str], fold: str, alpha: float = 1.0) -> DataFrame:
+    """(target, tier, model, rmse, r2, mae, n): scores of `ridge_tiers` on the original scale, where labels are log1p of it."""
+    p = ridge_tiers(df, [], tiers, targets, fold, alpha).select("target", "tier", F.expm1("y").alias("y"), F.expm1("prediction").alias("p"))
+    return p.groupBy("target", "tier").agg(*stats.metrics("y", "p")).select("target", "tier", F.lit("ridge").alias("model"), "rmse", "r2", "mae", "n")
+
+
+def even_folds(sizes: dict[int, int], folds: int) -> dict[int, int]:
+    """Groups to folds: the largest first, each into the fold with the fewest rows so far (the first on ties); of groups of one size the last first."""
+    load, out = [0] * folds, {}
+    for g in sorted(sizes, key=lambda g: (sizes[g], g), reverse=True):
+        out[g] = load.index(min(load))
+        load[out[g]] += sizes[g]
+    return out
+
+
+def grid_forests(values: DataFrame, places: DataFrame, cells: DataFrame, key: str, cell: str, layer: list[str], value: str, covariates: list[str], least: int = 10, folds: int = 5, trees: int = 100, seed: int = 42) -> DataFrame:
+    """(cell, layer columns, prediction, n, rmse): for each layer of values (key, layer columns, value) a forest of the keys' covariates and coordinates, scored over all cells, and its error out of fold.
+
+    places: key, lat, x, y, covariates; cells: cell, x, y. A cell has the covariates of the layer's nearest key. Missing covariates are a layer's median, over its keys to learn from and over the cells to score. Folds are groups of whole degrees of latitude
+    (`even_folds`, five at most); rmse is null below ten rows or two groups. Layers with fewer keys than `least` keep their cells with a null prediction. Keys without a value or place go.
+
+    One search finds the nearest keys for all layers; each forest reads its own layer's part of two tables, and all cells are scored in one job. Layers x degrees rows reach the driver."""
+    spark = values.sparkSession
+    degree = F.col("lat").cast("int").alias("degree_")
+    rows = values.where(F.col(value).isNotNull()).join(places.where("lat IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), key).select(key, *layer, degree, "x", "y", *covariates, F.col(value).cast("double").alias("y_"))
+    rows = _filled(rows, layer, covariates)
+    path = scratch(spark, "layer-keys")
+    rows.write.partitionBy(*layer).parquet(path)
+    kinds = {f.name: f.dataType for f in values.schema}
+    rows = spark.read.parquet(path).select(key, *[F.col(c).cast(kinds[c]).alias(c) for c in layer], "degree_", "x", "y", *covariates, "y_")
+    sizes: dict[tuple, dict[int, int]] = {}
+    for r in rows.groupBy(*layer, "degree_").count().collect():
+        sizes.setdefault(tuple(r[c] for c in layer), {})[r["degree_"]] = r["count"]
+    none = cells.select(cell, *[F.lit(None).cast(kinds[c]).alias(c) for c in layer], F.lit(None).cast("double").alias("prediction"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("rmse")).limit(0)
+    if not sizes:
+        return none
+    names = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(layer, name)]) for name in sizes])
+    asked = cells.select(cell, "x", "y", F.inline(names))  # a row for each cell and layer, as in the result
+    near = spatial.nearest_in_layers(asked, rows.select(key, *layer, F.col("x").alias("rx"), F.col("y").alias("ry")), cell, key, layer)
+    own = near.select(cell, key, *layer).join(rows.select(key, *layer, *covariates), [key, *layer]).join(cells.select(cell, "x", "y"), cell).select(cell, *layer, "x", "y", *covariates)
+    path = scratch(spark, "layer-cells")
+    _filled(own, layer, covariates).write.partitionBy(*layer).parquet(path)
+    own = spark.read.parquet(path).select(cell, *[F.col(c).cast(kinds[c]).alias(c) for c in layer], "x", "y", *covariates)
+    vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in [*covariates, "x", "y"]])).alias("features_")
+    out = None
+    for name, degrees in sorted(sizes.items(), key=lambda p: str(p[0])):
+        at = F.lit(True)
+        for c, v in zip(layer, name):
+            at = at & (F.col(c) == F.lit(v).cast(kinds[c]))
+        n, k = sum(degrees.values()), min(folds, len(degrees))
+        mine, target = rows.where(at).select("degree_", "y_", vector), own.where(at).select(cell, *layer, vector)
+        forest = lambda d: regressor("forest", "y_", trees=trees, seed=seed).fit(d)
+        error = F.lit(None).cast("double")
+        if n < least:
+            p = target.select(cell, *layer, F.lit(None).cast("double").alias("prediction"))
+        else:
+            if n >= 10 and k >= 2:
+                fold_of = even_folds(degrees, k)
+                held = mine.withColumn("fold_", F.create_map(*[F.lit(x) for p in fold_of.items() for x in p])[F.col("degree_")])
+                parts = [forest(held.where(F.col("fold_") != f)).transform(held.where(F.col("fold_") == f)).select(F.pow(F.col("prediction") - F.col("y_"), F.lit(2.0)).alias("e_")) for f in range(k)]
+                for x in parts[1:]:
+                    parts[0] = parts[0].unionByName(x)
+                error = F.lit(parts[0].agg(F.sqrt(F.avg("e_")).alias("e")).first()["e"])
+            p = forest(mine).transform(target).select(cell, *layer, "prediction")
+        p = p.withColumns({"n": F.lit(n).cast("long"), "rmse": error})
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _filled(df: DataFrame, layer: list[str], covariates: list[str]) -> DataFrame:
+    """df with missing covariates as their layer's median, 0 where the layer has none."""
+    for c in covariates:
+        m = stats.percentiles(df.select(*layer, c), layer, c, {"m_": 0.5})
+        df = df.join(m, layer, "left").withColumn(c, F.coalesce(F.col(c).cast("double"), "m_", F.lit(0.0))).drop("m_")
+    return df

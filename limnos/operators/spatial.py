@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, unit_vector
@@ -70,42 +71,61 @@ def knn_graph(points: DataFrame, key: str, radius: float, k: int = 8) -> DataFra
     return both.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("src")))
 
 
+def _in_rings(left: DataFrame, points: DataFrame, key: str, other: str, k: int, by: list[str], axes: int, dist: Column, width: float, whole: float, reach: Callable[[float], float]) -> DataFrame:
+    """(key, by, other, dist, rank): the k nearest points of each key with the same `by`, ranked by `dist` in thousandths, then by `other`. left and points have coordinates l0_, l1_.. and r0_, r1_..
+
+    Points share cells of `width` with keys of the cells around; what lies within reach(width) is then complete. Keys whose k-th point is farther meet again in cells four times as wide, up to `whole`, which holds all. A round is written as a table."""
+    done, own = None, Window.partitionBy(key, *by)
+    cells = [f"c{i}_" for i in range(axes)]
+    while True:
+        near = left
+        for i, c in enumerate(cells):
+            near = near.withColumn("d_", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.floor(F.col(f"l{i}_") / width) + F.col("d_")).drop("d_")
+        met = near.join(points.withColumns({c: F.floor(F.col(f"r{i}_") / width) for i, c in enumerate(cells)}), [*by, *cells]).select(key, *by, other, dist.alias("dist"))
+        top = met.withColumn("rank", F.row_number().over(own.orderBy(F.round("dist", 3), other))).where(F.col("rank") <= k)
+        far = float("inf") if width >= whole else reach(width)
+        top = top.withColumn("full_", F.max(F.when(F.col("rank") == k, F.col("dist"))).over(own) <= far) if width < whole else top.withColumn("full_", F.lit(True))
+        path = scratch(left.sparkSession, "nearest")
+        top.where("full_").drop("full_").write.parquet(path)
+        got = left.sparkSession.read.parquet(path)
+        done = got if done is None else done.unionByName(got)
+        if width >= whole or not k:
+            return done
+        left = left.join(got.select(key, *by).distinct(), [key, *by], "left_anti")
+        if left.isEmpty():
+            return done
+        width = min(whole, width * 4)
+
+
 def nearest_on_sphere(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1) -> DataFrame:
     """(key, other, dist, rank): for every key (key, lat, lon) the k nearest of right (other, rlat, rlon), in metres, however far; all of right if it has fewer than k. Ranked by millimetres, then by `other`. Keys are unique; rows with a null coordinate take no part.
 
-    Rings grow: points share cells of a grid in space with the 26 around; what lies within a cell's width is then complete. Keys whose k-th
-    neighbour is farther meet again in cells four times as wide. Of points in one place only the k first ids can be neighbours. A round is written as a table."""
-    spark = left.sparkSession
+    Points lie in cells of a grid in space. Of points in one place only the k first ids can be neighbours."""
     place = Window.partitionBy("rlat", "rlon").orderBy(other)
     points = right.select(other, "rlat", "rlon").where("rlat IS NOT NULL AND rlon IS NOT NULL").withColumn("n_", F.row_number().over(place)).where(F.col("n_") <= k).drop("n_")
     n = points.count()
     k = min(k, n)
-    xyz = lambda lat, lon: dict(zip(("x_", "y_", "z_"), unit_vector(F.col(lat), F.col(lon))))
-    open_ = left.select(key, "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(xyz("lat", "lon"))
-    points = points.withColumns(xyz("rlat", "rlon"))
-    done = None
+    xyz = lambda side, lat, lon: dict(zip((f"{side}0_", f"{side}1_", f"{side}2_"), unit_vector(F.col(lat), F.col(lon))))
+    open_ = left.select(key, "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(xyz("l", "lat", "lon"))
+    dist = haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
     width = min(2.0, max(1e-5, 2 * math.sqrt(k / max(n, 1))))
-    while True:
-        cell = {c: F.floor(F.col(c[0] + "_") / width) for c in ("xc", "yc", "zc")}
-        near = open_.withColumns(cell)
-        for c in ("xc", "yc", "zc"):
-            near = near.withColumn("d_", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("d_")).drop("d_")
-        met = near.drop("x_", "y_", "z_").join(points.withColumns(cell).drop("x_", "y_", "z_"), ["xc", "yc", "zc"])
-        met = met.select(key, other, haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")).alias("dist"))
-        top = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.round("dist", 3), other))).where(F.col("rank") <= k)
-        # a chord of `width` is an arc of at least as many earth radii; a millimetre stands back for rounding
-        reach = width * 6_371_000.0 - 0.001 if width < 2 else float("inf")
-        top = top.withColumn("full_", F.max(F.when(F.col("rank") == k, F.col("dist"))).over(Window.partitionBy(key)) <= reach)
-        path = scratch(spark, "nearest")
-        top.where("full_").drop("full_").write.parquet(path)
-        got = spark.read.parquet(path)
-        done = got if done is None else done.unionByName(got)
-        if width >= 2 or not k:
-            return done
-        open_ = open_.join(got.select(key).distinct(), key, "left_anti")
-        if open_.isEmpty():
-            return done
-        width = min(2.0, width * 4)
+    # a chord of `width` is an arc of at least as many earth radii; a millimetre stands back for rounding
+    return _in_rings(open_, points.withColumns(xyz("r", "rlat", "rlon")), key, other, k, [], 3, dist, width, 2.0, lambda w: w * 6_371_000.0 - 0.001)
+
+
+def nearest_in_layers(left: DataFrame, right: DataFrame, key: str, other: str, layer: list[str]) -> DataFrame:
+    """(key, layer columns, other, dist): for every key (key, layer columns, x, y) the nearest of right (other, layer columns, rx, ry) in the same layer in the plane, however far; the first id on ties. One search for all layers; rows with a null coordinate take no part, keys of a layer without points have no row."""
+    points = right.where("rx IS NOT NULL AND ry IS NOT NULL").select(other, *layer, F.col("rx").alias("r0_"), F.col("ry").alias("r1_"))
+    keys = left.where("x IS NOT NULL AND y IS NOT NULL").select(key, *layer, F.col("x").alias("l0_"), F.col("y").alias("l1_"))
+    box = lambda df, s: df.agg(*[f(f"{s}{i}_").alias(f"{n}{i}") for i in (0, 1) for n, f in (("a", F.min), ("b", F.max))], F.count("*").alias("n")).first()
+    p, q = box(points, "r"), box(keys, "l")
+    if not p["n"] or not q["n"]:
+        return keys.select(key, *layer).join(points.select(other, *layer), layer).withColumn("dist", F.lit(0.0)).limit(0)
+    sides = [max(p[f"b{i}"], q[f"b{i}"]) - min(p[f"a{i}"], q[f"a{i}"]) for i in (0, 1)]
+    whole = max(*sides, 1e-9) * 1.001
+    width = max(2 * math.sqrt(max(sides[0], whole * 1e-6) * max(sides[1], whole * 1e-6) / p["n"]), whole * 1e-4)
+    dist = F.hypot(F.col("l0_") - F.col("r0_"), F.col("l1_") - F.col("r1_"))
+    return _in_rings(keys, points, key, other, 1, layer, 2, dist, min(width, whole), whole, lambda w: w - 0.001).drop("rank")
 
 
 def neighbour_graph(points: DataFrame, key: str, k: int = 8) -> DataFrame:

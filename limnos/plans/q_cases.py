@@ -271,7 +271,7 @@ def gr4_layers(spark, d):
 
 @query(None)
 def gr5_grid_forest(spark, d):
-    """GR-5, GR-7: for each parameter and year a forest (20 trees) on covariates, easting and northing; its error out of fold by station, and the mean over years."""
+    """GR-7: for each parameter and year a forest (20 trees) on covariates, easting and northing; its error out of fold by station, and the mean over years."""
     e, n = geo.transverse_mercator(F.col("lat"), F.col("lon"))
     s = stations(spark, d).select("station_id", "bal", e.alias("easting"), n.alias("northing"), F.pmod(F.xxhash64("station_id"), F.lit(3)).cast("int").alias("fold"))
     t = samples(spark, d).select("station_id", F.year("date").alias("yr"), "tp", "chla").join(s, "station_id")
@@ -284,6 +284,19 @@ def gr5_grid_forest(spark, d):
     return out.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("param")))
 
 
+@query(None)
+def gr5_grid_layers(spark, d):
+    """GR-5, GR-7: forests (10 trees) of two parameters in two years, and of one with too few stations, scored over a grid whose cells have the covariates of their nearest station; errors by groups of whole degrees of latitude."""
+    cells = spark.range(25).select(F.col("id").alias("gx")).withColumn("gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))))
+    cells = cells.select((F.col("gx") * 25 + F.col("gy")).alias("cell"), (F.col("gx") * 40000.0 + 20000).alias("x"), (F.col("gy") * 40000.0 + 20000).alias("y"))
+    s = samples(spark, d).select("station_id", F.year("date").cast("long").alias("yr"), "tp", "chla").where("yr IN (1996, 1997)")
+    values = s.unpivot(["station_id", "yr"], ["tp", "chla"], "param", "v").groupBy("station_id", "yr", "param").agg(F.avg("v").alias("v"))
+    few = values.where("param = 'tp' AND yr = 1996 AND station_id < 5").withColumn("param", F.lit("few"))
+    places = stations(spark, d).select("station_id", "lat", "x", "y", F.when(F.col("station_id") % 9 != 0, F.col("bal")).alias("bal"))
+    out = models.grid_forests(values.unionByName(few), places, cells, "station_id", "cell", ["param", "yr"], "v", ["bal"], folds=3, trees=10)
+    return out.select("cell", "param", "yr", _r(F.col("prediction")).alias("prediction"), "n", _r(F.col("rmse")).alias("rmse"))
+
+
 # aggregates
 
 
