@@ -52,12 +52,41 @@ def idw_layers(cells: DataFrame, stations: DataFrame, values: DataFrame, cell: s
     return got.groupBy(cell, *layer).agg(F.coalesce(F.avg(hit), F.sum(wt * F.col(value)) / F.sum(wt)).alias("idw"), F.count("*").alias("n_stations"))
 
 
+#: A box is covered by cells of the least size, a power of four times the given one, of which it takes at most so many (and one more) in a row.
+_CELLS = 4
+
+
+def _cover(boxes: DataFrame, x0: Column, x9: Column, y0: Column, y9: Column, size: float) -> DataFrame:
+    """boxes with level_, cx, cy: the cells of one size that a box lies in, 25 rows at most however large it is. The size is `size` times 4 to the level. Boxes with a null side have no cells."""
+    extent = F.greatest(x9 - x0, y9 - y0) / (size * _CELLS)
+    level = F.when(extent > 1, F.ceil(F.log2(extent) / 2 - 1e-9)).otherwise(0).cast("int")
+    d = boxes.where(extent.isNotNull()).withColumn("level_", level)
+    s = F.pow(F.lit(4.0), F.col("level_")) * size
+    side = lambda a, b: F.explode(F.sequence(F.floor(a / s), F.floor(b / s)))
+    return d.withColumn("cx", side(x0, x9)).withColumn("cy", side(y0, y9))
+
+
+def _probe(points: DataFrame, cover: DataFrame, x: str, y: str, size: float) -> DataFrame:
+    """points once for each level of a cover, with level_, cx, cy: some ten levels at most."""
+    levels = cover.agg(F.collect_set("level_").alias("levels_"))  # one row
+    d = points.join(F.broadcast(levels), F.lit(True)).withColumn("level_", F.explode("levels_")).drop("levels_")
+    s = F.pow(F.lit(4.0), F.col("level_")) * size
+    return d.withColumns({"cx": F.floor(F.col(x) / s), "cy": F.floor(F.col(y) / s)})
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float) -> DataFrame:
-    """(point, polygon) with the point inside, by the parity of edges crossed to the right. edges: polygon, x1, y1, x2, y2. Polygons cover the cells of their bounding boxes."""
+    """(point, polygon) with the point inside, by the parity of edges crossed to the right. edges: polygon, x1, y1, x2, y2; points: point, x, y.
+
+    Polygons and edges are covered by cells whose size follows theirs, so that a large one takes a bounded number of rows. A point meets the polygons whose box holds it, and of their edges those whose span of y shares a strip with it."""
+    edges = edges.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
     box = edges.groupBy(polygon).agg(F.min(F.least("x1", "x2")).alias("x0_"), F.max(F.greatest("x1", "x2")).alias("x9_"), F.min(F.least("y1", "y2")).alias("y0_"), F.max(F.greatest("y1", "y2")).alias("y9_"))
-    cover = box.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0_") / size), F.floor(F.col("x9_") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0_") / size), F.floor(F.col("y9_") / size))))
-    near = _cells(points, "x", "y", size).join(cover, ["cx", "cy"]).where(F.col("x").between(F.col("x0_"), F.col("x9_")) & F.col("y").between(F.col("y0_"), F.col("y9_")))
-    met = near.select(point, "x", "y", polygon).join(edges, polygon)
+    cover = _cover(box, F.col("x0_"), F.col("x9_"), F.col("y0_"), F.col("y9_"), size)
+    own = points.select(point, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    near = _probe(own, cover, "x", "y", size).join(cover, ["level_", "cx", "cy"]).where(F.col("x").between(F.col("x0_"), F.col("x9_")) & F.col("y").between(F.col("y0_"), F.col("y9_")))
+    # strips: cells of no width; an edge's size is its height
+    zero = F.lit(0.0)
+    strips = _cover(edges, zero, zero, F.least("y1", "y2"), F.greatest("y1", "y2"), size).drop("cx")
+    met = _probe(near.select(point, "x", "y", polygon).withColumn("zero_", zero), strips, "zero_", "y", size).drop("cx").join(strips, [polygon, "level_", "cy"])
     crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
     return met.groupBy(point, polygon).agg(F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("n_")).where(F.col("n_") % 2 == 1).select(point, polygon)
 
@@ -144,10 +173,9 @@ def polygons_with_points(points: DataFrame, edges: DataFrame, point: str, polygo
 
 
 def nearest_line(points: DataFrame, segments: DataFrame, point: str, line: str, far: float, size: float) -> DataFrame:
-    """(point, line, dist): the nearest line at most `far` away, the smaller line on ties. segments: line, x1, y1, x2, y2; each covers the cells of its box grown by `far`."""
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - far) / size), F.floor((F.greatest(a, b) + far) / size)))
-    cover = segments.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
-    met = _cells(points.select(point, "x", "y"), "x", "y", size).join(cover, ["cx", "cy"])
+    """(point, line, dist): the nearest line at most `far` away, the smaller line on ties. segments: line, x1, y1, x2, y2; each covers its box grown by `far`, with cells whose size follows it: a bounded number of rows."""
+    cover = _cover(segments, F.least("x1", "x2") - far, F.greatest("x1", "x2") + far, F.least("y1", "y2") - far, F.greatest("y1", "y2") + far, size)
+    met = _probe(points.select(point, "x", "y"), cover, "x", "y", size).join(cover, ["level_", "cx", "cy"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.coalesce(((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))

@@ -20,11 +20,33 @@ def within_days(left: DataFrame, right: DataFrame, keys: list[str], days: int, l
     return a.join(b, [*keys, "bucket_"]).withColumn("off", F.datediff(right_date, left_date)).where(F.abs("off") <= days).drop("bucket_")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], sample: str, values: list[str], tie: list[str], days: int = 7, windows: tuple[int, ...] = (1, 3, 7)) -> DataFrame:
-    """For each row of left its nearest row of right within `days`: earlier dates win ties, then the order of `tie`. Adds the values, `offset_days`, `n_obs` and `match_{w}d`; unmatched rows have null values, 0 and false."""
-    pairs = within_days(left.select(sample, *keys, "date"), right, keys, days)
-    best = pairs.groupBy(sample).agg(F.min_by(F.struct(*[F.col(v) for v in values], F.abs("off").alias("offset_days")), F.struct(F.abs("off"), F.col("obs_date"), *[F.col(t) for t in tie])).alias("best"), F.count("*").alias("n_obs"))
-    out = left.join(best, sample, "left").select(*[left[c] for c in left.columns], *[F.col(f"best.{v}").alias(v) for v in values], F.col("best.offset_days").alias("offset_days"), F.coalesce("n_obs", F.lit(0)).alias("n_obs"))
+def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tie: list[str], days: int = 7, windows: tuple[int, ...] = (1, 3, 7), block: int | None = None) -> DataFrame:
+    """Each row of left with its nearest row of right (keys, obs_date) within `days`: earlier dates win ties, then the order of `tie`. Adds the values, `offset_days`, `n_obs` (how many lie within) and `match_{w}d`; unmatched rows, and those with a null key or date, have null values, 0 and false.
+
+    Both sides are united and dealt out once, by key and block of days, so that a long series is many tasks' work; rows of right that lie within `days` of a block's border go to both blocks. Inside a block the rows in order of time tell the last one
+    before and the first one after each row of left, and a range of days is counted: no pairs are built."""
+    width = block or max(64, 16 * (days + 1))
+    names = {c: f"k{i}_" for i, c in enumerate(keys)}
+    here = left.select(*[F.col(c).alias(n) for c, n in names.items()], _day("date").alias("day_"), F.lit(1).alias("kind_"), F.struct(*[F.col(c) for c in left.columns]).alias("left_"))
+    here = here.withColumn("block_", F.floor(F.col("day_") / width))
+    there = right.where(F.col("obs_date").isNotNull()).select(*[F.col(c).alias(n) for c, n in names.items()], _day("obs_date").alias("day_"), F.lit(0).alias("kind_"), *[F.col(t).alias(f"t{i}_") for i, t in enumerate(tie)], F.struct(_day("obs_date").alias("day"), *[F.col(v) for v in values]).alias("right_"))
+    for n in names.values():
+        there = there.where(F.col(n).isNotNull())
+    there = there.withColumn("block_", F.explode(F.array_distinct(F.array(*[F.floor((F.col("day_") + d) / width) for d in (-days, 0, days)]))))
+    both = here.unionByName(there, allowMissingColumns=True)
+    own = Window.partitionBy(*names.values(), "block_")
+    # of one day the first by `tie` is the last that either order meets
+    back = [F.desc(f"t{i}_") for i in range(len(tie))]
+    before = own.orderBy("day_", "kind_", *back).rowsBetween(Window.unboundedPreceding, 0)
+    after = own.orderBy(F.desc("day_"), F.desc("kind_"), *back).rowsBetween(Window.unboundedPreceding, 0)
+    within = own.orderBy("day_").rangeBetween(-days, days)
+    met = both.withColumns({"last_": F.last("right_", True).over(before), "next_": F.last("right_", True).over(after), "n_obs": F.sum(1 - F.col("kind_")).over(within)}).where("kind_ = 1")
+    off = lambda c: F.abs(F.col(f"{c}.day") - F.col("day_"))
+    a, b = F.coalesce(off("last_"), F.lit(days + 1)), F.coalesce(off("next_"), F.lit(days + 1))
+    best = F.when((a <= b) & (a <= days), F.col("last_")).when(b <= days, F.col("next_"))
+    met = met.withColumn("best_", best)
+    n = F.when(F.col("day_").isNotNull(), F.col("n_obs")).otherwise(0).cast("long")
+    out = met.select("left_.*", *[F.col(f"best_.{v}").alias(v) for v in values], off("best_").cast("int").alias("offset_days"), F.coalesce(n, F.lit(0)).alias("n_obs"))
     return out.withColumns({f"match_{w}d": F.coalesce(F.col("offset_days") <= w, F.lit(False)) for w in windows})
 
 

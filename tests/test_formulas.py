@@ -35,7 +35,7 @@ def test_classes(spark):
 def test_nearest_ties_and_unmatched(spark):
     s = spark.sql("select 1 id, 7 st, date'2020-01-05' date union all select 2, 7, date'2021-01-01' union all select 3, null, date'2020-01-05'")
     o = spark.sql("select 7 st, date'2020-01-03' obs_date, 1.0 v union all select 7, date'2020-01-07', 2.0")
-    got = {r["id"]: r for r in temporal.nearest_within(s, o, ["st"], "id", ["v"], ["v"]).collect()}
+    got = {r["id"]: r for r in temporal.nearest_within(s, o, ["st"], ["v"], ["v"]).collect()}
     assert (float(got[1]["v"]), got[1]["offset_days"], got[1]["n_obs"], got[1]["match_1d"], got[1]["match_3d"]) == (1.0, 2, 2, False, True)
     assert (got[2]["v"], got[2]["n_obs"], got[2]["match_7d"], got[3]["n_obs"]) == (None, 0, False, 0)
 

@@ -118,3 +118,23 @@ def test_patch_model(spark):
 
 def test_scratch_is_shared(spark):
     assert sinks.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_nearest_in_time_of_a_hot_station(spark):
+    """Against a plain loop: a station with most rows, cut into many blocks, repeated days, ties, null keys and dates, one shuffle."""
+    import random
+
+    rng = random.Random(5)
+    at = lambda k: D(2001, 1, 1) + dt.timedelta(k)
+    sample = [(k, rng.choice(["hot", "hot", "b"]), at(rng.randrange(400))) for k in range(300)] + [(900, None, at(3)), (901, "hot", None), (902, "none", at(3))]
+    obs = [(rng.choice(["hot"] * 5 + ["b"]), at(rng.randrange(-20, 430)), rng.randrange(4), k) for k in range(250)] + [("hot", None, 1, 999), (None, at(3), 1, 998)]
+    s = spark.createDataFrame(sample, "id int, st string, date date").repartition(3)
+    o = spark.createDataFrame(obs, "st string, obs_date date, tie int, v int").repartition(3)
+    for days, block in ((7, 16), (3, 9), (0, 5), (7, None)):
+        out = temporal.nearest_within(s, o, ["st"], ["v", "tie"], ["tie", "v"], days, (1, 3), block)
+        got = {r["id"]: (r["v"], r["offset_days"], r["n_obs"], r["match_3d"]) for r in out.collect()}
+        for i, st, d in sample:
+            own = sorted((abs((x - d).days), x, t, v) for y, x, t, v in obs if st and d and x and y == st and abs((x - d).days) <= days)
+            want = (own[0][3], own[0][0], len(own), own[0][0] <= 3) if own else (None, None, 0, False)
+            assert got[i] == want
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
