@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, unit_vector
 from ..sources.sinks import scratch
+from . import kdtree
 
 
 def _cells(df: DataFrame, x: str, y: str, size: float, ring: int = 0) -> DataFrame:
@@ -129,17 +130,15 @@ def _in_rings(left: DataFrame, points: DataFrame, key: str, other: str, k: int,
 def nearest_on_sphere(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1) -> DataFrame:
     """(key, other, dist, rank): for every key (key, lat, lon) the k nearest of right (other, rlat, rlon), in metres, however far; all of right if it has fewer than k. Ranked by millimetres, then by `other`. Keys are unique; rows with a null coordinate take no part.
 
-    Points lie in cells of a grid in space. Of points in one place only the k first ids can be neighbours."""
+    Points lie in the leaves of a k-d tree in space (`kdtree.nearest_pairs`). Of points in one place only the k first ids can be neighbours."""
     place = Window.partitionBy("rlat", "rlon").orderBy(other)
     points = right.select(other, "rlat", "rlon").where("rlat IS NOT NULL AND rlon IS NOT NULL").withColumn("n_", F.row_number().over(place)).where(F.col("n_") <= k).drop("n_")
-    n = points.count()
-    k = min(k, n)
     xyz = lambda side, lat, lon: dict(zip((f"{side}0_", f"{side}1_", f"{side}2_"), unit_vector(F.col(lat), F.col(lon))))
-    open_ = left.select(key, "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(xyz("l", "lat", "lon"))
-    dist = haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
-    width = min(2.0, max(1e-5, 2 * math.sqrt(k / max(n, 1))))
-    # a chord of `width` is an arc of at least as many earth radii; a millimetre stands back for rounding
-    return _in_rings(open_, points.withColumns(xyz("r", "rlat", "rlon")), key, other, k, [], 3, dist, width, 2.0, lambda w: w * 6_371_000.0 - 0.001)
+    keys = left.select(key, "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(xyz("l", "lat", "lon"))
+    # chords order points as arcs do; some millimetres stand back for rounding
+    met = kdtree.nearest_pairs(keys, points.withColumns(xyz("r", "rlat", "rlon")), key, other, k, 3, 1e-9)
+    met = met.select(key, other, haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")).alias("dist"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.round("dist", 3), other))).where(F.col("rank") <= k)
 
 
 def nearest_in_layers(left: DataFrame, right: DataFrame, key: str, other: str, layer: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from limnos.operators import spatial
+from limnos.operators import kdtree, spatial
 
 
 def ring(cx, cy, r, n, rng):
@@ -58,3 +58,48 @@ def test_long_and_short_lines(spark):
             if dist <= 150:
                 want[i] = (line, round(dist, 6))
     assert got == want and len(want) > 50
+
+
+def test_nearest_of_clustered_points_and_remote_keys(spark, monkeypatch):
+    """Two dense towns, a few far points, keys among them and on the other side of the globe: as all pairs give it, with a bound on the pairs that meet."""
+    monkeypatch.setattr(kdtree, "LEAF", 16)
+    monkeypatch.setattr(kdtree, "KEYS", 100)
+    rng = np.random.default_rng(4)
+    town = lambda lat, lon, n: [(float(lat + a), float(lon + b)) for a, b in rng.normal(0, 1e-3, (n, 2))]
+    places = town(59, 18, 500) + town(-33, 151, 300) + [(float(a), float(b)) for a, b in rng.uniform(-80, 80, (40, 2))] + [(10.0, 10.0)] * 6
+    points = [(k, a, b) for k, (a, b) in enumerate(places)] + [(5000, None, 1.0)]
+    keys = [(k, a, b) for k, (a, b) in enumerate(town(59, 18, 150) + town(-33.01, 151, 60) + town(0, -179.999, 10) + [(89.9, 5.0), (-90.0, 0.0), (10.0, 10.0)])] + [(900, None, None)]
+    left, right = spark.createDataFrame(keys, "id int, lat double, lon double"), spark.createDataFrame(points, "p int, rlat double, rlon double")
+
+    def far(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371000 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    for k in (1, 4):
+        got = {}
+        for r in spatial.nearest_on_sphere(left, right, "id", "p", k).collect():
+            got.setdefault(r["id"], {})[r["rank"]] = r["p"]
+        for i, a, b in keys:
+            if a is not None:
+                want = sorted((round(far(a, b, c, d), 3), p) for p, c, d in points if c is not None)[:k]
+                assert [got[i][r] for r in range(1, k + 1)] == [p for _, p in want]
+        assert 900 not in got
+    assert spatial.nearest_on_sphere(left, right.limit(0), "id", "p", 3).count() == 0
+    few = spatial.nearest_on_sphere(left, right.where("p < 2"), "id", "p", 5)
+    assert few.count() == 2 * (len(keys) - 1)
+
+
+def test_leaves_are_even_and_visits_few():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1e-4, (6000, 3)), rng.uniform(-1, 1, (2000, 3))])
+    tree = kdtree.Tree.of(x, 64)
+    leaf = tree.leaf_of(x)
+    size = np.bincount(leaf, minlength=64)
+    assert size.min() > 60 and size.max() < 200
+    tree.leaf = np.arange(64)
+    tree.low, tree.high = (np.stack([f(x[leaf == k], axis=0) for k in range(64)]) for f in (np.min, np.max))
+    tree.count = size
+    keys = np.concatenate([x[::40], rng.uniform(-3, 3, (50, 3))])
+    d = np.sort(((keys[:, None] - x[None]) ** 2).sum(axis=2), axis=1)
+    assert (tree.bound(keys, 5) >= d[:, 4]).all()
+    assert (tree.near(keys) <= d[:, 4][:, None]).sum(axis=1).mean() < 12
