@@ -53,6 +53,21 @@ def idw_layers(cells: DataFrame, stations: DataFrame, values: DataFrame, cell: s
     return got.groupBy(cell, *layer).agg(F.coalesce(F.avg(hit), F.sum(wt * F.col(value)) / F.sum(wt)).alias("idw"), F.count("*").alias("n_stations"))
 
 
+def valid_layers(values: DataFrame, rules: DataFrame, param: str, layer: list[str], value: str) -> DataFrame:
+    """values (station, layer columns, value; a row for each station of a layer) inside their parameter's range, of layers with enough stations. rules: a row for each parameter with low, high (both belong to the range) and least, the number of stations."""
+    met = values.join(F.broadcast(rules), param).where(F.col(value).between(F.col("low"), F.col("high")))
+    enough = met.groupBy(*layer, "least").agg(F.count("*").alias("n_")).where("n_ >= least").select(*layer)
+    return met.join(enough, layer, "left_semi").select(*values.columns)
+
+
+def grid_product(cells: DataFrame, places: DataFrame, values: DataFrame, rules: DataFrame, cell: str, station: str, param: str, layer: list[str], value: str, radius: float = 50_000.0, k: int = 12, power: float = 2.0) -> DataFrame:
+    """(cell, layer columns, idw, n_stations): every cell of every layer that occurs in values, by `idw_layers` over `valid_layers`: ranges, numbers of stations and all layers in one job. Null and 0 where a cell has no station within the radius or a layer has too few."""
+    got = idw_layers(cells, places, valid_layers(values, rules, param, layer, value), cell, station, layer, value, radius, k, power)
+    names = values.select(*layer).distinct().agg(F.collect_list(F.struct(*layer)).alias("names_"))  # one row: a few hundred layers
+    whole = cells.select(cell).join(F.broadcast(names), F.lit(True)).select(cell, F.inline("names_"))
+    return whole.join(got, [cell, *layer], "left").select(cell, *layer, "idw", F.coalesce("n_stations", F.lit(0)).alias("n_stations"))
+
+
 #: A box is covered by cells of the least size, a power of four times the given one, of which it takes at most so many (and one more) in a row.
 _CELLS = 4
 

@@ -269,6 +269,25 @@ def gr4_layers(spark, d):
     return spatial.idw_layers(c, places, values, "cell", "station_id", ["param", "yr"], "v").select("cell", "param", "yr", _r(F.col("idw")).alias("idw"), "n_stations")
 
 
+@query("""WITH c AS (SELECT gx * 25 + gy AS cell, CAST(gx * 40000 AS DOUBLE) + 20000 AS x, CAST(gy * 40000 AS DOUBLE) + 20000 AS y FROM (SELECT unnest(range(25)) AS gx) a, (SELECT unnest(range(25)) AS gy) b),
+l AS (SELECT station_id, year(date) AS yr, 'tp' AS param, avg(tp) AS v FROM $samples GROUP BY 1, 2 UNION ALL SELECT station_id, year(date), 'secchi', avg(secchi) FROM samples GROUP BY 1, 2 UNION ALL SELECT station_id, year(date), 'chla', avg(chla) FROM samples GROUP BY 1, 2),
+u AS (SELECT * FROM (VALUES ('tp', 10, 70, 50), ('secchi', 0, 6, 10), ('chla', 0, 500, 100000000)) r(param, lo, hi, least)),
+i AS (SELECT l.*, least FROM l JOIN u ON l.param = u.param WHERE v BETWEEN lo AND hi), o AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY param, yr) AS m FROM i) WHERE m >= least),
+p AS (SELECT c.cell, s.station_id, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS dist FROM c, $stations s),
+r AS (SELECT cell, param, yr, v, dist, row_number() OVER (PARTITION BY cell, param, yr ORDER BY dist, p.station_id) AS k FROM p JOIN o ON p.station_id = o.station_id WHERE dist <= 50000),
+w AS (SELECT cell, param, yr, coalesce(avg(CASE WHEN dist = 0 THEN v END), sum(CASE WHEN k <= 12 AND dist > 0 THEN v / (dist * dist) END) / sum(CASE WHEN k <= 12 AND dist > 0 THEN 1 / (dist * dist) END)) AS idw, count(*) AS n FROM r WHERE k <= 20 GROUP BY 1, 2, 3)
+SELECT CAST(c.cell AS BIGINT) AS cell, n.param, n.yr, round(idw, 4) AS idw, coalesce(w.n, 0) AS n_stations FROM c CROSS JOIN (SELECT DISTINCT param, yr FROM l) n LEFT JOIN w ON w.cell = c.cell AND w.param = n.param AND w.yr = n.yr""")
+def gr4_product(spark, d):
+    """GR-3, GR-4: the whole product in one job: ranges and least numbers of stations by parameter, a layer for each parameter and year, all cells of all layers."""
+    c = spark.range(25).select(F.col("id").alias("gx")).withColumn("gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))))
+    c = c.select((F.col("gx") * 25 + F.col("gy")).alias("cell"), (F.col("gx") * 40000.0 + 20000).alias("x"), (F.col("gy") * 40000.0 + 20000).alias("y"))
+    s = samples(spark, d).select("station_id", F.year("date").cast("long").alias("yr"), "tp", "secchi", "chla")
+    values = s.unpivot(["station_id", "yr"], ["tp", "secchi", "chla"], "param", "v").groupBy("station_id", "yr", "param").agg(F.avg("v").alias("v"))
+    places = stations(spark, d).select("station_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    rules = spark.createDataFrame([("tp", 10.0, 70.0, 50), ("secchi", 0.0, 6.0, 10), ("chla", 0.0, 500.0, 100_000_000)], "param string, low double, high double, least int")
+    return spatial.grid_product(c, places, values, rules, "cell", "station_id", "param", ["param", "yr"], "v").select("cell", "param", "yr", _r(F.col("idw")).alias("idw"), "n_stations")
+
+
 @query(None)
 def gr5_grid_forest(spark, d):
     """GR-7: for each parameter and year a forest (20 trees) on covariates, easting and northing; its error out of fold by station, and the mean over years."""

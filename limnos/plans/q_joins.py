@@ -111,7 +111,7 @@ def jn18_nearest_point(spark, d):
 u AS (SELECT src, dst FROM m WHERE r <= 8 UNION SELECT dst, src FROM m WHERE r <= 8)
 SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 6) AS weight FROM u""")
 def jn21_knn_graph(spark, d):
-    """JN-21: symmetric graph of the eight nearest stations, row-normalised."""
+    """A symmetric graph of the eight nearest stations within 60 km in the plane (JN-21 on the sphere: `jn21_sphere_graph`), row-normalised."""
     return spatial.knn_graph(stations(spark, d), "station_id", 60_000.0).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 

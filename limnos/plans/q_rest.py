@@ -212,9 +212,9 @@ def fnj3_open_codes(spark, d):
 
 @query("""SELECT station_id, arg_max(q, (obs_date, ok, ln, q)) AS q, max(obs_date) AS since FROM $obs GROUP BY 1""")
 def fnj4_latest_position(spark, d):
-    """FN-J4: the latest entry of an array."""
-    a = obs(spark, d).groupBy("station_id").agg(F.collect_list(F.struct(F.struct("obs_date", "ok", "ln").alias("from"), "q")).alias("a"))
-    p = a.select("station_id", readers.latest(F.col("a")).alias("p"))
+    """FN-J4: the latest entry of an array. A station's entries come as an array a month, the latest of which wins, so that no row holds a whole station."""
+    a = obs(spark, d).groupBy("station_id", F.trunc("obs_date", "month").alias("month")).agg(F.collect_list(F.struct(F.struct("obs_date", "ok", "ln").alias("from"), "q")).alias("a"))
+    p = a.select("station_id", readers.latest(F.col("a")).alias("p")).groupBy("station_id").agg(F.max_by("p", "p.from").alias("p"))
     return p.select("station_id", "p.q", F.col("p.from.obs_date").alias("since"))
 
 

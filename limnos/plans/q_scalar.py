@@ -124,7 +124,7 @@ def flt5_boxes(spark, d):
 @query("""WITH u AS (SELECT CAST(c_custkey AS VARCHAR) AS id, 'a' AS src, 1 AS pr FROM customer UNION ALL SELECT CAST(s_suppkey * 3 AS VARCHAR) || '.0', 'b', 2 FROM supplier UNION ALL SELECT CAST(p_partkey * 2 AS VARCHAR), 'c', 3 FROM part),
 n AS (SELECT regexp_replace(id, '\\.0$', '') AS id, src, pr FROM u) SELECT id, arg_min(src, pr) AS src FROM n GROUP BY id""")
 def src5_station_union(spark, d):
-    """SRC-4, SRC-5, SE-1, FN-S3: sources united by priority, ids normalised."""
+    """SE-1, FN-S3: sources united by priority, ids normalised."""
     parts = [("customer", "c_custkey", 1, "a", ""), ("supplier", "s_suppkey", 3, "b", ".0"), ("part", "p_partkey", 2, "c", "")]
     u = None
     for i, (t, k, m, tag, end) in enumerate(parts):

@@ -79,7 +79,7 @@ def fnw_types_expectations(spark, d):
 @query("""WITH c AS (SELECT CAST(floor(lat) AS INT) AS gy, CAST(floor(lon) AS INT) AS gx, count(*) AS v FROM $stations WHERE station_id % 4 = 0 GROUP BY 1, 2)
 SELECT s.station_id, CAST(sum(v) AS DOUBLE) AS total, count(v) AS valid, 9 AS size FROM stations s CROSS JOIN (VALUES (-1), (0), (1)) a(dy) CROSS JOIN (VALUES (-1), (0), (1)) b(dx) LEFT JOIN c ON gy = CAST(floor(lat) AS INT) + dy AND gx = CAST(floor(lon) AS INT) + dx GROUP BY 1""")
 def fna3_cell_windows(spark, d):
-    """FN-A3, FN-W30: 3 x 3 windows of cells with null beyond the edge, their sum and mask."""
+    """FN-A3: 3 x 3 windows of cells with null beyond the edge, their sum and mask."""
     s = stations(spark, d).withColumns({"gy": F.floor("lat").cast("int"), "gx": F.floor("lon").cast("int")})
     c = s.where("station_id % 4 = 0").groupBy("gy", "gx").agg(F.count("*").cast("double").alias("v"))
     w = arrays.cell_windows(s, c, "station_id", "v", 1).withColumn("valid", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x))

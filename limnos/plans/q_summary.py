@@ -164,7 +164,7 @@ def ag32_change_map(spark, d):
 
 @query("""SELECT sensor, count(*) AS n, round(pow(corr(disc, tax), 2), 6) AS r2, round(sqrt(avg((tax - disc) * (tax - disc))), 6) AS rmse, round(avg(tax - disc), 6) AS bias, round(regr_slope(price, q), 4) AS slope, round(regr_intercept(price, q), 3) AS icept, round(regr_r2(ln(price), ln(q)), 6) AS log_r2 FROM $obs GROUP BY ROLLUP (sensor)""")
 def st1_paired(spark, d):
-    """ST-1, ST-3, ST-4, ST-5, ST-12: paired statistics and regressions by class and over all."""
+    """ST-1: paired statistics and regressions by class and over all."""
     ln = lambda c: F.ln(F.col(c))
     n, r2, rmse, bias = stats.paired("disc", "tax")
     return obs(spark, d).rollup("sensor").agg(n, r2.alias("r2"), rmse.alias("rmse"), bias.alias("bias"), F.regr_slope("price", "q").alias("slope"), F.regr_intercept("price", "q").alias("icept"), F.regr_r2(ln("price"), ln("q")).alias("log_r2")).select("sensor", "n", _r(F.col("r2"), 6).alias("r2"), _r(F.col("rmse"), 6).alias("rmse"), _r(F.col("bias"), 6).alias("bias"), _r(F.col("slope")).alias("slope"), _r(F.col("icept"), 3).alias("icept"), _r(F.col("log_r2"), 6).alias("log_r2"))
