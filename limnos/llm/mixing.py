@@ -144,6 +144,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, in the cases of `mix_sources`."""
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

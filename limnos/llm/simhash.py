@@ -272,6 +272,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_report(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document, in the cases of `near_classes`."""
     return near_classes(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 

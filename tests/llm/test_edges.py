@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from limnos.llm import bpe, imatch, language, lines, media, mixing, quality, simhash, substrings, toxicity
+from limnos.llm import bpe, imatch, language, lines, media, mixing, quality, simhash, spelling, substrings, suffix_index, toxicity, vectors
 from limnos.llm.queries import vocabulary
 
 NAMES = "size copies rows n copy lists several nth spans lost_id lost_own kept_id kept_own id own fp x y bin fold part key first last range place source_no block order p whole mix_id anchor start mask".split()
@@ -38,10 +38,11 @@ def operators(labels):
         "bpe": lambda d: bpe.encode_texts(d, words),
         "substrings": substrings.cut_repeats,
         "mixing": mixing.mix_report,
+        "suffixes": suffix_index.remove_repeats,
     }
 
 
-@pytest.mark.parametrize("name", ["media", "language", "imatch", "simhash", "lines", "toxicity", "quality", "bpe", "substrings", "mixing"])
+@pytest.mark.parametrize("name", ["media", "language", "imatch", "simhash", "lines", "toxicity", "quality", "bpe", "substrings", "mixing", "suffixes"])
 def test_a_row_for_each_document(docs, labels, name):
     op = operators(labels)[name]
     assert op(docs).count() == len(TEXTS)
@@ -86,3 +87,45 @@ def test_range_lookup(spark):
         cuts = list(range(0, n))
         got = {r["id"]: r["r"] for r in d.withColumn("r", imatch._range_of(F.col("id"), cuts)).collect()}
         assert all(v == (n if k is None else sum(c <= k for c in cuts)) for k, v in got.items())
+
+
+@pytest.mark.parametrize("name", ["language", "simhash", "lines", "toxicity", "quality", "bpe", "substrings", "mixing", "suffixes"])
+def test_a_very_long_text(spark, labels, name):
+    """A text of 30,000 words and 3,000 lines beside short ones: a row each, and what can be counted is."""
+    long = "\n".join(" ".join(f"w{(k * 7919 + j) % 5003}" for j in range(10)) for k in range(3000))
+    rows = [(1, "a short text"), (2, long), (3, long[: len(long) // 2]), (4, None)]
+    got = {r["doc_id"]: r.asDict() for r in operators(labels)[name](spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    if name == "substrings":
+        assert got[2]["n_words"] == 30_000
+    if name == "suffixes":
+        assert got[2]["n_bytes"] == len(long) and got[3]["n_removed"] >= len(long) // 2 - 400
+    if name == "lines":
+        assert got[2]["n_lines"] == 3000 and got[3]["n_removed"] > 1400
+    if name == "mixing":
+        assert got[2]["size"] == 30_000 and got[2]["taken"] <= 60_000
+
+
+def test_empty_tables_of_vectors_and_words(spark):
+    rows = "vec_id long, embedding array<float>, label int"
+    assert vectors.code_report(spark.createDataFrame([], rows)).columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert spelling.spelling_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_pipeline_is_its_stages(spark, tmp_path):
+    """run() over a table equals the stages one by one: rejected documents, repeated lines and near copies are gone, all others are encoded as often as the mix takes them."""
+    good = [f"the {a} {b} walked along the quiet river and told a long story about {c} and {d} to everyone who listened there" for k, (a, b, c, d) in enumerate((f"n{k}a", f"n{k}b", f"n{k}c", f"n{k}d") for k in range(60))]
+    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(good)] + [(100 + k, "$$$ !!! " * 30, "en", "s0", 240) for k in range(20)]
+    rows += [(200, good[0], "en", "s1", len(good[0])), (201, good[1].replace("quiet", "calm") + " " + good[1], "en", "s1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 100), 0) for i, *_ in rows if i < 200], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, str(tmp_path))
+    want = sorted(map(tuple, kept.collect()))
+    got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    assert got == want
+    ids = [r[0] for r in got]
+    assert not {i for i in ids if 100 <= i < 200} and len(set(ids)) >= 55
+    assert all(r[1] == 0 for r in got if r[0] == 200)  # a copy as a whole has lost its one line
