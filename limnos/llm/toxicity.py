@@ -4,7 +4,9 @@ A lexical transducer maps words to symbols: insults and threats (with weights, l
 negations and speech verbs. Five machines read the symbols of a clause. Two accept patterns: an insult, by itself or with a target behind
 it, and a threat that a target stands before or behind. Three weigh what those take: a target before an insult, a negation before either,
 reported speech before either. Their composition is one machine; a clause's weight is the sum over its accepted paths, each the product of
-its arcs and of the weights of the words it takes. A document's score is the calibrated sum over its clauses."""
+its arcs and of the weights of the words it takes. Arcs carry marks, so that paths are summed by the marks that they collect, and the weights of
+all arcs are learned from labels: those that maximise the likelihood of the sums by mark. A document's score is the calibrated sum over its clauses.
+Weights and calibration come from documents that the lexicon at hand was not learned from."""
 
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, isotonic, labelled_sample, map_batches, materialize
@@ -32,9 +34,15 @@ _EDGE = "\"'()[]{}<>.,;:!?¡¿«»…*#%&$-_|"
 _BINS = 400
 
 
+#: Marks of arcs: a target behind an insult; a target before a threat; a target before an insult; negation; reported speech; a threat.
+BEHIND, BEFORE, AIMED, NEGATED, REPORTED, THREATENED = MARKS = (1, 2, 4, 8, 16, 32)
+#: Weights of arcs by mark before anything is learned. A target makes an insult worse, negation much weaker, reported speech weaker.
+PRIOR = (0.5, 0.8, 1.5, 0.3, 0.5, 1.0)
+
+
 @dataclass(frozen=True)
 class Machine:
-    """A weighted automaton over clause symbols: step(state, symbol) gives the arcs (next state, weight, whether the path takes the word) that read it."""
+    """A weighted automaton over clause symbols: step(state, symbol) gives the arcs (next state, marks, whether the path takes the word) that read it."""
 
     start: object
     step: Callable
@@ -45,20 +53,20 @@ class Machine:
 
         def step(state, symbol):
             if state is None:
-                return [((k, to), w, takes) for k, m in enumerate((self, other)) for to, w, takes in m.step(m.start, symbol)]
+                return [((k, to), mark, takes) for k, m in enumerate((self, other)) for to, mark, takes in m.step(m.start, symbol)]
             k, own = state
-            return [((k, to), w, takes) for to, w, takes in (self, other)[k].step(own, symbol)]
+            return [((k, to), mark, takes) for to, mark, takes in (self, other)[k].step(own, symbol)]
 
         return Machine(None, step, lambda s: s is not None and (self, other)[s[0]].accepts(s[1]))
 
     def __matmul__(self, other: "Weigher") -> "Machine":
-        """The composition: the other reads the symbols and what the paths take of them, weights multiply."""
+        """The composition: the other reads the symbols and what the paths take of them; marks add up, so weights multiply."""
 
         def step(state, symbol):
             out = []
-            for to, w, takes in self.step(state[0], symbol):
+            for to, mark, takes in self.step(state[0], symbol):
                 then, more = other.step(state[1], symbol, takes)
-                out.append(((to, then), w * more, takes))
+                out.append(((to, then), mark | more, takes))
             return out
 
         return Machine((self.start, 0), step, lambda s: self.accepts(s[0]))
@@ -66,82 +74,131 @@ class Machine:
 
 @dataclass(frozen=True)
 class Weigher:
-    """A transducer that multiplies words of the symbols `over`, where a path takes them, by `factor` if `start` is among the `reach` words before them (None: anywhere before them in the clause)."""
+    """A transducer that marks words of the symbols `over`, where a path takes them, if `start` is among the `reach` words before them (None: anywhere before them in the clause)."""
 
     start: int
     reach: int | None
-    factor: float
+    mark: int
     over: tuple[int, ...]
 
-    def step(self, left: int, symbol: int, takes: bool) -> tuple[int, float]:
+    def step(self, left: int, symbol: int, takes: bool) -> tuple[int, int]:
         to = (self.reach or 1) if symbol == self.start else left if self.reach is None else max(left - 1, 0)
-        return to, self.factor if takes and left and symbol in self.over else 1.0
+        return to, self.mark if takes and left and symbol in self.over else 0
 
 
-def insults(reach: int = 3, behind: float = 0.5) -> Machine:
-    """Accepts an insult by itself (weight 1) and, besides, an insult whose next target is among the `reach` words behind it (`behind`)."""
+def insults(reach: int = 3) -> Machine:
+    """Accepts an insult by itself and, besides, an insult whose next target is among the `reach` words behind it."""
 
     def step(state, symbol):
         if state == "end":
-            return [("end", 1.0, False)]
+            return [("end", 0, False)]
         if state == "before":
-            return [("before", 1.0, False)] + ([("end", 1.0, True), (reach, 1.0, True)] if symbol == INSULT else [])
-        return [("end", behind, False)] if symbol == TARGET else [(state - 1, 1.0, False)] if state > 1 else []
+            return [("before", 0, False)] + ([("end", 0, True), (reach, 0, True)] if symbol == INSULT else [])
+        return [("end", BEHIND, False)] if symbol == TARGET else [(state - 1, 0, False)] if state > 1 else []
 
     return Machine("before", step, lambda s: s == "end")
 
 
-def threats(reach: int = 4, before: float = 0.8) -> Machine:
-    """Accepts a threat whose next target is among the `reach` words behind it (weight 1), and one with a target among the `reach` words before it (`before`). A threat without a target is none."""
+def threats(reach: int = 4) -> Machine:
+    """Accepts a threat whose next target is among the `reach` words behind it, and one with a target among the `reach` words before it. A threat without a target is none."""
 
     def step(state, symbol):
         if state == "end":
-            return [("end", 1.0, False)]
+            return [("end", 0, False)]
         kind, left = state
         if kind == "before":
-            out = [(("before", reach if symbol == TARGET else max(left - 1, 0)), 1.0, False)]
+            out = [(("before", reach if symbol == TARGET else max(left - 1, 0)), 0, False)]
             if symbol == THREAT:
-                out += [(("open", reach), 1.0, True)] + ([("end", before, True)] if left else [])
+                out += [(("open", reach), THREATENED, True)] + ([("end", THREATENED | BEFORE, True)] if left else [])
             return out
-        return [("end", 1.0, False)] if symbol == TARGET else [(("open", left - 1), 1.0, False)] if left > 1 else []
+        return [("end", 0, False)] if symbol == TARGET else [(("open", left - 1), 0, False)] if left > 1 else []
 
     return Machine(("before", 0), step, lambda s: s == "end")
 
 
-#: Patterns, and what weighs them. A target before an insult: worse. Negated: much weaker. Reported speech, to the clause's end: weaker.
+#: Patterns, and what marks them; reported speech reaches to the clause's end.
 PATTERNS = [insults(), threats()]
-WEIGHERS = [Weigher(TARGET, 4, 1.5, (INSULT,)), Weigher(NEGATION, 3, 0.3, (INSULT, THREAT)), Weigher(REPORT, None, 0.5, (INSULT, THREAT))]
+WEIGHERS = [Weigher(TARGET, 4, AIMED, (INSULT,)), Weigher(NEGATION, 3, NEGATED, (INSULT, THREAT)), Weigher(REPORT, None, REPORTED, (INSULT, THREAT))]
 
 
 def compile_grammar(patterns: list[Machine] = PATTERNS, weighers: list[Weigher] = WEIGHERS) -> tuple[list, list[bool]]:
-    """The composed machine with its states numbered from the start, 0: arcs[state][symbol] is a list of (next, weight, takes); and which states accept."""
+    """The composed machine with its states numbered from the start, 0: arcs[state][symbol] is a list of (next, marks, takes); and which states accept."""
     whole = reduce(lambda a, b: a @ b, weighers, reduce(lambda a, b: a | b, patterns))
     index, todo, arcs = {whole.start: 0}, [whole.start], []
     for s in todo:
         row = []
         for symbol in SYMBOLS:
             out = []
-            for to, w, takes in whole.step(s, symbol):
+            for to, mark, takes in whole.step(s, symbol):
                 if to not in index:
                     index[to] = len(index)
                     todo.append(to)
-                out.append((index[to], w, takes))
+                out.append((index[to], mark, takes))
             row.append(out)
         arcs.append(row)
     return arcs, [whole.accepts(s) for s in todo]
 
 
-def clause_weight(grammar: tuple[list, list[bool]], clause: list[tuple[int, float]]) -> float:
-    """The sum over accepted paths (forward algorithm) for (symbol, weight of the word) in order; a word's weight counts where a path takes it."""
+def clause_marks(grammar: tuple[list, list[bool]], clause: list[tuple[int, float]]) -> dict[int, float]:
+    """By the marks that they collect, the sums of accepted paths (forward algorithm) for (symbol, weight of the word) in order; a word's weight counts where a path takes it."""
     arcs, accepts = grammar
-    at = {0: 1.0}
+    at = {(0, 0): 1.0}
     for symbol, word in clause:
-        now: dict[int, float] = {}
-        for state, weight in at.items():
-            for to, w, takes in arcs[state][symbol]:
-                now[to] = now.get(to, 0.0) + weight * w * (word if takes else 1.0)
+        now: dict[tuple[int, int], float] = {}
+        for (state, marks), weight in at.items():
+            for to, mark, takes in arcs[state][symbol]:
+                key = (to, marks | mark)
+                now[key] = now.get(key, 0.0) + (weight * word if takes else weight)
         at = now
-    return sum(w for s, w in at.items() if accepts[s])
+    out: dict[int, float] = {}
+    for (state, marks), weight in at.items():
+        if accepts[state]:
+            out[marks] = out.get(marks, 0.0) + weight
+    return out
+
+
+def mark_weights(arcs: tuple[float, ...] | np.ndarray = PRIOR) -> np.ndarray:
+    """The product of arcs for every set of marks."""
+    sets = np.arange(1 << len(MARKS))
+    return np.prod([np.where(sets & m, w, 1.0) for m, w in zip(MARKS, arcs)], axis=0)
+
+
+def clause_weight(grammar: tuple[list, list[bool]], clause: list[tuple[int, float]], weights: np.ndarray | None = None) -> float:
+    """The sum over accepted paths."""
+    weights = mark_weights() if weights is None else weights
+    return float(sum(weights[m] * w for m, w in clause_marks(grammar, clause).items()))
+
+
+def fit_arcs(sums: np.ndarray, y: np.ndarray, pull: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Weights of arcs from documents' path sums by marks (documents, sets of marks) and labels: the logarithm of one plus the weighted sum explains the label's log odds.
+
+    Steps up the likelihood by Newton's method on damped numerical derivatives; logarithms of weights are pulled towards PRIOR's by `pull`, so an arc that no labelled path takes keeps its weight."""
+    if not len(y) or y.min() == y.max():
+        return np.array(PRIOR)
+    rare = (y == y.max()).mean()
+    start = np.concatenate([[np.log(rare / (1 - rare)), 1.0], np.zeros(len(MARKS))])
+
+    def residuals(t: np.ndarray) -> tuple[float, np.ndarray]:
+        z = t[0] + t[1] * np.log1p(sums @ mark_weights(np.array(PRIOR) * np.exp(t[2:])))
+        return float(np.sum(np.logaddexp(0, z) - y * z) + pull * np.sum(t[2:] ** 2) + 1e-3 * t[1] ** 2), z
+
+    t, (value, z) = start, residuals(start)
+    for _ in range(rounds):
+        step = 1e-4
+        j = np.stack([(residuals(t + step * e)[1] - z) / step for e in np.eye(len(t))], axis=1)
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        ridge = np.concatenate([[0.0, 2e-3], np.full(len(MARKS), 2 * pull)])
+        g, h = j.T @ (p - y) + ridge * np.concatenate([[0.0], t[1:]]), j.T @ ((p * (1 - p))[:, None] * j) + np.diag(ridge + 1e-6)
+        move, scale = np.linalg.solve(h, g), 1.0
+        while scale > 1e-4 and residuals(t - scale * move)[0] > value:
+            scale /= 2
+        if scale <= 1e-4:
+            break
+        t = t - scale * move
+        before, (value, z) = value, residuals(t)
+        if before - value < 1e-6 * max(1.0, abs(value)):
+            break
+    return np.array(PRIOR) * np.exp(np.clip(t[2:], -3, 3))
 
 
 def _forms(word: str) -> list[str]:
@@ -157,6 +214,7 @@ def _bare(text: str | None) -> list[str]:
 class ToxicModel:
     weight: dict[str, float]
     rates: np.ndarray
+    arcs: tuple[float, ...] = PRIOR
     grammar: tuple[list, list[bool]] = field(default_factory=compile_grammar)
 
     def lexicon(self) -> dict[str, tuple[int, float]]:
@@ -164,8 +222,8 @@ class ToxicModel:
         out = {w: (s, 1.0) for s, ws in ((INSULT, INSULTS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
         return out | {w: (THREAT if w in THREATS else INSULT, x) for w, x in self.weight.items()}
 
-    def scorer(self):
-        """A function of a text: the sum of its clauses' weights. It remembers words, a bounded number of them."""
+    def marker(self):
+        """A function of a text: its clauses' sums by marks. It remembers words, a bounded number of them."""
         known, lexicon, none = {}, self.lexicon(), (OTHER, 0.0)
 
         def lookup(token: str) -> tuple[tuple[int, float], bool]:
@@ -178,10 +236,11 @@ class ToxicModel:
             known[token] = found = (found, token[-1] in ".!?;:")
             return found
 
-        def total(text: str | None) -> float:
+        def sums(text: str | None) -> dict[int, float]:
             symbols = [known.get(t) or lookup(t) for t in _bare(text)]
             hits = [i for i, (s, _) in enumerate(symbols) if s[0] <= THREAT]
-            out, done = 0.0, -1
+            out: dict[int, float] = {}
+            done = -1
             for i in hits:
                 if i > done:  # the clause around the hit
                     begin = end = i
@@ -189,11 +248,17 @@ class ToxicModel:
                         begin -= 1
                     while end < len(symbols) - 1 and not symbols[end][1]:
                         end += 1
-                    out += clause_weight(self.grammar, [s for s, _ in symbols[begin : end + 1]])
+                    for m, w in clause_marks(self.grammar, [s for s, _ in symbols[begin : end + 1]]).items():
+                        out[m] = out.get(m, 0.0) + w
                     done = end
             return out
 
-        return total
+        return sums
+
+    def scorer(self):
+        """A function of a text: the sum of its clauses' weights."""
+        sums, weights = self.marker(), mark_weights(self.arcs)
+        return lambda text: float(sum(weights[m] * w for m, w in sums(text).items()))
 
     @staticmethod
     def bins(total: np.ndarray) -> np.ndarray:
@@ -201,49 +266,83 @@ class ToxicModel:
 
 
 def _term_counts(rows: DataFrame, flush: int = 200_000) -> DataFrame:
-    """term, toxic, clean: labelled documents that hold the term, counted within tasks before the shuffle."""
+    """term, half, toxic, clean: labelled documents that hold the term, counted within tasks before the shuffle."""
 
     def run(batches):
-        counts = (Counter(), Counter())
+        counts: dict[tuple[int, int], Counter] = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
 
         def out():
-            terms = list({**counts[0], **counts[1]})
-            b = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0))], names=["term", "toxic", "clean"])
-            counts[0].clear(), counts[1].clear()
-            return b
+            rows = [(t, h, counts[h, 1][t], counts[h, 0][t]) for h in (0, 1) for t in {**counts[h, 0], **counts[h, 1]}]
+            for c in counts.values():
+                c.clear()
+            kinds = (("term", pa.string()), ("half", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
 
         for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                counts[y].update({f for w in {t.strip(_EDGE) for t in _bare(text)} if w for f in _forms(w)})
-                if len(counts[0]) + len(counts[1]) > flush:
+            for text, half, y in zip(*(b.column(c).to_pylist() for c in ("text", "half", "y"))):
+                counts[half, y].update({f for w in {t.strip(_EDGE) for t in _bare(text)} if w for f in _forms(w)})
+                if sum(map(len, counts.values())) > flush:
                     yield out()
         yield out()
 
-    return rows.select("text", "y").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.select("text", "half", "y").mapInArrow(run, "term string, half int, toxic long, clean long").groupBy("term", "half").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _lexicon(terms: list, halves: tuple[int, ...], n: dict[tuple[int, int], int], least: int, odds: float) -> dict[str, float]:
+    """Terms and stems of the documents of some halves with their weights."""
+    bad, good = (sum(n.get((h, y), 0) for h in halves) for y in (1, 0))
+    out = {}
+    for r in terms:
+        toxic, clean = sum(r[f"t{h}"] for h in halves), sum(r[f"c{h}"] for h in halves)
+        w = np.log((toxic + 0.5) / (bad + 1.0)) - np.log((clean + 0.5) / (good + 1.0))
+        if toxic >= least and w >= odds:
+            out[r["term"]] = min(float(w), 8.0) / 4
+    return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 60_000, least: int = 3, odds: float = 3.0) -> ToxicModel:
-    """Learns the weighted lexicon and the calibration from about `most` labelled documents at most (crc32(id) mod 4 = 2 left out).
+    """Learns the weighted lexicon, the weights of arcs and the calibration from about `most` labelled documents at most (crc32(id) mod 4 = 2 left out).
 
     A term or stem enters if at least `least` toxic documents of the sample hold it and its smoothed log odds reach `odds`; the sample bounds
-    their number. Without labelled rows the lexicon holds the fixed lists only and every score is 0.5. Null texts hold no term."""
+    their number. For arcs and calibration each half of the sample is read with the lexicon of the other half; the path sums of the sample, by marks, reach the driver.
+    Without labelled rows the lexicon holds the fixed lists only and every score is 0.5. Null texts hold no term."""
     sample = labelled_sample(labels, label, id_col, most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    rows = materialize(rows.select("text", "y"), "toxic-rows")
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
-    found = _term_counts(rows).where(F.col("toxic") >= least).withColumn("w", F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0)))
-    found = found.where(F.col("w") >= odds).select("term", "w").collect()
-    model = ToxicModel({r["term"]: min(r["w"], 8.0) / 4 for r in found}, np.full(_BINS, 0.5))
-    totals = map_batches(rows, lambda b, f: {"bin": model.bins(np.array([f(t) for t in b["text"]])), "y": b["y"]}, "bin int, y int", model.scorer)
-    hits, all_ = np.zeros(_BINS), np.zeros(_BINS)
-    for r in totals.groupBy("bin").agg(F.sum("y").alias("h"), F.count("*").alias("n")).collect():
-        hits[r["bin"]], all_[r["bin"]] = r["h"], r["n"]
-    if all_.sum():
-        model.rates = isotonic(hits, all_)
+    rows = materialize(rows.select("text", "y", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "toxic-rows")
+    n = {(r["half"], r["y"]): r["n"] for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
+    of = lambda h, c, name: F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(name)
+    found = _term_counts(rows).groupBy("term").agg(of(0, "toxic", "t0"), of(1, "toxic", "t1"), of(0, "clean", "c0"), of(1, "clean", "c1"))
+    # what can enter a lexicon of the whole sample or of a half
+    terms = found.where(F.col("t0") + F.col("t1") >= min(2, least)).where(_may_enter(n, odds)).collect()
+    lexicons = {h: _lexicon(terms, (1 - h,), n, max(2, least - 1), odds) for h in (0, 1)}
+    model = ToxicModel(_lexicon(terms, (0, 1), n, least, odds), np.full(_BINS, 0.5))
+
+    def marks(b: dict, f) -> dict:
+        sums = [f[h](t) for h, t in zip(b["half"], b["text"])]
+        return {"marks": [list(x) for x in sums], "weights": [list(x.values()) for x in sums], "y": b["y"]}
+
+    got = map_batches(rows, marks, "marks array<int>, weights array<double>, y int", lambda: {h: ToxicModel(x, None).marker() for h, x in lexicons.items()}).collect()
+    sums, y = np.zeros((len(got), 1 << len(MARKS))), np.array([r["y"] for r in got], float)
+    for to, r in zip(sums, got):
+        to[r["marks"]] = r["weights"]
+    model.arcs = tuple(fit_arcs(sums, y))
+    if len(got):
+        at = model.bins(sums @ mark_weights(model.arcs))
+        model.rates = isotonic(np.bincount(at, y, _BINS), np.bincount(at, minlength=_BINS))
     return model
 
 
+def _may_enter(n: dict[tuple[int, int], int], odds: float) -> Column:
+    """Whether a term's log odds reach `odds` in the whole sample or in a half."""
+    log = lambda k, total: F.log((k + 0.5) / (total + 1.0))
+    count = lambda y, halves: sum(n.get((h, y), 0) for h in halves)
+    c = lambda k, halves: sum((F.col(f"{k}{h}") for h in halves), F.lit(0))
+    out = F.lit(False)
+    for halves in ((0, 1), (0,), (1,)):
+        out = out | (log(c("t", halves), count(1, halves)) - log(c("c", halves), count(0, halves)) >= odds)
+    return out
+
+
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, weight (sum of clause weights) and score (0 to 1) of every whole text. Null and empty texts hold no clause: weight 0. Null and repeated ids stay; other columns are not read."""
     kind = docs.schema[id_col].dataType.simpleString()

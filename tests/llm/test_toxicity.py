@@ -67,3 +67,30 @@ def test_all_learned_terms_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     assert set(words) <= set(t.fit_toxicity(docs, labels, odds=2.0).weight)
+
+
+def test_arcs_follow_the_labels():
+    """Labels drawn from a grammar with other weights: arcs that labelled paths take move towards them, others keep theirs."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    true = (0.5, 0.8, 3.0, 0.05, 0.5, 1.0)
+    sums = np.zeros((6000, 64))
+    for row in sums:
+        for m in rng.choice([0, t.BEHIND, t.AIMED, t.NEGATED, t.AIMED | t.NEGATED], rng.integers(0, 4)):
+            row[m] += rng.choice([0.5, 1.0, 2.0])
+    z = -3 + 4 * np.log1p(sums @ t.mark_weights(true))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-z))).astype(float)
+    arcs = t.fit_arcs(sums, y)
+    assert arcs[2] == pytest.approx(3.0, rel=0.25) and arcs[3] < 0.15 and arcs[1] == 0.8 and arcs[4] == 0.5 and arcs[5] == 1.0
+    assert tuple(t.fit_arcs(sums[:0], y[:0])) == tuple(t.fit_arcs(sums, y * 0)) == t.PRIOR
+
+
+def test_negated_insults_of_clean_documents_weaken_negation(spark):
+    """Labels that call negated insults clean are followed by the fitted model."""
+    rows = [(i, f"line {i} you are an idiot today") for i in range(0, 300, 2)] + [(i, f"line {i} you are not an idiot today") for i in range(1, 300, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = t.fit_toxicity(docs, spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.arcs[3] < t.PRIOR[3]
+    score = {r["doc_id"]: r["score"] for r in t.score_toxicity(docs, model).collect()}
+    assert min(score[i] for i in range(0, 300, 2)) > 0.9 > 0.1 > max(score[i] for i in range(1, 300, 2))
