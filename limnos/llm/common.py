@@ -53,10 +53,10 @@ class Scratch:
     def __enter__(self) -> "Scratch":
         return self
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:

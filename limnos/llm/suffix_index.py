@@ -335,10 +335,10 @@ def _met_by_string(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """(k1, k2, found): by the hashes of id and text of a document with repeated strings, an array of (firsts, runs): windows from first + low to first + high, for each first and run, occur anywhere else."""
     with Scratch(docs.sparkSession, "suffixes") as tables:
-        suffixes = tables.write(sampled_suffixes(docs, id_col, text_col, batches), "sampled")
+        suffixes = tables.write(sampled_suffixes(docs, id_col, text_col, batches), "sampled", "zstd")
         met = matched_suffixes(suffixes, batches, tables)
         alive = suffixes.join(met, ["head", "name"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("name").alias("names"))
-        held = tables.write(contexts(docs, alive, id_col, text_col), "contexts")
+        held = tables.write(contexts(docs, alive, id_col, text_col), "contexts", "zstd")
         rows = held.where("context IS NOT NULL").select("name", "c1", "c2", "context")
         crowded = tables.write(rows.groupBy("name").count().where(F.col("count") > _MOST_CONTEXTS).select("name"), "crowded")
         if crowded.isEmpty():
