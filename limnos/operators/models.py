@@ -283,7 +283,7 @@ def grid_forests(values: DataFrame, places: DataFrame, cells: DataFrame, key: st
     path = scratch(spark, "layer-keys")
     rows.write.partitionBy(*layer).parquet(path)
     kinds = {f.name: f.dataType for f in values.schema}
-    rows = spark.read.parquet(path).select(key, *[F.col(c).cast(kinds[c]).alias(c) for c in layer], "degree_", "x", "y", *covariates, "y_")
+    rows = spark.read.schema(rows.schema).parquet(path).select(key, *[F.col(c).cast(kinds[c]).alias(c) for c in layer], "degree_", "x", "y", *covariates, "y_")
     sizes: dict[tuple, dict[int, int]] = {}
     for r in rows.groupBy(*layer, "degree_").count().collect():
         sizes.setdefault(tuple(r[c] for c in layer), {})[r["degree_"]] = r["count"]
@@ -295,8 +295,9 @@ def grid_forests(values: DataFrame, places: DataFrame, cells: DataFrame, key: st
     near = spatial.nearest_in_layers(asked, rows.select(key, *layer, F.col("x").alias("rx"), F.col("y").alias("ry")), cell, key, layer)
     own = near.select(cell, key, *layer).join(rows.select(key, *layer, *covariates), [key, *layer]).join(cells.select(cell, "x", "y"), cell).select(cell, *layer, "x", "y", *covariates)
     path = scratch(spark, "layer-cells")
-    _filled(own, layer, covariates).write.partitionBy(*layer).parquet(path)
-    own = spark.read.parquet(path).select(cell, *[F.col(c).cast(kinds[c]).alias(c) for c in layer], "x", "y", *covariates)
+    own = _filled(own, layer, covariates)
+    own.write.partitionBy(*layer).parquet(path)
+    own = spark.read.schema(own.schema).parquet(path).select(cell, *[F.col(c).cast(kinds[c]).alias(c) for c in layer], "x", "y", *covariates)
     vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in [*covariates, "x", "y"]])).alias("features_")
     out = None
     for name, degrees in sorted(sizes.items(), key=lambda p: str(p[0])):
