@@ -19,6 +19,8 @@ from .common import Scratch, free_names, map_batches, materialize, words_of
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Bits of a part that its frequency table is kept for: a table has 2^16 cells whatever the corpus.
 _SEEN_BITS = 16
+#: Pairs that a task gathers before it joins them to its stars, and fingerprints in stars that it keeps before it hands them on (some 100 MB together).
+_MOST_PAIRS, _MOST_HELD = 500_000, 1_000_000
 
 
 def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -191,8 +193,9 @@ def fit_plan(prints: DataFrame, threshold: int = 4) -> Plan:
     return plans[min(plans, key=lambda m: (found.get(m, 0.0), m))]
 
 
-def links(prints: DataFrame, threshold: int = 4, plan: Plan | None = None) -> DataFrame:
-    """(a, b), a < b: every two distinct fingerprints (column fp) that differ by at most `threshold` bits, each pair once."""
+def _met(prints: DataFrame, threshold: int, plan: Plan | None) -> DataFrame:
+    """(a, b), a > b: every two distinct fingerprints that differ by at most `threshold` bits, once for each part in which they meet. Every fingerprint's probes find all
+    that are near to it, so those of the larger one of two do. A hot (part, key) is a skewed join to Spark, which splits it."""
     plan = plan or fit_plan(prints, threshold)
 
     def stored(batches):
@@ -219,8 +222,54 @@ def links(prints: DataFrame, threshold: int = 4, plan: Plan | None = None) -> Da
     left = prints.select("fp").mapInArrow(probes, "part int, key long, a long")
     right = prints.select("fp").mapInArrow(stored, "part int, key long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    met = left.join(right.hint("merge"), (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a"] != right["b"]) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = left.join(right.hint("merge"), (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a"] > right["b"]) & near)
+    return met.select("a", "b")
+
+
+def links(prints: DataFrame, threshold: int = 4, plan: Plan | None = None) -> DataFrame:
+    """(a, b), a < b: every two distinct fingerprints (column fp) that differ by at most `threshold` bits, each pair once."""
+    return _met(prints, threshold, plan).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
+
+
+def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes of the edges (a, b) that are not the smallest of their component: its root. Least labels pass over edges and along themselves until nothing changes."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (root[x], root[y], x, y):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    off = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[off], nodes[root[off]]
+
+
+def spanning_links(prints: DataFrame, threshold: int = 4, plan: Plan | None = None) -> DataFrame:
+    """(a, b): links that connect the same fingerprints as `links` does, but a task gives at most one row for every fingerprint that it met (and once more for every _MOST_HELD of them),
+    so that a dense cluster of k fingerprints leaves no k^2 pairs. No rows for fingerprints that are alone."""
+
+    def span(batches):
+        held, a, b, n = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], [], 0
+        for batch in batches:
+            a.append(batch.column("a").to_numpy())
+            b.append(batch.column("b").to_numpy())
+            n += batch.num_rows
+            if n >= max(_MOST_PAIRS, len(held[0])):
+                held, a, b, n = stars_of(np.concatenate([held[0], *a]), np.concatenate([held[1], *b])), [], [], 0
+                if len(held[0]) > _MOST_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["a", "b"])
+                    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held = stars_of(np.concatenate([held[0], *a]), np.concatenate([held[1], *b]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["a", "b"])
+
+    return _met(prints, threshold, plan).mapInArrow(span, "a long, b long")
+
+
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,7 +304,7 @@ def hex16(fp: Column) -> Column:
 def class_roots(marks: DataFrame, threshold: int) -> DataFrame:
     """(fp, root) for every distinct fingerprint of marks; equal fingerprints are one class before the search, so copies never meet as pairs."""
     classes = materialize(marks.select("fp").distinct(), "simhash-classes")
-    roots = components(links(classes, threshold))
+    roots = components(spanning_links(classes, threshold))
     return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -100,6 +100,39 @@ def test_simhash_links_random(spark):
     assert got == {tuple(sorted((int(fps[i]), int(fps[j])))) for i, j in zip(a, b)}
 
 
+def test_simhash_dense_cluster(spark, monkeypatch):
+    """All fingerprints within two bits of one, so that each is near to every other, beside two chains: few rows, the same components; also when a task hands on early."""
+    one = np.uint64(0x0123456789ABCDEF)
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    ball = np.unique(np.concatenate([[one], one ^ bits, (one ^ bits[:, None] ^ bits[None, :]).ravel()]))
+    chains = np.concatenate([np.bitwise_xor.accumulate(np.concatenate([[s], bits[:12]])) for s in (np.uint64(0), ~np.uint64(0))])
+    fps = np.unique(np.concatenate([ball, chains])).view(np.int64)
+    u = fps.view(np.uint64)
+    a, b = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4, 1))
+    want = dict(zip(*(x.tolist() for x in simhash.stars_of(fps[a], fps[b]))))
+    prints = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(3)
+    for pairs, held in ((500_000, 1_000_000), (1, 1)):
+        monkeypatch.setattr(simhash, "_MOST_PAIRS", pairs)
+        monkeypatch.setattr(simhash, "_MOST_HELD", held)
+        rows = simhash.spanning_links(prints)
+        assert {r["node"]: r["root"] for r in simhash.components(rows).collect() if r["node"] != r["root"]} == want
+        if held > 1:
+            assert rows.count() <= len(fps) * spark.sparkContext.defaultParallelism < len(a)
+
+
+def test_stars_of():
+    rng = np.random.default_rng(9)
+    for n, m in ((0, 0), (1, 1), (50, 20), (200, 400)):
+        a, b = (rng.integers(0, max(n, 1), m) for _ in range(2))
+        root = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(len(root) + 1):
+            for x, y in zip(a.tolist(), b.tolist()):
+                root[x] = root[y] = min(root[x], root[y])
+        assert dict(zip(*(x.tolist() for x in simhash.stars_of(a, b)))) == {k: v for k, v in root.items() if k != v}
+    path = np.arange(5000)
+    assert set(simhash.stars_of(path[1:], path[:-1])[1].tolist()) == {0}
+
+
 def brute_lines(texts, least=2):
     order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is None, texts[k][0] or 0, k))
     seen, gone = set(), {}
