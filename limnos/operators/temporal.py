@@ -59,10 +59,18 @@ def antecedent_window(samples: DataFrame, daily: DataFrame, key: str, sample: st
 
 
 def antecedent_months(samples: DataFrame, daily: DataFrame, key: str, sample: str, value: str, months: int = 12) -> DataFrame:
-    """Per sample and lag (1 to `months`) the calendar month's sum, min, max and mean, from a station-month rollup."""
-    rolled = daily.groupBy(key, F.trunc("obs_date", "month").alias("month")).agg(F.sum(value).alias("m_sum"), F.min(value).alias("m_min"), F.max(value).alias("m_max"), F.avg(value).alias("m_mean"))
-    lag = samples.select(sample, key, "date").withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(months)))).withColumn("month", F.add_months(F.trunc("date", "month"), -F.col("lag")))
-    return lag.join(rolled, [key, "month"]).select(sample, "lag", "m_sum", "m_min", "m_max", "m_mean")
+    """Per sample and lag (1 to `months`) the calendar month's sum, min, max and mean, from a station-month rollup.
+
+    Months are gathered by blocks of `months`, so that a sample meets at most two blocks; both sides are shuffled, neither is broadcast."""
+    number = lambda c: F.year(c) * 12 + F.month(c)
+    rolled = daily.where(F.col(key).isNotNull() & F.col("obs_date").isNotNull()).groupBy(key, number("obs_date").alias("n_")).agg(F.sum(value).alias("m_sum"), F.min(value).alias("m_min"), F.max(value).alias("m_max"), F.avg(value).alias("m_mean"))
+    block = rolled.groupBy(key, F.floor(F.col("n_") / months).alias("block_")).agg(F.collect_list(F.struct("n_", "m_sum", "m_min", "m_max", "m_mean")).alias("b_"))
+    at = samples.select(sample, key, number("date").alias("at_"))
+    first, last = F.floor((F.col("at_") - months) / months), F.floor((F.col("at_") - 1) / months)
+    # the planner takes rows to explode for few: without a hint it would send them to the driver
+    met = at.withColumn("block_", F.explode(F.array_distinct(F.array(first, last)))).hint("merge").join(block, [key, "block_"])
+    got = met.select(sample, "at_", F.inline("b_")).withColumn("lag", F.col("at_") - F.col("n_")).where(F.col("lag").between(1, months))
+    return got.select(sample, "lag", "m_sum", "m_min", "m_max", "m_mean")
 
 
 def fill_linear(df: DataFrame, keys: list[str], order: str, value: str, limit: int = 3) -> DataFrame:
