@@ -428,13 +428,13 @@ def ag33_magnitude(spark, d):
 def st3_regression(spark, d):
     """ST-3, ST-4: slope, intercept and r; in logarithms and in log1p."""
     p, q = F.col("price"), F.col("q")
-    return obs(spark, d).groupBy("sensor").agg(F.count("*").alias("n"), _r(F.regr_slope(p, q)).alias("slope"), _r(F.regr_intercept(p, q), 3).alias("icept"), _r(F.corr(p, q), 6).alias("r"), _r(F.regr_slope(F.log10(p), F.log10(q)), 6).alias("log_slope"), _r(F.regr_slope(F.log1p(p), F.log1p(q)), 6).alias("log1p_slope"), _r(F.regr_r2(F.log1p(p), F.log1p(q)), 6).alias("log1p_r2"))
+    return obs(spark, d).groupBy("sensor").agg(F.count("*").alias("n"), _r(F.regr_slope(p, q)).alias("slope"), _r(F.regr_intercept(p, q), 3).alias("icept"), _r(stats.correlation(p, q), 6).alias("r"), _r(F.regr_slope(F.log10(p), F.log10(q)), 6).alias("log_slope"), _r(F.regr_slope(F.log1p(p), F.log1p(q)), 6).alias("log1p_slope"), _r(F.regr_r2(F.log1p(p), F.log1p(q)), 6).alias("log1p_r2"))
 
 
 @query(None)
 def st3_significance(spark, d):
     """ST-3: two-sided p of r by station, from Student's t with n - 2 degrees of freedom."""
-    g = obs(spark, d).groupBy("station_id").agg(F.count("*").alias("n"), F.corr("disc", "tax").alias("r"))
+    g = obs(spark, d).groupBy("station_id").agg(F.count("*").alias("n"), stats.correlation(F.col("disc"), F.col("tax")).alias("r"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
     return g.where("n > 2").withColumn("p", stats.t_probability(t, F.col("n") - 2))
 
@@ -453,14 +453,14 @@ def st5_stratified(spark, d):
     """ST-5: errors and r of logarithms by sensor, variable and flag, and over both flags."""
     e = F.col("z") - F.col("x")
     p = _pairs(spark, d).withColumn("flag", F.explode(F.array(F.lit("all"), F.col("flag").cast("string"))))
-    return p.groupBy("sensor", "variable", "flag").agg(F.count("*").alias("n"), _r(F.sqrt(F.avg(e * e))).alias("rmse"), _r(F.avg(F.abs(e))).alias("mae"), _r(F.avg(e)).alias("mbe"), _r(F.corr(F.ln("x"), F.ln("z")), 6).alias("r_log"))
+    return p.groupBy("sensor", "variable", "flag").agg(F.count("*").alias("n"), _r(F.sqrt(F.avg(e * e))).alias("rmse"), _r(F.avg(F.abs(e))).alias("mae"), _r(F.avg(e)).alias("mbe"), _r(stats.correlation(F.ln("x"), F.ln("z")), 6).alias("r_log"))
 
 
 @query(f"WITH {_PAIRS} SELECT sensor, flag, count(*) AS n, round(sqrt(avg((ln(z) - ln(x)) * (ln(z) - ln(x)))), 6) AS rmse, round(pow(corr(ln(x), ln(z)), 2), 6) AS r2 FROM p WHERE variable = 'price' GROUP BY 1, 2")
 def st12_outcome(spark, d):
     """ST-12: error and R2 of logarithms by sensor and correction flag."""
     a, b = F.ln("x"), F.ln("z")
-    return _pairs(spark, d).where("variable = 'price'").groupBy("sensor", "flag").agg(F.count("*").alias("n"), _r(F.sqrt(F.avg((b - a) * (b - a))), 6).alias("rmse"), _r(F.pow(F.corr(a, b), F.lit(2.0)), 6).alias("r2"))
+    return _pairs(spark, d).where("variable = 'price'").groupBy("sensor", "flag").agg(F.count("*").alias("n"), _r(F.sqrt(F.avg((b - a) * (b - a))), 6).alias("rmse"), _r(F.pow(stats.correlation(a, b), F.lit(2.0)), 6).alias("r2"))
 
 
 @query("""WITH a AS (SELECT station_id, year(date) * 12 + month(date) AS p, avg(v) AS av FROM $samples GROUP BY 1, 2), b AS (SELECT station_id, year(obs_date) * 12 + month(obs_date) AS p, avg(q) AS bv FROM $daily GROUP BY 1, 2),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import spatial, temporal
+from ..operators import spatial, stats, temporal
 from .tables import daily, obs, query, read, readings, samples, stations
 
 
@@ -62,7 +62,7 @@ def jn11_lag_correlogram(spark, d):
     p = lambda c: F.year(c) * 12 + F.month(c)
     a = samples(spark, d).groupBy("station_id", p("date").alias("p")).agg(F.avg("v").alias("av"))
     b = daily(spark, d).groupBy("station_id", p("obs_date").alias("p")).agg(F.avg("q").alias("bv")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("p", F.col("p") + F.col("lag"))
-    return a.join(b, ["station_id", "p"]).groupBy("lag").agg(F.count("*").alias("n"), F.round(F.corr("av", "bv"), 6).alias("r")).where("n > 20")
+    return a.join(b, ["station_id", "p"]).groupBy("lag").agg(F.count("*").alias("n"), F.round(stats.correlation(F.col("av"), F.col("bv")), 6).alias("r")).where("n > 20")
 
 
 @query("""SELECT s.sample_id, d1.q AS same_day, st.bal, st.seg, round(y.v_year, 4) AS v_year FROM $samples s LEFT JOIN $daily d1 ON s.station_id = d1.station_id AND s.date = d1.obs_date

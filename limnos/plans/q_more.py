@@ -55,7 +55,7 @@ def st11_log_ratio(spark, d):
 @query("""SELECT year(date) AS yr, count(*) AS n, round(corr(tp, ln(1 + v)), 6) AS r FROM $samples GROUP BY 1""")
 def st14_log_correlation(spark, d):
     """ST-14."""
-    return samples(spark, d).groupBy(F.year("date").cast("long").alias("yr")).agg(F.count("*").alias("n"), _r(F.corr(F.col("tp"), F.log1p("v")), 6).alias("r"))
+    return samples(spark, d).groupBy(F.year("date").cast("long").alias("yr")).agg(F.count("*").alias("n"), _r(stats.correlation(F.col("tp"), F.log1p("v")), 6).alias("r"))
 
 
 @query("""SELECT 'measured' AS origin, 'tp' AS param, round(avg(tp), 4) AS mean FROM $samples UNION ALL SELECT 'measured', 'chla', round(avg(chla), 4) FROM $samples UNION ALL SELECT * FROM (VALUES ('published', 'tp', CAST(14.4 AS DOUBLE)), ('published', 'chla', CAST(7.3 AS DOUBLE)))""")

@@ -178,7 +178,7 @@ def st10_window_sensitivity(spark, d):
 
     m = within_days(samples(spark, d), obs(spark, d), ["station_id"], 7).select(F.abs("off").alias("off"), F.ln("q").alias("a"), F.log1p("tp").alias("b"))
     m = m.withColumn("w", F.explode(F.sequence(F.col("off"), F.lit(7))))
-    return m.groupBy("w").agg(F.count("*").alias("n"), _r(F.pow(F.corr("a", "b"), F.lit(2.0)), 6).alias("r2")).where("n >= 5")
+    return m.groupBy("w").agg(F.count("*").alias("n"), _r(F.pow(stats.correlation(F.col("a"), F.col("b")), F.lit(2.0)), 6).alias("r2")).where("n >= 5")
 
 
 _PRED = "WITH t AS (SELECT s.station_id, s.sample_id, ln(1 + s.v) AS y, CASE WHEN s.tp <= 10 THEN 'oligo' WHEN s.tp <= 35 THEN 'meso' ELSE 'eu' END AS cls, CAST(s.sample_id % 5 AS INT) AS fold FROM $samples s), m AS (SELECT f.fold, t.cls, avg(y) AS yhat FROM t, (SELECT DISTINCT fold FROM t) f WHERE t.fold <> f.fold GROUP BY 1, 2), p AS (SELECT t.*, m.yhat FROM t JOIN m ON t.fold = m.fold AND t.cls = m.cls)"
