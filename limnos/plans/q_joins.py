@@ -20,7 +20,7 @@ FROM $samples s LEFT JOIN m ON s.sample_id = m.sample_id AND m.r = 1""")
 def jn4_asof_nearest(spark, d):
     """JN-4, JN-5, JN-6: nearest observation within seven days, its offset, flags by window, the count, a score."""
     s = samples(spark, d).select("sample_id", "station_id", "date")
-    out = temporal.nearest_within(s, obs(spark, d), ["station_id"], ["price", "disc"], ["ok", "ln"])
+    out = temporal.nearest_within(s, obs(spark, d), ["station_id"], ["price", "disc"], ["ok", "ln", "price", "disc"])
     score = F.when(F.col("n_obs") == 0, 0).when(F.col("offset_days") <= 1, 3).when(F.col("offset_days") <= 3, 2).otherwise(1)
     return out.withColumn("score", score).withColumn("offset_days", F.coalesce("offset_days", F.lit(-1))).drop("date")
 
