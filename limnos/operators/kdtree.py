@@ -94,8 +94,8 @@ def _dealt(keys: DataFrame, points: DataFrame, key: str, schema, step) -> DataFr
     return keys.groupBy("leaf_", "part_").cogroup(points.groupBy("leaf_", "part_")).applyInArrow(step, schema)
 
 
-def nearest_pairs(keys: DataFrame, points: DataFrame, key: str, other: str, k: int, axes: int, slack: float) -> DataFrame:
-    """All columns of keys and points for pairs among which are, for every key, its k nearest points: those whose distance exceeds the k-th least by `slack` at most. keys have coordinates l0_, l1_.., points r0_, r1_.., no two columns one name; fewer than k points: all pairs.
+def nearest_pairs(keys: DataFrame, points: DataFrame, key: str, other: str, k: int, axes: int, slack: float, far: float = float("inf")) -> DataFrame:
+    """All columns of keys and points for pairs among which are, for every key, its k nearest points: those whose distance exceeds the k-th least by `slack` at most, and that lie within `far` (and `slack`). keys have coordinates l0_, l1_.., points r0_, r1_.., no two columns one name; fewer than k points: all pairs.
 
     Two rounds: each key meets the leaf that it lies in, which bounds the distance of its k-th neighbour, and then the other leaves whose boxes lie within that bound."""
     spark = keys.sparkSession
@@ -145,6 +145,7 @@ def nearest_pairs(keys: DataFrame, points: DataFrame, key: str, other: str, k: i
         open_ = ~np.isfinite(bound)
         if open_.any():
             bound[open_] = tree.bound(x[open_], k)
+        bound = np.minimum(bound, far * far)
         reach = np.sqrt(bound) + slack
         # all keys of a leaf lie close together: what none of them reaches is left out at once
         gap = np.maximum(np.maximum(tree.low - x.max(axis=0), x.min(axis=0) - tree.high), 0)
