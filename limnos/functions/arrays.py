@@ -64,9 +64,23 @@ def cell_windows(anchors: DataFrame, cells: DataFrame, key: str, value: str, hal
     return got.select(key, F.transform("a", lambda x: x["v"]).alias("patch"), F.transform("a", lambda x: x["v"].isNotNull().cast("int")).alias("mask"))
 
 
-def on_calendar(daily: DataFrame, key: str, date: str, value: str) -> DataFrame:
-    """Every key on every day of the years that the table spans, with `value` (0 if missing) and `mask`. Null dates take no part."""
+def calendar_months(daily: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """(key, month, values, mask): a row for every key and month of the years that the table spans, with arrays over the month's days, 0 for missing values. Null dates take no part; (key, date) is unique.
+
+    A key's series is one row, bounded by the calendar, and its months are cut from it where it lies: days without a value are neither shuffled nor written."""
     span = daily.agg(F.trunc(F.min(date), "year").alias("a_"), F.date_sub(F.add_months(F.trunc(F.max(date), "year"), 12), 1).alias("z_"))  # one row
-    days = daily.select(key).distinct().join(F.broadcast(span)).where("a_ IS NOT NULL").select(key, F.explode(F.sequence("a_", "z_")).alias(date))
-    out = days.join(daily.select(key, date, value), [key, date], "left")
-    return out.select(key, date, F.coalesce(value, F.lit(0.0)).alias(value), F.col(value).isNotNull().cast("int").alias("mask"))
+    rows = daily.select(F.col(key).alias("k_"), F.trunc(date, "month").alias("m_"), F.col(date).alias("d_"), F.col(value).alias("v_"))
+    by_month = rows.groupBy("k_", "m_").agg(F.collect_list(F.struct(F.dayofmonth("d_").alias("day"), "v_")).alias("e_"))
+    by_key = by_month.groupBy("k_").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("m_", "e_")), lambda x: x["m_"].isNotNull())).alias("s_"))
+    months = by_key.join(F.broadcast(span)).where("a_ IS NOT NULL AND k_ IS NOT NULL").select("k_", "s_", F.explode(F.sequence("a_", "z_", F.expr("interval 1 month"))).alias("m_"))
+    known = F.filter(F.try_element_at("s_", F.col("m_")), lambda x: x["v_"].isNotNull())
+    got = months.select("k_", "m_", F.dayofmonth(F.last_day("m_")).alias("n_"), F.coalesce(known, F.array().cast(by_month.schema["e_"].dataType)).alias("e_"))
+    # the few days that are known are put into a month of zeros
+    put = lambda zero, one: F.aggregate("e_", F.array_repeat(zero, F.col("n_")), lambda a, x: F.concat(F.slice(a, 1, x["day"] - 1), F.array(one(x)), F.slice(a, x["day"] + 1, F.col("n_"))))
+    return got.select(F.col("k_").alias(key), F.col("m_").alias("month"), put(F.lit(0.0), lambda x: x["v_"].cast("double")).alias("values"), put(F.lit(0), lambda x: F.lit(1)).alias("mask"))
+
+
+def on_calendar(daily: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """Every key on every day of the years that the table spans, with `value` (0 if missing) and `mask`, from `calendar_months`. Null keys and dates take no part; (key, date) is unique."""
+    days = calendar_months(daily, key, date, value).select(key, "month", F.posexplode(F.arrays_zip("values", "mask")).alias("i_", "x_"))
+    return days.select(key, F.date_add("month", F.col("i_")).alias(date), F.col("x_.values").alias(value), F.col("x_.mask").alias("mask"))

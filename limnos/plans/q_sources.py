@@ -91,8 +91,9 @@ def fna3_cell_windows(spark, d):
 SELECT days.station_id, CAST(date_trunc('month', days.obs_date) AS DATE) AS month, count(*) AS days, count(q) AS known, coalesce(sum(q), 0) AS q FROM days LEFT JOIN daily ON days.station_id = daily.station_id AND days.obs_date = daily.obs_date GROUP BY 1, 2""")
 def fna4_calendar(spark, d):
     """FN-A4: series on the full calendar of the table's years with a mask, summed by month."""
-    c = arrays.on_calendar(daily(spark, d), "station_id", "obs_date", "q")
-    return c.groupBy("station_id", F.trunc("obs_date", "month").alias("month")).agg(F.count("*").alias("days"), F.sum("mask").alias("known"), F.sum("q").alias("q"))
+    c = arrays.calendar_months(daily(spark, d), "station_id", "obs_date", "q")
+    known = F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return c.select("station_id", "month", F.size("mask").cast("long").alias("days"), known.alias("known"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("q"))
 
 
 _CHANNELS = "c AS (SELECT ok, ln, sensor, price FROM $obs UNION ALL SELECT ok, ln, 'flat', 50.0 FROM obs UNION ALL SELECT ok, ln, 'small', q / 10 FROM obs)"
