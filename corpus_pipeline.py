@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import bpe, lines, mixing, quality, shingles
+from limnos.llm import bpe, lines, mixing, quality, shingles, simhash
 from limnos.llm.common import materialize
 from limnos.llm.queries import vocabulary
 
@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every pair of five-word Jaccard similarity 0.8 or more, which fingerprints of 64 bits cannot find at a bearable cost."""
-    return shingles.drop_similar(docs)
+    """SimHash first: one document stays of each group within four bits (`simhash.drop_near`). An exact search follows over what it left: pairs of five-word Jaccard similarity 0.8 or more, most of which lie farther than four bits from each other."""
+    return shingles.drop_similar(materialize(simhash.drop_near(docs), "simhash-near"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
