@@ -61,8 +61,12 @@ def jn11_lag_correlogram(spark, d):
     """JN-11, ST-9: monthly rollups joined at lags of 0 to 6 months, Pearson r by lag."""
     p = lambda c: F.year(c) * 12 + F.month(c)
     a = samples(spark, d).groupBy("station_id", p("date").alias("p")).agg(F.avg("v").alias("av"))
-    b = daily(spark, d).groupBy("station_id", p("obs_date").alias("p")).agg(F.avg("q").alias("bv")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("p", F.col("p") + F.col("lag"))
-    return a.join(b, ["station_id", "p"]).groupBy("lag").agg(F.count("*").alias("n"), F.round(stats.correlation(F.col("av"), F.col("bv")), 6).alias("r")).where("n > 20")
+    b = daily(spark, d).groupBy("station_id", p("obs_date").alias("p")).agg(F.struct(F.avg("q").alias("bv")).alias("b")).where("p IS NOT NULL")
+    # a station's months are one row, bounded by the calendar: lags are looked up there, not shuffled
+    own = b.groupBy("station_id").agg(F.map_from_entries(F.collect_list(F.struct("p", "b"))).alias("months"))
+    met = a.where("p IS NOT NULL").join(own, "station_id").select("av", "p", "months", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("lag"))
+    met = met.select("lag", "av", F.try_element_at("months", F.col("p") - F.col("lag")).alias("b")).where("b IS NOT NULL").select("lag", "av", "b.bv")
+    return met.groupBy("lag").agg(F.count("*").alias("n"), F.round(stats.correlation(F.col("av"), F.col("bv")), 6).alias("r")).where("n > 20")
 
 
 @query("""SELECT s.sample_id, d1.q AS same_day, st.bal, st.seg, round(y.v_year, 4) AS v_year FROM $samples s LEFT JOIN $daily d1 ON s.station_id = d1.station_id AND s.date = d1.obs_date
