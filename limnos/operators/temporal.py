@@ -13,10 +13,12 @@ def _day(c: str) -> Column:
 
 
 def within_days(left: DataFrame, right: DataFrame, keys: list[str], days: int, left_date: str = "date", right_date: str = "obs_date") -> DataFrame:
-    """Every pair with equal keys and dates at most `days` apart (inner), with `off`, the signed days from left to right. Null keys and dates match nothing."""
-    w = days + 1
+    """Every pair with equal keys and dates at most `days` apart (inner), with `off`, the signed days from left to right. Null keys and dates match nothing.
+
+    Buckets are four times as wide as needed: only rows of right that lie within `days` of a border go to two of them, some 1.4 copies of a row on average in place of three."""
+    w = 4 * (days + 1)
     a = left.withColumn("bucket_", F.floor(_day(left_date) / w))
-    b = right.withColumn("bucket_", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(_day(right_date) / w) + k)))
+    b = right.withColumn("bucket_", F.explode(F.array_distinct(F.array(*[F.floor((_day(right_date) + k) / w) for k in (-days, days)]))))
     return a.join(b, [*keys, "bucket_"]).withColumn("off", F.datediff(right_date, left_date)).where(F.abs("off") <= days).drop("bucket_")
 
 
