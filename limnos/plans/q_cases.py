@@ -444,8 +444,9 @@ _PAIRS = "p AS (SELECT sensor, ok % 2 = 0 AS flag, 'price' AS variable, price AS
 
 def _pairs(spark, d):
     o = obs(spark, d).withColumn("flag", F.col("ok") % 2 == 0)
-    a = o.select("sensor", "flag", F.lit("price").alias("variable"), F.col("price").alias("x"), (F.col("price") * (1 + F.col("disc") - F.col("tax"))).alias("z"))
-    return a.unionByName(o.select("sensor", "flag", F.lit("q").alias("variable"), F.col("q").alias("x"), (F.col("q") + 10 * F.col("disc")).alias("z")))
+    a = F.struct(F.lit("price").alias("variable"), F.col("price").alias("x"), (F.col("price") * (1 + F.col("disc") - F.col("tax"))).alias("z"))
+    b = F.struct(F.lit("q").alias("variable"), F.col("q").alias("x"), (F.col("q") + 10 * F.col("disc")).alias("z"))
+    return o.select("sensor", "flag", F.inline(F.array(a, b)))  # one join for both
 
 
 @query(f"WITH {_PAIRS} SELECT sensor, variable, coalesce(CAST(flag AS VARCHAR), 'all') AS flag, count(*) AS n, round(sqrt(avg((z - x) * (z - x))), 4) AS rmse, round(avg(abs(z - x)), 4) AS mae, round(avg(z - x), 4) AS mbe, round(corr(ln(x), ln(z)), 6) AS r_log FROM p GROUP BY GROUPING SETS ((sensor, variable), (sensor, variable, flag))")
