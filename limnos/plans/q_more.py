@@ -208,8 +208,8 @@ SELECT s.station_id, c.obs_date, round(c.value, 4) AS value FROM stations s JOIN
 def jn24_grid_to_station(spark, d):
     """JN-24: every day's cell value at every station of the cell."""
     at = stations(spark, d).select("station_id", F.floor("lat").cast("int").alias("gy"), F.floor("lon").cast("int").alias("gx"))
-    c = obs(spark, d).join(at, "station_id").groupBy("obs_date", "gy", "gx").agg(F.avg("q").alias("value"))
-    return at.join(c, ["gy", "gx"]).select("station_id", "obs_date", _r(F.col("value")).alias("value"))
+    c = obs(spark, d).join(at, "station_id").groupBy("obs_date", "gy", "gx").agg(_r(F.avg("q")).alias("value"))
+    return spatial.cell_series(at, c, ["gy", "gx"], "obs_date", "value").select("station_id", "obs_date", "value")
 
 
 @query("""SELECT sample_id AS key, station_id, date, row_number() OVER (ORDER BY station_id, date, sample_id) - 1 AS sample_id FROM $samples""")
