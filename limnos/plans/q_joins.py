@@ -211,6 +211,5 @@ def flt8_largest_per_key(spark, d):
 @query("""SELECT part, q, round(quantile_cont(price, 0.5) OVER (PARTITION BY part ORDER BY price, ok, ln ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 4) AS med, ok, ln FROM (SELECT *, CAST(ok % 8 AS INT) AS part FROM $obs)""")
 def wn2_rolling_median(spark, d):
     """A rolling median of 200 rows in the order of a value, within eight groups (WN-2 over all rows: `wn2_trend`)."""
-    w = Window.partitionBy("part").orderBy("price", "ok", "ln").rowsBetween(-199, 0)
-    o = obs(spark, d).withColumn("part", (F.col("ok") % 8).cast("int"))
-    return o.select("part", "q", F.round(F.percentile("price", 0.5).over(w), 4).alias("med"), "ok", "ln")
+    o = obs(spark, d).select((F.col("ok") % 8).cast("int").alias("part"), "q", "price", "ok", "ln")
+    return stats.rolling_median_within(o, "part", ["price", "ok", "ln"], "price", 200).select("part", "q", F.round("median", 4).alias("med"), "ok", "ln")
