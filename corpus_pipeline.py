@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash first: one document stays of each group within four bits (`simhash.drop_near`). An exact search follows over what it left: pairs of five-word Jaccard similarity 0.8 or more, most of which lie farther than four bits from each other."""
-    return shingles.drop_similar(materialize(simhash.drop_near(docs), "simhash-near"))
+    """SimHash first: one document stays of each group within four bits (`simhash.near_firsts`, which names it by id and hash: texts are not written for it). An exact search follows over what it left: pairs of five-word Jaccard similarity 0.8 or more, most of which lie farther than four bits from each other."""
+    return shingles.drop_similar(docs, among=simhash.near_firsts(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

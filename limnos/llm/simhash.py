@@ -326,15 +326,15 @@ def near_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_firsts(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs that are the least `first` (late, id, own) of their `root` in named; of equal rows, one."""
-    kept_id, kept_own = free_names(docs, "kept_id", "kept_own")
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias(kept_id), F.col("first.own").alias(kept_own))
-    met = docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.xxhash64(text_col) == F.col(kept_own)), "left_semi")
-    return met.withColumn(kept_own, F.xxhash64(text_col)).dropDuplicates([id_col, kept_own]).drop(kept_own)
+    """The rows of docs that are the least `first` (late, id, own) of their `root` in named; of equal rows, one. Texts are shuffled once: both steps are by the hashes of the text and of the id with it."""
+    own, key, kept_own, kept_key = free_names(docs, "own", "key", "kept_own", "kept_key")
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.own").alias(kept_own), F.xxhash64("first.id", "first.own").alias(kept_key))
+    rows = docs.withColumn(own, F.xxhash64(text_col)).withColumn(key, F.xxhash64(id_col, own))
+    return rows.join(kept, (F.col(own) == F.col(kept_own)) & (F.col(key) == F.col(kept_key)), "left_semi").dropDuplicates([own, key]).drop(own, key)
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
-    """One document of each group of near-duplicates, all columns: that with the smallest id (nulls last), then the least hash of its text; of equal rows, one. Documents that are alone stay."""
+def near_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
+    """(root, first): for each group of near-duplicates the document that stays, as (late, id, own): that with the smallest id (nulls last), then the least hash of its text. A table."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
 
@@ -343,4 +343,9 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     marks = materialize(map_batches(rows, step, f"id {kind}, own long, fp long"), "simhash")
     firsts = marks.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "own")).alias("first"))
-    return keep_firsts(docs, class_roots(marks, threshold).join(firsts, "fp"), id_col, text_col)
+    return materialize(class_roots(marks, threshold).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")), "simhash-firsts")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
+    """One document of each group of near-duplicates, all columns: that of `near_firsts`; of equal rows, one. Documents that are alone stay."""
+    return keep_firsts(docs, near_firsts(docs, id_col, text_col, shingle, threshold), id_col, text_col)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from limnos.llm import shingles, simhash
 
@@ -25,3 +27,37 @@ def test_simhash_and_the_exact_search_both_drop(spark, monkeypatch):
     assert alike(1, 2) and not alike(10, 11)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == [1, 3, 10]
+
+
+def test_prefixes_travel_packed(spark):
+    """The check of the pipeline: a row for every shingle of a prefix, twice over, took more disk than the texts. What meets is what a plain join finds; no row is made of the rest."""
+    rng = np.random.default_rng(4)
+    rows = [(c, 300, [int(t) for t in rng.permutation(np.unique(rng.integers(0, 3000, rng.integers(0, 60))) * 0x9E3779B97F4A7 - 2**61)]) for c in range(150)]
+    often = np.unique(np.concatenate([r[2][:1] for r in rows if r[2]])).astype(np.int64)
+    holders = {}
+    for c, _, p in rows:
+        for t in p:
+            holders.setdefault(t, set()).add(c)
+    frequent = set(often.tolist())
+    want = sorted((t, c, n, at) for c, n, p in rows for at, t in enumerate(p) if len(holders[t]) > 1 or t in frequent)
+    classes = spark.createDataFrame(rows, "c long, n int, p array<long>").repartition(5)
+    assert sorted(map(tuple, shingles.met_prefixes(classes, often).collect())) == want
+    none = np.zeros(0, np.int64)
+    assert sorted(map(tuple, shingles.met_prefixes(classes, none).collect())) == [r for r in want if len(holders[r[0]]) > 1]
+    assert shingles.met_prefixes(classes.limit(0), none).count() == 0
+
+
+def test_texts_are_shuffled_once(spark):
+    """The check of the pipeline: the join with the documents that stay and the search for equal rows each shuffled all texts."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c d"), (None, "c d"), (2, "a b")], "doc_id long, text string")
+    named = spark.createDataFrame([(1, (False, 1, "a b")), (1, (False, 2, "a b")), (2, (True, None, "c d"))], "root long, first struct<late: boolean, id: long, own: string>")
+    named = named.select("root", named["first"].withField("own", simhash.F.xxhash64("first.own")).alias("first"))
+    kept = simhash.keep_firsts(docs, named.hint("merge"), "doc_id", "text")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.distinct().where("doc_id IS NULL OR doc_id = 1").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.keep_firsts(docs, named, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) <= 3, plan  # the texts, and the names twice
