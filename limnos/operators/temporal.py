@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,15 +130,23 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
 
 
+def _in_window(samples: DataFrame, rows: DataFrame, key: str, days: int) -> DataFrame:
+    """Each of samples (.., key, at_) with each of rows (key, n_, ..) of its key whose n_ lies from at_ - `days` to at_ - 1. Null keys and numbers match nothing.
+
+    Buckets are four windows wide: a sample stays one row, a row of a series goes to the one or two buckets whose samples can ask for it."""
+    w = 4 * days
+    a = samples.withColumn("bucket_", F.floor(F.col("at_") / w))
+    b = rows.where(F.col("n_").isNotNull()).withColumn("bucket_", F.explode(F.array_distinct(F.array(*[F.floor((F.col("n_") + k) / w) for k in (1, days)]))))
+    return a.join(b.hint("merge"), [key, "bucket_"]).where((F.col("n_") < F.col("at_")) & (F.col("n_") >= F.col("at_") - days)).drop("bucket_")
+
+
 def _gathered(samples: DataFrame, rows: DataFrame, key: str, sample: list[str], days: int) -> DataFrame:
     """(sample, at_, e_): for each of samples (sample, key, at_) the rows (key, n_, v_) of its key with n_ from at_ - `days` to at_ - 1, in order, as structs (n_, v_). (key, n_) is unique.
 
-    Rows are gathered by blocks of `days` numbers, so that a sample meets at most two blocks, not `days` rows."""
-    block = rows.where(F.col(key).isNotNull() & F.col("n_").isNotNull()).groupBy(key, F.floor(F.col("n_") / days).alias("block_")).agg(F.collect_list(F.struct("n_", "v_")).alias("b_"))
-    first, last = F.floor((F.col("at_") - days) / days), F.floor((F.col("at_") - 1) / days)
-    met = samples.select(*sample, key, "at_").withColumn("block_", F.explode_outer(F.array_distinct(F.array(first, last)))).join(block, [key, "block_"], "left")
-    got = met.groupBy(*sample, "at_").agg(F.flatten(F.collect_list("b_")).alias("b_"))
-    return got.select(*sample, "at_", F.array_sort(F.filter("b_", lambda x: (x["n_"] < F.col("at_")) & (x["n_"] >= F.col("at_") - days))).alias("e_"))
+    Rows that no window asks for end in the join; the others are gathered once."""
+    met = _in_window(samples, rows, key, days).select(*sample, "at_", F.struct("n_", "v_").alias("e_"))
+    every = samples.select(*sample, "at_", F.lit(None).cast(met.schema["e_"].dataType).alias("e_"))
+    return met.unionByName(every).groupBy(*sample, "at_").agg(F.array_sort(F.collect_list("e_")).alias("e_"))
 
 
 def _packed(entries: str, days: int) -> Column:
@@ -156,16 +167,46 @@ def neighbour_windows(samples: DataFrame, near: DataFrame, daily: DataFrame, key
 
     `has` is 1 if the sample's key has a series at all, in the window or not; without one all windows are zeros. near: key, other, rank from 1."""
     series = daily.select(key).distinct()
-    own = samples.select(F.col(key).alias("own_"), sample, "date").join(series.select(F.col(key).alias("own_"), F.lit(1).alias("has")), "own_", "left")
+    own = samples.select(F.col(key).alias("own_"), sample, _day("date").alias("at_")).join(series.select(F.col(key).alias("own_"), F.lit(1).alias("has")), "own_", "left")
     nodes = near.where(F.col("rank") <= k).select(F.col(key).alias("own_"), F.col("other").alias(key), "rank")
-    self_ = own.withColumn(key, F.col("own_")).withColumn("rank", F.lit(0))
-    with_series = own.where("has = 1").join(nodes, "own_")
-    rows = self_.select(sample, "date", key, "rank").unionByName(with_series.select(sample, "date", key, "rank"))
-    w = _gathered(rows.select(sample, "rank", key, _day("date").alias("at_")), daily.select(key, _day("obs_date").alias("n_"), F.col(value).alias("v_")), key, [sample, "rank"], days)
-    g = w.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("rank", _packed("e_", days).alias("s_")))).alias("m_"))
-    none = F.array_repeat(F.lit(0.0), days)
-    seq = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda r: F.coalesce(F.try_element_at("m_", r), none))
-    return g.join(own.select(sample, "has"), sample).select(sample, seq.alias("seq"), F.coalesce("has", F.lit(0)).alias("has"))
+    self_ = own.select(sample, "at_", F.col("own_").alias(key), F.lit(0).alias("rank"))
+    rows = self_.unionByName(own.where("has = 1").join(nodes, "own_").select(sample, "at_", key, "rank"))
+    met = _in_window(rows, daily.select(key, _day("obs_date").alias("n_"), F.col(value).alias("v_")), key, days)
+    # what exists is sorted, all nodes of a sample together; zeros come in afterwards
+    met = met.select(sample, F.lit(0).alias("has"), "rank", "n_", F.coalesce(F.col("v_").cast("double"), F.lit(0.0)).alias("v_"))
+    every = own.select(sample, F.coalesce("has", F.lit(0)).alias("has"))
+    rows = met.unionByName(every, allowMissingColumns=True).repartition(sample).sortWithinPartitions(sample, "rank", "n_")
+
+    def whole(batches):
+        """Tables of whole samples, with the rows where one begins."""
+        held = []
+        for b in batches:
+            t = pa.Table.from_batches([*held, b]).combine_chunks()
+            if not t.num_rows:
+                continue
+            ids = t.column(0).combine_chunks()
+            differ = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (np.diff(ids.is_valid().to_numpy(zero_copy_only=False).astype(int)) != 0)
+            begin = np.flatnonzero(np.concatenate([[True], differ]))
+            if len(begin) > 1:
+                yield t.slice(0, begin[-1]), begin[:-1]
+            held = t.slice(begin[-1]).to_batches()
+        if held:
+            yield pa.Table.from_batches(held), np.zeros(1, np.int64)
+
+    def packed(batches):
+        for t, begin in whole(batches):
+            n = len(begin)
+            rank = t.column("rank").fill_null(-1).to_numpy()
+            at = np.repeat(np.arange(n), np.diff(np.concatenate([begin, [t.num_rows]])))
+            some = np.flatnonzero(rank >= 0)
+            node = at[some] * (k + 1) + rank[some]
+            x = np.zeros((n * (k + 1), days))
+            x[node, days - np.searchsorted(node, node, "right") + np.arange(len(node))] = t.column("v_").to_numpy()[some]
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(n * (k + 1) + 1, dtype=np.int32) * days), pa.array(x.ravel()))
+            seq = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (k + 1)), inner)
+            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(begin)).combine_chunks(), seq, pa.array(np.maximum.reduceat(t.column("has").to_numpy(), begin).astype(np.int32))], names=[sample, "seq", "has"])
+
+    return rows.mapInArrow(packed, f"`{sample}` {samples.schema[sample].dataType.simpleString()}, seq array<array<double>>, has int")
 
 
 def archive_ends(samples: DataFrame, archive: DataFrame) -> tuple[DataFrame, DataFrame]:

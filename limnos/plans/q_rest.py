@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -44,11 +46,17 @@ def wn6_neighbour_windows(spark, d):
     st = stations(spark, d).join(s.select("station_id").distinct(), "station_id", "left_semi")
     near = temporal.local_nodes(spatial.neighbour_graph(st, "station_id", 8), st.select("station_id", F.col("station_id").alias("place")), "station_id", 8)
     w = temporal.neighbour_windows(s, near, daily(spark, d).where("station_id % 5 <> 0"), "station_id", "sample_id", "q", 30, 8)
-    add = lambda a, x: a + x
-    node = lambda f: F.aggregate(F.transform("seq", f), F.lit(0.0), add)
-    total = node(lambda s: F.aggregate(s, F.lit(0.0), add))
-    weighted = node(lambda s, i: F.aggregate(F.transform(s, lambda x, p: x * (p + 1)), F.lit(0.0), add) * (i + 1))
-    return w.select("sample_id", F.size("seq").alias("nodes"), _r(total).alias("total"), _r(weighted).alias("weighted"), "has")
+
+    def sums(batches):
+        for b in batches:
+            x = b.column("seq").flatten().flatten().to_numpy().reshape(-1, 9, 30)
+            total, weighted = x.sum(axis=(1, 2)), np.einsum("snd,n,d->s", x, np.arange(1.0, 10), np.arange(1.0, 31))
+            nodes = b.column("seq").value_lengths()
+            yield pa.RecordBatch.from_arrays([b.column("sample_id"), nodes, pa.array(total), pa.array(weighted), b.column("has")], names=["sample_id", "nodes", "total", "weighted", "has"])
+
+    kind = w.schema["sample_id"].dataType.simpleString()
+    out = w.select("sample_id", "seq", "has").mapInArrow(sums, f"sample_id {kind}, nodes int, total double, weighted double, has int")
+    return out.select("sample_id", "nodes", _r("total").alias("total"), _r("weighted").alias("weighted"), "has")
 
 
 @query("""WITH p AS (SELECT station_id, obs_date, embedding FROM $daily JOIN embeddings ON vec_id = (station_id * 31 + dayofyear(obs_date)) % (SELECT count(*) FROM embeddings) WHERE day(obs_date) % 3 <> 0),
