@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
 from . import stats
 
 
@@ -130,6 +131,12 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _in_window(samples: DataFrame, rows: DataFrame, key: str, days: int) -> DataFrame:
     """Each of samples (.., key, at_) with each of rows (key, n_, ..) of its key whose n_ lies from at_ - `days` to at_ - 1. Null keys and numbers match nothing.
 
@@ -228,12 +235,18 @@ def patch_windows(samples: DataFrame, patches: DataFrame, key: str, sample: str,
     clean = F.zip_with("patch", "mask", lambda x, m: F.when(bad(x, m), F.lit(0.0)).otherwise(x.cast("double")))
     if zero:
         clean = F.transform(clean, lambda x, i: F.when((i % channels).isin(zero), F.lit(0.0)).otherwise(x))
-    ends, numbers = archive_ends(samples, patches)
+    # which patches there are, and which of them the windows meet; no patch is moved for that
+    index = _table(patches.select(key, "obs_date"), "patch-index")
+    ends, numbers = archive_ends(samples, index)
     s = samples.select(sample, key, "date").join(ends, "date", "left").select(sample, key, F.col("end_").alias("at_"))
-    rows = patches.join(numbers, "obs_date").select(key, "n_", clean.alias("v_"))
-    w = _gathered(s, rows, key, [sample], days).withColumn("m_", F.map_from_entries("e_"))
+    met = _in_window(s, index.join(numbers, "obs_date").select(key, "n_", "obs_date"), key, days)
+    met = _table(met.select(sample, key, "obs_date", (F.col("n_") - F.col("at_")).alias("place_")), "patch-met")
+    asked = patches.join(met.select(key, "obs_date").distinct(), [key, "obs_date"], "left_semi").select(key, "obs_date", clean.alias("v_"))
+    got = met.join(asked, [key, "obs_date"]).select(sample, F.struct("place_", "v_").alias("e_"))
+    every = s.select(sample, F.lit(None).cast(got.schema["e_"].dataType).alias("e_"))
+    w = got.unionByName(every).groupBy(sample).agg(F.collect_list("e_").alias("e_")).withColumn("m_", F.map_from_entries("e_"))
     place = F.sequence(F.lit(-days), F.lit(-1))
-    seq = F.transform(place, lambda i: F.coalesce(F.try_element_at("m_", F.col("at_") + i), F.array_repeat(F.lit(0.0), size)))
+    seq = F.transform(place, lambda i: F.coalesce(F.try_element_at("m_", i), F.array_repeat(F.lit(0.0), size)))
     return w.select(sample, seq.alias("seq"), F.size("e_").alias("n_patches"))
 
 

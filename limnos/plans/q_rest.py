@@ -75,7 +75,7 @@ def wn7_patch_windows(spark, d):
     w = temporal.patch_windows(samples(spark, d), p, "station_id", "sample_id", 10, 64, [0], 4)
     add = lambda a, x: a + x
     total = F.aggregate(F.transform("seq", lambda s, i: F.aggregate(F.transform(s, lambda x, k: x * (k + 1)), F.lit(0.0), add) * (i + 1)), F.lit(0.0), add)
-    return w.select("sample_id", F.col("n_patches").cast("long").alias("n_patches"), _r(total).alias("weighted"))
+    return w.select("sample_id", F.col("n_patches").cast("long").alias("n_patches"), _r(F.when(F.col("n_patches") > 0, total).otherwise(0.0)).alias("weighted"))
 
 
 @query("""SELECT sample_id, station_id, v FROM $samples ORDER BY CAST('0x' || substr(md5('42:' || sample_id), 1, 13) AS BIGINT), sample_id LIMIT 500""")
