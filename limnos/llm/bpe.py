@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Words and chunks that a task remembers, at most; a full memory is emptied.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -130,34 +130,35 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.bytes = byte_letters()
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        # ids alone: the decoded text is looked up by them
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # letter by letter: no special final sigma
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """Of one normalised pre-token: ids as little-endian 32 bits, decoded UTF-8."""
-        got = self.words.get(word)
-        if got is None:
+    def word(self, word: str) -> bytes:
+        """Of one normalised pre-token: ids as little-endian 32 bits. Plain letters are a chunk as they stand, and remembered once as both."""
+        held = self.chunks if word.isascii() and word.isalpha() else self.words
+        out = held.get(word)
+        if out is None:
             ids = self.merges.encode_word("".join([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]))
-            got = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]).encode()
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
-        return got
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(held) >= REMEMBERED:
+                held.clear()
+            held[word] = out
+        return out
 
-    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+    def chunk(self, chunk: str) -> bytes:
         """The same of a text without spaces: often a word, or a word and one mark."""
         text = self.normal(chunk)
         if text.isalpha():
             out = self.word(text)
         elif text[:-1].isalpha() and text[-1] in ",.":
-            out = tuple(map(bytes.__add__, map(bytes.__add__, self.word(text[:-1]), (b"", b" ")), self.word(text[-1])))
+            out = self.word(text[:-1]) + self.word(text[-1])
         else:
-            parts = [self.word(w) for w in self.find(text)]
-            out = b"".join([i for i, _ in parts]), b" ".join([d for _, d in parts])
+            out = b"".join([self.word(w) for w in self.find(text)])
         if len(self.chunks) >= REMEMBERED:
             self.chunks.clear()
         self.chunks[chunk] = out
@@ -165,15 +166,16 @@ class WordBpe:
 
     def encode(self, text: str | None) -> tuple[int, bytes, bytes]:
         """Number of ids, ids, decoded text of a whole text. White space separates pre-tokens and composes with nothing, so plain spaces and line ends cut the text into chunks that are remembered."""
-        pairs: list[tuple[bytes, bytes]] = []
+        found: list[bytes] = []
         get, slow = self.chunks.get, self.chunk
         for k, part in enumerate(self.cut.split(text or "") if self.cut and "<|" in (text or "") else [text or ""]):
             if k % 2:
-                pairs.append((struct.pack("<I", self.special[part]), part.encode()))
+                found.append(struct.pack("<I", self.special[part]))
             else:
-                pairs += [get(c) or slow(c) for c in part.replace("\n", " ").split(" ") if c]
-        ids = b"".join([i for i, _ in pairs])
-        return len(ids) // 4, ids, b" ".join([d for i, d in pairs if i])
+                found += [get(c) or slow(c) for c in part.replace("\n", " ").split(" ") if c]
+        ids = b"".join(found)
+        n = len(ids) // 4
+        return n, ids, " ".join(map(self.names.__getitem__, struct.unpack(f"<{n}I", ids))).encode()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder does; unknown ids are passed over."""

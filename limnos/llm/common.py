@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch (10,000 by Spark's default, whole texts among them) become Python values for about so many bytes at a time.
+PIECE = 1_000_000
 #: Words are maximal runs of other characters than these (fixed by the contract).
 WORD_BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -82,14 +84,25 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones, so that what a worker holds besides a batch is made of about PIECE bytes of it. Rows without bytes stay together."""
+    for b in batches:
+        rows = max(1, PIECE * b.num_rows // max(1, b.nbytes))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        del b  # not held while the next one is read
+
+
 def map_batches(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None) -> DataFrame:
-    """mapInArrow over dicts of Python lists. setup() runs once in each task and its value is step's second argument."""
+    """mapInArrow over dicts of Python lists, a piece of a batch at a time. setup() runs once in each task and its value is step's second argument."""
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = () if setup is None else (setup(),)
-        for b in batches:
-            out = step({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)}, *more)
+        for b in pieces(batches):
+            held = {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)}
+            del b
+            out = step(held, *more)
             yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in target}, schema=target)
 
     return df.mapInArrow(run, schema)
@@ -101,12 +114,13 @@ def map_texts(df: DataFrame, flag: Callable, schema: str | None = None, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = () if setup is None else (setup(),)
-        for b in batches:
+        for b in pieces(batches):
             got = flag(b.column(where).to_pylist(), *more)
             if isinstance(got, np.ndarray):
                 yield b.filter(pa.array(got.astype(bool)))
             else:
                 yield b.set_column(where, b.schema.field(where), pa.array(got, b.schema.field(where).type))
+            del b
 
     return df.mapInArrow(run, schema or df.schema)
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, materialize, words_of
+from .common import Scratch, map_batches, materialize, pieces, words_of
 from .simhash import _LOWER, components, keep_firsts
 from .substrings import _bits_for, as_bitmap
 
@@ -68,7 +68,7 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray,
     """Shingles that several sampled texts hold, sorted, with their counts; a bounded table."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             for t in b.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle))], names=["t"])
 
@@ -161,7 +161,7 @@ def _checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     met = pairs.join(odd("a", "x"), "a").join(odd("b", "y"), "b").select("a", "b", "n", "m", "x", "y")
 
     def likely(batches):
-        for b in batches:
+        for b in pieces(batches):
             most = (b.column("n").to_numpy().astype(float) + b.column("m").to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-6
             least = np.array([least_difference(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], float)
             yield b.select(["a", "b"]).filter(pa.array(least <= most))
@@ -169,18 +169,22 @@ def _checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     left = tables.write(met.mapInArrow(likely, "a long, b long"), "likely")
     asked = left.select(F.col("a").alias("c")).unionByName(left.select(F.col("b").alias("c"))).distinct().join(classes, "c").select("c", F.col("first.id").alias("i"), F.col("first.own").alias("o"))
     asked = tables.write(asked, "asked")
-    wanted = as_bitmap(asked.select(F.col("o").alias("name")), _bits_for(asked.count()))
+    wanted = as_bitmap(asked.select(F.xxhash64("i", "o").alias("name")), _bits_for(asked.count()))
 
     def present(batches):
-        for b in batches:
-            yield b.filter(pa.array(wanted.holds(b.column("own").to_numpy().view(np.uint64))))
-
-    held = texts.mapInArrow(present, texts.schema).join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o"))).select("c", "text")
-    sets = tables.write(map_batches(held, lambda b: {"c": b["c"], "s": [shingle_set(t, shingle) for t in b["text"]]}, "c long, s array<long>").dropDuplicates(["c"]), "sets")
+        for b in pieces(batches):
+            b = b.filter(pa.array(wanted.holds(b.column("name").to_numpy().view(np.uint64))))
+            found = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), pa.array(found, pa.list_(pa.int64()))], names=["id", "own", "s"])
+            del b
+
+    # sets are made where texts are left out: in a task of its own each would take a second Python worker, as the join between may be a broadcast
+    held = texts.withColumn("name", F.xxhash64("id", "own")).mapInArrow(present, f"id {texts.schema['id'].dataType.simpleString()}, own long, s array<long>")
+    sets = tables.write(held.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o"))).select("c", "s").dropDuplicates(["c"]), "sets")
     met = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             hit = np.array([_similar(x.values.to_numpy(), y.values.to_numpy(), similarity) for x, y in zip(b.column("x"), b.column("y"))], bool)
             yield b.select(["a", "b"]).filter(pa.array(hit))
 

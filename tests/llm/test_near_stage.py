@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from limnos.llm import shingles, simhash
+from limnos.llm import common, shingles, simhash
 
 
 def test_simhash_and_the_exact_search_both_drop(spark, monkeypatch):
@@ -61,3 +62,23 @@ def test_texts_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len(moved) <= 3, plan  # the texts, and the names twice
+
+
+def test_a_worker_holds_a_piece_of_a_batch():
+    """The check of the pipeline: a batch of 10,000 texts became Python values at once, and workers kept that memory. Pieces are all rows, in order, of about PIECE bytes."""
+    batch = pa.RecordBatch.from_pydict({"n": pa.array(range(3000)), "text": pa.array(["x" * 2000] * 3000)})
+    got = list(common.pieces(iter([batch, batch.slice(0, 0), batch.slice(7, 1)])))
+    assert [x for p in got for x in p.column("n").to_pylist()] == [*range(3000), 7]
+    assert len(got) > 5 and max(p.nbytes for p in got) < 1.01 * common.PIECE
+
+
+def test_verifying_takes_one_worker_a_task(spark, monkeypatch):
+    """The check of the pipeline: texts were picked by one Python step and made sets by another; with a broadcast between, each task held two workers."""
+    seen = []
+    real = common.Scratch.write
+    monkeypatch.setattr(common.Scratch, "write", lambda self, df, name, codec="snappy": (seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())), real(self, df, name, codec))[1])
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (None, text + " other"), (4, "alone")], "doc_id long, text string")
+    assert [r["doc_id"] for r in shingles.drop_similar(docs).orderBy("doc_id").collect()] == [1, 4]
+    plans = [p for name, p in seen if name == "sets"]
+    assert plans and all(p.count("MapInArrow") == 1 for p in plans)
