@@ -15,6 +15,8 @@ from limnos.llm.queries import vocabulary
 LEAST_QUALITY = 0.7
 #: A line of so many words is a passage by itself: later copies go, whatever stands beside them.
 PASSAGE_WORDS = 50
+#: Words and chunks that a task of the encoder remembers: its executor is as full as the stages before left it.
+REMEMBERED = 30_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text, a row for every row; null texts are empty ones."""
-    return bpe.encode_texts(docs, vocabulary("word_bpe_49k.json"), keep_ids=False)
+    return bpe.encode_texts(docs, vocabulary("word_bpe_49k.json"), keep_ids=False, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Words and chunks that a task remembers, at most; a full memory is emptied.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -37,11 +37,11 @@ class Merges:
         import ahocorasick
 
         self.end, self.names = end, {i: t for t, i in vocab.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.rank.setdefault((x, y), (r, z))
+            self.rank.setdefault((x, y), r)
             self.parts.setdefault(z, (r, x, y))
         self.apart: dict[tuple[int, int], bool] = {}
         self.auto = ahocorasick.Automaton()
@@ -70,7 +70,7 @@ class Merges:
             # a and b face each other until a merge takes a to the left (rank until_a) or b to the right (until_b).
             # Of equal ranks the leftmost goes first: the one that takes a, but not the one that takes b, is before the seam's.
             met = self.rank.get((a, b))
-            if met is not None and met[0] < until_a and met[0] <= until_b:
+            if met is not None and met < until_a and met <= until_b:
                 out = False
                 break
             pa, pb = self.parts.get(a), self.parts.get(b)
@@ -117,7 +117,7 @@ class Merges:
 class WordBpe:
     """Encodes and decodes as the tokenizer file at `path` says: NFC, white space to one space, lower case, split, byte letters, merges."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -130,6 +130,7 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.bytes = byte_letters()
+        self.remembered = remembered
         # ids alone: the decoded text is looked up by them
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -145,7 +146,7 @@ class WordBpe:
         if out is None:
             ids = self.merges.encode_word("".join([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]))
             out = struct.pack(f"<{len(ids)}I", *ids)
-            if len(held) >= REMEMBERED:
+            if len(held) >= self.remembered:
                 held.clear()
             held[word] = out
         return out
@@ -159,7 +160,7 @@ class WordBpe:
             out = self.word(text[:-1]) + self.word(text[-1])
         else:
             out = b"".join([self.word(w) for w in self.find(text)])
-        if len(self.chunks) >= REMEMBERED:
+        if len(self.chunks) >= self.remembered:
             self.chunks.clear()
         self.chunks[chunk] = out
         return out
@@ -182,10 +183,11 @@ class WordBpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Encodes and decodes every whole text: id, n_tokens, ids_sha256, decoded_sha256 and with keep_ids ids (array<int>) and decoded.
 
-    vocabulary: path of a tokenizer file, readable on each executor. Null texts are empty ones: no token. Null and repeated ids stay; other columns are not read."""
+    vocabulary: path of a tokenizer file, readable on each executor. Null texts are empty ones: no token. Null and repeated ids stay; other columns are not read.
+    remembered: words and chunks that a task holds; fewer take less memory (some 30 MB for each 100,000) and more time."""
     import array
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep_ids else [])
@@ -201,4 +203,4 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), step, schema, lambda: WordBpe(vocabulary)).withColumnRenamed("id", id_col)
+    return map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), step, schema, lambda: WordBpe(vocabulary, remembered)).withColumnRenamed("id", id_col)

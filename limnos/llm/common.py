@@ -91,6 +91,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
         del b  # not held while the next one is read
+        pa.default_memory_pool().release_unused()
 
 
 def map_batches(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_names, materialize
+from .common import WORD_PATTERN, arrow_schema, free_names, materialize
 
 #: Weights of sources by code point, null last, repeating (fixed by the contract).
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -98,6 +98,12 @@ def _fly(rows: DataFrame, last: bool, seed: int) -> DataFrame:
     return rows.groupBy("block").applyInArrow(run, rows.schema)
 
 
+def _table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows of the driver as a DataFrame, by Arrow: from a list Spark would start Python workers on the executors."""
+    schema = arrow_schema(ddl)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema), ddl)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = 2_000, seed: int = 11) -> DataFrame:
     """id, source, size, source_size, target, copies, taken for every document.
 
@@ -111,7 +117,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     count = {r["source"]: r["docs"] for r in totals}
     plan = [(i, s, n, t, count[s]) for i, (s, n, t) in enumerate(source_targets([(r["source"], r["n"]) for r in totals], share, cap, weights))]
-    table = spark.createDataFrame(plan, f"source_no int, source {base.schema['source'].dataType.simpleString()}, source_size long, target double, docs long")
+    table = _table(spark, plan, f"source_no int, source {base.schema['source'].dataType.simpleString()}, source_size long, target double, docs long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     narrow = F.broadcast if len(plan) <= _MOST_BROADCAST else lambda df: df  # beyond it the tables of sources are joined by a shuffle
     rows = base.withColumnRenamed("source", "own").join(narrow(table), F.col("own").eqNullSafe(F.col("source"))).drop("own")
@@ -134,7 +140,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = rows.where(is_open)
         open_count = {r["source_no"]: r["n"] for r in left.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
         most = max(open_count.values(), default=0)
-        counts = spark.createDataFrame(list(open_count.items()), "source_no int, open long")
+        counts = _table(spark, list(open_count.items()), "source_no int, open long")
         rows = blocked(left.join(narrow(counts), "source_no"), F.col("open")).drop("open")
     out = done[0]
     for d in done[1:]:

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from limnos.llm import common, shingles, simhash
+from limnos.llm import bpe, common, mixing, shingles, simhash
+from limnos.llm.queries import vocabulary
 
 
 def test_simhash_and_the_exact_search_both_drop(spark, monkeypatch):
@@ -82,3 +83,20 @@ def test_verifying_takes_one_worker_a_task(spark, monkeypatch):
     assert [r["doc_id"] for r in shingles.drop_similar(docs).orderBy("doc_id").collect()] == [1, 4]
     plans = [p for name, p in seen if name == "sets"]
     assert plans and all(p.count("MapInArrow") == 1 for p in plans)
+
+
+def test_encoder_with_little_memory():
+    """The check of the pipeline: encoders held 200,000 words and chunks, decoded texts too. With room for five the ids are the same, and no more are held."""
+    texts = [" ".join(f"Word{i % 7}x{i}, été {i}. plain" for i in range(k, k + 9)) for k in range(6)]
+    path = vocabulary("word_bpe_49k.json")
+    small, large = bpe.WordBpe(path, 5), bpe.WordBpe(path)
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert max(len(small.words), len(small.chunks)) <= 5
+
+
+def test_tables_of_the_driver_start_no_workers(spark):
+    """The check of the pipeline: the mixing stage's table of sources, made from a list, left a second daemon and two workers on each executor."""
+    table = mixing._table(spark, [(1, None), (2, 7)], "a int, b long")
+    assert sorted(map(tuple, table.collect()), key=str) == [(1, None), (2, 7)] and table.dtypes == [("a", "int"), ("b", "bigint")]
+    assert mixing._table(spark, [], "a int, b long").count() == 0
+    assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString() or "Python" not in table._jdf.queryExecution().toRdd().toDebugString()
