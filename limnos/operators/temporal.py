@@ -27,7 +27,7 @@ def within_days(left: DataFrame, right: DataFrame, keys: list[str], days: int, l
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tie: list[str], days: int = 7, windows: tuple[int, ...] = (1, 3, 7), block: int | None = None) -> DataFrame:
-    """Each row of left with its nearest row of right (keys, obs_date) within `days`: earlier dates win ties, then the order of `tie`. Adds the values, `offset_days`, `n_obs` (how many lie within) and `match_{w}d`; unmatched rows, and those with a null key or date, have null values, 0 and false.
+    """Each row of left with its nearest row of right (keys, obs_date) within `days`: earlier dates win ties, then the order of `tie`, nulls last. Adds the values, `offset_days`, `n_obs` (how many lie within) and `match_{w}d`; unmatched rows, and those with a null key or date, have null values, 0 and false.
 
     Both sides are united and dealt out once, by key and block of days, so that a long series is many tasks' work; rows of right that lie within `days` of a block's border go to both blocks. Inside a block the rows in order of time tell the last one
     before and the first one after each row of left, and a range of days is counted: no pairs are built."""
@@ -41,8 +41,8 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], values: l
     there = there.withColumn("block_", F.explode(F.array_distinct(F.array(*[F.floor((F.col("day_") + d) / width) for d in (-days, 0, days)]))))
     both = here.unionByName(there, allowMissingColumns=True)
     own = Window.partitionBy(*names.values(), "block_")
-    # of one day the first by `tie` is the last that either order meets
-    back = [F.desc(f"t{i}_") for i in range(len(tie))]
+    # of one day the first by `tie`, nulls last, is the last that either order meets
+    back = [F.desc_nulls_first(f"t{i}_") for i in range(len(tie))]
     before = own.orderBy("day_", "kind_", *back).rowsBetween(Window.unboundedPreceding, 0)
     after = own.orderBy(F.desc("day_"), F.desc("kind_"), *back).rowsBetween(Window.unboundedPreceding, 0)
     within = own.orderBy("day_").rangeBetween(-days, days)
