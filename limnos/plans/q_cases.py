@@ -290,16 +290,11 @@ def gr4_product(spark, d):
 
 @query(None)
 def gr5_grid_forest(spark, d):
-    """GR-7: for each parameter and year a forest (20 trees) on covariates, easting and northing; its error out of fold by station, and the mean over years."""
+    """GR-7: for each parameter and every year of the samples a forest (20 trees) on covariates, easting and northing; its error out of fold by station, and the mean over years."""
     e, n = geo.transverse_mercator(F.col("lat"), F.col("lon"))
     s = stations(spark, d).select("station_id", "bal", e.alias("easting"), n.alias("northing"), F.pmod(F.xxhash64("station_id"), F.lit(3)).cast("int").alias("fold"))
-    t = samples(spark, d).select("station_id", F.year("date").alias("yr"), "tp", "chla").join(s, "station_id")
-    out = None
-    for param in ("tp", "chla"):
-        for yr in (1996, 1997):
-            p = models.out_of_fold(t.where(F.col("yr") == yr), ["bal", "easting", "northing"], param, "fold", "forest", folds=3, trees=20)
-            r = p.agg(*stats.metrics(param, "prediction")).select(F.lit(param).alias("param"), F.lit(yr).alias("yr"), "rmse", "n")
-            out = r if out is None else out.unionByName(r)
+    t = samples(spark, d).select("station_id", F.year("date").alias("yr"), "tp", "chla", "secchi").join(s, "station_id")
+    out = models.layer_errors(t, ["bal", "easting", "northing"], ["tp", "chla", "secchi"], "yr", "fold", folds=3, trees=20)
     return out.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("param")))
 
 
